@@ -87,4 +87,4 @@ FROM q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op4_minhash_near_dedup": OP4, "op10_warc_transactions": OP10}
+    return {"op1_embedding_near_dedup": OP1, "op3_substring_dedup": OP3, "op4_minhash_near_dedup": OP4, "op10_warc_transactions": OP10}

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm.common import table
 from trackloom.llm.embedding_dedup import near_vectors
+from trackloom.llm.language import predict_languages
 from trackloom.llm.mixing import systematic_copies
 from trackloom.llm.near_dedup import near_duplicates
+from trackloom.llm.pii import personal_data
 from trackloom.llm.quality import quality_scores
+from trackloom.llm.substring_dedup import remove_repeats
 from trackloom.llm.warc import page_captures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +23,22 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents")).drop("languages")
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
