@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trackloom.llm.common import table
+from trackloom.llm.decontaminate import find_leaks
 from trackloom.llm.embedding_dedup import near_vectors
 from trackloom.llm.language import predict_languages
 from trackloom.llm.mixing import systematic_copies
@@ -31,8 +32,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal_data(table(spark, sf_dir, "documents")).drop("found")
+    return personal_data(table(spark, sf_dir, "documents")).drop("found", "text_hash")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
