@@ -104,7 +104,7 @@ def _mentions(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
 
 _SPAN = [("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]
 _FOUND = pa.schema(
-    [("row_id", pa.int64()), ("doc_id", pa.int64())]
+    [("row_id", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64())]
     + [(f"n_{k}", pa.int64()) for k in KINDS]
     + [("base_sha256", pa.string()), ("base", pa.list_(pa.struct(_SPAN))), ("mentions", pa.list_(pa.struct([*_SPAN, ("entity", pa.int64()), ("contexts", pa.list_(pa.int64()))])))]
 )
@@ -117,7 +117,7 @@ def _find(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = row["text"] or ""
             base = base_spans(text)
             yield {
-                "row_id": row["row_id"], "doc_id": row["doc_id"], "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(),
+                "row_id": row["row_id"], "doc_id": row["doc_id"], "text_hash": row["text_hash"], "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(),
                 "base": [{"start": s, "end": e, "kind": k} for s, e, k in base], "mentions": _mentions(text, base),
             } | {f"n_{k}": sum(x[2] == k for x in base) for k in KINDS}
 
@@ -145,7 +145,7 @@ def trusted_contexts(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, Dat
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found.
+    """docs(doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, found, text_hash.
 
     The n_ columns and base_sha256 describe the base matches. spans has all spans, base and discovered,
     as kind:start:end in code points; found has them as an array of (start, end, kind).
@@ -158,8 +158,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     come out once for each row. Very long texts are searched whole. Other columns are ignored. An empty
     table gives an empty result.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = f"row_id long, doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<struct<{_SPARK_SPAN}>>, mentions array<struct<{_SPARK_SPAN},entity:long,contexts:array<long>>>"
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    schema = f"row_id long, doc_id long, text_hash long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<struct<{_SPARK_SPAN}>>, mentions array<struct<{_SPARK_SPAN},entity:long,contexts:array<long>>>"
     found = stage(rows.mapInArrow(_find, schema))
     mentions = found.select("row_id", F.explode("mentions").alias("m")).select("row_id", "m.*")
     edges = mentions.select("entity", F.explode("contexts").alias("context"))
@@ -173,4 +173,36 @@ def personal_data(docs: DataFrame) -> DataFrame:
     out = found.drop("mentions").join(added, "row_id", "left")
     order = F.expr("transform(array_sort(transform(concat(base, coalesce(added, array())), s -> struct(s.start, array_position(array('email','ip','card','phone'), s.kind) AS rank, s.`end`, s.kind))), s -> struct(s.start, s.`end`, s.kind))")
     out = out.withColumn("found", order).withColumn("spans", F.expr("array_join(transform(found, s -> concat_ws(':', s.kind, s.start, s.`end`)), ',')"))
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found")
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found", "text_hash")
+
+
+def _redact(columns: list[str]):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            texts = []
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                parts, done = [], 0
+                for span in spans or ():
+                    if span["end"] > done:
+                        if span["start"] >= done:
+                            parts += [text[done : span["start"]], f"<{span['kind'].upper()}>"]
+                        done = span["end"]  # what of a later span juts out goes with the earlier one
+                texts.append(text if not spans else "".join([*parts, text[done:]]))
+            arrays = {c: batch.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
+            if "n_chars" in arrays:
+                arrays["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+    return run
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span of personal_data replaced by its kind in angle brackets; n_chars, if there, follows.
+
+    Overlapping spans are replaced together, by the kind of the first. Rows keep their columns; a null
+    text stays null.
+    """
+    found = personal_data(docs).where("spans <> ''").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "found").dropDuplicates(["of", "hash"])
+    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("hash")), "left")
+    types = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
+    return rows.select(*docs.columns, "found").mapInArrow(_redact(docs.columns), types)

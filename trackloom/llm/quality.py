@@ -162,3 +162,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> D
     weights = train(docs, learn)
     out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text"), weights, "doc_id", "held_out")
     return out.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= cutoff).cast("int").alias("predicted"))
+
+
+def accept(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> DataFrame:
+    """The rows of docs, all columns, that score cutoff or more; learning as in quality_scores."""
+    weights = train(docs, labels.select("doc_id", F.col("quality").alias("label")).where(~held_out()))
+    return score(docs, weights, *docs.columns).where(F.col("quality_score") >= cutoff).drop("quality_score")

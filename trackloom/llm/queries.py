@@ -10,6 +10,7 @@ from trackloom.llm.common import table
 from trackloom.llm.decontaminate import find_leaks
 from trackloom.llm.embedding_dedup import near_vectors
 from trackloom.llm.language import predict_languages
+from trackloom.llm.licenses import scan_licenses
 from trackloom.llm.mixing import systematic_copies
 from trackloom.llm.near_dedup import near_duplicates
 from trackloom.llm.pii import personal_data
@@ -24,6 +25,10 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
