@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,11 @@ from trackloom.llm.common import Spans, Words, batches, grouped, mix, slices, sp
 from trackloom.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 32, 8
+HASHES = 256
+#: Chance that no band finds a pair at the threshold, at most: it sets the rows of a band.
+UNSEEN = 3e-4
+#: Bands of the first round.
+FIRST_BANDS = 8
 #: Hashes compared between two looks at the posterior.
 BATCH = 32
 #: Chance to lose a true pair by pruning, for each pair.
@@ -45,6 +50,12 @@ def _sets(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]
         yield from zip(rows, shingles([r["text"] for r in rows]), strict=True)
 
 
+def band_rows(percent: int) -> int:
+    """The most rows of a band with which the bands still find a pair at the threshold: 8 at 85 %, 7 at 80 %."""
+    j = percent / 100
+    return max(r for r in range(1, 33) if r == 1 or (1 - j**r) ** (HASHES // r) <= UNSEEN)
+
+
 def _families(n: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
     return rng.integers(0, 1 << 32, (n, 1), dtype=np.uint64).astype(np.uint32), rng.integers(0, 1 << 32, (n, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -62,23 +73,27 @@ def minhashes(items: np.ndarray, families: tuple[np.ndarray, np.ndarray]) -> np.
     return out
 
 
-def _sign(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    families = _families(BANDS * ROWS)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("size", pa.int64())])
+def _sign(rows_of_band: int):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        families, bands = _families(HASHES), HASHES // rows_of_band
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("size", pa.int64())])
 
-    def rows() -> Iterator[dict]:
-        for row, items in _sets(stream):
-            out = {"doc_id": row["doc_id"], "n_shingles": len(items), "size": len(row["text"] or "")}
-            if len(items):
-                least = minhashes(items, families)
-                key = np.zeros(BANDS, np.uint64)
-                for j in range(ROWS):
-                    key = mix(key + least.reshape(BANDS, ROWS)[:, j] + np.uint64(1))
-                key = mix(key ^ np.arange(1, BANDS + 1, dtype=np.uint64))
-                out |= {"class": hashlib.blake2b(items.tobytes(), digest_size=16).digest(), "bands": key.view(np.int64).tolist(), "signature": least.astype(np.uint8).tobytes()}
-            yield out
+        def rows() -> Iterator[dict]:
+            for row, items in _sets(stream):
+                out = {"doc_id": row["doc_id"], "n_shingles": len(items), "size": len(row["text"] or "")}
+                if len(items):
+                    least = minhashes(items, families)
+                    banded = least[: bands * rows_of_band].reshape(bands, rows_of_band)
+                    key = np.zeros(bands, np.uint64)
+                    for j in range(rows_of_band):
+                        key = mix(key + banded[:, j] + np.uint64(1))
+                    key = mix(key ^ np.arange(1, bands + 1, dtype=np.uint64))
+                    out |= {"class": hashlib.blake2b(items.tobytes(), digest_size=16).digest(), "bands": key.view(np.int64).tolist(), "signature": least.astype(np.uint8).tobytes()}
+                yield out
+
+        yield from batches(rows(), schema, 500)
 
-    yield from batches(rows(), schema, 500)
+    return run
 
 
 @lru_cache
@@ -92,7 +107,7 @@ def least_agreement(percent: int, miss: float = MISS) -> list[int]:
     j = np.linspace(0, 1, 20001)[1:-1]
     p = j + (1 - j) / 256
     out = []
-    for n in range(BATCH, BANDS * ROWS + 1, BATCH):
+    for n in range(BATCH, HASHES + 1, BATCH):
         for m in range(n + 1):
             logs = m * np.log(p) + (n - m) * np.log1p(-p)
             weights = np.exp(logs - logs.max())
@@ -148,6 +163,8 @@ def _verify(percent: int, crossing: bool):
     """
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+
         def rows() -> Iterator[dict]:
             for group in grouped(stream, ["bucket", "block"]):
                 if len(group) < 2:
@@ -158,7 +175,7 @@ def _verify(percent: int, crossing: bool):
 
                 def items(i: int) -> np.ndarray:
                     if i not in sets:
-                        sets[i] = shingles([group[i]["text"]])[0]
+                        sets[i] = shingles([unpack.decompress(group[i]["text"]).decode("utf-8", "surrogatepass")])[0]
                     return sets[i]
 
                 at = [[i for i, r in enumerate(group) if r["side"] == s] for s in (0, 1)] if crossing else [list(range(len(group)))] * 2
@@ -192,35 +209,56 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     document for components, and the least of their texts is compared; each row keeps its own n_shingles. Columns other than doc_id and text are
     ignored. An empty table gives an empty result. Very long texts are cut into sets piece by piece.
 
-    Equal sets are one class first. A class has 256 MinHashes in 32 bands of 8, which find a pair at
-    the threshold with chance 1 - 4e-5. A bucket is compared in blocks of bounded size, batch by batch
+    Equal sets are one class first. A class has 256 MinHashes in bands (at 85 %: 32 of 8, which find a
+    pair at the threshold with chance 1 - 4e-5). A bucket is compared in blocks of bounded size, batch by batch
     of the signature under the posterior bound, and survivors on full sets; a bucket of more than one
     block gets its crossing pairs in a second pass, and only while its blocks aren't one component.
+    The bands go in two rounds: buckets of the second round whose members are connected already are
+    done, which spares most of the texts that copies would send through every band.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = stage(docs.mapInArrow(_sign, _SIGN))
+    signed = stage(docs.mapInArrow(_sign(band_rows(percent)), _SIGN))
     rows = signed.select("doc_id", "n_shingles", "class")
-    reps = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node"))
-    reps = stage(reps)
-    one = signed.join(reps, "class").where("doc_id = node").dropDuplicates(["class"])
-    members = stage(one.select("node", "size", "signature", F.explode("bands").alias("bucket")))
+    reps = stage(signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node")))
+    members = signed.join(reps, "class").where("doc_id = node").select("node", "size", F.posexplode("bands").alias("band", "bucket"))
+    members = stage(members)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     sizes = sizes.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long").alias("blocks"))
-    found = stage(members.join(sizes, "bucket").select("node", "bucket", "blocks", "signature"))
-    texts = docs.where("doc_id is not null").join(found.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = stage(texts.groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
-    inside = found.join(texts, "node").select("bucket", F.pmod(F.xxhash64("node"), "blocks").alias("block"), "node", "signature", "text", F.col("node").alias("component"))
-    links = stage(spread(inside, "bucket", "block").mapInArrow(_verify(percent, False), _LINK))
-    labels = components(links)
-    hot = found.where("blocks > 1")
-    if not hot.isEmpty():
-        links = links.unionByName(stage(_crossing(hot, texts, labels, percent)))
+    found = stage(members.select("node", "band", "bucket").join(sizes, "bucket").distinct())
+    some = found.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.where("doc_id is not null").join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_pack, "node long, text binary")
+    marks = signed.select("doc_id", "class", "signature").join(some, "doc_id", "left_semi").join(reps, "class").where("doc_id = node").select("node", "signature").distinct()
+    texts = stage(texts.join(marks, "node"))
+    links = labels = None
+    for low, high in ((0, FIRST_BANDS), (FIRST_BANDS, HASHES)):
+        part = found.where((F.col("band") >= low) & (F.col("band") < high))
+        if labels is not None:
+            part = part.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            open_ = part.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+            part = part.join(open_, "bucket", "left_semi")
+        else:
+            part = part.withColumn("component", F.col("node"))
+        part = stage(part.select("node", "bucket", "blocks", "component"))
+        inside = part.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).drop("blocks").join(texts, "node")
+        more = stage(spread(inside, "bucket", "block").mapInArrow(_verify(percent, False), _LINK))
+        links = more if links is None else links.unionByName(more)
         labels = components(links)
+        hot = part.where("blocks > 1").drop("component")
+        if not hot.isEmpty():
+            links = links.unionByName(stage(_crossing(hot, texts, labels, percent)))
+            labels = components(links)
     merged = reps.join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("of_class"))
     out = rows.join(merged, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3)
+    for batch in slices(stream):
+        packed = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["node", "text"])
+
+
 def _crossing(hot: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Links between the blocks of large buckets that aren't one component yet.
 
@@ -238,6 +276,6 @@ def _crossing(hot: DataFrame, texts: DataFrame, labels: DataFrame, percent: int)
     every = F.sequence(F.lit(0).cast("long"), F.col("blocks") + F.col("rests") - 1)
     first = rest.withColumn("rest", F.col("own")).withColumn("other", F.explode(F.filter(every, lambda o: (o < F.col("blocks")) | (o >= F.col("blocks") + F.col("own"))))).withColumn("side", F.lit(0))
     second = rest.withColumn("rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own")))).withColumn("other", F.col("blocks") + F.col("own")).withColumn("side", F.lit(1))
-    cols = ["bucket", F.xxhash64("rest", "other").alias("block"), "side", "node", "signature", "component"]
+    cols = ["bucket", F.xxhash64("rest", "other").alias("block"), "side", "node", "component"]
     met = trunk.select(cols).unionByName(first.select(cols)).unionByName(second.select(cols))
     return spread(met.join(texts, "node"), "bucket", "block").mapInArrow(_verify(percent, True), _LINK)
