@@ -224,8 +224,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = stage(members)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     sizes = sizes.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long").alias("blocks"))
-    found = stage(members.select("node", "band", "bucket").join(sizes, "bucket").distinct())
-    some = found.select(F.col("node").alias("doc_id")).distinct()
+    found = stage(members.select("node", "band", "bucket").join(sizes.hint("merge"), "bucket").distinct())
+    # what grows with the documents is shuffled at every size, never broadcast
+    some = found.select(F.col("node").alias("doc_id")).distinct().hint("merge")
     texts = docs.where("doc_id is not null").join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_pack, "node long, text binary")
     marks = signed.select("doc_id", "class", "signature").join(some, "doc_id", "left_semi").join(reps, "class").where("doc_id = node").select("node", "signature").distinct()
     texts = stage(texts.join(marks, "node"))
