@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -16,8 +17,6 @@ def _events(spark, sf):
 
 
 def _shared(spark):
-    import tempfile
-
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/trackloom-shared"
 
 
