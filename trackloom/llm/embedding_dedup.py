@@ -25,9 +25,13 @@ BLOCK = 1024
 
 
 class Tree:
-    """Random directions with a median split at each node, down to `depth`."""
+    """Random directions with a median split at each node, down to `depth`.
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int, spill: float):
+    Where the sample is too small to place more splits, `more` further levels split all their nodes
+    along one direction each, so that the model stays bounded while leaves stay small.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, more: int, seed: int, spill: float):
         rng = np.random.default_rng(seed)
         self.depth, self.size = depth, (1 << depth) - 1
         self.directions = rng.standard_normal((max(1, self.size), sample.shape[1]))
@@ -41,6 +45,11 @@ class Tree:
                 self.middle[node] = np.median(at)
                 self.margin[node] = spill * at.std()
             rows[2 * node + 1], rows[2 * node + 2] = own[at < self.middle[node]], own[at >= self.middle[node]]
+        self.levels = []
+        for _ in range(more):
+            direction = rng.standard_normal(sample.shape[1])
+            at = sample @ (direction / np.linalg.norm(direction))
+            self.levels.append((direction / np.linalg.norm(direction), np.median(at), spill * at.std()))
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs; a row in the strip around a split goes down on both sides."""
@@ -49,7 +58,12 @@ class Tree:
             at = np.einsum("ij,ij->i", x[row], self.directions[node]) - self.middle[node]
             low, high = at < self.margin[node], at >= -self.margin[node]
             row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
-        return row, node - self.size
+        leaf = node - self.size
+        for direction, middle, margin in self.levels:
+            at = x[row] @ direction - middle
+            low, high = at < margin, at >= -margin
+            row, leaf = np.concatenate([row[low], row[high]]), np.concatenate([2 * leaf[low], 2 * leaf[high] + 1])
+        return row, leaf
 
 
 def _vectors(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -182,8 +196,9 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
     sample = nodes.select("v").orderBy(F.xxhash64("key")).limit(SAMPLE).collect()
     x = np.array([r.v for r in sample], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    depth = min(max(0, math.ceil(math.log2(max(1, n) / LEAF))), max(0, int(math.log2(max(1, len(x)) / 16))))
-    trees = [Tree(x, depth, seed, SPILL) for seed in range(TREES)]
+    levels = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
+    depth = min(levels, max(0, int(math.log2(max(1, len(x)) / 16))))
+    trees = [Tree(x, depth, levels - depth, seed, SPILL) for seed in range(TREES)]
     placed = nodes.select("node", "weight", "v").mapInArrow(_place(trees), "node long, weight long, v array<double>, leaves array<long>")
     placed = stage(placed)
     members = placed.select("node", "weight", "v", "leaves", F.explode("leaves").alias("leaf"))
