@@ -61,17 +61,17 @@ def read_gps_csv(spark: SparkSession, path: str, layout: str = "yyyy-MM-dd HH:mm
 def read_nmea(spark: SparkSession, path: str, day: str, offset: float = 0.0) -> DataFrame:
     """GGA sentences with a fix and a right checksum: tod, ts, lat, lon, quality, altitude in metres."""
     lines = spark.read.text(path).where(F.col("value").rlike(r"^\$..GGA,"))
-    parts = F.split(F.regexp_extract("value", r"^\$([^*]*)", 1), ",")
     body = F.regexp_extract("value", r"^\$([^*]*)", 1)
+    part = lambda i: F.get(F.split(body, ","), i)
     codes = F.transform(F.filter(F.split(body, ""), lambda c: c != ""), lambda c: F.ascii(c))
     total = F.aggregate(codes, F.lit(0), lambda a, c: a.bitwiseXOR(c))
     stated = F.conv(F.regexp_extract("value", r"\*([0-9A-Fa-f]{2})", 1), 16, 10).try_cast("int")
     degrees = lambda text, n: F.substring(text, 1, n).try_cast("double") + F.substring(text, n + 1, 20).try_cast("double") / 60
-    time = parts[1]
+    time = part(1)
     tod = F.substring(time, 1, 2).try_cast("double") * 3600 + F.substring(time, 3, 2).try_cast("double") * 60 + F.substring(time, 5, 20).try_cast("double")
     rows = lines.where(stated.isNull() | (stated == total)).select(
-        F.pmod(tod + offset, F.lit(86400.0)).alias("tod"), (degrees(parts[2], 2) * F.when(parts[3] == "S", -1).otherwise(1)).alias("lat"),
-        (degrees(parts[4], 3) * F.when(parts[5] == "W", -1).otherwise(1)).alias("lon"), parts[6].try_cast("int").alias("quality"), parts[9].try_cast("double").alias("altitude"),
+        F.pmod(tod + offset, F.lit(86400.0)).alias("tod"), (degrees(part(2), 2) * F.when(part(3) == "S", -1).otherwise(1)).alias("lat"),
+        (degrees(part(4), 3) * F.when(part(5) == "W", -1).otherwise(1)).alias("lon"), part(6).try_cast("int").alias("quality"), part(9).try_cast("double").alias("altitude"),
     )
     rows = rows.where("quality > 0 and lat is not null and lon is not null and tod is not null")
     since = F.lit(day).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("tod"))
