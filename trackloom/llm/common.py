@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,6 +200,19 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def pack_text(df: DataFrame, *keep: str) -> DataFrame:
+    """keep... and text, as zstd of its UTF-8 in a binary column: half the shuffle of plain text. Null stays null."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in slices(stream, 256):
+            packed = [None if t is None else squeeze.compress(bytes_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(packed, pa.binary())], names=[*keep, "text"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    return df.select(*keep, "text").mapInArrow(run, f"{types}, text binary")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal df by keys and sort each partition by them, for `grouped`."""
     return df.repartition(*keys).sortWithinPartitions(*keys)
