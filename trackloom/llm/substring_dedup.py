@@ -58,14 +58,12 @@ def _print(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = window_prints(Words(batch.column("text").to_pylist()))
         of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         print_, segment, begin, count = (np.concatenate([f[i] for f in found]) for i in range(4))
-        # with its print of 64 bits, 32 more tell a segment from others
-        segment = (segment >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(print_.view(np.int64)), pa.array(segment), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["key", "print", "segment", "begin", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(print_.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["key", "print", "segment", "begin", "n"])
 
 
 def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each wanted segment, joined by one blank."""
-    schema = pa.schema([("print", pa.int64()), ("segment", pa.int32()), ("copies", pa.int64()), ("passage", pa.string())])
+    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("passage", pa.string())])
 
     unpack = zstandard.ZstdDecompressor()
 
@@ -85,7 +83,7 @@ def _locate(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Shard by shard, of whole groups of one print: windows that occur twice or more are confirmed, maximal
     runs of them are the passages, an automaton is compiled of these, and all segments stream through it.
     """
-    schema = pa.schema([("print", pa.int64()), ("segment", pa.int32()), ("covered", pa.list_(pa.int32()))])
+    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("covered", pa.list_(pa.int32()))])
 
     def shards() -> Iterator[list[dict]]:
         held: list[dict] = []
@@ -179,14 +177,14 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    prints = rows.where("text is not null").select("key", "text").mapInArrow(_print, "key long, print long, segment int, begin int, n int")
+    prints = rows.where("text is not null").select("key", "text").mapInArrow(_print, "key long, print long, segment long, begin int, n int")
     recurring = prints.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
     hits = stage(prints.join(recurring.hint("merge"), "print"))
     chosen = hits.groupBy("print", "segment").agg(F.min(F.struct("key", "begin", "n")).alias("of"), F.count("*").alias("copies"))
     wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "of.begin", "of.n")).alias("wanted"))
     texts = pack_text(rows, "doc_id", "key")
-    passages = texts.where("text is not null").join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_cut, "print long, segment int, copies long, passage string")
-    covered = stage(spread(passages, "print").mapInArrow(_locate, "print long, segment int, covered array<int>").dropDuplicates(["print", "segment"]))
+    passages = texts.where("text is not null").join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_cut, "print long, segment long, copies long, passage string")
+    covered = stage(spread(passages, "print").mapInArrow(_locate, "print long, segment long, covered array<int>").dropDuplicates(["print", "segment"]))
     parts = hits.join(covered.hint("merge"), ["print", "segment"]).groupBy("key").agg(F.collect_list(F.struct("begin", "covered")).alias("parts"))
     out = texts.join(parts.hint("merge"), "key", "left").select("doc_id", "text", "parts")
     return out.mapInArrow(_strip(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
