@@ -60,3 +60,20 @@ def test_segments_alike_in_32_bits(spark):
     # found by trial: these pairs share their print, and the upper 32 bits of their segments' hashes
     rows = [(i, shared_phrase(i)) for i in (8583, 44493, 101041, 112429, 2738, 170773)]
     assert sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, SCHEMA), False).collect()), key=str) == brute(rows)
+
+
+def test_crowded_print(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CROWDED", 50, raising=False)
+    largest = []
+
+    def spread(df, *keys):
+        largest.append(df.groupBy(*keys).count().selectExpr("max(count)").first()[0] or 0)
+        return real(df, *keys)
+
+    real = substring_dedup.spread
+    monkeypatch.setattr(substring_dedup, "spread", spread)
+    rows = [(i, shared_phrase(i)) for i in range(200)]
+    # of some, also a part of the neighbourhood recurs, in equal and in different segments
+    rows += [(300 + i, "x " * i + " ".join(shared_phrase(i).split()[i : 45 + i // 2])) for i in range(15)] + [(400, shared_phrase(3)), (401, shared_phrase(4)), (401, shared_phrase(4))]
+    assert sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, SCHEMA), False).collect()), key=str) == brute(rows)
+    assert max(largest) <= 50

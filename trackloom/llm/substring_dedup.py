@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Spans, Words, batches, pack_text, records, slices, spread, stage
+from trackloom.llm.common import Spans, Words, batches, mix, pack_text, records, slices, spread, stage
 
 #: A passage recurs if this many consecutive words do.
 WINDOW = 35
@@ -20,6 +20,8 @@ WINDOW = 35
 GRAM = 14
 #: One automaton is built over the passages of about so many characters.
 SHARD_CHARS = 400_000
+#: Prints with more places than this are confirmed window by window, as their segments may be too many for one task.
+CROWDED = 1000
 
 
 def window_prints(words: Words) -> list[tuple[np.ndarray, ...]]:
@@ -63,7 +65,7 @@ def _print(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of each wanted segment, joined by one blank."""
-    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("passage", pa.string())])
+    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("crowded", pa.bool_()), ("passage", pa.string())])
 
     unpack = zstandard.ZstdDecompressor()
 
@@ -72,11 +74,22 @@ def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = unpack.decompress(row["text"]).split()
             for w in row["wanted"]:
                 passage = b" ".join(words[w["begin"] : w["begin"] + w["n"] + WINDOW - 1])
-                yield {"print": w["print"], "segment": w["segment"], "copies": w["copies"], "passage": passage.decode("utf-8", "surrogatepass")}
+                yield {"print": w["print"], "segment": w["segment"], "copies": w["copies"], "crowded": w["crowded"], "passage": passage.decode("utf-8", "surrogatepass")}
 
     yield from batches(rows(), schema)
 
 
+def _windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of each segment: its place and its hash of 128 bits."""
+    for batch in slices(stream, 256):
+        words = Words(batch.column("passage").to_pylist())
+        one, at = words.grams(words.hash, WINDOW)
+        two, _ = words.grams(mix(words.hash ^ np.uint64(0x9E3779B97F4A7C15)), WINDOW)
+        of = np.searchsorted(words.first, at, side="right") - 1
+        own = [batch.column(c).take(pa.array(of)) for c in ("print", "segment", "copies")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array((at - words.first[of]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["print", "segment", "copies", "at", "one", "two"])
+
+
 def _locate(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments sorted by print -> the words of each that lie in a recurring passage, as begin, end, begin, ...
 
@@ -173,18 +186,26 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     Equal windows share a print, the smallest of their GRAM-word hashes. Only segments whose print recurs
     go on, each different segment once with its number of copies, so that a passage in very many
     documents is as light as one in two. Its shard confirms, compiles and locates; what it covers is
-    joined back to all places of the segment.
+    joined back to all places of the segment. Segments of a print with more than CROWDED places, as of a
+    phrase in very many documents, meet by the hashes of their windows instead, summed before the
+    shuffle, so that no task holds all segments of one print.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     prints = rows.where("text is not null").select("key", "text").mapInArrow(_print, "key long, print long, segment long, begin int, n int")
-    recurring = prints.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print")
+    recurring = prints.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print", (F.col("c") > CROWDED).alias("crowded"))
     hits = stage(prints.join(recurring.hint("merge"), "print"))
-    chosen = hits.groupBy("print", "segment").agg(F.min(F.struct("key", "begin", "n")).alias("of"), F.count("*").alias("copies"))
-    wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "of.begin", "of.n")).alias("wanted"))
+    chosen = hits.groupBy("print", "segment").agg(F.min(F.struct("key", "begin", "n")).alias("of"), F.count("*").alias("copies"), F.any_value("crowded").alias("crowded"))
+    wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "crowded", "of.begin", "of.n")).alias("wanted"))
     texts = pack_text(rows, "doc_id", "key")
-    passages = texts.where("text is not null").join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_cut, "print long, segment long, copies long, passage string")
-    covered = stage(spread(passages, "print").mapInArrow(_locate, "print long, segment long, covered array<int>").dropDuplicates(["print", "segment"]))
+    passages = texts.where("text is not null").join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_cut, "print long, segment long, copies long, crowded boolean, passage string")
+    passages = stage(passages)
+    located = spread(passages.where("not crowded").drop("crowded"), "print").mapInArrow(_locate, "print long, segment long, covered array<int>").dropDuplicates(["print", "segment"])
+    windows = passages.where("crowded").mapInArrow(_windows, "print long, segment long, copies long, at int, one long, two long")
+    again = windows.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
+    # a segment's windows share a run of words, so that what they cover has no gap
+    whole = windows.join(again.hint("merge"), ["one", "two"]).groupBy("print", "segment").agg(F.array(F.min("at"), F.max("at") + WINDOW).alias("covered"))
+    covered = stage(located.unionByName(whole))
     parts = hits.join(covered.hint("merge"), ["print", "segment"]).groupBy("key").agg(F.collect_list(F.struct("begin", "covered")).alias("parts"))
     out = texts.join(parts.hint("merge"), "key", "left").select("doc_id", "text", "parts")
     return out.mapInArrow(_strip(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
