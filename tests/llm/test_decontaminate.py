@@ -46,3 +46,25 @@ def test_parameters(spark):
     got = find_leaks(docs, items).collect()
     assert sorted(((r.doc_id or 0, r.item_id, r.n_changed) for r in got)) == [(0, 10, 3), (1, 10, 0), (2, 10, 3), (2, 10, 3), (7, 10, 3)]
     assert find_leaks(docs.limit(0), items).collect() == [] and find_leaks(docs, items.limit(0)).collect() == []
+
+
+def test_short_and_numeric_items(spark):
+    items = [(1, "What is the capital of France?"), (2, "12 * 7 + 3 = 87"), (3, "Anna Boris Carla Dora Emil Frida Georg Hans Ida 4 5 6"), (4, "Who wrote it?"), (5, "What is the capital city of that country"), (6, "!? --")]
+    pad = "some other words that stand before"
+    docs = [
+        (1, f"{pad} the question. What is the capital of France? And more after it."),
+        (2, f"{pad} the question: what is the capital of Spain? And more after it."),
+        (3, f"{pad} 12 * 7 + 3 = 87 and more"),
+        (4, f"{pad} 12 * 7 + 4 = 88 and more"),
+        (5, f"{pad} Anna Boris Carla Dora Emil Frida Georg Hans Ida 4 5 6 and more"),
+        (6, f"{pad} Anna Boris Carla Dora Emma Frida Georg Hans Ivo 4 5 7 and more"),
+        (7, f"{pad} who wrote it, and more"),
+        (8, "Who wrote it?"),
+        (9, "who wrote"),
+        (10, f"{pad} what is the capital city of that country"),
+        (12, f"{pad} What is the capital of France? A capital letter within a sentence."),
+        (11, "Is the capital of France big?"),
+    ]
+    got = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (3, 2), (5, 3), (7, 4), (8, 4), (10, 5), (12, 1)]
+    assert all(r.coverage == 1 and r.consistency == 1 for r in got)

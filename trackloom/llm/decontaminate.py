@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Spans, batches, bytes_of, grouped, hash_runs, slices, spread, stage, word_bounds
+from trackloom.llm.common import Spans, batches, bytes_of, grouped, hash_runs, mix, slices, spread, stage, word_bounds
 
 #: Tokens of a template window, and how many of them must not be placeholders.
 WINDOW, LITERALS = 8, 4
@@ -100,11 +100,13 @@ class Template:
         offset = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
         self.first = np.searchsorted(s, offset)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first token, number of tokens) of all windows with enough literals; a text of fewer tokens is one window."""
-        whole = Spans(self.token)
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first token, number of tokens, raw) of all windows; a text of fewer tokens is one window.
+
+        Windows without enough literals are raw: hashed by their tokens, not by placeholders. So is the first
+        one of a text, besides, as its first word may be a name or a unit where other words stand before it.
+        """
         n = len(self.token)
-        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
         size = np.full(n, WINDOW)
         inside = np.ones(n, bool)
         for low, high in zip(self.first[:-1], self.first[1:], strict=True):
@@ -115,19 +117,45 @@ class Template:
                 inside[high - WINDOW + 1 : high] = False
         at = np.flatnonzero(inside)
         end = at + size[at]
-        at, end = at[keep := literal[end] - literal[at] >= LITERALS], end[keep]
-        return whole.some(at, end), at, end - at
+        enough = self._literals(at, end) >= LITERALS
+        raw = np.isin(at, self.first) | ~enough
+        h = np.concatenate([Spans(self.token).some(at[enough], end[enough]), self._raw(at[raw], end[raw])])
+        at, end = np.concatenate([at[enough], at[raw]]), np.concatenate([end[enough], end[raw]])
+        return h, at, end - at, np.arange(len(at)) >= enough.sum()
+
+    def windows_of(self, sizes: list[int], raw_sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for all windows of `sizes` with enough literals, and all of `raw_sizes` by their tokens.
+
+        A window that has too few literals in an item may have enough in a document, by the word before it.
+        """
+        token = Spans(self.token)
+        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        for size, raw in [(k, False) for k in sizes] + [(k, True) for k in raw_sizes]:
+            at = np.arange(max(0, len(self.token) - size + 1))
+            at = at[at + size <= self.first[np.searchsorted(self.first, at, side="right")]]
+            if not raw:
+                at = at[self._literals(at, at + size) >= LITERALS]
+            h = self._raw(at, at + size) if raw else token.some(at, at + size)
+            parts.append((h, at, np.full(len(at), size), np.full(len(at), raw)))
+        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+    def _literals(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
+        return literal[end] - literal[at]
+
+    def _raw(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(Spans(self.raw).some(at, end) ^ _PLACEHOLDER[NUMBER])
 
 
 def _item_windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("window", pa.int64()), ("item_id", pa.int64()), ("item_at", pa.int32()), ("size", pa.int32()), ("tokens", pa.int32()), ("item_slots", pa.list_(pa.int64())), ("item_places", pa.list_(pa.int32()))])
+    schema = pa.schema([("window", pa.int64()), ("item_id", pa.int64()), ("item_at", pa.int32()), ("size", pa.int32()), ("raw", pa.bool_()), ("tokens", pa.int32()), ("item_slots", pa.list_(pa.int64())), ("item_places", pa.list_(pa.int32()))])
 
     def rows() -> Iterator[dict]:
         for batch in slices(stream):
             ids, t = batch.column("item_id").to_pylist(), Template(batch.column("text").to_pylist())
-            for h, at, size in zip(*(x.tolist() for x in (lambda w: (w[0].view(np.int64), w[1], w[2]))(t.windows())), strict=True):
+            for h, at, size, raw in zip(*(x.tolist() for x in (lambda w: (w[0].view(np.int64), *w[1:]))(t.windows())), strict=True):
                 i = int(np.searchsorted(t.first, at, side="right")) - 1
-                yield {"window": h, "item_id": ids[i], "item_at": at - t.first[i], "size": size, "tokens": t.first[i + 1] - t.first[i], "item_slots": _slots(t, at, size), "item_places": (np.flatnonzero(t.kind[at : at + size] != LITERAL) + (at - t.first[i])).tolist()}
+                yield {"window": h, "item_id": ids[i], "item_at": at - t.first[i], "size": size, "raw": raw, "tokens": t.first[i + 1] - t.first[i], "item_slots": _slots(t, at, size), "item_places": (np.flatnonzero(t.kind[at : at + size] != LITERAL) + (at - t.first[i])).tolist()}
 
     yield from batches(rows(), schema)
 
@@ -138,8 +166,8 @@ def _slots(t: Template, at: int, size: int) -> list[int]:
     return t.raw[part][t.kind[part] != LITERAL].view(np.int64).tolist()
 
 
-def _doc_windows(wanted):
-    """Windows of documents; with `wanted`, a broadcast sorted array, only those whose hash is in it."""
+def _doc_windows(wanted, sizes: list[int], raw_sizes: list[int]):
+    """Windows of documents; with `wanted`, a broadcast sorted array, only those whose hash is in it. Raw ones come without slots."""
     schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("window", pa.int64()), ("doc_at", pa.int64()), ("doc_slots", pa.list_(pa.int64()))])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,17 +179,17 @@ def _doc_windows(wanted):
         def rows() -> Iterator[dict]:
             for batch in slices(stream):
                 t = Template(batch.column("text").to_pylist())
-                h, at, size = t.windows()
+                h, at, size, raw = t.windows_of(sizes, raw_sizes)
                 if wanted is not None:
                     some = np.flatnonzero(maybe[h & np.uint64((1 << 20) - 1)])
                     some = some[known[np.minimum(np.searchsorted(known, h[some]), len(known) - 1)] == h[some]] if len(known) else some[:0]
-                    h, at, size = h[some], at[some], size[some]
+                    h, at, size, raw = h[some], at[some], size[some], raw[some]
                 if not len(h):
                     continue
                 of = np.searchsorted(t.first, at, side="right") - 1
                 rid, did = batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist()
-                for x, a, n, i in zip(h.view(np.int64).tolist(), at.tolist(), size.tolist(), of.tolist(), strict=True):
-                    yield {"row_id": rid[i], "doc_id": did[i], "window": x, "doc_at": a - int(t.first[i]), "doc_slots": _slots(t, a, n)}
+                for x, a, n, w, i in zip(h.view(np.int64).tolist(), at.tolist(), size.tolist(), raw.tolist(), of.tolist(), strict=True):
+                    yield {"row_id": rid[i], "doc_id": did[i], "window": x, "doc_at": a - int(t.first[i]), "doc_slots": [] if w else _slots(t, a, n)}
 
         yield from batches(rows(), schema)
 
@@ -191,7 +219,8 @@ def _judge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen: dict[tuple[int, int], Counter] = {}
                 for r in place:
                     covered[r["item_at"] : r["item_at"] + r["size"]] = True
-                    for at, x, y in zip(r["item_places"], r["item_slots"], r["doc_slots"], strict=True):
+                    # a raw window has the item's own values
+                    for at, x, y in zip(r["item_places"], r["item_slots"], r["doc_slots"] or r["item_slots"], strict=True):
                         seen.setdefault((at, x), Counter())[y] += 1
                 # each slot of the item once, with the value that most windows show
                 bound: dict[int, Counter] = {}
@@ -219,13 +248,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     the item and binds the item's slots consistently: the same value of the item to the same value of the
     document throughout. n_changed tells how many of the item's values were replaced.
 
-    Null and empty texts and items without a window of enough literals match nothing. Null ids come out
+    Windows of an item with fewer than LITERALS literals (arithmetic, names, very short items) are joined by
+    their tokens as they are, so that these leak verbatim only; so is its first window, besides. An item of
+    fewer than WINDOW tokens is looked for inside documents at its own length: one of a word or two leaks
+    into every document that has it.
+
+    Null and empty texts and items without a token match nothing. Null ids come out
     as null. Repeated rows of docs are reported each; rows of the benchmark that share an item_id are
     places of one item. Very long texts are searched whole. Other columns are ignored. Empty tables give
     an empty result.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    items = stage(items.mapInArrow(_item_windows, "window long, item_id long, item_at int, size int, tokens int, item_slots array<long>, item_places array<int>"))
+    items = stage(items.mapInArrow(_item_windows, "window long, item_id long, item_at int, size int, raw boolean, tokens int, item_slots array<long>, item_places array<int>"))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     hashes = items.select("window").distinct()
     small = hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
@@ -233,6 +267,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if small:
         known = np.array([r.window for r in hashes.collect()], np.int64).view(np.uint64)
         wanted = docs.sparkSession.sparkContext.broadcast(np.sort(known))
-    found = rows.mapInArrow(_doc_windows(wanted), "row_id long, doc_id long, window long, doc_at long, doc_slots array<long>")
+    sizes = items.select("size", "raw").distinct().collect()
+    items = items.drop("raw")
+    found = rows.mapInArrow(_doc_windows(wanted, *(sorted(r["size"] for r in sizes if r["raw"] == raw) for raw in (False, True))), "row_id long, doc_id long, window long, doc_at long, doc_slots array<long>")
     hits = found.join(F.broadcast(items) if small and items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else items, "window")
     return spread(hits, "row_id", "item_id").mapInArrow(_judge, "doc_id long, item_id long, coverage double, longest_run long, n_slots long, n_changed long, consistency double")
