@@ -43,3 +43,17 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_large_groups_without_background(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAF", 16)
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((2, 64))
+    x = np.repeat(centre, 2000, axis=0) + 0.2 * rng.standard_normal((4000, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, near_vectors(frame).collect()))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    found = np.array([g[1] for g in got])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+    assert {g[2] for g in got} == {0, 2000}

@@ -18,51 +18,62 @@ TREES = 6
 LEAF = 512
 #: Half the width of the strip around a split whose rows go to both sides, in units of the projections' standard deviation.
 SPILL = 0.28
+#: The strip is at least so wide that a pair at the threshold is parted only if its distance along the direction is this many deviations.
+REACH = 2.0
+#: A node more than this share of whose rows would go to both sides isn't split further.
+MOST_SPILL = 0.5
 #: The splits are placed on a sample of this many rows at most; every row is then sent through the trees.
 SAMPLE = 20_000
 #: Rows of a leaf that one task holds; a larger leaf is compared in pairs of blocks.
 BLOCK = 1024
+#: With more links than this, two blocks of 512 rows count them by matrix products.
+CROWDED = 4096
 
 
 class Tree:
     """Random directions with a median split at each node, down to `depth`.
 
     Where the sample is too small to place more splits, `more` further levels split all their nodes
-    along one direction each, so that the model stays bounded while leaves stay small.
+    along one direction each, so that the model stays bounded while leaves stay small. No strip is narrower
+    than `reach` to both sides. A node that lies mostly in its own strip, as a group of near copies does,
+    isn't split, nor are the nodes below: its rows go to the leftmost leaf, however many they are.
     """
 
-    def __init__(self, sample: np.ndarray, depth: int, more: int, seed: int, spill: float):
+    def __init__(self, sample: np.ndarray, depth: int, more: int, seed: int, spill: float, reach: float):
         rng = np.random.default_rng(seed)
         self.depth, self.size = depth, (1 << depth) - 1
         self.directions = rng.standard_normal((max(1, self.size), sample.shape[1]))
         self.directions /= np.linalg.norm(self.directions, axis=1, keepdims=True)
         self.middle, self.margin = np.zeros(max(1, self.size)), np.zeros(max(1, self.size))
+        self.stopped = np.zeros((1 << depth + 1) - 1, bool)
         rows = {0: sample}
         for node in range(self.size):
             own = rows.pop(node)
             at = own @ self.directions[node]
             if len(at):
                 self.middle[node] = np.median(at)
-                self.margin[node] = spill * at.std()
+                self.margin[node] = max(reach, spill * at.std())
+            if self.stopped[node] or len(at) and (np.abs(at - self.middle[node]) < self.margin[node]).mean() > MOST_SPILL:
+                self.stopped[[node, 2 * node + 1, 2 * node + 2]] = True
             rows[2 * node + 1], rows[2 * node + 2] = own[at < self.middle[node]], own[at >= self.middle[node]]
         self.levels = []
         for _ in range(more):
             direction = rng.standard_normal(sample.shape[1])
             at = sample @ (direction / np.linalg.norm(direction))
-            self.levels.append((direction / np.linalg.norm(direction), np.median(at), spill * at.std()))
+            self.levels.append((direction / np.linalg.norm(direction), np.median(at), max(reach, spill * at.std())))
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs; a row in the strip around a split goes down on both sides."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
         for _ in range(self.depth):
             at = np.einsum("ij,ij->i", x[row], self.directions[node]) - self.middle[node]
-            low, high = at < self.margin[node], at >= -self.margin[node]
+            low, high = (at < self.margin[node]) | self.stopped[node], (at >= -self.margin[node]) & ~self.stopped[node]
             row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
-        leaf = node - self.size
+        leaf, whole = node - self.size, self.stopped[node]
         for direction, middle, margin in self.levels:
             at = x[row] @ direction - middle
-            low, high = at < margin, at >= -margin
-            row, leaf = np.concatenate([row[low], row[high]]), np.concatenate([2 * leaf[low], 2 * leaf[high] + 1])
+            low, high = (at < margin) | whole, (at >= -margin) & ~whole
+            row, leaf, whole = np.concatenate([row[low], row[high]]), np.concatenate([2 * leaf[low], 2 * leaf[high] + 1]), np.concatenate([whole[low], whole[high]])
         return row, leaf
 
 
@@ -99,13 +110,22 @@ def _compare(threshold: float):
         for i in range(0, len(one), 512):
             for j in range(0, len(two), 512):
                 a, b = one[i : i + 512], two[j : j + 512]
+                if one is two and j < i:
+                    continue
                 near = (v[a] / norm[a, None]) @ (v[b] / norm[b, None]).T
-                p, q = np.nonzero(near >= threshold - 1e-9)
-                p, q = a[p], b[q]
-                if one is two:
-                    p, q = p[p < q], q[p < q]
-                exact = np.einsum("ij,ij->i", v[p], v[q]) / (norm[p] * norm[q]) >= threshold
-                for x, y in zip(p[exact].tolist(), q[exact].tolist(), strict=True):
+                link = near >= threshold + 1e-9
+                p, q = np.nonzero(~link & (near >= threshold - 1e-9))
+                link[p, q] = np.einsum("ij,ij->i", v[a[p]], v[b[q]]) / (norm[a[p]] * norm[b[q]]) >= threshold
+                if one is two and i == j:
+                    link = np.triu(link, 1)
+                if link.sum() > CROWDED:
+                    counted = link & ~_met(leaves, a, b, leaf)
+                    counts[a] += counted @ weight[b]
+                    counts[b] += counted.T @ weight[a]
+                    edges += _forest(link, a, b, up)
+                    continue
+                p, q = np.nonzero(link)
+                for x, y in zip(a[p].tolist(), b[q].tolist(), strict=True):
                     if _first(leaves[x], leaves[y]) == leaf:
                         counts[x] += weight[y]
                         counts[y] += weight[x]
@@ -145,6 +165,33 @@ def _root(up: list[int], x: int) -> int:
     return x
 
 
+def _met(leaves: list[list[int]], a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
+    """For rows a and b of a leaf, whether they share a smaller leaf too."""
+    smaller = [[[x for x in leaves[r] if x < leaf] for r in side.tolist()] for side in (a, b)]
+    both = {x: n for n, x in enumerate({x for r in smaller[0] for x in r} & {x for r in smaller[1] for x in r})}
+    if not both:
+        return np.zeros((len(a), len(b)), bool)
+    held = [np.zeros((len(side), len(both)), np.float32) for side in smaller]
+    for side, matrix in zip(smaller, held, strict=True):
+        for n, r in enumerate(side):
+            matrix[n, [both[x] for x in r if x in both]] = 1
+    return held[0] @ held[1].T > 0
+
+
+def _forest(link: np.ndarray, a: np.ndarray, b: np.ndarray, up: list[int]) -> list[tuple[int, int]]:
+    """Links that join parts which were apart; up follows."""
+    edges = []
+    of = np.array([_root(up, y) for y in b.tolist()])
+    for n, x in enumerate(a.tolist()):
+        r = _root(up, x)
+        while len(apart := np.flatnonzero(link[n] & (of != r))):
+            s = int(of[apart[0]])
+            up[s] = r
+            of[of == s] = r
+            edges.append((x, int(b[apart[0]])))
+    return edges
+
+
 def _first(x: list[int], y: list[int]) -> int:
     """The smallest common entry of two sorted lists."""
     other = set(y)
@@ -198,7 +245,8 @@ def _links(nodes: DataFrame, threshold: float) -> DataFrame:
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     levels = max(0, math.ceil(math.log2(max(1, n) / LEAF)))
     depth = min(levels, max(0, int(math.log2(max(1, len(x)) / 16))))
-    trees = [Tree(x, depth, levels - depth, seed, SPILL) for seed in range(TREES)]
+    reach = REACH * math.sqrt(max(0.0, 2 * (1 - threshold))) / (2 * math.sqrt(x.shape[1]))
+    trees = [Tree(x, depth, levels - depth, seed, SPILL, reach) for seed in range(TREES)]
     placed = nodes.select("node", "weight", "v").mapInArrow(_place(trees), "node long, weight long, v array<double>, leaves array<long>")
     placed = stage(placed)
     members = placed.select("node", "weight", "v", "leaves", F.explode("leaves").alias("leaf"))
