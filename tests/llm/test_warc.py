@@ -27,3 +27,13 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert page_captures(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_archives_of_others(spark, tmp_path):
+    write_warc(spark.createDataFrame([(1, "u", "text")], SCHEMA), str(tmp_path / "w"))
+    archive = next((tmp_path / "w").glob("part-*")).read_bytes()
+    (tmp_path / "v").mkdir()
+    for name in ("CC-MAIN-1.warc.gz", "x.warc", "part-1.gz", "_SUCCESS", ".x.warc.crc"):
+        (tmp_path / "v" / name).write_bytes(b"no archive" if name[0] in "_." else archive)
+    assert read_warc(spark, str(tmp_path / "v")).count() == 9
+    assert read_warc(spark, str(tmp_path / "v"), "*.warc").count() == 3

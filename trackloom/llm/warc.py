@@ -131,13 +131,14 @@ def _read(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from batches(_parse(batch.column("content")[i].as_py()), _ARROW, 256)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, glob: str = "[!._]*") -> DataFrame:
     """The records of the archives under path, one row each: ids, kind, fields, payload and its digest.
 
-    Archives are read by Spark and handed out whole, one to a task at a time; those of write_warc hold
+    All files whose name matches glob are archives, by default all but those that begin with _ or a dot.
+    They are read by Spark and handed out whole, one to a task at a time; those of write_warc hold
     about ARCHIVE_BYTES. A broken record raises ValueError.
     """
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_read, _RECORDS)
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content").mapInArrow(_read, _RECORDS)
 
 
 def transactions(records: DataFrame) -> DataFrame:
