@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trackloom.operators import aggregates as A
 from trackloom.operators import association as C
 from trackloom.operators import evaluation as E
 from trackloom.operators import filters as P
@@ -114,3 +115,14 @@ def test_saved_spec(spark):
     df = spark.range(100).withColumn("t", F.col("id"))
     spec = {"contents": ["a"], "columns": {"a": ["id"]}, "filters": [{"column": "id", "operator": ">=", "value": 10}, {"column": "none", "operator": "=", "value": 1}], "windows": {"column": "t", "excluded": [[20, 29]]}, "where": "id % 2 = 0"}
     assert load({"a": df}, spec)["a"].count() == 40
+
+
+def test_dubious_angles(spark):
+    df = spark.createDataFrame([(1, t, a) for t, a in enumerate([350.0, 359.0, 1.0, 355.0, 100.0])], "utn long, t long, track double")
+    n = lambda **angles: E.dubious(df, ["utn"], "t", {"track": 10.0}, 1.0, 1, 0.0, 0.5, **angles).first()["n_track"]
+    assert (n(), n(angles=("track",))) == (3, 1)
+
+
+def test_unique_values(spark):
+    df = spark.createDataFrame([(4, "a"), (2, "b"), (1, "a"), (3, None)], "i long, v string")
+    assert sorted(map(tuple, A.unique_values(df, "v", "i").collect())) == [("a", 1, 2), ("b", 2, 1)]

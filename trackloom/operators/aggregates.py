@@ -56,3 +56,8 @@ def top_trimmed_mean(df: DataFrame, by: list[str], value: str, removed: float) -
     w = Window.partitionBy(*by).orderBy(value)
     ranked = df.withColumn("_r", F.percent_rank().over(w))
     return ranked.where(F.col("_r") <= 1 - removed).groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
+def unique_values(df: DataFrame, value: str, index: str) -> DataFrame:
+    """Each value that isn't null, with its first index and its number of rows."""
+    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(index).alias("first_index"), F.count("*").alias("n"))

@@ -26,7 +26,7 @@ def best_hash_match(users: DataFrame, given: DataFrame, hashes: str, key: str, t
 
 
 def nearest_candidates(reports: DataFrame, targets: DataFrame, t: str, x: str, y: str, reach_t: int, reach: float) -> DataFrame:
-    """For each report the target row nearest in space within reach_t and reach: id, target, distance.
+    """J7 in part: for each report the target row nearest in space within reach_t and reach, whatever its codes: id, target, distance.
 
     Both sides are put in cells of time and space as wide as the reach, so that a report meets only the
     neighbouring cells: an equi-join on the cell, which Spark splits where a cell is crowded.
@@ -47,7 +47,7 @@ def distance_class(d_nm: Column) -> Column:
 
 
 def merge_candidates(spans: DataFrame, key: str, by: str, least: float) -> DataFrame:
-    """Pairs of targets that share an attribute and overlap in time by at least the share `least`."""
+    """J8 in part: pairs of targets that share an attribute and overlap in time by at least the share `least`."""
     a, b = spans.alias("a"), spans.alias("b")
     share = overlap_share(F.col("a.begin"), F.col("a.end"), F.col("b.begin"), F.col("b.end"))
     pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.begin") < F.col("b.end")) & (F.col("b.begin") < F.col("a.end")))
@@ -55,9 +55,10 @@ def merge_candidates(spans: DataFrame, key: str, by: str, least: float) -> DataF
 
 
 def identity_targets(reports: DataFrame, address: str, identification: str, track: str, source: str, t: str, gap: int) -> DataFrame:
-    """Adds target: the address, else the identification, else the track while it has no long gap.
+    """K3, K4 in part, J5, J6: the target: the address, else the identification, else the track while it has no long gap.
 
-    A placeholder identifies nothing. Numbers are dense and in the order of the keys' first report.
+    A placeholder identifies nothing. Adds target_key, a text; it is null where none of the three is known:
+    there is no fallback to Mode A/C and position, and no new target.
     """
     acid = F.when(~F.col(identification).isin(PLACEHOLDERS) & (F.trim(identification) != ""), F.col(identification))
     sessions = gap_sessions(reports.where(F.col(track).isNotNull()).withColumn("_trk", F.concat_ws("/", source, track)), "_trk", t, gap)

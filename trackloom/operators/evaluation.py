@@ -136,16 +136,19 @@ def extra_tracks(reports: DataFrame, tracks: DataFrame, key: str, t: str, track:
     return reports.join(o, (reports[key] == F.col("_k")) & (reports[track] != F.col("_n")) & reports[t].between(F.col("period_begin"), F.col("period_end")), "left_semi")
 
 
-def dubious(df: DataFrame, key: list[str], t: str, limits: dict[str, float], second: float, least_updates: int, least_duration: float, most_share: float) -> DataFrame:
+def dubious(df: DataFrame, key: list[str], t: str, limits: dict[str, float], second: float, least_updates: int, least_duration: float, most_share: float, angles: tuple[str, ...] = ()) -> DataFrame:
     """Rates of change between consecutive updates against limits, for each target or track.
 
-    limits: column -> largest change in a second. A target is dubious if it has too few updates, is too
+    limits: column -> largest change in a second; those of `angles` are degrees, whose change is the smaller
+    way round. A target is dubious if it has too few updates, is too
     short, or too large a share of its updates breaks a limit.
     """
     w = Window.partitionBy(*key).orderBy(t)
     dt = (F.col(t) - F.lag(t).over(w)) / second
     for column, limit in limits.items():
-        df = df.withColumn(f"_bad_{column}", F.coalesce((dt > 0) & (F.abs(F.col(column) - F.lag(column).over(w)) / dt > limit), F.lit(False)))
+        last = F.lag(column).over(w)
+        change = min_angle_diff(last, F.col(column)) if column in angles else F.col(column) - last
+        df = df.withColumn(f"_bad_{column}", F.coalesce((dt > 0) & (F.abs(change) / dt > limit), F.lit(False)))
     bad = [F.count_if(f"_bad_{c}").alias(f"n_{c}") for c in limits]
     some = F.count_if(F.greatest(*(F.col(f"_bad_{c}").cast("int") for c in limits), F.lit(0), F.lit(0)) == 1).alias("n_dubious")
     out = df.groupBy(*key).agg(F.count("*").alias("n_updates"), ((F.max(t) - F.min(t)) / second).alias("duration"), some, *bad)
