@@ -57,3 +57,22 @@ def test_large_groups_without_background(spark, monkeypatch):
     found = np.array([g[1] for g in got])
     assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
     assert {g[2] for g in got} == {0, 2000}
+
+
+@pytest.mark.parametrize("n, sampled", [(20_000, 40_000), (100_000, 40_000), (100_000, 3_000)])
+def test_recall_of_the_forest(n, sampled):
+    """Pairs planted just above the threshold, with production parameters; the forest alone, without Spark."""
+    rng = np.random.default_rng(n)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((n, 64)))
+    y = rng.standard_normal((1000, 64))
+    y = unit(y - (y * x[:1000]).sum(axis=1, keepdims=True) * x[:1000])
+    x = np.concatenate([x, 0.951 * x[:1000] + (1 - 0.951**2) ** 0.5 * y])
+    trees = embedding_dedup.grow(embedding_dedup._quantised(x[rng.permutation(len(x))[:sampled]], 64), len(x), 0.95)
+    row, leaf = embedding_dedup._all_leaves(trees, x)
+    held = [set() for _ in x]
+    for r, f in zip(row.tolist(), leaf.tolist(), strict=True):
+        held[r].add(f)
+    assert np.mean([not held[i].isdisjoint(held[n + i]) for i in range(1000)]) > 0.98
+    # what bounds the work: copies of a vector, and rows of a leaf
+    assert len(row) < 16 * len(x) and np.unique(leaf, return_counts=True)[1].max() < 3 * embedding_dedup.LEAF

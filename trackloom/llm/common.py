@@ -196,6 +196,32 @@ def grouped(stream: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[
         yield held
 
 
+def grouped_batches(stream: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The same as Arrow, for keys of whole numbers without nulls."""
+    now, held = None, []
+    for batch in stream:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        steps = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        edges = [0, *(np.flatnonzero(steps) + 1).tolist(), batch.num_rows]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(c[low] for c in columns)
+            if key != now and held:
+                yield _one(held)
+                held = []
+            now = key
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(parts) == 1:
+        return parts[0]
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
