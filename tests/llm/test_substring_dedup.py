@@ -2,10 +2,13 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from trackloom.llm import substring_dedup
-from trackloom.llm.substring_dedup import remove_repeats
+from trackloom.llm.substring_dedup import _strip, locate, remove_repeats
 
 SCHEMA = "doc_id long, text string"
 
@@ -27,9 +30,9 @@ def test_against_brute_force(spark, sf_dir):
     assert sorted(map(tuple, remove_repeats(docs, False).collect()), key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("chars", [1, 400_000])
-def test_small_alphabet(spark, monkeypatch, chars):
-    monkeypatch.setattr(substring_dedup, "SHARD_CHARS", chars)
+@pytest.mark.parametrize("size", [1, 400_000])
+def test_small_alphabet(spark, monkeypatch, size):
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", size)
     r = random.Random(5)
     passage = [r.choice("abcdefgh") + r.choice("xyzw") for _ in range(90)]
     rows = []
@@ -62,18 +65,39 @@ def test_segments_alike_in_32_bits(spark):
     assert sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, SCHEMA), False).collect()), key=str) == brute(rows)
 
 
-def test_crowded_print(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "CROWDED", 50, raising=False)
-    largest = []
-
-    def spread(df, *keys):
-        largest.append(df.groupBy(*keys).count().selectExpr("max(count)").first()[0] or 0)
-        return real(df, *keys)
-
-    real = substring_dedup.spread
-    monkeypatch.setattr(substring_dedup, "spread", spread)
+def test_crowded_print(spark):
+    """A phrase in many documents with different neighbours, of which some recur in part."""
     rows = [(i, shared_phrase(i)) for i in range(200)]
     # of some, also a part of the neighbourhood recurs, in equal and in different segments
     rows += [(300 + i, "x " * i + " ".join(shared_phrase(i).split()[i : 45 + i // 2])) for i in range(15)] + [(400, shared_phrase(3)), (401, shared_phrase(4)), (401, shared_phrase(4))]
     assert sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, SCHEMA), False).collect()), key=str) == brute(rows)
-    assert max(largest) <= 50
+
+
+@pytest.mark.parametrize("chars", [1, 20, 1000])
+def test_locate_against_plain_search(monkeypatch, chars):
+    monkeypatch.setattr(substring_dedup, "SHARD_CHARS", chars)
+    r = random.Random(chars)
+    for _ in range(200):
+        texts = [[r.choice(["a", "b", "ab", "é", "𝒳a"]) for _ in range(r.randrange(30))] for _ in range(4)]
+        passages = [[r.choice(["a", "b", "ab", "é", "𝒳a"]) for _ in range(r.randrange(1, 6))] for _ in range(5)]
+        got = locate([f" {' '.join(t)} " for t in texts], [f" {' '.join(p)} " for p in passages])
+        for text, found in zip(texts, got, strict=True):
+            want = {i + j for p in passages for i in range(len(text)) if text[i : i + len(p)] == p for j in range(len(p))}
+            assert set(np.flatnonzero(found)) == want
+
+
+def test_the_automata_decide(monkeypatch):
+    """What goes is what the automata find: more passages, more words; none without them."""
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = pa.table({"doc_id": pa.array([1, 2]), "text": pa.array([zstandard.compress(text.encode()), None], pa.binary())})
+    sent = lambda *spans: pa.table({"passage": pa.array([text] * len(spans), pa.string()), "low": pa.array([a for a, _ in spans], pa.int32()), "high": pa.array([b for _, b in spans], pa.int32())})
+    removed = lambda *spans: _strip(False)(docs, sent(*spans))["n_removed"].to_pylist()
+    assert removed() == [0, 0] and removed((5, 40)) == [35, 0] and removed((5, 40), (10, 48)) == [43, 0]
+
+    class Blind:
+        def __init__(self, *_): ...
+        add_word = make_automaton = lambda *_: None
+        iter = lambda *_: iter(())
+
+    monkeypatch.setattr(substring_dedup.ahocorasick, "Automaton", Blind)
+    assert removed((5, 40), (10, 48)) == [0, 0]

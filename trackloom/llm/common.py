@@ -138,8 +138,8 @@ def hash_words(data: bytes) -> np.ndarray:
 class Words:
     """The words of several texts, hashed together: word i of text j is at first[j] + i."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
-        parts = [bytes_of(t) for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower: bool = False):
+        parts = [t if isinstance(t, bytes) else bytes_of(t) for t in texts]
         self.data = b"\n".join(parts)
         if lower:
             self.data = self.data.lower()  # of bytes: A-Z only

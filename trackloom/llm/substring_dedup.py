@@ -1,4 +1,4 @@
-"""Substring dedup: confirmed recurring passages, located by sharded Aho-Corasick automata."""
+"""Substring dedup: confirmed recurring passages, located in all documents by sharded Aho-Corasick automata."""
 
 from __future__ import annotations
 
@@ -12,16 +12,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Spans, Words, batches, mix, pack_text, records, slices, spread, stage
+from trackloom.llm.common import Spans, Words, batches, mix, pack_text, records, slices, stage
 
 #: A passage recurs if this many consecutive words do.
 WINDOW = 35
 #: Words of the runs by which equal windows find each other.
 GRAM = 14
-#: One automaton is built over the passages of about so many characters.
-SHARD_CHARS = 400_000
-#: Prints with more places than this are confirmed window by window, as their segments may be too many for one task.
-CROWDED = 1000
+#: Documents meet their passages in buckets of about so many bytes of packed text.
+BUCKET_BYTES = 400_000
+#: One automaton is compiled of passages of about so many characters; a bucket with more has several.
+SHARD_CHARS = 1_000_000
 
 
 def window_prints(words: Words) -> list[tuple[np.ndarray, ...]]:
@@ -56,118 +56,94 @@ def window_prints(words: Words) -> list[tuple[np.ndarray, ...]]:
 
 
 def _print(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in slices(stream):
-        found = window_prints(Words(batch.column("text").to_pylist()))
+        found = window_prints(Words([unpack.decompress(t) for t in batch.column("text").to_pylist()]))
         of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         print_, segment, begin, count = (np.concatenate([f[i] for f in found]) for i in range(4))
         yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(print_.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["key", "print", "segment", "begin", "n"])
 
 
 def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted segment, joined by one blank."""
-    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("crowded", pa.bool_()), ("passage", pa.string())])
-
+    """The words of each wanted segment, joined by one blank, and where asked for the 128-bit hashes of its windows."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("many", pa.bool_()), ("passage", pa.string()), ("one", longs), ("two", longs)])
     unpack = zstandard.ZstdDecompressor()
 
     def rows() -> Iterator[dict]:
         for row in records(stream, 32):
-            words = unpack.decompress(row["text"]).split()
+            data = unpack.decompress(row["text"])
+            words = data.split()
+            one = two = None
+            if any(w["many"] for w in row["wanted"]):
+                hashed = Words([data])
+                one = hashed.grams(hashed.hash, WINDOW)[0].view(np.int64)
+                two = hashed.grams(mix(hashed.hash ^ np.uint64(0x9E3779B97F4A7C15)), WINDOW)[0].view(np.int64)
             for w in row["wanted"]:
-                passage = b" ".join(words[w["begin"] : w["begin"] + w["n"] + WINDOW - 1])
-                yield {"print": w["print"], "segment": w["segment"], "copies": w["copies"], "crowded": w["crowded"], "passage": passage.decode("utf-8", "surrogatepass")}
+                low, high = w["begin"], w["begin"] + w["n"]
+                passage = b" ".join(words[low : high + WINDOW - 1]).decode("utf-8", "surrogatepass")
+                own = {"one": one[low:high], "two": two[low:high]} if w["many"] else {"one": None, "two": None}
+                yield {"print": w["print"], "segment": w["segment"], "copies": w["copies"], "many": w["many"], "passage": passage} | own
 
     yield from batches(rows(), schema)
 
 
-def _windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of each segment: its place and its hash of 128 bits."""
-    for batch in slices(stream, 256):
-        words = Words(batch.column("passage").to_pylist())
-        one, at = words.grams(words.hash, WINDOW)
-        two, _ = words.grams(mix(words.hash ^ np.uint64(0x9E3779B97F4A7C15)), WINDOW)
-        of = np.searchsorted(words.first, at, side="right") - 1
-        own = [batch.column(c).take(pa.array(of)) for c in ("print", "segment", "copies")]
-        yield pa.RecordBatch.from_arrays([*own, pa.array((at - words.first[of]).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["print", "segment", "copies", "at", "one", "two"])
-
+def locate(texts: list[str], passages: list[str]) -> list[np.ndarray]:
+    """For each text, of words with one blank around each, which words lie in an occurrence of a passage.
 
-def _locate(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments sorted by print -> the words of each that lie in a recurring passage, as begin, end, begin, ...
-
-    Shard by shard, of whole groups of one print: windows that occur twice or more are confirmed, maximal
-    runs of them are the passages, an automaton is compiled of these, and all segments stream through it.
+    Passages are words with one blank around each, too. Shard by shard they are compiled into an automaton,
+    through which all texts go.
     """
-    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("covered", pa.list_(pa.int32()))])
-
-    def shards() -> Iterator[list[dict]]:
-        held: list[dict] = []
-        chars = 0
-        for row in records(stream):
-            if chars > SHARD_CHARS and row["print"] != held[-1]["print"]:
-                yield held
-                held, chars = [], 0
-            held.append(row)
-            chars += len(row["passage"])
-        if held:
-            yield held
-
-    def rows() -> Iterator[dict]:
-        for shard in shards():
-            words = Words([r["passage"] for r in shard])
-            windows, at = words.grams(words.hash, WINDOW)
-            of = np.searchsorted(words.first, at, side="right") - 1
-            of_print = np.array([r["print"] for r in shard], np.int64).view(np.uint64)
-            copies = np.array([r["copies"] for r in shard], np.int64)
-            with np.errstate(over="ignore"):
-                _, group = np.unique(windows + of_print[of] * np.uint64(0x9E3779B97F4A7C15), return_inverse=True)
-            confirmed = np.bincount(group, weights=copies[of])[group] >= 2
-            automaton = ahocorasick.Automaton()
-            texts = [f" {r['passage']} " for r in shard]
-            starts = []
-            for i, text in enumerate(texts):
-                begin = np.cumsum([1, *(len(w) + 1 for w in text[1:-1].split(" "))])
-                starts.append(begin)
-                flags = np.concatenate([[False], confirmed[np.searchsorted(of, i) : np.searchsorted(of, i, side="right")], [False]])
-                steps = np.diff(flags.astype(np.int8))
-                for a, b in zip(np.flatnonzero(steps == 1), np.flatnonzero(steps == -1), strict=True):
-                    passage = text[begin[a] - 1 : begin[b + WINDOW - 1]]
-                    automaton.add_word(passage, len(passage))
-            if not len(automaton):
+    blanks: dict[int, np.ndarray] = {}
+    steps: dict[int, np.ndarray] = {}
+    for shard in _shards(sorted(set(passages))):
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for passage in shard:
+            automaton.add_word(passage)
+        automaton.make_automaton()
+        for i, text in enumerate(texts):
+            hits = np.fromiter((x for hit in automaton.iter(text) for x in hit), np.int64).reshape(-1, 2)
+            if not len(hits):
                 continue
-            automaton.make_automaton()
-            for row, text, begin in zip(shard, texts, starts, strict=True):
-                edge: list[int] = []
-                for end, size in sorted(automaton.iter(text), key=lambda m: m[0] - m[1]):
-                    low, high = int(np.searchsorted(begin, end - size + 2)), int(np.searchsorted(begin, end))
-                    if edge and low <= edge[-1]:
-                        edge[-1] = max(edge[-1], high)
-                    else:
-                        edge += [low, high]
-                if edge:
-                    yield {"print": row["print"], "segment": row["segment"], "covered": edge}
-
-    yield from batches(rows(), schema)
+            if i not in blanks:
+                blanks[i] = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
+                steps[i] = np.zeros(len(blanks[i]), np.int64)
+            np.add.at(steps[i], np.searchsorted(blanks[i], hits[:, 0] - hits[:, 1] + 1), 1)
+            np.add.at(steps[i], np.searchsorted(blanks[i], hits[:, 0]), -1)
+    return [np.cumsum(steps[i][:-1]) > 0 if i in steps else np.zeros(0, bool) for i in range(len(texts))]
+
+
+def _shards(passages: list[str]) -> Iterator[list[str]]:
+    held: list[str] = []
+    chars = 0
+    for passage in passages:
+        held.append(passage)
+        chars += len(passage)
+        if chars >= SHARD_CHARS:
+            yield held
+            held, chars = [], 0
+    if held:
+        yield held
 
 
 def _strip(keep_text: bool):
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
-        schema = pa.schema(fields + [("kept", pa.string())] * keep_text)
-        unpack = zstandard.ZstdDecompressor()
+    """A bucket's documents streamed through the automata of all passages that may occur in them."""
+    fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
+    schema = pa.schema(fields + [("kept", pa.string())] * keep_text)
 
-        def rows() -> Iterator[dict]:
-            for row in records(stream, 32):
-                words = unpack.decompress(row["text"]).split() if row["text"] else []
-                steps = np.zeros(len(words) + 1, np.int32)
-                for part in row["parts"] or ():
-                    edge = np.array(part["covered"]) + part["begin"]
-                    np.add.at(steps, edge[::2], 1)
-                    np.add.at(steps, edge[1::2], -1)
-                keep = np.cumsum(steps[:-1]) == 0
-                kept = b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep)])
-                out = {"doc_id": row["doc_id"], "n_words": len(words), "n_removed": int(len(words) - keep.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
-                yield out | ({"kept": kept.decode("utf-8", "surrogatepass")} if keep_text else {})
-
-        yield from batches(rows(), schema, 500)
+    def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor()
+        words = [unpack.decompress(t).split() if t else [] for t in docs["text"].to_pylist()]
+        texts = [f" {b' '.join(w).decode('utf-8', 'surrogatepass')} " for w in words]
+        wanted = []
+        for passage, low, high in zip(*(passages[c].to_pylist() for c in ("passage", "low", "high")), strict=True):
+            wanted.append(f" {passage if high is None else ' '.join(passage.split(' ')[low:high])} ")
+        out = []
+        for doc_id, own, covered in zip(docs["doc_id"].to_pylist(), words, locate(texts, wanted), strict=True):
+            kept = b" ".join(own if not covered.any() else [own[i] for i in np.flatnonzero(~covered)])
+            row = {"doc_id": doc_id, "n_words": len(own), "n_removed": int(covered.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
+            out.append(row | ({"kept": kept.decode("utf-8", "surrogatepass")} if keep_text else {}))
+        return pa.Table.from_pylist(out, schema=schema)
 
     return run
 
@@ -183,29 +159,33 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     doc_id and text repeat each other. Very long texts are searched whole. Other columns are ignored. An
     empty table gives an empty result.
 
-    Equal windows share a print, the smallest of their GRAM-word hashes. Only segments whose print recurs
-    go on, each different segment once with its number of copies, so that a passage in very many
-    documents is as light as one in two. Its shard confirms, compiles and locates; what it covers is
-    joined back to all places of the segment. Segments of a print with more than CROWDED places, as of a
-    phrase in very many documents, meet by the hashes of their windows instead, summed before the
-    shuffle, so that no task holds all segments of one print.
+    Equal windows share a print, the smallest of their GRAM-word hashes, and consecutive windows of one
+    print are a segment. Where different segments share a print, their windows are counted by 128-bit
+    hashes, summed before the shuffle; a segment seen twice needs no count. What is confirmed, each
+    different passage once, is compiled into automata: each bucket of documents gets the passages of the
+    segments seen in it, and all its documents stream through them. What these find is what goes.
+    A passage in very many documents is sent once to a bucket; a frequent print's rows in the joins are
+    small ones, which adaptive execution splits.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    prints = rows.where("text is not null").select("key", "text").mapInArrow(_print, "key long, print long, segment long, begin int, n int")
-    recurring = prints.groupBy("print").agg(F.count("*").alias("c")).where("c > 1").select("print", (F.col("c") > CROWDED).alias("crowded"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("key"))
+    texts = stage(pack_text(rows, "doc_id", "key"))
+    prints = stage(texts.where("text is not null").select("key", "text").mapInArrow(_print, "key long, print long, segment long, begin int, n int"))
+    recurring = prints.groupBy("print").agg(F.count("*").alias("c"), (F.min("segment") != F.max("segment")).alias("many")).where("c > 1").select("print", "many")
     hits = stage(prints.join(recurring.hint("merge"), "print"))
-    chosen = hits.groupBy("print", "segment").agg(F.min(F.struct("key", "begin", "n")).alias("of"), F.count("*").alias("copies"), F.any_value("crowded").alias("crowded"))
-    wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "crowded", "of.begin", "of.n")).alias("wanted"))
-    texts = pack_text(rows, "doc_id", "key")
-    passages = texts.where("text is not null").join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_cut, "print long, segment long, copies long, crowded boolean, passage string")
+    chosen = hits.groupBy("print", "segment").agg(F.min(F.struct("key", "begin", "n")).alias("of"), F.count("*").alias("copies"), F.any_value("many").alias("many"))
+    wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "many", "of.begin", "of.n")).alias("wanted"))
+    passages = texts.join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_cut, "print long, segment long, copies long, many boolean, passage string, one array<long>, two array<long>")
     passages = stage(passages)
-    located = spread(passages.where("not crowded").drop("crowded"), "print").mapInArrow(_locate, "print long, segment long, covered array<int>").dropDuplicates(["print", "segment"])
-    windows = passages.where("crowded").mapInArrow(_windows, "print long, segment long, copies long, at int, one long, two long")
+    windows = passages.where("many").select("print", "segment", "copies", F.posexplode(F.arrays_zip("one", "two")).alias("at", "h")).select("print", "segment", "copies", "at", "h.one", "h.two")
     again = windows.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
     # a segment's windows share a run of words, so that what they cover has no gap
-    whole = windows.join(again.hint("merge"), ["one", "two"]).groupBy("print", "segment").agg(F.array(F.min("at"), F.max("at") + WINDOW).alias("covered"))
-    covered = stage(located.unionByName(whole))
-    parts = hits.join(covered.hint("merge"), ["print", "segment"]).groupBy("key").agg(F.collect_list(F.struct("begin", "covered")).alias("parts"))
-    out = texts.join(parts.hint("merge"), "key", "left").select("doc_id", "text", "parts")
-    return out.mapInArrow(_strip(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
+    part = windows.where("copies = 1").join(again.hint("merge"), ["one", "two"]).groupBy("print", "segment").agg(F.min("at").alias("low"), (F.max("at") + WINDOW).alias("high"))
+    of_one = passages.where("copies = 1").select("print", "segment", "passage").join(part.hint("merge"), ["print", "segment"])
+    whole = passages.where("copies > 1").select("print", "segment", "passage", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
+    confirmed = whole.unionByName(of_one)
+    packed = texts.agg(F.sum(F.length("text")).alias("n")).first().n or 0
+    bucket = F.pmod(F.xxhash64("key"), F.lit(1 + packed // BUCKET_BYTES))
+    places = hits.select("print", "segment", bucket.alias("bucket")).distinct()
+    sent = places.join(confirmed.hint("merge"), ["print", "segment"]).select("bucket", "passage", "low", "high")
+    out = texts.select("doc_id", "text", bucket.alias("bucket")).groupBy("bucket").cogroup(sent.groupBy("bucket"))
+    return out.applyInArrow(_strip(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
