@@ -91,15 +91,22 @@ def _extract(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learn(model: dict):
+    """One learner for each slot of a stream that is sorted by slot."""
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner, seen = None, 0
+        def result() -> pa.RecordBatch:
+            some = np.flatnonzero(learner.n)
+            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(learner.z[some]), pa.array(learner.n[some])], names=["at", "z", "n"])
+
+        learner, slot = None, None
         for row in records(stream):
-            learner = learner or Ftrl(*(model[k].copy() for k in "zn"))
+            if row["slot"] != slot:
+                if learner is not None:
+                    yield result()
+                learner, slot = Ftrl(*(model[k].copy() for k in "zn")), row["slot"]
             learner.learn(np.array(row["at"]), np.array(row["count"]), row["label"])
-            seen += 1
         if learner is not None:
-            some = np.flatnonzero(learner.n)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(learner.z[some]), pa.array(learner.n[some])], names=["at", "z", "n"])
+            yield result()
 
     return run
 
@@ -117,12 +124,13 @@ def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     found = stage(rows.withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(LEARNERS))).mapInArrow(_extract, _FEATURES))
     model = {"z": np.zeros(BUCKETS), "n": np.zeros(BUCKETS)}
     for turn in range(ROUNDS):
-        order = found.withColumn("turn", F.xxhash64("doc_id", F.lit(turn))).repartition(LEARNERS, "slot").sortWithinPartitions("slot", "turn")
-        parts = order.select("label", "at", "count").mapInArrow(_learn(model), "at long, z double, n double")
-        averaged = parts.groupBy("at").agg((F.sum("z")).alias("z"), (F.sum("n")).alias("n"), F.count("*").alias("k")).toPandas()
+        # in an order that the rows alone decide, whatever partitions they come from
+        order = found.withColumn("turn", F.xxhash64("doc_id", F.lit(turn))).repartition(LEARNERS, "slot").sortWithinPartitions("slot", "turn", "doc_id", "label", F.xxhash64("at", "count"))
+        parts = order.select("slot", "label", "at", "count").mapInArrow(_learn(model), "at long, z double, n double")
+        averaged = parts.groupBy("at").agg((F.sum("z")).alias("z"), (F.sum("n")).alias("n"), F.count("*").alias("k")).toArrow()
         model = {"z": np.zeros(BUCKETS), "n": np.zeros(BUCKETS)}
         for k in "zn":
-            model[k][averaged["at"].to_numpy()] = (averaged[k] / averaged["k"]).to_numpy()
+            model[k][averaged["at"].to_numpy()] = averaged[k].to_numpy() / averaged["k"].to_numpy()
     return Ftrl(model["z"], model["n"]).weights(np.arange(BUCKETS))
 
 
