@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import batches, cut, records, stage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
-#: A context is trusted for a kind with so many different seeds of it and this share of all different identifiers in it.
+ROUNDS = 4
+#: A context is trusted for a kind with so many different entities that are sure to be of it, and this trust.
 LEAST_SEEDS, LEAST_SHARE = 5, 0.8
+#: What an unknown entity of the kind's shape counts against a context; one of another kind or shape counts 1.
+DOUBT = 0.1
+#: Shapes that so large a share of a kind's seeds has are the kind's.
+SHAPE_SHARE = 0.05
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -25,7 +30,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-#: What may be an identifier: a word of 5 to 80 characters with a digit or an at sign, outer punctuation aside.
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: What may be an identifier: a word of LEAST_CHARS characters or more with a digit or an at sign, outer punctuation aside.
+LEAST_CHARS = 5
 _TOKEN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 _OUTER = ".,;:!?()[]{}<>\"'"
 
@@ -79,26 +86,43 @@ def _context(side: str, words: list[str]) -> int | None:
     return xxhash.xxh64_intdigest(f"{side}\x00{words[0]}\x00{words[1]}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _shape(entity: str) -> str:
+    """A coarse shape: with an at sign, dotted numbers, digits alone (by thirds of a dozen), or with letters."""
+    if "@" in entity:
+        return "at"
+    digits = len(_DIGITS.findall(entity))
+    if any(c.isalpha() for c in entity):
+        return "letters"
+    return "dotted" if entity.count(".") == 3 else f"digits{min(4, digits // 4)}"
+
+
 def _mentions(text: str, base: list[tuple[int, int, str]]) -> list[dict]:
-    """Base entities and other words that look like identifiers, with their contexts."""
+    """Base entities and other words that look like identifiers, with their contexts and shapes."""
+    if not base and "@" not in text and not _DIGITS.search(text):
+        return []
     spots = [(s, e, k) for s, e, k in base]
     taken, i = sorted(spots), 0
-    if "@" in text or _DIGITS.search(text):
-        for m in _TOKEN.finditer(text):
-            word = m[0].strip(_OUTER)
-            start = m.start() + m[0].find(word) if word else m.start()
-            end = start + len(word)
-            while i < len(taken) and taken[i][1] <= start:
-                i += 1
-            if 5 <= len(word) <= 80 and not (i < len(taken) and taken[i][0] < end):
-                spots.append((start, end, None))
+    for m in _TOKEN.finditer(text):
+        word = m[0].strip(_OUTER)
+        start = m.start() + m[0].find(word) if word else m.start()
+        end = start + len(word)
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        if len(word) >= LEAST_CHARS and not (i < len(taken) and taken[i][0] < end):
+            spots.append((start, end, None))
+    words = [m.span() for m in _WORD.finditer(text)] if spots else []
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
     out = []
     for s, e, kind in spots:
-        before, after = text[max(0, s - 80) : s].split()[-2:], text[e : e + 80].split()[:2]
-        contexts = [c for c in (_context("L", before), _context("R", after)) if c is not None]
+        # the whole words before and after, and what stands before or after it in its own word
+        j = bisect_right(ends, s)
+        before = [text[a:b] for a, b in words[max(0, j - 2) : j]] + ([text[starts[j] : s]] if j < len(words) and text[starts[j] : s].strip(_OUTER) else [])
+        j = bisect_left(starts, e)
+        after = ([text[e : ends[j - 1]]] if j and text[e : ends[j - 1]].strip(_OUTER) else []) + [text[a:b] for a, b in words[j : j + 2]]
+        contexts = [c for c in (_context("L", before[-2:]), _context("R", after[:2])) if c is not None]
         if contexts:
             entity = xxhash.xxh64_intdigest(text[s:e].lower().encode("utf-8", "surrogatepass")) - (1 << 63)
-            out.append({"start": s, "end": e, "kind": kind, "entity": entity, "contexts": contexts})
+            out.append({"start": s, "end": e, "kind": kind, "entity": entity, "shape": _shape(text[s:e]), "contexts": contexts})
     return out
 
 
@@ -106,7 +130,7 @@ _SPAN = [("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]
 _FOUND = pa.schema(
     [("row_id", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64())]
     + [(f"n_{k}", pa.int64()) for k in KINDS]
-    + [("base_sha256", pa.string()), ("base", pa.list_(pa.struct(_SPAN))), ("mentions", pa.list_(pa.struct([*_SPAN, ("entity", pa.int64()), ("contexts", pa.list_(pa.int64()))])))]
+    + [("base_sha256", pa.string()), ("base", pa.list_(pa.struct(_SPAN))), ("mentions", pa.list_(pa.struct([*_SPAN, ("entity", pa.int64()), ("shape", pa.string()), ("contexts", pa.list_(pa.int64()))])))]
 )
 _SPARK_SPAN = "start:long,`end`:long,kind:string"
 
@@ -125,21 +149,31 @@ def _find(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def trusted_contexts(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """edges(context, entity), seeds(entity, kind) -> trusted (context, kind) and (entity, kind, score).
-
-    A context's score for a kind is the share of its different entities that belong to the kind, each by
-    its own score; an entity's score is the noisy-or of the trusted contexts it stands in, and 1 for
-    seeds. The two are computed in turn ROUNDS times; all sums are combined before the shuffle.
+    """edges(context, entity, shape), seeds(entity, kind, shape) -> trusted (context, kind, trust) and (entity, kind, score).
+
+    A seed's score is 1. A context's trust for a kind is the sum of the scores of its different entities
+    of that kind by the number of all its entities, of which unknown ones count DOUBT each if their shape
+    is one of the kind's; it needs LEAST_SEEDS entities that score LEAST_SHARE or more, seeds or not. An
+    unknown entity of a fitting shape scores the noisy-or of the trusted contexts in which it stands. The
+    two are computed in turn ROUNDS times, so that what one round finds vouches for further contexts in
+    the next. All sums are combined before the shuffle.
     """
     edges = cut(edges.distinct())
     sizes = edges.groupBy("context").agg(F.count("*").alias("n"))
-    seeds = cut(seeds.distinct().withColumn("score", F.lit(1.0)))
+    of_kind = seeds.distinct().groupBy("kind", "shape").agg(F.count("*").alias("n"))
+    shapes = of_kind.withColumn("all", F.sum("n").over(Window.partitionBy("kind"))).where(F.col("n") >= SHAPE_SHARE * F.col("all")).select("kind", "shape")
+    # four kinds with at most 1 / SHAPE_SHARE shapes each: the bound of the broadcast
+    shapes = F.broadcast(cut(shapes))
+    seeds = cut(seeds.select("entity", "kind").distinct().withColumn("score", F.lit(1.0)))
     scores, contexts = seeds, None
     for _ in range(ROUNDS):
-        held = edges.join(scores, "entity").groupBy("context", "kind").agg(F.sum("score").alias("sum"), F.count_if(F.col("score") == 1.0).alias("seeds"))
-        held = held.where(F.col("seeds") >= LEAST_SEEDS).join(sizes, "context").withColumn("trust", F.col("sum") / (F.col("n") + 0.5))
+        sure = scores.where(F.col("score") >= LEAST_SHARE)
+        held = edges.join(sure, "entity").groupBy("context", "kind").agg(F.sum("score").alias("sum"), F.count("*").alias("sure")).where(F.col("sure") >= LEAST_SEEDS)
+        unknown = edges.join(sure.select("entity").distinct(), "entity", "left_anti").join(shapes, "shape").groupBy("context", "kind").agg(F.count("*").alias("unknown"))
+        held = held.join(sizes, "context").join(unknown, ["context", "kind"], "left")
+        held = held.withColumn("trust", F.col("sum") / (F.col("n") - (1 - DOUBT) * F.coalesce("unknown", F.lit(0)) + 0.5))
         contexts = cut(held.where(F.col("trust") >= LEAST_SHARE).select("context", "kind", "trust"))
-        more = edges.join(contexts, "context").groupBy("entity", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))))).alias("score"))
+        more = edges.join(contexts, "context").join(shapes, ["kind", "shape"]).groupBy("entity", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))))).alias("score"))
         scores = cut(seeds.unionByName(more).groupBy("entity", "kind").agg(F.max("score").alias("score")))
     return contexts, scores
 
@@ -150,20 +184,23 @@ def personal_data(docs: DataFrame) -> DataFrame:
     The n_ columns and base_sha256 describe the base matches. spans has all spans, base and discovered,
     as kind:start:end in code points; found has them as an array of (start, end, kind).
 
-    Words before and after the base matches are patterns; a pattern that different seeds of one kind
-    share, and in which hardly any other identifier-like word stands, is trusted, and the other
-    identifier-like words in trusted patterns are reported under that kind.
+    The two words before and the two after a base match are patterns; a pattern that different entities of
+    one kind share, and hardly any of another kind or shape, is trusted, and the other identifier-like
+    words of fitting shape in trusted patterns are reported under that kind. These vouch for further
+    patterns in turn. A word looks like an identifier if it has a digit or an at sign and LEAST_CHARS
+    characters or more, outer punctuation aside. Ties between kinds go to the higher score, then the
+    first by name.
 
     A null text is empty: no spans and the digest of the empty string. Null doc_ids and repeated rows
     come out once for each row. Very long texts are searched whole. Other columns are ignored. An empty
     table gives an empty result.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    schema = f"row_id long, doc_id long, text_hash long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<struct<{_SPARK_SPAN}>>, mentions array<struct<{_SPARK_SPAN},entity:long,contexts:array<long>>>"
+    schema = f"row_id long, doc_id long, text_hash long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, base array<struct<{_SPARK_SPAN}>>, mentions array<struct<{_SPARK_SPAN},entity:long,shape:string,contexts:array<long>>>"
     found = stage(rows.mapInArrow(_find, schema))
     mentions = found.select("row_id", F.explode("mentions").alias("m")).select("row_id", "m.*")
-    edges = mentions.select("entity", F.explode("contexts").alias("context"))
-    contexts, scores = trusted_contexts(edges, mentions.where("kind is not null").select("entity", "kind"))
+    edges = mentions.select("entity", "shape", F.explode("contexts").alias("context"))
+    contexts, scores = trusted_contexts(edges, mentions.where("kind is not null").select("entity", "kind", "shape"))
     rest = mentions.where("kind is null").select("row_id", "start", "end", "entity", F.explode("contexts").alias("context"))
     new = rest.join(contexts, "context").groupBy("row_id", "start", "end", "entity", "kind").agg(F.max("trust").alias("trust"))
     new = new.join(scores, ["entity", "kind"]).where(F.col("score") >= LEAST_SHARE)
