@@ -8,7 +8,7 @@ import pytest
 import zstandard
 
 from trackloom.llm import substring_dedup
-from trackloom.llm.substring_dedup import _strip, locate, remove_repeats
+from trackloom.llm.substring_dedup import Codes, _strip, locate, remove_repeats
 
 SCHEMA = "doc_id long, text string"
 
@@ -73,26 +73,29 @@ def test_crowded_print(spark):
     assert sorted(map(tuple, remove_repeats(spark.createDataFrame(rows, SCHEMA), False).collect()), key=str) == brute(rows)
 
 
-@pytest.mark.parametrize("chars", [1, 20, 1000])
-def test_locate_against_plain_search(monkeypatch, chars):
-    monkeypatch.setattr(substring_dedup, "SHARD_CHARS", chars)
-    r = random.Random(chars)
+@pytest.mark.parametrize("words", [1, 4, 1000])
+def test_locate_against_plain_search(monkeypatch, words):
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", words)
+    r = random.Random(words)
     for _ in range(200):
-        texts = [[r.choice(["a", "b", "ab", "é", "𝒳a"]) for _ in range(r.randrange(30))] for _ in range(4)]
-        passages = [[r.choice(["a", "b", "ab", "é", "𝒳a"]) for _ in range(r.randrange(1, 6))] for _ in range(5)]
-        got = locate([f" {' '.join(t)} " for t in texts], [f" {' '.join(p)} " for p in passages])
+        code = Codes()
+        code([bytes([i]) for i in range(r.choice([0, 254]))])
+        texts = [[r.choice([b"a", b"b", b"ab", b"c"]) for _ in range(r.randrange(30))] for _ in range(4)]
+        passages = [[r.choice([b"a", b"b", b"ab", b"c"]) for _ in range(r.randrange(1, 6))] for _ in range(5)]
+        got = locate([code(t) for t in texts], {code(p) for p in passages})
         for text, found in zip(texts, got, strict=True):
             want = {i + j for p in passages for i in range(len(text)) if text[i : i + len(p)] == p for j in range(len(p))}
             assert set(np.flatnonzero(found)) == want
 
 
 def test_the_automata_decide(monkeypatch):
-    """What goes is what the automata find: more passages, more words; none without them."""
-    text = " ".join(f"w{i}" for i in range(50))
-    docs = pa.table({"doc_id": pa.array([1, 2]), "text": pa.array([zstandard.compress(text.encode()), None], pa.binary())})
-    sent = lambda *spans: pa.table({"passage": pa.array([text] * len(spans), pa.string()), "low": pa.array([a for a, _ in spans], pa.int32()), "high": pa.array([b for _, b in spans], pa.int32())})
-    removed = lambda *spans: _strip(False)(docs, sent(*spans))["n_removed"].to_pylist()
-    assert removed() == [0, 0] and removed((5, 40)) == [35, 0] and removed((5, 40), (10, 48)) == [43, 0]
+    """What goes is what the automata find, in all documents of the bucket; nothing without them."""
+    words = [f"w{i}" for i in range(50)]
+    texts = [" ".join(words), None, "x " + " ".join(words[3:45])]
+    docs = pa.table({"doc_id": pa.array([1, 2, 3]), "key": pa.array([7, 8, 9]), "text": pa.array([t and zstandard.compress(t.encode()) for t in texts], pa.binary())})
+    spans = lambda *s: pa.table({"key": pa.array([7] * len(s), pa.int64()), "low": pa.array([a for a, _ in s], pa.int64()), "high": pa.array([b for _, b in s], pa.int64())})
+    removed = lambda *s: _strip(False)(docs, spans(*s))["n_removed"].to_pylist()
+    assert removed() == [0, 0, 0] and removed((5, 40)) == [35, 0, 35] and removed((5, 40), (10, 48)) == [43, 0, 35]
 
     class Blind:
         def __init__(self, *_): ...
@@ -100,4 +103,4 @@ def test_the_automata_decide(monkeypatch):
         iter = lambda *_: iter(())
 
     monkeypatch.setattr(substring_dedup.ahocorasick, "Automaton", Blind)
-    assert removed((5, 40), (10, 48)) == [0, 0]
+    assert removed((5, 40), (10, 48)) == [0, 0, 0]

@@ -9,19 +9,21 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import Spans, Words, batches, mix, pack_text, records, slices, stage
+from trackloom.llm.common import Spans, Words, batches, pack_text, records, slices, stage
 
 #: A passage recurs if this many consecutive words do.
 WINDOW = 35
 #: Words of the runs by which equal windows find each other.
 GRAM = 14
-#: Documents meet their passages in buckets of about so many bytes of packed text.
-BUCKET_BYTES = 400_000
-#: One automaton is compiled of passages of about so many characters; a bucket with more has several.
-SHARD_CHARS = 1_000_000
+#: Documents stream through automata in buckets of about so many bytes of packed text.
+BUCKET_BYTES = 500_000
+#: One automaton is compiled of passages of about so many words; a bucket with more has several.
+SHARD_WORDS = 400_000
+#: A print that a thousandth of a sample's prints has, of about so many documents, is dealt to SALTS tasks.
+SAMPLE, HEAVY, SALTS = 2000, 1000, 1024
 
 
 def window_prints(words: Words) -> list[tuple[np.ndarray, ...]]:
@@ -61,85 +63,86 @@ def _print(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = window_prints(Words([unpack.decompress(t) for t in batch.column("text").to_pylist()]))
         of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
         print_, segment, begin, count = (np.concatenate([f[i] for f in found]) for i in range(4))
-        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(print_.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(begin.astype(np.int32)), pa.array(count.astype(np.int32))], names=["key", "print", "segment", "begin", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(print_.view(np.int64)), pa.array(segment.view(np.int64)), pa.array((begin << 32) + count)], names=["key", "print", "segment", "at"])
 
 
-def _cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted segment, joined by one blank, and where asked for the 128-bit hashes of its windows."""
-    longs = pa.list_(pa.int64())
-    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("many", pa.bool_()), ("passage", pa.string()), ("one", longs), ("two", longs)])
+def _windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each wanted segment the 64-bit hashes of its windows; with the print, which equal windows share, these are names of 128 bits."""
+    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("windows", pa.list_(pa.int64()))])
     unpack = zstandard.ZstdDecompressor()
 
     def rows() -> Iterator[dict]:
         for row in records(stream, 32):
-            data = unpack.decompress(row["text"])
-            words = data.split()
-            one = two = None
-            if any(w["many"] for w in row["wanted"]):
-                hashed = Words([data])
-                one = hashed.grams(hashed.hash, WINDOW)[0].view(np.int64)
-                two = hashed.grams(mix(hashed.hash ^ np.uint64(0x9E3779B97F4A7C15)), WINDOW)[0].view(np.int64)
+            words = Words([unpack.decompress(row["text"])])
+            hashes = words.grams(words.hash, WINDOW)[0].view(np.int64)
             for w in row["wanted"]:
-                low, high = w["begin"], w["begin"] + w["n"]
-                passage = b" ".join(words[low : high + WINDOW - 1]).decode("utf-8", "surrogatepass")
-                own = {"one": one[low:high], "two": two[low:high]} if w["many"] else {"one": None, "two": None}
-                yield {"print": w["print"], "segment": w["segment"], "copies": w["copies"], "many": w["many"], "passage": passage} | own
+                begin, n = w["at"] >> 32, w["at"] & 0xFFFFFFFF
+                yield {"print": w["print"], "segment": w["segment"], "copies": w["copies"], "windows": hashes[begin : begin + n]}
 
     yield from batches(rows(), schema)
 
 
-def locate(texts: list[str], passages: list[str]) -> list[np.ndarray]:
-    """For each text, of words with one blank around each, which words lie in an occurrence of a passage.
+class Codes:
+    """Texts as strings of two characters a word, so that automata go word by word and never match between words."""
 
-    Passages are words with one blank around each, too. Shard by shard they are compiled into an automaton,
-    through which all texts go.
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+
+    def __call__(self, words: list[bytes]) -> str:
+        number = self.number
+        ids = np.array([number.setdefault(w, len(number)) for w in words], np.uint32)
+        # the two halves come from different ranges of characters
+        return np.stack([0x10000 + (ids >> np.uint32(8)), 0x100 + (ids & np.uint32(255))], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def locate(texts: list[str], passages: set[str]) -> list[np.ndarray]:
+    """For each text, which of its words lie in an occurrence of a passage; texts and passages are coded.
+
+    Shard by shard the passages are compiled into an automaton, through which all texts go.
     """
-    blanks: dict[int, np.ndarray] = {}
     steps: dict[int, np.ndarray] = {}
-    for shard in _shards(sorted(set(passages))):
+    for shard in _shards(sorted(passages)):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for passage in shard:
             automaton.add_word(passage)
         automaton.make_automaton()
         for i, text in enumerate(texts):
             hits = np.fromiter((x for hit in automaton.iter(text) for x in hit), np.int64).reshape(-1, 2)
-            if not len(hits):
-                continue
-            if i not in blanks:
-                blanks[i] = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-                steps[i] = np.zeros(len(blanks[i]), np.int64)
-            np.add.at(steps[i], np.searchsorted(blanks[i], hits[:, 0] - hits[:, 1] + 1), 1)
-            np.add.at(steps[i], np.searchsorted(blanks[i], hits[:, 0]), -1)
+            if len(hits):
+                own = steps.setdefault(i, np.zeros(len(text) // 2 + 1, np.int64))
+                end = (hits[:, 0] + 1) // 2
+                np.add.at(own, end - hits[:, 1] // 2, 1)
+                np.add.at(own, end, -1)
     return [np.cumsum(steps[i][:-1]) > 0 if i in steps else np.zeros(0, bool) for i in range(len(texts))]
 
 
 def _shards(passages: list[str]) -> Iterator[list[str]]:
     held: list[str] = []
-    chars = 0
+    words = 0
     for passage in passages:
         held.append(passage)
-        chars += len(passage)
-        if chars >= SHARD_CHARS:
+        words += len(passage) // 2
+        if words >= SHARD_WORDS:
             yield held
-            held, chars = [], 0
+            held, words = [], 0
     if held:
         yield held
 
 
 def _strip(keep_text: bool):
-    """A bucket's documents streamed through the automata of all passages that may occur in them."""
+    """A bucket's documents streamed through the automata of all different passages confirmed in it."""
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.string())] * keep_text)
 
-    def run(docs: pa.Table, passages: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         words = [unpack.decompress(t).split() if t else [] for t in docs["text"].to_pylist()]
-        texts = [f" {b' '.join(w).decode('utf-8', 'surrogatepass')} " for w in words]
-        wanted = []
-        for passage, low, high in zip(*(passages[c].to_pylist() for c in ("passage", "low", "high")), strict=True):
-            wanted.append(f" {passage if high is None else ' '.join(passage.split(' ')[low:high])} ")
+        code = Codes()
+        texts = [code(w) for w in words] if confirmed.num_rows else [""] * len(words)
+        of = dict(zip(docs["key"].to_pylist(), texts, strict=True))
+        passages = {of[k][2 * low : 2 * high] for k, low, high in zip(*(confirmed[c].to_pylist() for c in ("key", "low", "high")), strict=True)}
         out = []
-        for doc_id, own, covered in zip(docs["doc_id"].to_pylist(), words, locate(texts, wanted), strict=True):
+        for doc_id, own, covered in zip(docs["doc_id"].to_pylist(), words, locate(texts, passages), strict=True):
             kept = b" ".join(own if not covered.any() else [own[i] for i in np.flatnonzero(~covered)])
             row = {"doc_id": doc_id, "n_words": len(own), "n_removed": int(covered.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest()}
             out.append(row | ({"kept": kept.decode("utf-8", "surrogatepass")} if keep_text else {}))
@@ -160,32 +163,35 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     empty table gives an empty result.
 
     Equal windows share a print, the smallest of their GRAM-word hashes, and consecutive windows of one
-    print are a segment. Where different segments share a print, their windows are counted by 128-bit
-    hashes, summed before the shuffle; a segment seen twice needs no count. What is confirmed, each
-    different passage once, is compiled into automata: each bucket of documents gets the passages of the
-    segments seen in it, and all its documents stream through them. What these find is what goes.
-    A passage in very many documents is sent once to a bucket; a frequent print's rows in the joins are
-    small ones, which adaptive execution splits.
+    print are a segment. A segment seen twice is confirmed as a whole; where different segments share a
+    print, their windows are counted by names of 128 bits, summed before the shuffle, and what lies between
+    the first and the last recurring window is confirmed. Each bucket of documents compiles the different
+    passages confirmed in it into automata and streams all its documents through them; what they find goes.
+    A frequent print, known from a sample, recurs anyway, so that its rows needn't meet in one task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("key"))
     texts = stage(pack_text(rows, "doc_id", "key"))
-    prints = stage(texts.where("text is not null").select("key", "text").mapInArrow(_print, "key long, print long, segment long, begin int, n int"))
-    recurring = prints.groupBy("print").agg(F.count("*").alias("c"), (F.min("segment") != F.max("segment")).alias("many")).where("c > 1").select("print", "many")
-    hits = stage(prints.join(recurring.hint("merge"), "print"))
-    chosen = hits.groupBy("print", "segment").agg(F.min(F.struct("key", "begin", "n")).alias("of"), F.count("*").alias("copies"), F.any_value("many").alias("many"))
-    wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "many", "of.begin", "of.n")).alias("wanted"))
-    passages = texts.join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_cut, "print long, segment long, copies long, many boolean, passage string, one array<long>, two array<long>")
-    passages = stage(passages)
-    windows = passages.where("many").select("print", "segment", "copies", F.posexplode(F.arrays_zip("one", "two")).alias("at", "h")).select("print", "segment", "copies", "at", "h.one", "h.two")
-    again = windows.groupBy("one", "two").agg(F.sum("copies").alias("c")).where("c > 1").select("one", "two")
+    size = texts.agg(F.count("text").alias("n"), F.sum(F.length("text")).alias("bytes")).first()
+    prints = lambda some: some.where("text is not null").select("key", "text").mapInArrow(_print, "key long, print long, segment long, at long")
+    sampled = prints(texts.sample(min(1.0, SAMPLE / max(1, size.n)), 1)).groupBy("print").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    heavy = F.col("print").isin([r.print for r in sampled.where(f"n > 9 and n * {HEAVY} >= all").select("print").collect()])
+    of_print, of_segment = Window.partitionBy("print", "salt"), Window.partitionBy("print", "salt", "segment")
+    hits = prints(texts).withColumn("salt", F.when(heavy, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0))
+    hits = hits.withColumn("copies", F.count("*").over(of_segment)).withColumn("n", F.row_number().over(of_segment.orderBy("key", "at")))
+    hits = hits.withColumn("c", F.count("*").over(of_print)).where((F.col("c") > 1) | heavy)
+    hits = stage(hits.select("key", "print", "segment", "at", "copies", (F.col("n") == 1).alias("first"), ((F.col("c") > F.col("copies")) | heavy).alias("many")))
+    chosen = hits.where("many and first").groupBy("print", "segment").agg(F.min(F.struct("key", "at")).alias("of"), F.sum("copies").alias("copies"))
+    wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "of.at")).alias("wanted"))
+    hashed = stage(texts.join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_windows, "print long, segment long, copies long, windows array<long>"))
+    windows = hashed.select("print", "segment", "copies", F.posexplode("windows").alias("at", "window"))
+    again = windows.groupBy("print", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("print", "window")
     # a segment's windows share a run of words, so that what they cover has no gap
-    part = windows.where("copies = 1").join(again.hint("merge"), ["one", "two"]).groupBy("print", "segment").agg(F.min("at").alias("low"), (F.max("at") + WINDOW).alias("high"))
-    of_one = passages.where("copies = 1").select("print", "segment", "passage").join(part.hint("merge"), ["print", "segment"])
-    whole = passages.where("copies > 1").select("print", "segment", "passage", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
-    confirmed = whole.unionByName(of_one)
-    packed = texts.agg(F.sum(F.length("text")).alias("n")).first().n or 0
-    bucket = F.pmod(F.xxhash64("key"), F.lit(1 + packed // BUCKET_BYTES))
-    places = hits.select("print", "segment", bucket.alias("bucket")).distinct()
-    sent = places.join(confirmed.hint("merge"), ["print", "segment"]).select("bucket", "passage", "low", "high")
-    out = texts.select("doc_id", "text", bucket.alias("bucket")).groupBy("bucket").cogroup(sent.groupBy("bucket"))
+    part = windows.where("copies = 1").join(again.hint("merge"), ["print", "window"]).groupBy("print", "segment").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    whole = hashed.where("copies > 1").select("print", "segment", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(1 + (size.bytes or 0) // BUCKET_BYTES)).alias("bucket")
+    begin, n = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
+    confirmed = hits.where("copies > 1").select("key", begin.alias("begin"), F.lit(0).alias("low"), (n - 1).alias("high"))
+    confirmed = confirmed.unionByName(hits.where("copies = 1").select("key", "print", "segment", begin.alias("begin")).join(whole.unionByName(part).hint("merge"), ["print", "segment"]).select("key", "begin", "low", "high"))
+    confirmed = confirmed.select(bucket, "key", (F.col("begin") + F.col("low")).alias("low"), (F.col("begin") + F.col("high") + WINDOW).alias("high"))
+    out = texts.select("doc_id", "key", "text", bucket).groupBy("bucket").cogroup(confirmed.groupBy("bucket"))
     return out.applyInArrow(_strip(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
