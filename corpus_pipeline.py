@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm.common import n_words, stage, table
+from trackloom.llm.common import stage, table
 from trackloom.llm.decontaminate import find_leaks
 from trackloom.llm.mixing import systematic_copies
 from trackloom.llm.near_dedup import near_duplicates
@@ -16,42 +16,62 @@ from trackloom.llm.quality import accept
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, as doc_ids may be null or shared: by file and place in it, so that every scan agrees."""
+    return docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id())
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; rows without a doc_id can't be named later on and go."""
-    return accept(docs.select(COLUMNS).where("doc_id is not null"), table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier accepts.
+
+    Each row is judged by its text alone, also those with a null doc_id or repeated ones; null and empty
+    texts get the score of the bias. Very long texts are scored whole.
+    """
+    return accept(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (80 % of 5-word shingles): that with the smallest doc_id.
+    """One row of each group of near-duplicates (80 % of 5-word shingles): that with the smallest doc_id, null last.
 
-    Of rows that share a doc_id, the one with the least text stays.
+    Rows are compared by their texts, whatever their doc_ids; of rows in a group that share a doc_id the
+    first in its file stays. Rows without words are in no group and stay. Very long texts are compared whole.
     """
-    docs = docs.select(COLUMNS)
-    gone = near_duplicates(docs, 80).where("not kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return docs.join(gone, "doc_id", "left_anti").withColumn("n", F.row_number().over(order)).where("n = 1 or doc_id is null").select(COLUMNS)
+    docs = keyed(docs)
+    near = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text"), 80).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = docs.select("row", "doc_id").join(near, "row").groupBy("component_id").agg(F.min(order)["row"].alias("row"))
+    return docs.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaks."""
-    leaking = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(leaking, "doc_id", "left_anti").select(COLUMNS)
+    """Rows into which no benchmark item leaks.
+
+    Each row is judged by its own text: one with a null doc_id goes like others, and rows that share a
+    doc_id with a leaking one stay. Null and empty texts stay. Very long texts are searched whole.
+    """
+    docs = keyed(docs)
+    leaking = find_leaks(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct()
+    return docs.join(leaking, "row", "left_anti").select(COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each span of personal data replaced by its kind in angle brackets."""
+    """All rows, with each span of personal data replaced by its kind in angle brackets.
+
+    Null and empty texts stay as they are, null doc_ids and repeated rows are redacted like others. Very
+    long texts are searched whole.
+    """
     return redact(docs.select(COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy taken, with the columns of documents, copy (from 1), size and source_target.
 
-    Rows that share a doc_id are told apart by size and number; a null doc_id is left out.
+    Rows with a null or shared doc_id are documents like others; a null source is a source. Null texts have
+    size 0. Very long texts are counted whole.
     """
-    number = Window.partitionBy("doc_id", "size").orderBy("doc_id")
-    copies = systematic_copies(docs).select("doc_id", "size", "copies", F.col("target").alias("source_target")).withColumn("n", F.row_number().over(number))
-    rows = docs.select(*COLUMNS, n_words(F.col("text")).alias("size")).where("doc_id is not null").withColumn("n", F.row_number().over(number))
-    taken = rows.join(copies.where("copies > 0"), ["doc_id", "size", "n"])
+    docs = keyed(docs)
+    copies = systematic_copies(docs, keep=("row",)).where("copies > 0").select("row", "copies", "size", F.col("target").alias("source_target"))
+    taken = docs.join(copies, "row")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS, "copy", "size", "source_target")
 
 

@@ -1,8 +1,12 @@
+import math
 from collections import defaultdict
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from trackloom.llm.mixing import SHARE, WEIGHTS, systematic_copies
+from trackloom.llm import mixing
+from trackloom.llm.mixing import SHARE, WEIGHTS, source_targets, systematic_copies
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -51,3 +55,36 @@ def test_odd_rows(spark):
     check(rows, systematic_copies(docs).collect())
     assert systematic_copies(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [r.taken for r in systematic_copies(spark.createDataFrame([(1, None, None)], SCHEMA)).collect()] == [0]
+
+
+@pytest.mark.parametrize("rows_of_slice", [3, 50_000])
+def test_copies_against_a_plain_prefix_sum(spark, sf_dir, monkeypatch, rows_of_slice):
+    """Along the stated order, a document is taken once for each integer that the running sum of expected copies crosses."""
+    monkeypatch.setattr(mixing, "ROWS", rows_of_slice)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.withColumn("source", F.when(F.col("source") != "src3", F.col("source")))
+    docs = docs.unionByName(spark.createDataFrame([(None, f"null {i}", "en", "src0", 9) for i in range(20)] + [(10**6, "long " * 300_000, "en", "src1", 1)], docs.schema))
+    n = docs.count()
+    hashes = docs.select("doc_id", "text", "source", F.xxhash64("doc_id", "text", F.lit(0)).alias("h"), (F.pmod(F.xxhash64("source", F.lit(0), F.lit("offset")), F.lit(1 << 40)) / float(1 << 40)).alias("offset")).collect()
+    sizes = defaultdict(int)
+    for r in hashes:
+        sizes[r.source] += len((r.text or "").split())
+    want, rate = [], {s: t / sizes[s] if sizes[s] else 0 for s, t in targets(dict(sizes)).items()}
+    for source in sizes:
+        own = []
+        for r in hashes:
+            if r.source == source:
+                size = len((r.text or "").split())
+                own.append((math.floor(math.log2(size + 1) * mixing.CLASSES), r.h % (1 + n // rows_of_slice), r.h, size, r.doc_id, r.offset))
+        for i, (*_, size, doc_id, offset) in enumerate(sorted(own, key=lambda x: x[:3])):
+            want.append((doc_id, size, math.floor((i + 1) * rate[source] + offset) - math.floor(i * rate[source] + offset)))
+    got = [(r.doc_id, r.size, r.copies) for r in systematic_copies(docs).collect()]
+    differ = set(got) ^ set(want)
+    assert len(got) == len(want) == n and len(differ) <= 2  # a sum that rounds to just beside an integer
+
+
+def test_many_sources(spark):
+    rows = [(f"host{i * 7919 % 5000}", i % 13) for i in range(5000)] + [(None, 4)]
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(rows, "source string, size long").repartition(7)).collect()}
+    want = targets(dict(rows))
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in got)

@@ -38,4 +38,19 @@ def test_odd_rows(spark, sf_dir):
             rows = f(spark, d, sf_dir).collect()
             assert d is docs or rows == []
             if name == "near_dedup" and d is docs:
-                assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 2, 3]
+                assert sorted(r.doc_id or 0 for r in rows) == [1, 2, 3]
+
+
+def test_rows_with_null_and_shared_ids(spark, sf_dir):
+    """Each row is judged by itself; nothing leaks or vanishes by its doc_id."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first().text
+    clean = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcd"]
+    rows = [(None, item), (None, clean[0]), (7, item), (7, clean[1]), (8, "long " + " ".join(f"w{i}" for i in range(200_000)) + " " + item), (9, clean[2]), (9, clean[2] + " end"), (None, clean[3]), (None, clean[3])]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], schema)
+    left = sorted((r.doc_id or 0, r.text[:2]) for r in cp.decontaminate(spark, docs, sf_dir).collect())
+    assert left == [(0, "a0"), (0, "d0"), (0, "d0"), (7, "b0"), (9, "c0"), (9, "c0")]
+    left = sorted((r.doc_id or 0, r.text[:2]) for r in cp.near_dedup(spark, docs, sf_dir).collect())
+    assert left == sorted([(0, "a0"), (7, item[:2]), (7, "b0"), (8, "lo"), (9, "c0"), (0, "d0")])
+    assert cp.personal_data(spark, docs, sf_dir).count() == len(rows)
+    assert all(r.source_target and r.copy in (1, 2) for r in cp.mix(spark, docs, sf_dir).collect())

@@ -11,10 +11,25 @@ from trackloom.llm.common import n_words, stage
 WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix has, and the most copies of a source.
 SHARE, MOST = 1.5, 2
-#: Size classes in each doubling, and slices of each class; together they bound a window's rows.
-CLASSES, SLICES = 4, 256
-#: A table of sources up to this many rows is broadcast, a larger one joined.
-BROADCAST_ROWS = 20_000
+#: Size classes in each doubling, and rows that a slice of a class has on average at most.
+CLASSES, ROWS = 4, 50_000
+
+
+def sums_before(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
+    """df with the sum of each value over all rows before it in a total order, without a window over all rows.
+
+    The rows are sorted by range into partitions, sums run within each, and those of the partitions
+    before, one row for each partition of the sort, are added.
+    """
+    placed = stage(df.orderBy(*order).withColumn("place", F.monotonically_increasing_id()).withColumns({f"{k}_value": v for k, v in values.items()}))
+    placed = placed.withColumn("part", F.shiftright("place", 33))
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").agg(*(F.sum(f"{k}_value").alias(k) for k in values))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_parts") for k in values))
+    # as many rows as the sort has partitions: the bound of the broadcast
+    out = placed.join(F.broadcast(parts), "part")
+    return out.select(*df.columns, *((F.coalesce(F.sum(f"{k}_value").over(within), F.lit(0)) + F.col(f"{k}_parts")).alias(k) for k in values))
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -23,26 +38,25 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     Sources by code point, null last, take the weights in turn. The targets sum to `share` of all
     words; a target stops at `most` times its source's words, what it leaves is shared by the others by
     weight until none is above. That is one water level: sources sorted by words per weight are full as
-    long as the level, computed from what the full ones before leave, is above them.
+    long as the level, computed from what the full ones before leave, is above them. However many
+    sources there are, no task sorts them all.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    order = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())
-    per = per.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int")))
+    by_name = F.col("source").cast("binary").asc_nulls_last()
+    per = sums_before(per, [by_name], turn=F.lit(1))
+    per = per.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("turn", F.lit(len(weights))) + 1).cast("int"))).drop("turn")
     per = per.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    by_fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").cast("binary").asc_nulls_last())
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_fill.rowsBetween(0, Window.unboundedFollowing)
-    every = Window.partitionBy()
-    per = per.withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    # the level of the first source that isn't full; with none, every source is full
-    level = F.min(F.when(F.col("cap") > F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(every)["level"]
-    per = per.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), "cap")))
-    return per.select("source", "source_size", "n_docs", "target")
+    per = sums_before(per, [F.col("cap") / F.col("weight"), by_name], full=F.col("cap"), used=F.col("weight"))
+    every = per.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    per = per.withColumn("level", (F.lit(float(share) * (every["size"] or 0)) - F.col("full")) / (F.lit(float(every["weight"] or 0)) - F.col("used")))
+    # the level of the first source that isn't full, of equally full ones the highest; with none, every source is full
+    found = per.where(F.col("cap") > F.col("level") * F.col("weight")).agg(F.min(F.struct(F.col("cap") / F.col("weight"), (-F.col("level")).alias("low"))).alias("first")).first()["first"]
+    target = F.least("cap", F.lit(-found["low"]) * F.col("weight")) if found else F.col("cap")
+    return per.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def systematic_copies(docs: DataFrame, seed: int = 0, text: Column | None = None, **targets) -> DataFrame:
-    """docs(doc_id, source, text, ...) -> doc_id, source, size, source_size, target, copies, taken.
+def systematic_copies(docs: DataFrame, seed: int = 0, text: Column | None = None, keep: tuple = (), **targets) -> DataFrame:
+    """docs(doc_id, source, text, keep..., ...) -> doc_id, source, keep..., size, source_size, target, copies, taken.
 
     Every document of a source is expected target / source_size times. Documents are put in order of
     size class within their source, the expected copies are summed along that order, one offset is
@@ -51,29 +65,29 @@ def systematic_copies(docs: DataFrame, seed: int = 0, text: Column | None = None
     order come from hashes, so that reruns agree.
 
     A null text has size 0; a null source is a source of its own; null doc_ids and repeated rows are
-    documents like others. Without any words all targets are 0 and nothing is taken. Extra columns are
-    ignored. An empty table gives an empty result.
+    documents like others. Ties of the order's hash go by doc_id, size and keep; rows that are equal in
+    all of these are exchangeable. Very long texts are counted whole. Without any words all targets
+    are 0 and nothing is taken. Extra columns are ignored. An empty table gives an empty result.
 
-    The order is made of groups (source, size class, slice of a hash) whose rows are bounded; each
-    row's place is its place in its group plus the sum over the groups before, which come pre-aggregated.
+    The order is made of groups (source, size class, slice of a hash), with so many slices that a group
+    has ROWS rows on average at most, whatever the table's size; each row's place is its place in its
+    group plus the sum over the groups before, which come pre-aggregated.
     """
-    size = n_words(F.col("text") if text is None else text)
-    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("h"))
-    rows = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1) * CLASSES).cast("int")).withColumn("slice", F.pmod("h", F.lit(SLICES)).cast("int"))
-    rows = stage(rows)
+    own = F.col("text") if text is None else text
+    rows = docs.select("doc_id", "source", *keep, n_words(own).alias("size"), F.xxhash64("doc_id", own, F.lit(seed)).alias("h"))
+    rows = stage(rows.withColumn("class", F.floor(F.log2(F.col("size") + 1) * CLASSES).cast("int")))
+    rows = rows.withColumn("slice", F.pmod("h", F.lit(1 + rows.count() // ROWS)))
     per = stage(source_targets(rows, **targets)).withColumnRenamed("source", "of")
-    if per.count() <= BROADCAST_ROWS:
-        per = F.broadcast(per)
     groups = rows.groupBy("source", "class", "slice").agg(F.count("*").alias("n"))
     classes = groups.groupBy("source", "class").agg(F.sum("n").alias("n"))
-    # first along the classes of a source, which are few, then along the slices of a class, which are SLICES
+    # first along the classes of a source, which are few, then along the slices of a class
     along = Window.partitionBy("source").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select(F.col("source").alias("s"), F.col("class").alias("c"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
     within = Window.partitionBy("source", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0)))
     groups = groups.join(classes.withColumnRenamed("start", "more"), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
     groups = groups.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("slice").alias("l"), (F.col("start") + F.col("more")).alias("start"))
-    place = Window.partitionBy("source", "class", "slice").orderBy("h", "doc_id", "size")
+    place = Window.partitionBy("source", "class", "slice").orderBy("h", "doc_id", "size", *keep)
     placed = rows.withColumn("place", F.row_number().over(place) - 1)
     placed = placed.join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("slice") == F.col("l")))
     placed = placed.join(per, F.col("source").eqNullSafe(F.col("of")))
@@ -82,4 +96,4 @@ def systematic_copies(docs: DataFrame, seed: int = 0, text: Column | None = None
     at = F.col("start") + F.col("place")
     copies = F.floor((at + 1) * rate + offset) - F.floor(at * rate + offset)
     placed = placed.withColumn("copies", F.least(copies, F.lit(MOST)).cast("long"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "source", *keep, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
