@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from trackloom.llm.decontaminate import LITERAL, NAME, NUMBER, UNIT, Template, find_leaks
@@ -68,3 +69,72 @@ def test_short_and_numeric_items(spark):
     got = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 1), (3, 2), (5, 3), (7, 4), (8, 4), (10, 5), (12, 1)]
     assert all(r.coverage == 1 and r.consistency == 1 for r in got)
+
+
+def test_names_that_begin_sentences(spark):
+    item = "Alice has 12 red apples in a basket. Alice gives Bob 5 of them. How many apples does Alice have left in the basket now?"
+    docs = [
+        (1, "Before it. " + item.replace("Alice", "Maria").replace("Bob", "Tom").replace("12", "31") + " After it."),
+        (2, "Before it. So " + item),
+        (3, item.replace("Alice has", "Maria has").replace("Alice gives", "Peter gives").replace("Alice have", "Laura have")),
+        (4, "Alice has a garden. Alice likes apples, and how many apples does she have? Nobody can say now."),
+    ]
+    got = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], ITEMS)).collect()
+    assert sorted((r.doc_id, r.n_changed) for r in got) == [(1, 3), (2, 0)]
+
+
+def test_templates_against_brute_force(spark):
+    """Re-parameterised items with numbers, names and units replaced, by windows of token strings compared one by one."""
+    r = random.Random(3)
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    names = ["Anna", "Boris", "Carla", "Dmitri"]
+
+    def make(slots):
+        return [slots[int(w[1:])] if w[0] == "#" else w for w in shape]
+
+    def kinds(tokens):
+        out = []
+        for i, w in enumerate(tokens):
+            number = w.isdigit()
+            out.append("<n>" if number else "<u>" if w in ("kg", "km") and i and tokens[i - 1].isdigit() else "<a>" if w.istitle() else w)
+        return out
+
+    items, docs, want = [], [], set()
+    for item in range(12):
+        shape = ["it", "is"] + [r.choice(words) if r.random() < 0.7 else f"#{r.randrange(6)}" for _ in range(22)]
+        base = [str(r.randrange(100)) for _ in range(3)] + r.sample(names, 2) + ["km"]
+        items.append((item, " ".join(make(base))))
+        for variant in range(4):
+            slots = [str(r.randrange(100, 999)) for _ in range(3)] + r.sample(names, 2) + ["kg"]
+            text = make(slots)
+            if variant == 1:  # each place its own value: not consistent
+                text = [str(1000 + i) if w.isdigit() else w for i, w in enumerate(text)]
+            if variant == 2:  # the first part only
+                text = text[: r.randrange(8, 24)]
+            docs.append((len(docs), "so " + " ".join(["other"] * 9 + text + ["other"] * 9)))
+    for d, text in docs:
+        t = text.split()
+        k = kinds(t)
+        for i, item in items:
+            x = item.split()
+            y = kinds(x)
+            best = False
+            for shift in range(-len(x), len(t)):
+                covered, seen = set(), {}
+                for j in range(len(y) - 7):
+                    a = j + shift
+                    if 0 <= a and k[a : a + 8] == y[j : j + 8] and sum(w[0] != "<" for w in y[j : j + 8]) >= 4:
+                        covered |= set(range(j, j + 8))
+                        for o in range(8):
+                            if y[j + o][0] == "<":
+                                seen[j + o] = (x[j + o].lower(), t[a + o].lower())
+                run = max((sum(1 for _ in g) for c, g in itertools.groupby(range(len(x)), lambda n: n in covered) if c), default=0)
+                bound = {}
+                for v, w in seen.values():
+                    bound.setdefault(v, []).append(w)
+                consistent = not seen or sum(max(b.count(w) for w in b) for b in bound.values()) / len(seen) >= 0.8
+                best |= (len(covered) >= len(x) / 2 or run >= 20) and consistent and bool(covered)
+            if best:
+                want.add((d, i))
+    got = {(q.doc_id, q.item_id) for q in find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert want and got == want

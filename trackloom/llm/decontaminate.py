@@ -21,8 +21,8 @@ LEAST_COVERAGE, LEAST_RUN = 0.5, 20
 LEAST_CONSISTENCY = 0.8
 #: Windows of one leak lie within so many tokens of one diagonal.
 DRIFT = 6
-#: Up to so many different benchmark windows are broadcast as a filter; beyond, all windows are joined.
-BROADCAST_WINDOWS = 1_000_000
+#: Bits of the filter of benchmark windows that goes to all tasks, whatever the size of the benchmark.
+FILTER_BITS = 1 << 24
 #: Words that are units after a number; fixed values.
 UNITS = (
     "% kg g mg t lb lbs oz km m cm mm mi mile miles ft foot feet inch inches yard yards l ml litre litres liter liters gallon gallons "
@@ -54,8 +54,9 @@ class Template:
 
     A token is a word without outer punctuation, in lower case; words of punctuation alone are no
     tokens. A number is a token with digits and without letters, or a number with a unit written on
-    to it; a unit is a word of UNITS after a number; a name is a word with a capital first letter only
-    that doesn't begin a sentence or line.
+    to it; a unit is a word of UNITS after a number; a name is a word with a capital first letter only.
+    Where such a word begins a sentence or line it may be a name or not: there are two readings, in
+    kinds and tokens: it is a literal in the first and a name in the second.
     """
 
     _units: np.ndarray | None = None
@@ -93,20 +94,21 @@ class Template:
         unit = (Template._units[at_most] == self.raw) & np.concatenate([[False], number[:-1]])[: len(s)]
         kind[unit & ~number] = UNIT
         two = np.minimum(s + 2, e)
-        name = ~first & ~number & (n_digits == 0) & (e - s >= 2) & (capitals[two] - capitals[s] == 1) & (capitals[e] - capitals[s] == 1)
-        kind[name & (kind == LITERAL)] = NAME
-        self.kind = kind
-        self.token = np.where(kind == LITERAL, self.raw, _PLACEHOLDER[kind])
+        name = ~number & (n_digits == 0) & (e - s >= 2) & (capitals[two] - capitals[s] == 1) & (capitals[e] - capitals[s] == 1) & (kind == LITERAL)
+        kind[name & ~first] = NAME
+        self.kind, self.kinds = kind, [kind, np.where(name, NAME, kind)]
+        self.tokens = [np.where(k == LITERAL, self.raw, _PLACEHOLDER[k]) for k in self.kinds]
+        self.literals = [np.concatenate([[0], np.cumsum(k == LITERAL)]) for k in self.kinds]
         offset = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
         self.first = np.searchsorted(s, offset)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first token, number of tokens, raw) of all windows; a text of fewer tokens is one window.
+    def windows(self) -> tuple[np.ndarray, ...]:
+        """(hash, first token, number of tokens, raw, reading) of all windows; a text of fewer tokens is one window.
 
         Windows without enough literals are raw: hashed by their tokens, not by placeholders. So is the first
-        one of a text, besides, as its first word may be a name or a unit where other words stand before it.
+        one of a text, besides, as its first word may be a unit where other words stand before it.
         """
-        n = len(self.token)
+        n = len(self.raw)
         size = np.full(n, WINDOW)
         inside = np.ones(n, bool)
         for low, high in zip(self.first[:-1], self.first[1:], strict=True):
@@ -116,32 +118,40 @@ class Template:
             else:
                 inside[high - WINDOW + 1 : high] = False
         at = np.flatnonzero(inside)
-        end = at + size[at]
-        enough = self._literals(at, end) >= LITERALS
-        raw = np.isin(at, self.first) | ~enough
-        h = np.concatenate([Spans(self.token).some(at[enough], end[enough]), self._raw(at[raw], end[raw])])
-        at, end = np.concatenate([at[enough], at[raw]]), np.concatenate([end[enough], end[raw]])
-        return h, at, end - at, np.arange(len(at)) >= enough.sum()
-
-    def windows_of(self, sizes: list[int], raw_sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size = size[at]
+        raw = np.isin(at, self.first) | (self._literals(0, at, at + size) < LITERALS)
+        parts = [self._read(reading, at, size) for reading in (0, 1)] + [(self._raw(at[raw], (at + size)[raw]), at[raw], size[raw])]
+        return self._joined(parts)
+
+    def windows_of(self, sizes: list[int], raw_sizes: list[int]) -> tuple[np.ndarray, ...]:
         """The same for all windows of `sizes` with enough literals, and all of `raw_sizes` by their tokens.
 
         A window that has too few literals in an item may have enough in a document, by the word before it.
         """
-        token = Spans(self.token)
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+        parts: list[list[tuple]] = [[], [], []]
         for size, raw in [(k, False) for k in sizes] + [(k, True) for k in raw_sizes]:
-            at = np.arange(max(0, len(self.token) - size + 1))
+            at = np.arange(max(0, len(self.raw) - size + 1))
             at = at[at + size <= self.first[np.searchsorted(self.first, at, side="right")]]
-            if not raw:
-                at = at[self._literals(at, at + size) >= LITERALS]
-            h = self._raw(at, at + size) if raw else token.some(at, at + size)
-            parts.append((h, at, np.full(len(at), size), np.full(len(at), raw)))
-        return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-
-    def _literals(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        literal = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        return literal[end] - literal[at]
+            for i in (2,) if raw else (0, 1):
+                parts[i].append((self._raw(at, at + size), at, np.full(len(at), size)) if raw else self._read(i, at, np.full(len(at), size)))
+        nothing = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return self._joined([tuple(np.concatenate(x) for x in zip(nothing, *p, strict=True)) for p in parts])
+
+    def _read(self, reading: int, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Windows with enough literals; of the second reading those that the first doesn't have."""
+        some = self._literals(reading, at, at + size) >= LITERALS
+        if reading:
+            some &= self._literals(0, at, at + size) != self._literals(1, at, at + size)
+        at, size = at[some], size[some]
+        return Spans(self.tokens[reading]).some(at, at + size), at, size
+
+    def _joined(self, parts: list[tuple]) -> tuple[np.ndarray, ...]:
+        reading = np.repeat([0, 1, 0], [len(p[0]) for p in parts])
+        raw = np.repeat([False, False, True], [len(p[0]) for p in parts])
+        return (*(np.concatenate(x) for x in zip(*parts, strict=True)), raw, reading)
+
+    def _literals(self, reading: int, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.literals[reading][end] - self.literals[reading][at]
 
     def _raw(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(Spans(self.raw).some(at, end) ^ _PLACEHOLDER[NUMBER])
@@ -153,43 +163,39 @@ def _item_windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[dict]:
         for batch in slices(stream):
             ids, t = batch.column("item_id").to_pylist(), Template(batch.column("text").to_pylist())
-            for h, at, size, raw in zip(*(x.tolist() for x in (lambda w: (w[0].view(np.int64), *w[1:]))(t.windows())), strict=True):
+            for h, at, size, raw, reading in zip(*(x.tolist() for x in (lambda w: (w[0].view(np.int64), *w[1:]))(t.windows())), strict=True):
                 i = int(np.searchsorted(t.first, at, side="right")) - 1
-                yield {"window": h, "item_id": ids[i], "item_at": at - t.first[i], "size": size, "raw": raw, "tokens": t.first[i + 1] - t.first[i], "item_slots": _slots(t, at, size), "item_places": (np.flatnonzero(t.kind[at : at + size] != LITERAL) + (at - t.first[i])).tolist()}
+                places = np.flatnonzero(t.kinds[reading][at : at + size] != LITERAL) + (at - t.first[i])
+                yield {"window": h, "item_id": ids[i], "item_at": at - t.first[i], "size": size, "raw": raw, "tokens": t.first[i + 1] - t.first[i], "item_slots": _slots(t, reading, at, size), "item_places": places.tolist()}
 
     yield from batches(rows(), schema)
 
 
-def _slots(t: Template, at: int, size: int) -> list[int]:
+def _slots(t: Template, reading: int, at: int, size: int) -> list[int]:
     """The values of a window's placeholders in order."""
     part = slice(at, at + size)
-    return t.raw[part][t.kind[part] != LITERAL].view(np.int64).tolist()
+    return t.raw[part][t.kinds[reading][part] != LITERAL].view(np.int64).tolist()
 
 
 def _doc_windows(wanted, sizes: list[int], raw_sizes: list[int]):
-    """Windows of documents; with `wanted`, a broadcast sorted array, only those whose hash is in it. Raw ones come without slots."""
+    """Windows of documents whose hash passes `wanted`, a broadcast filter of bits. Raw ones come without slots."""
     schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("window", pa.int64()), ("doc_at", pa.int64()), ("doc_slots", pa.list_(pa.int64()))])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if wanted is not None:
-            known = wanted.value
-            maybe = np.zeros(1 << 20, bool)
-            maybe[known & np.uint64((1 << 20) - 1)] = True
+        bits = np.unpackbits(wanted.value).view(bool)
 
         def rows() -> Iterator[dict]:
             for batch in slices(stream):
                 t = Template(batch.column("text").to_pylist())
-                h, at, size, raw = t.windows_of(sizes, raw_sizes)
-                if wanted is not None:
-                    some = np.flatnonzero(maybe[h & np.uint64((1 << 20) - 1)])
-                    some = some[known[np.minimum(np.searchsorted(known, h[some]), len(known) - 1)] == h[some]] if len(known) else some[:0]
-                    h, at, size, raw = h[some], at[some], size[some], raw[some]
+                h, at, size, raw, reading = t.windows_of(sizes, raw_sizes)
+                some = np.flatnonzero(bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)])
+                h, at, size, raw, reading = h[some], at[some], size[some], raw[some], reading[some]
                 if not len(h):
                     continue
                 of = np.searchsorted(t.first, at, side="right") - 1
                 rid, did = batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist()
-                for x, a, n, w, i in zip(h.view(np.int64).tolist(), at.tolist(), size.tolist(), raw.tolist(), of.tolist(), strict=True):
-                    yield {"row_id": rid[i], "doc_id": did[i], "window": x, "doc_at": a - int(t.first[i]), "doc_slots": [] if w else _slots(t, a, n)}
+                for x, a, n, w, k, i in zip(h.view(np.int64).tolist(), at.tolist(), size.tolist(), raw.tolist(), reading.tolist(), of.tolist(), strict=True):
+                    yield {"row_id": rid[i], "doc_id": did[i], "window": x, "doc_at": a - int(t.first[i]), "doc_slots": [] if w else _slots(t, k, a, n)}
 
         yield from batches(rows(), schema)
 
@@ -253,7 +259,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     fewer than WINDOW tokens is looked for inside documents at its own length: one of a word or two leaks
     into every document that has it.
 
-    Null and empty texts and items without a token match nothing. Null ids come out
+    Ties between places of an item in a document go to the first in the order of their diagonals. Null and
+    empty texts and items without a token match nothing. Null ids come out
     as null. Repeated rows of docs are reported each; rows of the benchmark that share an item_id are
     places of one item. Very long texts are searched whole. Other columns are ignored. Empty tables give
     an empty result.
@@ -261,14 +268,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     items = stage(items.mapInArrow(_item_windows, "window long, item_id long, item_at int, size int, raw boolean, tokens int, item_slots array<long>, item_places array<int>"))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    hashes = items.select("window").distinct()
-    small = hashes.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    wanted = None
-    if small:
-        known = np.array([r.window for r in hashes.collect()], np.int64).view(np.uint64)
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(known))
+    # at most FILTER_BITS numbers come to the driver, however large the benchmark; what passes is joined by the whole hash
+    known = items.select(F.col("window").bitwiseAND(FILTER_BITS - 1).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
+    bits = np.zeros(FILTER_BITS, bool)
+    bits[known] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
     sizes = items.select("size", "raw").distinct().collect()
-    items = items.drop("raw")
     found = rows.mapInArrow(_doc_windows(wanted, *(sorted(r["size"] for r in sizes if r["raw"] == raw) for raw in (False, True))), "row_id long, doc_id long, window long, doc_at long, doc_slots array<long>")
-    hits = found.join(F.broadcast(items) if small and items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else items, "window")
+    hits = found.join(items.drop("raw"), "window")
     return spread(hits, "row_id", "item_id").mapInArrow(_judge, "doc_id long, item_id long, coverage double, longest_run long, n_slots long, n_changed long, consistency double")
