@@ -1,5 +1,8 @@
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackloom.operators import aggregates as A
@@ -48,9 +51,39 @@ def test_detection(spark):
 
 
 def test_conservation(spark):
-    rows = spark.range(1000).withColumn("k", F.col("id") % 7).withColumn("status", F.element_at(F.array(*map(F.lit, ["same", "different", "no_ref", "no_tst"])), (F.pmod(F.xxhash64("id"), F.lit(4)) + 1).cast("int")))
+    kinds = ["same", "different", "no_ref_val", "no_tst", "no_ref_pos"]
+    rows = spark.range(1000).withColumn("k", F.col("id") % 7).withColumn("status", F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.xxhash64("id"), F.lit(5)) + 1).cast("int")))
     for r in E.status_counts(rows, ["k"], "status", F.col("id") % 3 != 0).collect():
-        assert r.n_updates == r.n_outside + r.n_same + r.n_different + r.n_no_ref + r.n_no_tst
+        assert r.n_updates - r.n_no_ref_pos == r.n_inside + r.n_outside and r.n_inside == r.n_same + r.n_different + r.n_no_ref_val + r.n_no_tst
+        assert r.n_no_ref_pos > 0 and r.n_outside > 0
+
+
+def test_sliced_helpers_against_plain_windows(spark):
+    """previous, running, carried and mark_periods as one window over all rows of a key has them."""
+    r = np.random.default_rng(5)
+    rows = sorted({(int(r.integers(3)), int(t), int(v) if v % 3 else None) for t, v in zip(r.integers(0, 3000, 300), r.integers(0, 9, 300), strict=True)}, key=lambda x: x[:2])
+    rows = [x for i, x in enumerate(rows) if i == 0 or rows[i - 1][:2] != x[:2]]
+    df = spark.createDataFrame(rows, "k long, t long, v long")
+    w = Window.partitionBy("k").orderBy("t")
+    for width in (1, 7, 100, 10_000):
+        got = L.previous(df, ["k"], "t", ["t", "v"], width).select("k", "t", "prev.t", "prev.v")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, df.select("k", "t", F.lag("t").over(w), F.lag("v").over(w)).collect()), key=str)
+        got = L.running(df, ["k"], "t", "v", "x", width).select("k", "t", "x")
+        assert sorted((k, t, x or 0) for k, t, x in got.collect()) == sorted((k, t, x or 0) for k, t, x in df.select("k", "t", F.sum("v").over(w)).collect())
+        got = L.carried(df, ["k"], "t", "v", width).select("k", "t", "v")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, df.select("k", "t", F.last("v", True).over(w)).collect()), key=str)
+        spans = [(0, 10, 500), (0, 700, 700), (1, 0, 2999), (2, 100, 101), (2, 1500, 2500)]
+        found = spark.createDataFrame(spans, "k long, period_begin long, period_end long")
+        marked = {(x.k, x.t): x.period and (x.period.begin, x.period.end) for x in L.mark_periods(df, found, "k", "t", width).collect()}
+        assert marked == {(k, t): next(((a, b) for q, a, b in spans if q == k and a <= t <= b), None) for k, t, _ in rows}
+
+
+def test_frames_do_not_slide(spark, ref):
+    """As-of frames grow from the start of their slice; a sliding one costs rows times rows within reach."""
+    tst = spark.createDataFrame([(1, 1, 5)], "id long, utn long, t long")
+    plan = L.asof_neighbours(tst, ref, "utn", "t", ["v"], 10)._jdf.queryExecution().executedPlan().toString()
+    frames = re.findall("specifiedwindowframe\\(RangeFrame, ([^,]*), ([^)]*)", plan)
+    assert frames and all(low == "unboundedpreceding$()" or low.startswith("unboundedpreceding") for low, _ in frames)
 
 
 def test_filters(spark):

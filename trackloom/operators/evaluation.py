@@ -6,42 +6,60 @@ is the same formula over the sums, not a mean of ratios (U1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalar import local_offset, min_angle_diff
+from trackloom.operators.timeline import WIDTH, _over_slices, gap_sessions, mark_periods, previous
 
 
 def ratio(passed: Column, total: Column) -> Column:
     return F.when(total > 0, passed.cast("double") / total)
 
 
-def missed_updates(times: DataFrame, periods: DataFrame, key: str, t: str, interval: int, tolerance: int = 0, least_gap: int | None = None, most_gap: int | None = None) -> DataFrame:
-    """For each key sum_uis, missed and pd from the gaps between reports, period begins and period ends.
+def missed_updates(times: DataFrame, periods: DataFrame, key: str, t: str, interval: int, tolerance: int = 0, least_gap: int | None = None, most_gap: int | None = None, width: int = WIDTH) -> DataFrame:
+    """For each key sum_uis, missed and pd from the gaps between reports, period begins and period ends.
 
     A gap counts if it is longer than the interval beyond the tolerance, and floor((gap - tolerance) /
     interval) updates are missed in it.
     """
-    hit = times.join(periods, (times[key] == periods[key]) & times[t].between(periods["period_begin"], periods["period_end"]))
-    points = hit.select(periods[key], "period_begin", times[t].alias("at"))
+    hit = mark_periods(times.select(key, t), periods, key, t, width).where("period is not null")
+    points = hit.select(key, F.col("period.begin").alias("period_begin"), F.col(t).alias("at"))
     edges = periods.select(key, "period_begin", F.explode(F.array("period_begin", "period_end")).alias("at"))
-    w = Window.partitionBy(key, "period_begin").orderBy("at")
-    gaps = points.unionByName(edges).withColumn("gap", F.col("at") - F.lag("at").over(w))
+    gaps = previous(points.unionByName(edges), [key, "period_begin"], "at", ["at"], width).withColumn("gap", F.col("at") - F.col("prev.at"))
     counted = (F.col("gap") - tolerance > interval) & (F.col("gap") >= (least_gap or 0)) & (F.lit(True) if most_gap is None else F.col("gap") <= most_gap)
     missed = gaps.groupBy(key).agg(F.sum(F.when(counted, F.floor((F.col("gap") - tolerance) / interval)).otherwise(0)).cast("long").alias("missed"))
     uis = periods.groupBy(key).agg(F.sum(F.floor((F.col("period_end") - F.col("period_begin")) / interval)).cast("long").alias("sum_uis"))
     return uis.join(missed, key).withColumn("pd", detection_probability(F.col("missed"), F.col("sum_uis")))
 
 
+def missed_intervals(times: DataFrame, periods: DataFrame, key: str, t: str, valid: Column, interval: int, least_period: int = 0, tolerance: int = 0) -> DataFrame:
+    """As R1 on the valid updates of the periods that are long enough; invalid updates are skipped."""
+    long = periods.where(F.col("period_end") - F.col("period_begin") >= least_period)
+    return missed_updates(times.where(F.coalesce(valid, F.lit(False))), long, key, t, interval, tolerance)
+
+
 def detection_probability(missed: Column, sum_uis: Column) -> Column:
     return F.when(sum_uis > 0, 1.0 - missed / sum_uis)
 
 
+STATUSES = ("same", "different", "no_ref_val", "no_tst")
+
+
 def status_counts(df: DataFrame, key: list[str], status: str, inside: Column | None = None) -> DataFrame:
-    """Counters of a compared value for each key; outside reports count as outside only."""
+    """Counters of a compared value for each key (2.6): without a reference position, else outside, else by status.
+
+    n_updates - n_no_ref_pos = n_inside + n_outside, and n_inside is the sum of the statuses. inside is
+    asked of the reference's position, which is there then.
+    """
     inside = F.lit(True) if inside is None else F.coalesce(inside, F.lit(False))
+    there = F.col(status) != "no_ref_pos"
     of = lambda s: F.count_if(inside & (F.col(status) == s)).alias(f"n_{s}")
-    return df.groupBy(*key).agg(F.count("*").alias("n_updates"), F.count_if(~inside).alias("n_outside"), *(of(s) for s in ("same", "different", "no_ref", "no_tst")))
+    counts = [F.count("*").alias("n_updates"), F.count_if(~there).alias("n_no_ref_pos"), F.count_if(there & ~inside).alias("n_outside"), F.count_if(there & inside).alias("n_inside")]
+    return df.groupBy(*key).agg(*counts, *(of(s) for s in STATUSES))
 
 
 def correct_rate(counts: DataFrame) -> DataFrame:
@@ -55,11 +73,32 @@ def false_rate(counts: DataFrame) -> DataFrame:
 
 
 def present_rate(counts: DataFrame) -> DataFrame:
-    """Where the reference has a value; without one the report counts as present (decision Q6)."""
-    there = F.col("n_same") + F.col("n_different") + F.col("n_no_ref")
+    """Present values, and updates whose reference has no value, of all inside; those without a reference position don't count."""
+    there = F.col("n_same") + F.col("n_different") + F.col("n_no_ref_val")
     return counts.withColumn("p_present", ratio(there, there + F.col("n_no_tst")))
 
 
+def identification_correct(statuses: list[str], all_needed: bool = False) -> Column:
+    """One outcome of several compared identity columns: no_ref_val, correct or not_correct.
+
+    Without a reference value in any of them no_ref_val. A missing test value isn't correct; one column
+    without a reference value hasn't failed.
+    """
+    fine = [F.col(s).isin("same", "no_ref_val") for s in statuses]
+    every, some = (reduce(op, fine) for op in (and_, or_))
+    without = reduce(and_, [F.col(s) == "no_ref_val" for s in statuses])
+    return F.when(without, "no_ref_val").when(every if all_needed else some, "correct").otherwise("not_correct")
+
+
+def identification_false(statuses: list[str], all_needed: bool = True) -> Column:
+    """Unknown without any comparable column; false where all (or any) comparable ones are different."""
+    known = [F.col(s).isin("same", "different") for s in statuses]
+    different = [F.col(s) == "different" for s in statuses]
+    any_known, any_different = reduce(or_, known), reduce(or_, different)
+    no_same = ~reduce(or_, [F.col(s) == "same" for s in statuses])
+    return F.when(~any_known, "unknown").when(any_different & no_same if all_needed else any_different, "false").otherwise("not_false")
+
+
 def roll_up(counts: DataFrame, by: list[str], counters: list[str]) -> DataFrame:
     """Sums of counters over targets; by may hold split columns."""
     sums = [F.sum(c).alias(c) for c in counters]
@@ -121,36 +160,82 @@ def linear_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), *fit)
 
 
-def extra_data(times: DataFrame, periods: DataFrame, key: str, t: str) -> DataFrame:
-    """For each key the reports in no reference period and their share."""
-    p = periods.select(F.col(key).alias("_k"), "period_begin", "period_end")
-    # periods of a key don't overlap, so that a report is in one at most
-    rows = times.join(p, (times[key] == F.col("_k")) & times[t].between(F.col("period_begin"), F.col("period_end")), "left")
-    out = rows.groupBy(key).agg(F.count_if(F.col("_k").isNull()).alias("n_extra"), F.count_if(F.col("_k").isNotNull()).alias("n_ok"))
+def extra_data(times: DataFrame, periods: DataFrame, key: str, t: str, ignored: DataFrame | None = None) -> DataFrame:
+    """For each key the reports in no reference period and their share; targets in `ignored` are left out."""
+    rows = times if ignored is None else times.join(ignored.select(key), key, "left_anti")
+    rows = mark_periods(rows, periods, key, t)
+    out = rows.groupBy(key).agg(F.count_if(F.col("period").isNull()).alias("n_extra"), F.count_if(F.col("period").isNotNull()).alias("n_ok"))
     return out.withColumn("p_extra", ratio(F.col("n_extra"), F.col("n_extra") + F.col("n_ok")))
 
 
-def extra_tracks(reports: DataFrame, tracks: DataFrame, key: str, t: str, track: str) -> DataFrame:
-    """Reports inside the period of another track of the same target."""
-    o = tracks.select(F.col(key).alias("_k"), F.col(track).alias("_n"), "period_begin", "period_end")
-    return reports.join(o, (reports[key] == F.col("_k")) & (reports[track] != F.col("_n")) & reports[t].between(F.col("period_begin"), F.col("period_end")), "left_semi")
+def ignored_targets(reports: DataFrame, key: str, t: str, primary: Column, least_updates: int = 10, least_duration: int = 60_000_000) -> DataFrame:
+    """Targets with too few updates, too short a life, or primary reports only."""
+    per = reports.groupBy(key).agg(F.count("*").alias("n"), (F.max(t) - F.min(t)).alias("duration"), F.min(F.coalesce(primary, F.lit(False)).cast("int")).alias("primary"))
+    return per.where((F.col("n") < least_updates) | (F.col("duration") < least_duration) | (F.col("primary") == 1)).select(key)
 
 
-def dubious(df: DataFrame, key: list[str], t: str, limits: dict[str, float], second: float, least_updates: int, least_duration: float, most_share: float, angles: tuple[str, ...] = ()) -> DataFrame:
-    """Rates of change between consecutive updates against limits, for each target or track.
+def extra_tracks(reports: DataFrame, tracks: DataFrame, key: str, t: str, track: str, width: int = WIDTH) -> DataFrame:
+    """Reports inside the period of another track of the same target; periods meet reports by time slice."""
+    o = _over_slices(tracks.select(F.col(key).alias("_k"), F.col(track).alias("_n"), "period_begin", "period_end"), "period_begin", "period_end", width)
+    rows = reports.withColumn("_slot", F.floor(F.col(t) / width))
+    inside = (F.col(track) != F.col("_n")) & F.col(t).between(F.col("period_begin"), F.col("period_end"))
+    return rows.join(o, (F.col(key) == F.col("_k")) & (F.col("_slot") == F.col("_slice")) & inside, "left_semi").drop("_slot")
+
+
+def extra_track_rate(reports: DataFrame, extra: DataFrame, key: str, row: str) -> DataFrame:
+    """For each key extra and other reports, and the share of the extra ones."""
+    flags = reports.join(extra.select(F.col(row).alias("_x")), F.col(row) == F.col("_x"), "left")
+    out = flags.groupBy(key).agg(F.count("_x").alias("n_extra"), F.count_if(F.col("_x").isNull()).alias("n_ok"))
+    return out.withColumn("p_extra", ratio(F.col("n_extra"), F.col("n_extra") + F.col("n_ok")))
+
+
+def dubious(
+    df: DataFrame, key: list[str], t: str, limits: dict[str, float], second: float, least_updates: int, least_duration: float, most_share: float,
+    angles: tuple[str, ...] = (), primary: Column | None = None, largest: dict[str, float] | None = None, width: int = WIDTH,
+) -> DataFrame:
+    """Rates of change between consecutive updates against limits, for each target or track.
 
     limits: column -> largest change in a second; those of `angles` are degrees, whose change is the smaller
-    way round. A target is dubious if it has too few updates, is too
-    short, or too large a share of its updates breaks a limit.
+    way round. largest: column -> largest value. A target is dubious if it has primary reports only, too
+    few updates, too short a life, or too large a share of its updates breaks a limit, in this order.
     """
-    w = Window.partitionBy(*key).orderBy(t)
-    dt = (F.col(t) - F.lag(t).over(w)) / second
+    rows = previous(df, key, t, [t, *limits], width)
+    dt = (F.col(t) - F.col(f"prev.{t}")) / second
+    bad = {}
     for column, limit in limits.items():
-        last = F.lag(column).over(w)
+        last = F.col(f"prev.{column}")
         change = min_angle_diff(last, F.col(column)) if column in angles else F.col(column) - last
-        df = df.withColumn(f"_bad_{column}", F.coalesce((dt > 0) & (F.abs(change) / dt > limit), F.lit(False)))
-    bad = [F.count_if(f"_bad_{c}").alias(f"n_{c}") for c in limits]
-    some = F.count_if(F.greatest(*(F.col(f"_bad_{c}").cast("int") for c in limits), F.lit(0), F.lit(0)) == 1).alias("n_dubious")
-    out = df.groupBy(*key).agg(F.count("*").alias("n_updates"), ((F.max(t) - F.min(t)) / second).alias("duration"), some, *bad)
-    reason = F.when(F.col("n_updates") < least_updates, "few updates").when(F.col("duration") < least_duration, "short").when(F.col("n_dubious") > most_share * F.col("n_updates"), "changes")
-    return out.withColumn("reason", reason).withColumn("is_dubious", reason.isNotNull())
+        bad[column] = F.coalesce((dt > 0) & (F.abs(change) / dt > limit), F.lit(False))
+    for column, limit in (largest or {}).items():
+        bad[f"large_{column}"] = F.coalesce(F.abs(column) > limit, F.lit(False))
+    only = F.lit(False) if primary is None else F.coalesce(primary, F.lit(False))
+    some = F.count_if(reduce(or_, bad.values(), F.lit(False))).alias("n_dubious")
+    out = rows.groupBy(*key).agg(F.count("*").alias("n_updates"), ((F.max(t) - F.min(t)) / second).alias("duration"), F.min(only.cast("int")).alias("_only"), some, *(F.count_if(b).alias(f"n_{c}") for c, b in bad.items()))
+    reason = F.when(F.col("_only") == 1, "primary only").when(F.col("n_updates") < least_updates, "few updates").when(F.col("duration") < least_duration, "short").when(F.col("n_dubious") > most_share * F.col("n_updates"), "changes")
+    return out.withColumn("reason", reason).withColumn("is_dubious", reason.isNotNull()).drop("_only")
+
+
+def dubious_tracks(df: DataFrame, key: str, track: str, t: str, gap: int, **rules) -> DataFrame:
+    """`dubious` for each session of each track of a target."""
+    rows = df.withColumn("_track", F.struct(key, track))
+    return dubious(gap_sessions(rows, "_track", t, gap).drop("_track"), [key, track, "session"], t, **rules)
+
+
+def dubious_ratio(found: DataFrame, by: list[str]) -> DataFrame:
+    """Dubious ones of all, and the mean duration of either kind."""
+    mean = lambda flag: F.avg(F.when(F.col("is_dubious") == flag, F.col("duration")))
+    out = found.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("is_dubious").alias("n_dubious"), mean(True).alias("mean_dubious"), mean(False).alias("mean_other"))
+    return out.withColumn("p_dubious", ratio(F.col("n_dubious"), F.col("n")))
+
+
+def passed_rate(df: DataFrame, by: list[str], value: str, passed: Column) -> DataFrame:
+    """Passed and failed of the values that are there, with the accumulator's figures."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count_if(passed).alias("n_passed"), F.count_if(~passed).alias("n_failed"))
+    out = counts.join(accumulate(df, by, value), by)
+    return out.withColumn("p_passed", ratio(F.col("n_passed"), F.col("n_passed") + F.col("n_failed")))
+
+
+def radar_view(df: DataFrame, site: tuple[float, float], lat: str, lon: str, prefix: str) -> DataFrame:
+    """Range in metres and azimuth in radians of positions as seen from a site."""
+    east, north = local_offset(F.lit(site[0]), F.lit(site[1]), F.col(lat), F.col(lon))
+    return df.withColumn(f"{prefix}_range", F.hypot(east, north)).withColumn(f"{prefix}_azimuth", F.atan2(east, north))

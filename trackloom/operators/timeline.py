@@ -1,8 +1,9 @@
 """Operators along the time of a target: as-of alignment, sessions, periods.
 
 Histories of targets differ widely in length, so every window here is partitioned by target and time
-slice. A slice also gets the rows that its edges may need, which the tolerance or gap bounds, and sums
-that run across slices are carried over from pre-aggregated slices.
+slice. A slice also gets the rows that its edges may need where a tolerance or gap bounds them; otherwise
+what a row needs of earlier slices (`previous`, `running`, `carried`) comes from one pre-aggregated row a
+slice. No frame slides: each grows from the start of its slice, so that a slice costs its rows once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,53 @@ def _slices(df: DataFrame, t: str, width: int, before: int, after: int) -> DataF
     return df.withColumn("slice", F.explode(F.sequence(slot(F.col(t) - before), slot(F.col(t) + after))))
 
 
+def _sliced(df: DataFrame, key: list[str], t: str, width: int, tie: list[str]):
+    return df.withColumn("_s", F.floor(F.col(t) / width)), Window.partitionBy(*key, "_s").orderBy(t, *tie)
+
+
+def _with_edges(rows: DataFrame, key: list[str], t: str, tie: list[str], edge: Column, carry) -> DataFrame:
+    """Adds _carry: carry(column, window over the slices of a key before) of one aggregated value a slice."""
+    edges = rows.groupBy(*key, "_s").agg(edge.alias("_e"))
+    earlier = Window.partitionBy(*key).orderBy("_s")
+    edges = edges.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(key)), F.col("_s").alias("_es"), carry(F.col("_e"), earlier).alias("_carry"))
+    on = F.col("_s") == F.col("_es")
+    for i, k in enumerate(key):
+        on &= F.col(k) == F.col(f"_k{i}")
+    return rows.join(edges, on, "left").drop("_es", *(f"_k{i}" for i in range(len(key))))
+
+
+def previous(df: DataFrame, key: list[str], t: str, columns: list[str], width: int, tie: list[str] | None = None) -> DataFrame:
+    """Adds prev, a struct of the columns of the row before in the order of t and tie; null for the first of a key."""
+    tie = tie or []
+    rows, w = _sliced(df, key, t, width, tie)
+    own = F.struct(*columns)
+    rows = rows.withColumn("prev", F.lag(own).over(w))
+    rows = _with_edges(rows, key, t, tie, F.max_by(own, F.struct(t, *tie)), lambda e, before: F.lag(e).over(before))
+    return rows.withColumn("prev", F.coalesce("prev", "_carry")).drop("_carry", "_s")
+
+
+def running(df: DataFrame, key: list[str], t: str, value: str, name: str, width: int, tie: list[str] | None = None) -> DataFrame:
+    """Adds the sum of value from the first row of a key up to this one and those of equal t and tie."""
+    rows, w = _sliced(df, key, t, width, tie or [])
+    rows = rows.withColumn("_in", F.sum(value).over(w))
+    rows = _with_edges(rows, key, t, tie or [], F.sum(value), lambda e, before: F.sum(e).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.withColumn(name, F.coalesce("_in", F.lit(0)) + F.coalesce("_carry", F.lit(0))).drop("_in", "_carry", "_s")
+
+
+def carried(df: DataFrame, key: list[str], t: str, value: str, width: int, tie: list[str] | None = None) -> DataFrame:
+    """Replaces value by the last one that isn't null, up to this row."""
+    tie = tie or []
+    rows, w = _sliced(df, key, t, width, tie)
+    some = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(t, *tie)))
+    rows = rows.withColumn("_last", F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _with_edges(rows, key, t, tie, some, lambda e, before: F.last(e, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    return rows.withColumn(value, F.coalesce("_last", "_carry")).drop("_last", "_carry", "_s")
+
+
+#: Width of a slice in units of t where none is given: four hours in microseconds.
+WIDTH = 4 * 3_600_000_000
+
+
 def asof_neighbours(tst: DataFrame, ref: DataFrame, key: str, t: str, carry: list[str], reach: int, width: int | None = None) -> DataFrame:
     """Each test row with its reference neighbours at most `reach` away.
 
@@ -29,13 +77,52 @@ def asof_neighbours(tst: DataFrame, ref: DataFrame, key: str, t: str, carry: lis
     left = tst.withColumn("slice", F.floor(F.col(t) / width)).withColumn("_r", F.lit(None).cast(ref.select(point.alias("p")).schema["p"].dataType))
     right = _slices(ref.groupBy(key, t).agg(F.min(point).alias("_r")), t, width, reach, reach)
     both = left.unionByName(right, allowMissingColumns=True).withColumn("_ref", F.col("_r").isNotNull())
-    w = Window.partitionBy(key, "slice").orderBy(t)
-    past, future = w.rangeBetween(-reach, 0), w.rangeBetween(0, reach)
-    both = both.withColumn("lo", F.last("_r", ignorenulls=True).over(past)).withColumn("hi", F.first("_r", ignorenulls=True).over(future))
+    # two growing frames, one along time and one against it; what lies beyond the reach is dropped after
+    w = Window.partitionBy(key, "slice")
+    past, future = (w.orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.col(t).asc(), F.col(t).desc()))
+    both = both.withColumn("lo", F.last("_r", ignorenulls=True).over(past)).withColumn("hi", F.last("_r", ignorenulls=True).over(future))
     out = both.where("not _ref").drop("_ref", "_r", "slice")
+    out = out.withColumn("lo", F.when(F.col(t) - F.col("lo.t") <= reach, F.col("lo"))).withColumn("hi", F.when(F.col("hi.t") - F.col(t) <= reach, F.col("hi")))
     return out.withColumn("exact", F.coalesce(F.col("lo.t") == F.col(t), F.lit(False))).withColumn("matched", F.col("lo").isNotNull() & F.col("hi").isNotNull())
 
 
+def neighbour_flag(column: str) -> Column:
+    """A flag such as the ground bit: the row before's only if it is set, else the row after's."""
+    return F.when(F.coalesce(F.col(f"lo.{column}"), F.lit(False)), True).otherwise(F.col(f"hi.{column}"))
+
+
+def nearest_at(points: DataFrame, times: DataFrame, key: str, t: str, columns: list[str], reach: int) -> DataFrame:
+    """The index among a key's points and the columns of the last point at or before each time, within reach."""
+    rows = running(points.withColumn("_one", F.lit(1)), [key], t, "_one", "index", WIDTH).drop("_one")
+    near = asof_neighbours(times, rows, key, t, [*columns, "index"], reach)
+    return near.select(*times.columns, F.col("lo.index").alias("index"), *(F.col(f"lo.{c}").alias(c) for c in columns))
+
+
+def positions_between(points: DataFrame, spans: DataFrame, key: str, t: str, width: int = WIDTH) -> DataFrame:
+    """The points of each span (key, begin, end) of their key, its bounds included; one row for each span and point."""
+    s = _over_slices(spans.select(F.col(key).alias("_k"), "begin", "end"), "begin", "end", width)
+    rows = points.withColumn("_slot", F.floor(F.col(t) / width))
+    found = rows.join(s, (F.col(key) == F.col("_k")) & (rows["_slot"] == s["_slice"]) & F.col(t).between(F.col("begin"), F.col("end")))
+    return found.select(*points.columns, "begin", "end")
+
+
+def _over_slices(spans: DataFrame, begin: str, end: str, width: int) -> DataFrame:
+    """A copy of each span for every slice that it touches, so that it meets rows by an equi-join."""
+    return spans.withColumn("_slice", F.explode(F.sequence(F.floor(F.col(begin) / width), F.floor(F.col(end) / width))))
+
+
+def mark_periods(df: DataFrame, found: DataFrame, key: str, t: str, width: int = WIDTH) -> DataFrame:
+    """Adds period, a struct of the begin and end of the period of its key in which each row lies, else null.
+
+    Periods of a key don't overlap, so that the last one to begin is the only candidate.
+    """
+    p = F.struct(F.col("period_begin").alias("begin"), F.col("period_end").alias("end"))
+    starts = found.select(key, F.col("period_begin").alias(t), p.alias("period"), F.lit(0).alias("_kind"))
+    both = df.withColumn("_kind", F.lit(1)).unionByName(starts, allowMissingColumns=True)
+    rows = carried(both, [key], t, "period", width, ["_kind"]).where("_kind = 1").drop("_kind")
+    return rows.withColumn("period", F.when(F.col(t) <= F.col("period.end"), F.col("period")))
+
+
 def interpolate(column: str, t: str) -> Column:
     """Linear between lo and hi; the value of lo on an exact hit; the one that is known if one is null."""
     share = (F.col(t) - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t"))
@@ -52,11 +139,15 @@ def interpolate_angle(column: str, t: str) -> Column:
 
 
 def compare_status(value: str, reference: str, tolerance: float = 0.0, found: Column | None = None) -> Column:
-    """The four outcomes of a value against the lower, then the upper neighbour: same, different, no_ref, no_tst."""
+    """The outcomes of a value against the lower, then the upper neighbour.
+
+    no_ref_pos: the reference itself isn't there (not `found`); no_ref_val: it is, without this value on
+    either side; then no_tst, same or different.
+    """
     lo, hi = F.col(f"lo.{reference}"), F.col(f"hi.{reference}")
-    near = lambda r: F.coalesce(F.abs(F.col(value) - r) <= tolerance, F.lit(False))
-    no_ref = lo.isNull() & hi.isNull() if found is None else ~found | (lo.isNull() & hi.isNull())
-    return F.when(no_ref, "no_ref").when(F.col(value).isNull(), "no_tst").when(near(lo) | near(hi), "same").otherwise("different")
+    near = lambda r: F.coalesce(F.abs(F.col(value) - r) <= tolerance, F.lit(False)) if tolerance else F.coalesce(F.col(value) == r, F.lit(False))
+    status = F.when(lo.isNull() & hi.isNull(), "no_ref_val").when(F.col(value).isNull(), "no_tst").when(near(lo) | near(hi), "same").otherwise("different")
+    return status if found is None else F.when(~found, "no_ref_pos").otherwise(status)
 
 
 def fill_nearest(df: DataFrame, key: str, t: str, column: str, within: int) -> DataFrame:
@@ -71,27 +162,22 @@ def fill_nearest(df: DataFrame, key: str, t: str, column: str, within: int) -> D
 def gap_sessions(df: DataFrame, key: str, t: str, gap: int, width: int | None = None) -> DataFrame:
     """Adds session, counted from 1 for each key: a new one starts after a gap longer than `gap`."""
     width = width or max(8 * gap, 1)
-    rows = _slices(df.withColumn("_own", F.floor(F.col(t) / width)), t, width, 0, gap)
-    by_time = Window.partitionBy(key, "slice").orderBy(t)
-    rows = rows.withColumn("_before", F.lag(t).over(by_time)).where("slice = _own")
-    rows = rows.withColumn("_new", F.when(F.col("_before").isNull() | (F.col(t) - F.col("_before") > gap), 1).otherwise(0))
-    sums = rows.groupBy(F.col(key).alias("_k"), F.col("slice").alias("_s")).agg(F.sum("_new").alias("_n"))
-    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_k", "_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    rows = rows.withColumn("_in", F.sum("_new").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.join(sums, (F.col(key) == F.col("_k")) & (F.col("slice") == F.col("_s")))
-    return out.withColumn("session", (F.col("_start") + F.col("_in")).cast("long")).select(*df.columns, "session")
-
-
-def periods(df: DataFrame, key: str, t: str, inside: Column, gap: int, least: int = 0) -> DataFrame:
+    rows = previous(df, [key], t, [t], width)
+    rows = rows.withColumn("_new", F.when(F.col(f"prev.{t}").isNull() | (F.col(t) - F.col(f"prev.{t}") > gap), 1).otherwise(0))
+    return running(rows, [key], t, "_new", "session", width).withColumn("session", F.col("session").cast("long")).select(*df.columns, "session")
+
+
+def periods(df: DataFrame, key: str, t: str, inside: Column, gap: int, least: int = 0, width: int | None = None) -> DataFrame:
     """Stretches of consecutive inside rows without a gap above `gap`: key, period_begin, period_end.
 
-    Periods shorter than `least` are left out. A row outside ends a period.
+    Periods shorter than `least` are left out. A row outside ends a period. Of rows with one time, those
+    inside come first.
     """
-    w = Window.partitionBy(key).orderBy(t)
-    rows = df.withColumn("_in", F.coalesce(inside, F.lit(False)))
-    starts = F.col("_in") & (~F.coalesce(F.lag("_in").over(w), F.lit(False)) | (F.col(t) - F.lag(t).over(w) > gap))
-    rows = rows.withColumn("_start", starts.cast("int")).withColumn("_p", F.sum("_start").over(w)).where("_in")
+    width = width or max(8 * gap, 1)
+    rows = df.withColumn("_ok", F.coalesce(inside, F.lit(False))).withColumn("_out", ~F.col("_ok"))
+    rows = previous(rows, [key], t, [t, "_ok"], width, ["_out"])
+    starts = F.col("_ok") & (~F.coalesce(F.col("prev._ok"), F.lit(False)) | (F.col(t) - F.col(f"prev.{t}") > gap))
+    rows = running(rows.withColumn("_start", F.coalesce(starts, F.lit(True)).cast("int")), [key], t, "_start", "_p", width, ["_out"]).where("_ok")
     out = rows.groupBy(key, "_p").agg(F.min(t).alias("period_begin"), F.max(t).alias("period_end"))
     return out.where(F.col("period_end") - F.col("period_begin") >= least).drop("_p")
 
@@ -124,10 +210,20 @@ def seconds_grid(df: DataFrame, key: str, second: str, value: str, confidence: s
     return rows.groupBy(key, "slot").agg(F.min_by(value, order).alias(value))
 
 
-def day_rollover(df: DataFrame, source: str, order: str, tod: str, near: float = 300.0) -> DataFrame:
-    """Time of day to seconds since the first day: a fall from just before midnight to just after is a new day."""
-    w = Window.partitionBy(source).orderBy(order)
-    before = F.lag(tod).over(w)
+def day_rollover(df: DataFrame, source: str, order: str, tod: str, near: float = 300.0, width: int = WIDTH) -> DataFrame:
+    """Time of day to seconds since the first day: a fall from just before midnight to just after is a new day."""
+    rows = previous(df, [source], order, [tod], width)
+    before = F.col(f"prev.{tod}")
     step = F.when((before > 86400 - near) & (F.col(tod) < near), 1).when((before < near) & (F.col(tod) > 86400 - near), -1).otherwise(0)
-    rows = df.withColumn("_step", step).withColumn("day", F.sum("_step").over(w).cast("long"))
-    return rows.withColumn("seconds", F.col("day") * 86400.0 + F.col(tod)).drop("_step")
+    rows = running(rows.withColumn("_step", step), [source], order, "_step", "day", width).withColumn("day", F.col("day").cast("long"))
+    return rows.withColumn("seconds", F.col("day") * 86400.0 + F.col(tod)).drop("_step", "prev")
+
+
+def override_tod(df: DataFrame, tod: str, offset: float, low: float = 0.0, high: float = 86400.0) -> DataFrame:
+    """X11: times of day in [low, high] moved by an offset, kept within the day."""
+    return df.withColumn(tod, F.when(F.col(tod).between(low, high), F.pmod(F.col(tod) + offset, F.lit(86400.0))).otherwise(F.col(tod)))
+
+
+def not_in_future(df: DataFrame, t: str, now: Column, skew: int) -> DataFrame:
+    """X11: reports later than now by more than the skew go."""
+    return df.where(F.col(t) <= now + skew)

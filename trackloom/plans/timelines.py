@@ -25,7 +25,7 @@ aligned AS (
   FROM tst ASOF LEFT JOIN ref lo ON tst.utn = lo.utn AND tst.t >= lo.t ASOF LEFT JOIN ref hi ON tst.utn = hi.utn AND tst.t <= hi.t
 ),
 status AS (
-  SELECT *, CASE WHEN lo_t IS NULL OR hi_t IS NULL THEN 'no_ref' WHEN abs(value - lo_value) <= 100 OR abs(value - hi_value) <= 100 THEN 'same' ELSE 'different' END AS status FROM aligned
+  SELECT *, CASE WHEN lo_t IS NULL OR hi_t IS NULL THEN 'no_ref_pos' WHEN abs(value - lo_value) <= 100 OR abs(value - hi_value) <= 100 THEN 'same' ELSE 'different' END AS status FROM aligned
 )"""
 
 
@@ -117,15 +117,18 @@ def interval_overlap(spark, sf):
 
 
 def _counts(spark, sf):
-    s = _status(spark, sf).withColumn("inside", F.col("code") < 80)
+    """The reference's mapped position decides what is inside."""
+    s = _status(spark, sf).withColumn("inside", L.interpolate("value", "t") < 400)
     return E.status_counts(s, ["utn"], "status", F.col("inside"))
 
 
 _COUNTS = f"""{_ALIGNED},
+placed AS (SELECT *, CASE WHEN lo_t = t THEN lo_value ELSE lo_value + (hi_value - lo_value) * ((t - lo_t) / (hi_t - lo_t)) END < 400 AS inside FROM status),
 counts AS (
-  SELECT utn, count(*) AS n_updates, count(*) FILTER (WHERE code >= 80) AS n_outside, count(*) FILTER (WHERE code < 80 AND status = 'same') AS n_same,
-    count(*) FILTER (WHERE code < 80 AND status = 'different') AS n_different, count(*) FILTER (WHERE code < 80 AND status = 'no_ref') AS n_no_ref, CAST(0 AS BIGINT) AS n_no_tst
-  FROM status GROUP BY utn
+  SELECT utn, count(*) AS n_updates, count(*) FILTER (WHERE lo_t IS NULL OR hi_t IS NULL) AS n_no_ref_pos, count(*) FILTER (WHERE lo_t IS NOT NULL AND hi_t IS NOT NULL AND NOT inside) AS n_outside,
+    count(*) FILTER (WHERE lo_t IS NOT NULL AND hi_t IS NOT NULL AND inside) AS n_inside, count(*) FILTER (WHERE inside AND status = 'same') AS n_same,
+    count(*) FILTER (WHERE inside AND status = 'different') AS n_different, CAST(0 AS BIGINT) AS n_no_ref_val, CAST(0 AS BIGINT) AS n_no_tst
+  FROM placed GROUP BY utn
 )"""
 
 
@@ -138,7 +141,9 @@ def false_rate(spark, sf):
 
 
 def present_rate(spark, sf):
-    a = aligned(spark, sf).withColumn("code", F.when(F.col("code") % 4 != 0, F.col("code")))
+    r = reports(spark, sf).withColumn("code", F.when(F.col("code") % 4 != 0, F.col("code")))
+    tst, ref = r.where("source = 'click'"), r.where("source = 'view'")
+    a = L.asof_neighbours(tst, ref, "utn", "t", ["value", "code"], REACH)
     counts = E.status_counts(a.withColumn("status", L.compare_status("code", "code", 0, F.col("matched"))), ["utn"], "status")
     return E.present_rate(counts).withColumn("p_present", F.round("p_present", 9))
 
@@ -215,9 +220,14 @@ SELECT * FROM g WHERE gap_end > gap_begin""",
     "interval_overlap": f"{_W}, {_PERIODS}, p AS (SELECT utn, min(period_begin) AS a, min(period_end) AS b, max(period_begin) AS c, max(period_end) AS d FROM periods GROUP BY utn), o AS (SELECT utn, least(d, c) - greatest(a, b) AS common, least(d - a, c - b) AS shorter FROM p) SELECT utn, round(CASE WHEN common > 0 AND shorter > 0 THEN common / shorter ELSE 0.0::DOUBLE END, 9) AS share FROM o",
     "correct_rate": f"{_W}, {_COUNTS} SELECT *, round(CASE WHEN n_same + n_different > 0 THEN n_same / (n_same + n_different) END, 9) AS p_correct FROM counts",
     "false_rate": f"{_W}, {_COUNTS} SELECT utn, round(CASE WHEN n_same + n_different > 0 THEN n_different / (n_same + n_different) END, 9) AS p_false FROM counts",
-    "present_rate": f"""{_W}, {_ALIGNED}, p AS (SELECT utn, CASE WHEN lo_t IS NULL OR hi_t IS NULL THEN 'no_ref' WHEN code % 4 = 0 THEN 'no_tst' WHEN code = lo_code OR code = hi_code THEN 'same' ELSE 'different' END AS status FROM aligned),
-c AS (SELECT utn, count(*) AS n_updates, CAST(0 AS BIGINT) AS n_outside, count(*) FILTER (WHERE status = 'same') AS n_same, count(*) FILTER (WHERE status = 'different') AS n_different, count(*) FILTER (WHERE status = 'no_ref') AS n_no_ref, count(*) FILTER (WHERE status = 'no_tst') AS n_no_tst FROM p GROUP BY utn)
-SELECT *, round((n_updates - n_no_tst) / n_updates, 9) AS p_present FROM c""",
+    # from the stated rule: reports without a reference position don't count, those whose reference has no code count as present
+    "present_rate": f"""{_W}, r AS (SELECT utn, t, source, value, CASE WHEN code % 4 <> 0 THEN code END AS code FROM reports), tst AS (SELECT * FROM r WHERE source = 'click'),
+ref AS (SELECT utn, t, any_value(code) AS code FROM r WHERE source = 'view' GROUP BY utn, t),
+j AS (SELECT tst.utn, tst.code, lo.code AS a, hi.code AS b, tst.t - lo.t <= {REACH} AND hi.t - tst.t <= {REACH} AS pos FROM tst ASOF LEFT JOIN ref lo ON tst.utn = lo.utn AND tst.t >= lo.t ASOF LEFT JOIN ref hi ON tst.utn = hi.utn AND tst.t <= hi.t),
+c AS (SELECT utn, count(*) AS n_updates, count(*) FILTER (WHERE pos IS NOT TRUE) AS n_no_ref_pos, CAST(0 AS BIGINT) AS n_outside, count(*) FILTER (WHERE pos) AS n_inside,
+  count(*) FILTER (WHERE pos AND code IS NOT NULL AND (code = a OR code = b)) AS n_same, count(*) FILTER (WHERE pos AND code IS NOT NULL AND (a IS NOT NULL OR b IS NOT NULL) AND (code = a OR code = b) IS NOT TRUE) AS n_different,
+  count(*) FILTER (WHERE pos AND a IS NULL AND b IS NULL) AS n_no_ref_val, count(*) FILTER (WHERE pos AND (a IS NOT NULL OR b IS NOT NULL) AND code IS NULL) AS n_no_tst FROM j GROUP BY utn)
+SELECT *, round(CASE WHEN n_inside > 0 THEN (n_inside - n_no_tst) / n_inside END, 9) AS p_present FROM c""",
     "split_rollup": f"{_W}, {_COUNTS}, s AS (SELECT CASE WHEN utn % 5 = 0 THEN 'Primary' WHEN utn % 2 = 0 THEN 'Mode S' ELSE 'Mode A/C' END AS split, count(*) AS n_targets, CAST(sum(n_same) AS BIGINT) AS n_same, CAST(sum(n_different) AS BIGINT) AS n_different, CAST(sum(n_no_tst) AS BIGINT) AS n_no_tst FROM counts GROUP BY split) SELECT *, round(CASE WHEN n_same + n_different > 0 THEN n_same / (n_same + n_different) END, 9) AS p_correct FROM s",
     "position_rms": f"{_W}, {_ALIGNED}, d AS (SELECT utn, value - {_REF} AS d FROM aligned WHERE {_MATCHED}) SELECT utn, count(d) AS n, round(min(d), 5) AS min, round(max(d), 5) AS max, round(avg(d), 5) AS mean, round(sqrt(avg(d * d)), 5) AS rms, round(stddev_pop(d), 5) AS stddev FROM d GROUP BY utn",
     "linear_fit": f"{_W}, {_ALIGNED}, d AS (SELECT utn % 4 AS k, value, {_REF} AS ref FROM aligned WHERE {_MATCHED}) SELECT k, count(*) AS n, round(regr_slope(ref, value), 6) AS gain, round(regr_intercept(ref, value), 6) AS bias, round(avg(value - ref), 6) AS mean_diff FROM d GROUP BY k",
