@@ -62,3 +62,11 @@ def test_scores_against_a_plain_dot_product(spark):
     for i, text in enumerate(texts):
         every, _ = features([text])
         assert abs(got[i] - logistic(sum(weights[x] for x in every) / len(every) ** 0.5)) < 1e-9
+
+
+def test_packing():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 700):
+        at, count = np.sort(r.choice(quality.BUCKETS, n, replace=False)), r.integers(1, 1 << 20, n)
+        got = quality.unpack(quality.pack(at, count))
+        assert (got[0] == at).all() and (got[1] == count).all()
