@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackloom.plans import geometry, loading, streams, timelines, tracks
+from trackloom.plans import geometry, loading, requirements, streams, timelines, tracks
 
-_MODULES = (loading, timelines, geometry)
+_MODULES = (loading, timelines, requirements, geometry)
 
 
 def queries() -> dict:
