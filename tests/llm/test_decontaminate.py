@@ -77,10 +77,11 @@ def test_names_that_begin_sentences(spark):
         (1, "Before it. " + item.replace("Alice", "Maria").replace("Bob", "Tom").replace("12", "31") + " After it."),
         (2, "Before it. So " + item),
         (3, item.replace("Alice has", "Maria has").replace("Alice gives", "Peter gives").replace("Alice have", "Laura have")),
+        (5, "x " + item.replace("Alice gives", "Zelda gives")),
         (4, "Alice has a garden. Alice likes apples, and how many apples does she have? Nobody can say now."),
     ]
     got = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], ITEMS)).collect()
-    assert sorted((r.doc_id, r.n_changed) for r in got) == [(1, 3), (2, 0)]
+    assert sorted((r.doc_id, r.n_changed) for r in got) == [(1, 3), (2, 0), (3, 1), (5, 0)]  # of 3, more than half is the same word for word
 
 
 def test_templates_against_brute_force(spark):

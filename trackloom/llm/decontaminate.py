@@ -158,7 +158,7 @@ class Template:
 
 
 def _item_windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("window", pa.int64()), ("item_id", pa.int64()), ("item_at", pa.int32()), ("size", pa.int32()), ("raw", pa.bool_()), ("tokens", pa.int32()), ("item_slots", pa.list_(pa.int64())), ("item_places", pa.list_(pa.int32()))])
+    schema = pa.schema([("window", pa.int64()), ("item_id", pa.int64()), ("item_at", pa.int32()), ("size", pa.int32()), ("raw", pa.bool_()), ("reading", pa.int32()), ("tokens", pa.int32()), ("item_slots", pa.list_(pa.int64())), ("item_places", pa.list_(pa.int32()))])
 
     def rows() -> Iterator[dict]:
         for batch in slices(stream):
@@ -166,7 +166,7 @@ def _item_windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h, at, size, raw, reading in zip(*(x.tolist() for x in (lambda w: (w[0].view(np.int64), *w[1:]))(t.windows())), strict=True):
                 i = int(np.searchsorted(t.first, at, side="right")) - 1
                 places = np.flatnonzero(t.kinds[reading][at : at + size] != LITERAL) + (at - t.first[i])
-                yield {"window": h, "item_id": ids[i], "item_at": at - t.first[i], "size": size, "raw": raw, "tokens": t.first[i + 1] - t.first[i], "item_slots": _slots(t, reading, at, size), "item_places": places.tolist()}
+                yield {"window": h, "item_id": ids[i], "item_at": at - t.first[i], "size": size, "raw": raw, "reading": reading, "tokens": t.first[i + 1] - t.first[i], "item_slots": _slots(t, reading, at, size), "item_places": places.tolist()}
 
     yield from batches(rows(), schema)
 
@@ -179,7 +179,7 @@ def _slots(t: Template, reading: int, at: int, size: int) -> list[int]:
 
 def _doc_windows(wanted, sizes: list[int], raw_sizes: list[int]):
     """Windows of documents whose hash passes `wanted`, a broadcast filter of bits. Raw ones come without slots."""
-    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("window", pa.int64()), ("doc_at", pa.int64()), ("doc_slots", pa.list_(pa.int64()))])
+    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("window", pa.int64()), ("doc_at", pa.int64()), ("doc_reading", pa.int32()), ("doc_slots", pa.list_(pa.int64()))])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(wanted.value).view(bool)
@@ -195,7 +195,7 @@ def _doc_windows(wanted, sizes: list[int], raw_sizes: list[int]):
                 of = np.searchsorted(t.first, at, side="right") - 1
                 rid, did = batch.column("row_id").to_pylist(), batch.column("doc_id").to_pylist()
                 for x, a, n, w, k, i in zip(h.view(np.int64).tolist(), at.tolist(), size.tolist(), raw.tolist(), reading.tolist(), of.tolist(), strict=True):
-                    yield {"row_id": rid[i], "doc_id": did[i], "window": x, "doc_at": a - int(t.first[i]), "doc_slots": [] if w else _slots(t, k, a, n)}
+                    yield {"row_id": rid[i], "doc_id": did[i], "window": x, "doc_at": a - int(t.first[i]), "doc_reading": k, "doc_slots": [] if w else _slots(t, k, a, n)}
 
         yield from batches(rows(), schema)
 
@@ -220,7 +220,9 @@ def _judge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     places.append([])
                 places[-1].append(r)
             best = None
-            for place in places:
+            # a place counts by its first readings alone, or by all: what may be a name must not spoil what is the same word for word
+            plain = [[r for r in place if not r["reading"] and not r["doc_reading"]] for place in places]
+            for place in [p for pair in zip(plain, places, strict=True) for p in pair if p]:
                 covered = np.zeros(place[0]["tokens"], bool)
                 seen: dict[tuple[int, int], Counter] = {}
                 for r in place:
@@ -266,7 +268,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     an empty result.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    items = stage(items.mapInArrow(_item_windows, "window long, item_id long, item_at int, size int, raw boolean, tokens int, item_slots array<long>, item_places array<int>"))
+    items = stage(items.mapInArrow(_item_windows, "window long, item_id long, item_at int, size int, raw boolean, reading int, tokens int, item_slots array<long>, item_places array<int>"))
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # at most FILTER_BITS numbers come to the driver, however large the benchmark; what passes is joined by the whole hash
     known = items.select(F.col("window").bitwiseAND(FILTER_BITS - 1).cast("int").alias("bit")).distinct().toArrow()["bit"].to_numpy()
@@ -274,6 +276,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bits[known] = True
     wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
     sizes = items.select("size", "raw").distinct().collect()
-    found = rows.mapInArrow(_doc_windows(wanted, *(sorted(r["size"] for r in sizes if r["raw"] == raw) for raw in (False, True))), "row_id long, doc_id long, window long, doc_at long, doc_slots array<long>")
+    found = rows.mapInArrow(_doc_windows(wanted, *(sorted(r["size"] for r in sizes if r["raw"] == raw) for raw in (False, True))), "row_id long, doc_id long, window long, doc_at long, doc_reading int, doc_slots array<long>")
     hits = found.join(items.drop("raw"), "window")
     return spread(hits, "row_id", "item_id").mapInArrow(_judge, "doc_id long, item_id long, coverage double, longest_run long, n_slots long, n_changed long, consistency double")
