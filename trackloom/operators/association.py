@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackloom.operators.timeline import gap_sessions, overlap_share
+from trackloom.operators.filters import sources
+from trackloom.operators.staging import row_numbers, stage
+from trackloom.operators.timeline import WIDTH, _over_slices, gap_sessions, overlap_share, previous
 
 #: Identifications that identify nothing; fixed values.
 PLACEHOLDERS = ["00000000", "????????", "        "]
@@ -25,19 +27,41 @@ def best_hash_match(users: DataFrame, given: DataFrame, hashes: str, key: str, t
     return out.withColumn("dubious", F.col("b.d") >= old).drop("b")
 
 
-def nearest_candidates(reports: DataFrame, targets: DataFrame, t: str, x: str, y: str, reach_t: int, reach: float) -> DataFrame:
-    """J7 in part: for each report the target row nearest in space within reach_t and reach, whatever its codes: id, target, distance.
+def modes_agree(a: Column, b: Column, c: Column, d: Column, feet: float = 300.0) -> tuple[Column, Column]:
+    """K7: same, different or unknown for two Mode A codes, and for two Mode C heights at most `feet` apart."""
+    mode_a = F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "same").otherwise("different")
+    mode_c = F.when(c.isNull() | d.isNull(), "unknown").when(F.abs(c - d) <= feet, "same").otherwise("different")
+    return mode_a, mode_c
 
-    Both sides are put in cells of time and space as wide as the reach, so that a report meets only the
-    neighbouring cells: an equi-join on the cell, which Spark splits where a cell is crowded.
+
+def near_pairs(reports: DataFrame, targets: DataFrame, t: str, x: str, y: str, reach_t: int, reach: float, carry: list[str]) -> DataFrame:
+    """Pairs of a report and a target row within reach_t and reach: the report's columns, target and the carried columns as other_..., distance.
+
+    The report stands in one cell of time and space twice as wide as the reach, the target row in those
+    that its reach touches, two at most along each axis: an equi-join on the cell, which Spark splits
+    where a cell is crowded.
+    """
+    cell = lambda c, w: F.floor(c / (2 * w))
+    touched = lambda c, w: F.explode(F.sequence(cell(F.col(c) - w, w), cell(F.col(c) + w, w)))
+    left = reports.withColumns({"_ct": cell(F.col(t), reach_t), "_cx": cell(F.col(x), reach), "_cy": cell(F.col(y), reach)})
+    right = targets.select("target", F.col(t).alias("other_t"), F.col(x).alias("other_x"), F.col(y).alias("other_y"), *(F.col(c).alias(f"other_{c}") for c in carry), touched(t, reach_t).alias("_ct"))
+    right = right.withColumn("_cx", F.explode(F.sequence(cell(F.col("other_x") - reach, reach), cell(F.col("other_x") + reach, reach))))
+    right = right.withColumn("_cy", F.explode(F.sequence(cell(F.col("other_y") - reach, reach), cell(F.col("other_y") + reach, reach))))
+    pairs = left.join(right, ["_ct", "_cx", "_cy"]).withColumn("distance", F.hypot(F.col("other_x") - F.col(x), F.col("other_y") - F.col(y)))
+    return pairs.where((F.abs(F.col("other_t") - F.col(t)) <= reach_t) & (F.col("distance") <= reach)).drop("_ct", "_cx", "_cy")
+
+
+def nearest_candidates(reports: DataFrame, targets: DataFrame, t: str, x: str, y: str, reach_t: int, reach: float, mode_a: str | None = None, mode_c: str | None = None) -> DataFrame:
+    """For each report the target row of the least distance within reach_t and reach: id, target, distance, n_candidates.
+
+    With mode_a and mode_c, target rows whose code is different, or whose height is, aren't candidates.
     """
-    cell = lambda c, w: F.floor(F.col(c) / w)
-    near = lambda c, w: F.explode(F.sequence(cell(c, w) - 1, cell(c, w) + 1))
-    left = reports.select("id", F.col(t).alias("_t"), F.col(x).alias("_x"), F.col(y).alias("_y"), cell(t, reach_t).alias("ct"), cell(x, reach).alias("cx"), cell(y, reach).alias("cy"))
-    right = targets.select("target", F.col(t), F.col(x), F.col(y), near(t, reach_t).alias("ct")).withColumn("cx", near(x, reach)).withColumn("cy", near(y, reach))
-    d = F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))
-    pairs = left.join(right, ["ct", "cx", "cy"]).where((F.abs(F.col(t) - F.col("_t")) <= reach_t) & (d <= reach))
-    best = pairs.groupBy("id").agg(F.min(F.struct(d.alias("distance"), "target")).alias("b"), F.count("*").alias("n_candidates"))
+    carry = [c for c in (mode_a, mode_c) if c]
+    pairs = near_pairs(reports.select("id", t, x, y, *carry), targets, t, x, y, reach_t, reach, carry)
+    if mode_a and mode_c:
+        same_a, same_c = modes_agree(F.col(mode_a), F.col(f"other_{mode_a}"), F.col(mode_c), F.col(f"other_{mode_c}"))
+        pairs = pairs.where((same_a != "different") & (same_c != "different"))
+    best = pairs.groupBy("id").agg(F.min(F.struct("distance", "target")).alias("b"), F.count("*").alias("n_candidates"))
     return best.select("id", "b.target", "b.distance", "n_candidates")
 
 
@@ -46,26 +70,156 @@ def distance_class(d_nm: Column) -> Column:
     return F.when(d_nm > 5, "not ok").when(d_nm > 2, "dubious").when(d_nm < 1, "good").otherwise("acceptable")
 
 
-def merge_candidates(spans: DataFrame, key: str, by: str, least: float) -> DataFrame:
-    """J8 in part: pairs of targets that share an attribute and overlap in time by at least the share `least`."""
-    a, b = spans.alias("a"), spans.alias("b")
+def merge_candidates(spans: DataFrame, key: str, by: str, least: float, width: int = WIDTH) -> DataFrame:
+    """Pairs of targets that share an attribute and overlap in time by at least the share `least`.
+
+    Spans meet by time slice, in the first slice of both only, so that no pair comes twice.
+    """
+    cut = _over_slices(spans.select(key, by, "begin", "end"), "begin", "end", width)
+    a, b = cut.alias("a"), cut.alias("b")
     share = overlap_share(F.col("a.begin"), F.col("a.end"), F.col("b.begin"), F.col("b.end"))
-    pairs = a.join(b, (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.begin") < F.col("b.end")) & (F.col("b.begin") < F.col("a.end")))
+    both = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col("a._slice") == F.col("b._slice")) & (F.col(f"a.{key}") < F.col(f"b.{key}"))
+    first = F.col("a._slice") == F.greatest(F.floor(F.col("a.begin") / width), F.floor(F.col("b.begin") / width))
+    pairs = a.join(b, both & first & (F.col("a.begin") < F.col("b.end")) & (F.col("b.begin") < F.col("a.end")))
     return pairs.select(F.col(f"a.{by}").alias(by), F.col(f"a.{key}").alias("one"), F.col(f"b.{key}").alias("two"), share.alias("share")).where(F.col("share") >= least)
 
 
+def target_pairs(reports: DataFrame, t: str, x: str, y: str, mode_a: str, mode_c: str, reach_t: int, reach: float, least_share: float = 0.1, most_different: float = 0.1, most_not_ok: float = 0.2) -> DataFrame:
+    """Pairs of targets that may be one: one, two, n, n_same, n_different, n_not_ok, mean_distance, share, score.
+
+    Reports of two targets that are near in time and space are compared: codes and heights are the same
+    or different, the distance has its class (K6). A pair stays with a share of common time of
+    least_share and small shares of different codes and large distances. score: compared updates by mean
+    distance, five times that where codes agree.
+    """
+    rows = reports.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = near_pairs(rows.select(F.col("target").alias("one"), t, x, y, mode_a, mode_c), rows, t, x, y, reach_t, reach, [mode_a, mode_c]).where("one < target")
+    same_a, same_c = modes_agree(F.col(mode_a), F.col(f"other_{mode_a}"), F.col(mode_c), F.col(f"other_{mode_c}"))
+    different = (same_a == "different") | (same_c == "different")
+    per = pairs.groupBy("one", F.col("target").alias("two")).agg(
+        F.count("*").alias("n"), F.count_if((same_a == "same") & ~different).alias("n_same"), F.count_if(different).alias("n_different"), F.count_if(F.col("distance") > reach / 2).alias("n_not_ok"), F.avg("distance").alias("mean_distance"),
+    )
+    spans = reports.groupBy("target").agg(F.min(t).alias("begin"), F.max(t).alias("end"))
+    for side in ("one", "two"):
+        per = per.join(spans.select(F.col("target").alias(side), F.col("begin").alias(f"_b_{side}"), F.col("end").alias(f"_e_{side}")), side)
+    per = per.withColumn("share", overlap_share(F.col("_b_one"), F.col("_e_one"), F.col("_b_two"), F.col("_e_two"))).drop("_b_one", "_e_one", "_b_two", "_e_two")
+    per = per.where((F.col("share") >= least_share) & (F.col("n_different") <= most_different * F.col("n")) & (F.col("n_not_ok") <= most_not_ok * F.col("n")))
+    return per.withColumn("score", F.col("n") / F.greatest("mean_distance", F.lit(1e-6)) * F.when(F.col("n_same") > 0, 5.0).otherwise(1.0))
+
+
+def best_merges(pairs: DataFrame) -> DataFrame:
+    """The pairs that a greedy merge, best score first, takes at once: each the best of both its targets: from_target, into_target.
+
+    Ties go to the smaller targets. What is left may be scored anew after these are merged.
+    """
+    order = F.struct(-F.col("score"), "one", "two")
+    sides = pairs.select(F.col("one").alias("target"), order.alias("o")).unionByName(pairs.select(F.col("two").alias("target"), order.alias("o")))
+    best = sides.groupBy("target").agg(F.min("o").alias("best"))
+    both = best.groupBy("best.one", "best.two").agg(F.count("*").alias("n")).where("n = 2")
+    return both.select(F.col("two").alias("from_target"), F.col("one").alias("into_target"))
+
+
+def merged(reports: DataFrame, merges: DataFrame) -> DataFrame:
+    """reports with the targets that were merged into others renamed."""
+    m = merges.select(F.col("from_target").alias("_f"), F.col("into_target").alias("_i"))
+    return reports.join(m, F.col("target") == F.col("_f"), "left").withColumn("target", F.coalesce("_i", "target")).drop("_f", "_i")
+
+
 def identity_targets(reports: DataFrame, address: str, identification: str, track: str, source: str, t: str, gap: int) -> DataFrame:
-    """K3, K4 in part, J5, J6: the target: the address, else the identification, else the track while it has no long gap.
+    """Adds target_key, a text: the target found by address, else identification, else track; null if none.
 
-    A placeholder identifies nothing. Adds target_key, a text; it is null where none of the three is known:
-    there is no fallback to Mode A/C and position, and no new target.
+    An address is a target of its own. An identification leads to the address with which it was first
+    seen, a track, while it has no long gap, to the target of its first report that has one; each is a
+    target of its own only if it leads nowhere. A placeholder identifies nothing.
     """
     acid = F.when(~F.col(identification).isin(PLACEHOLDERS) & (F.trim(identification) != ""), F.col(identification))
-    sessions = gap_sessions(reports.where(F.col(track).isNotNull()).withColumn("_trk", F.concat_ws("/", source, track)), "_trk", t, gap)
-    rows = sessions.unionByName(reports.where(F.col(track).isNull()), allowMissingColumns=True)
-    key = F.coalesce(F.concat(F.lit("A"), F.col(address).cast("string")), F.concat(F.lit("I"), acid), F.concat(F.lit("T"), F.concat_ws("/", "_trk", "session")))
-    rows = rows.withColumn("target_key", F.when(F.col("_trk").isNotNull() | F.col(address).isNotNull() | acid.isNotNull(), key))
-    return rows.drop("_trk", "session")
+    rows = reports.withColumn("_acid", acid).withColumn("_own", F.concat(F.lit("A"), F.col(address).cast("string")))
+    of_acid = rows.where("_acid is not null and _own is not null").groupBy("_acid").agg(F.min(F.struct(t, "_own"))["_own"].alias("_by_acid"))
+    rows = rows.join(of_acid, "_acid", "left").withColumn("_own", F.coalesce("_own", "_by_acid", F.concat(F.lit("I"), F.col("_acid"))))
+    on_track = gap_sessions(rows.where(F.col(track).isNotNull()).withColumn("_trk", F.concat_ws("/", source, track)), "_trk", t, gap)
+    of_track = on_track.where("_own is not null").groupBy("_trk", "session").agg(F.min(F.struct(t, "_own"))["_own"].alias("_by_track"))
+    on_track = on_track.join(of_track, ["_trk", "session"], "left")
+    on_track = on_track.withColumn("_own", F.coalesce("_own", "_by_track", F.concat(F.lit("T"), F.concat_ws("/", "_trk", "session"))))
+    out = on_track.select(*reports.columns, "_own").unionByName(rows.where(F.col(track).isNull()).select(*reports.columns, "_own"))
+    return out.withColumnRenamed("_own", "target_key")
+
+
+def usable_reports(reports: DataFrame, x: str, y: str, source: str, unused: list[str]) -> DataFrame:
+    """K2: reports with a position, of the sources in use."""
+    return reports.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.col(source).isin(unused))
+
+
+def associate(reports: DataFrame, columns: dict[str, str], gap: int, reach_t: int, reach: float, rounds: int = 2) -> DataFrame:
+    """Id, target_key: by identity first, then by codes and position near known targets, then again near those found.
+
+    columns names t, x, y, mode_a, mode_c, address, identification, track and source. In each round, the
+    reports without a target are tried against the reports that have one. What is left keeps a null.
+    """
+    c = columns
+    rows = stage(identity_targets(reports, c["address"], c["identification"], c["track"], c["source"], c["t"], gap))
+    for _ in range(rounds):
+        targets = rows.where("target_key is not null").withColumn("target", F.col("target_key"))
+        found = nearest_candidates(rows.where("target_key is null"), targets.where(F.col(c["x"]).isNotNull() & F.col(c["y"]).isNotNull()), c["t"], c["x"], c["y"], reach_t, reach, c["mode_a"], c["mode_c"])
+        rows = stage(rows.join(found.select("id", "target"), "id", "left").withColumn("target_key", F.coalesce("target_key", "target")).drop("target"))
+    return rows.select("id", "target_key")
+
+
+def target_numbers(associations: DataFrame, reports: DataFrame, t: str) -> DataFrame:
+    """K4: target_key, utn: dense numbers in the order of a target's first report."""
+    firsts = associations.where("target_key is not null").join(reports.select("id", t), "id").groupBy("target_key").agg(F.min(t).alias("first"))
+    return row_numbers(firsts, [F.col("first"), F.col("target_key")], "utn").select("target_key", "utn")
+
+
+def slice_bounds(first: int, last: int, width: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(begin, end, written up to) of the slices of a time range: each reads `overlap` more than the next begins with."""
+    out, begin = [], first
+    while begin <= last:
+        out.append((begin, begin + width, min(begin + width - overlap, last + 1) if begin + width - overlap <= last else last + 1))
+        begin = out[-1][2]
+    return out
+
+
+def in_slices(reports: DataFrame, t: str, width: int, overlap: int) -> DataFrame:
+    """K1: a copy of each report for every slice that reads it: slice, and kept: whether the slice writes its result.
+
+    A slice reads [slice * step, slice * step + width) and writes what lies before its last `overlap`,
+    so that each report is written once; step = width - overlap. The slices are groups that run side by side.
+    """
+    step = width - overlap
+    last = F.floor(F.col(t) / step)
+    first = F.floor((F.col(t) - width) / step) + 1
+    rows = reports.withColumn("slice", F.explode(F.sequence(first, last)))
+    return rows.withColumn("kept", F.col("slice") == last)
+
+
+def write_back(reports: DataFrame, associations: DataFrame, column: str = "target_key") -> DataFrame:
+    """Reports with the found target in place of what they had."""
+    return reports.drop(column).join(associations.select("id", column), "id", "left")
+
+
+def active_targets(ref: DataFrame, tst: DataFrame, key: str, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """For each target the reports of reference and test, of wanted (source, line) only: key, n_ref, n_tst; either side may be missing."""
+    count = lambda df, name: sources(df.where(F.col(key).isNotNull()), wanted, by).groupBy(key).agg(F.count("*").alias(name))
+    out = count(ref, "n_ref").join(count(tst, "n_tst"), key, "full_outer")
+    return out.select(key, F.coalesce("n_ref", F.lit(0)).alias("n_ref"), F.coalesce("n_tst", F.lit(0)).alias("n_tst"))
+
+
+def outliers(df: DataFrame, key: list[str], t: str, x: str, y: str, second: float, most_speed: float, width: int = WIDTH) -> DataFrame:
+    """Adds speed from the position before, in units a second, and is_outlier: faster than most_speed both from the one before and to the one after."""
+    rows = previous(df, key, t, [t, x, y], width)
+    speed = F.hypot(F.col(x) - F.col(f"prev.{x}"), F.col(y) - F.col(f"prev.{y}")) / F.nullif((F.col(t) - F.col(f"prev.{t}")) / second, F.lit(0.0))
+    rows = rows.withColumn("speed_before", speed).drop("prev").withColumn("_neg", -F.col(t))
+    rows = previous(rows, key, "_neg", ["speed_before"], width).withColumn("_after", F.col("prev.speed_before")).drop("prev", "_neg")
+    fast = lambda c: F.coalesce(F.col(c) > most_speed, F.lit(False))
+    return rows.withColumn("is_outlier", fast("speed_before") & fast("_after")).drop("_after")
+
+
+def transponders_near(found: DataFrame, transponders: DataFrame, x: str, y: str, most: float) -> DataFrame:
+    """A found transponder counts only within `most` of its own place; transponders(number, x, y) are few."""
+    p = transponders.select(F.col("number").alias("_n"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    rows = found.join(p, F.col("transponder") == F.col("_n"), "left")
+    near = F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")) <= most
+    return rows.withColumn("transponder", F.when(F.coalesce(near, F.col("_x").isNull()), F.col("transponder"))).drop("_n", "_x", "_y")
 
 
 def first_transponder(reports: DataFrame, transponders: DataFrame, code: str, address: str) -> DataFrame:

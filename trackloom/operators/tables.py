@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.staging import row_numbers
+
 
 def update_by_key(df: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Columns of rows whose key is in changes take the new values, nulls too. Keys of changes are unique."""
@@ -47,8 +49,16 @@ def retained(df: DataFrame, t: str, keep: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[Column], content: int) -> DataFrame:
-    """Record numbers: a counter with the content id packed in. The counter is global, so for small tables."""
-    return df.withColumn("rec_num", F.row_number().over(Window.orderBy(*order)).cast("long") * 256 + content)
+    """Record numbers: a counter in the given order with the content id packed in; no task sees all rows."""
+    rows = row_numbers(df, order, "rec_num")
+    return rows.withColumn("rec_num", F.col("rec_num") * 256 + content)
+
+
+def append_numbered(df: DataFrame, new: DataFrame, order: list[Column], content: int) -> DataFrame:
+    """New rows go on from the largest record number that is there."""
+    largest = df.agg(F.max("rec_num")).first()[0] or 0
+    more = numbered(new, order, content)
+    return df.unionByName(more.withColumn("rec_num", F.col("rec_num") + F.lit(largest - largest % 256)))
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:

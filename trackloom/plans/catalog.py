@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackloom.plans import geometry, loading, requirements, streams, timelines, tracks
+from trackloom.plans import geometry, loading, requirements, streams, targets, timelines, tracks
 
-_MODULES = (loading, timelines, requirements, geometry)
+_MODULES = (loading, timelines, requirements, targets, geometry)
 
 
 def queries() -> dict:

@@ -51,12 +51,6 @@ def overlap_pairs(spark, sf):
     return C.merge_candidates(spans, "utn", "code", 0.9).withColumn("share", F.round("share", 9))
 
 
-def identity_targets(spark, sf):
-    r = reports(spark, sf).withColumn("address", F.when(F.col("code") % 3 == 0, F.col("utn"))).withColumn("acid", F.when(F.col("code") % 3 == 1, F.concat(F.lit("FL"), F.col("utn").cast("string"))).when(F.col("code") % 2 == 0, "00000000"))
-    r = r.withColumn("track", F.when(F.col("code") % 5 != 0, F.col("utn") % 100))
-    return C.identity_targets(r, "address", "acid", "track", "source", "t", 24 * HOUR).groupBy("target_key").agg(F.count("*").alias("n"))
-
-
 def fixed_transponder_lookup(spark, sf):
     n = table(spark, sf, "nation")
     f = n.select((F.col("n_nationkey") + 1).alias("number"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey") * 3).alias("code"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_nationkey")).alias("address"))
@@ -137,9 +131,6 @@ SQL = {
     "hash_best_match": f"{_W}, u AS (SELECT id, t, unnest([utn, utn + 1]) AS h FROM reports WHERE source = 'purchase'), m AS (SELECT u.id, g.id AS match, g.t - u.t AS dt FROM u JOIN reports g ON g.source = 'view' AND g.utn = u.h AND g.t - u.t BETWEEN -{6 * HOUR} AND {HOUR}), b AS (SELECT id, min_by((match, dt), (abs(dt), match)) AS b FROM m GROUP BY id) SELECT r.id, b.b[1] AS match, b.b[2] AS dt, abs(b.b[2]) >= {3 * HOUR} AS dubious FROM reports r LEFT JOIN b USING (id) WHERE r.source = 'purchase'",
     "candidate_range_join": f"{_W}, p AS (SELECT a.id, b.utn AS target, sqrt((b.value - a.value) * (b.value - a.value) + (b.code - a.code) * (b.code - a.code)) AS d FROM reports a JOIN reports b ON a.source = 'error' AND b.source = 'signup' AND abs(a.t - b.t) <= {2 * HOUR}) SELECT id, min_by(target, (d, target)) AS target, round(min(d), 6) AS distance, count(*) AS n_candidates FROM p WHERE d <= 15 GROUP BY id",
     "overlap_pairs": f"{_W}, s AS (SELECT utn, min(t) AS a, max(t) AS b, max(code) AS code FROM reports GROUP BY utn), p AS (SELECT x.code, x.utn AS one, y.utn AS two, (least(x.b, y.b) - greatest(x.a, y.a)) / least(x.b - x.a, y.b - y.a) AS share FROM s x JOIN s y ON x.code = y.code AND x.utn < y.utn AND least(x.b, y.b) > greatest(x.a, y.a) AND x.b > x.a AND y.b > y.a) SELECT code, one, two, round(share, 9) AS share FROM p WHERE share >= 0.9",
-    "identity_targets": f"""{_W}, r AS (SELECT *, CASE WHEN code % 3 = 0 THEN utn END AS address, CASE WHEN code % 3 = 1 THEN 'FL' || utn END AS acid, CASE WHEN code % 5 <> 0 THEN source || '/' || (utn % 100) END AS trk FROM reports),
-m AS (SELECT *, CASE WHEN trk IS NULL OR t - lag(t) OVER (PARTITION BY trk ORDER BY t) <= {24 * HOUR} THEN 0 ELSE 1 END AS new FROM r), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY trk ORDER BY t) AS BIGINT) AS session FROM m),
-k AS (SELECT coalesce('A' || address, 'I' || acid, 'T' || trk || '/' || session) AS target_key FROM s) SELECT target_key, count(*) AS n FROM k GROUP BY target_key""",
     "fixed_transponder_lookup": f"{_W}, f AS (SELECT n_nationkey + 1 AS number, CASE WHEN n_nationkey % 3 <> 0 THEN n_nationkey * 3 END AS c, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END AS a FROM nation), h AS (SELECT r.id, min(number) AS transponder FROM reports r JOIN f ON (c IS NOT NULL OR a IS NOT NULL) AND (c IS NULL OR c = r.code) AND (a IS NULL OR a = r.utn % 25) GROUP BY r.id) SELECT r.id, h.transponder::BIGINT AS transponder, h.transponder IS NOT NULL OR r.code = 4095 AS is_transponder FROM reports r LEFT JOIN h USING (id)",
     "target_filter_first_reason": f"{_W} SELECT utn, CASE WHEN count(*) < 55 THEN 'few updates' WHEN min(code) IN (1, 2) THEN 'code' WHEN max(value) < 480 THEN 'low' END AS reason FROM reports GROUP BY utn",
     "unassociated": f"{_W} SELECT source, count(*) FILTER (WHERE code % 4 = 1) AS n_assoc, count(*) FILTER (WHERE code % 4 <> 1) AS n_unassoc FROM reports GROUP BY source",
