@@ -118,10 +118,72 @@ SIGMA_NACP = {4: 1852.0 / 2.5, 5: 926.0 / 2.5, 6: 555.6 / 2.5, 7: 185.2 / 2.5, 8
 
 
 def accuracy_sigma(mops: Column, nac_p: Column) -> Column:
+    """Of versions 1 and 2; unknown categories have none."""
     table = F.create_map(*[F.lit(x) for kv in SIGMA_NACP.items() for x in kv])
     return F.when(mops.isin(1, 2), F.try_element_at(table, nac_p.cast("int")))
 
 
-def pseudonym(value: Column, key: str, buckets: int) -> Column:
-    """Stable replacement of an identifier by another of the same range."""
-    return F.pmod(F.xxhash64(value, F.lit(key)), F.lit(buckets))
+def pseudonym(value: Column, key: str, bits: int) -> Column:
+    """Stable replacement of an identifier of so many bits, an even number, by another of these, one to one.
+
+    Four rounds each add a keyed hash of one half to the other, which can be undone.
+    """
+    half = bits // 2
+    mask = (1 << half) - 1
+    left, right = F.shiftright(value.cast("long"), half), value.cast("long").bitwiseAND(mask)
+    for turn in range(4):
+        left, right = right, (left + F.xxhash64(right, F.lit(key), F.lit(turn)).bitwiseAND(mask)).bitwiseAND(mask)
+    return left * (1 << half) + right
+
+
+def local_to_position(lat0: Column, lon0: Column, east: Column, north: Column) -> tuple[Column, Column]:
+    """Offsets in metres in the tangent plane to latitude and longitude."""
+    return lat0 + F.degrees(north / EARTH_RADIUS), lon0 + F.degrees(east / (EARTH_RADIUS * F.cos(F.radians(lat0))))
+
+
+def position_to_polar(lat0: Column, lon0: Column, lat: Column, lon: Column, altitude_m: Column, site_m: Column) -> tuple[Column, Column]:
+    """Slant range in metres and azimuth in degrees of a position as a radar sees it."""
+    east, north = local_offset(lat0, lon0, lat, lon)
+    height = F.coalesce(altitude_m, site_m) - site_m
+    return F.sqrt(east * east + north * north + height * height), F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
+
+
+def is_number(text: Column) -> Column:
+    return F.coalesce(F.trim(text).rlike(r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"), F.lit(False))
+
+
+def leading_int(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"^\s*([+-]?[0-9]+)", 1), F.lit("")).cast("long")
+
+
+def trailing_int(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, r"([0-9]+)\s*$", 1), F.lit("")).cast("long")
+
+
+def percent_text(share: Column, digits: int = 2) -> Column:
+    return F.concat(F.format_string(f"%.{digits}f", share * 100.0), F.lit(" %"))
+
+
+def version_key(version: Column) -> Column:
+    """Versions as arrays of numbers, which compare part by part."""
+    return F.transform(F.split(version, "[.]"), lambda p: p.cast("int"))
+
+
+def address_parts(text: Column) -> tuple[Column, Column]:
+    """Host and port of host:port."""
+    return F.substring_index(text, ":", 1), F.nullif(F.regexp_extract(text, r":([0-9]+)$", 1), F.lit("")).cast("int")
+
+
+def to_precision(value: Column, step: float) -> Column:
+    """The nearest multiple of a step."""
+    return F.round(value / step) * step
+
+
+def bearing_vector(speed: Column, bearing_deg: Column) -> tuple[Column, Column]:
+    """East and north component."""
+    return speed * F.sin(F.radians(bearing_deg)), speed * F.cos(F.radians(bearing_deg))
+
+
+def measured_time(*candidates: str) -> Column:
+    """The first known time of applicability, then of reception, then the deprecated time of day."""
+    return F.coalesce(*candidates)

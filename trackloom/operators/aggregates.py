@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.timeline import running
+
 
 def min_max_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """A2: smallest and largest value of each column as text, one row for each column."""
@@ -39,10 +43,30 @@ def target_summary(df: DataFrame, key: str, t: str, source: str, code: str, heig
     )
 
 
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of each group: by..., one column for each share.
+
+    Different values are counted first, the counts run along slices of the value's range, and the values at
+    the places asked for are minima, so that no task holds a group's values.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    low, high = counts.agg(F.min("_v"), F.max("_v")).first()
+    width = ((high or 0.0) - (low or 0.0)) / 1024 or 1.0
+    counts = running(counts, by, "_v", "_n", "_upto", width)
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    at = {n: (F.col("_all") - 1) * s for n, s in shares.items()}
+    bounds = [F.min(F.when(F.col("_upto") > f(p), F.col("_v"))).alias(f"_{side}_{n}") for n, p in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    out = counts.join(totals, by).groupBy(*by).agg(F.max("_all").alias("_all"), *bounds)
+    share = lambda n: at[n] - F.floor(at[n])
+    return out.select(*by, *((F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * share(n)).alias(n) for n in shares))
+
+
 def robust(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median, quartile distance and median absolute deviation."""
-    middle = df.groupBy(*by).agg(F.median(value).alias("median"), (F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"))
-    spread = df.join(middle, by).groupBy(*by).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    middle = quantiles(df, by, value, {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
+    middle = middle.select(*by, "median", (F.col("_q3") - F.col("_q1")).alias("iqr"))
+    spread = quantiles(df.join(middle, by).withColumn("_off", F.abs(F.col(value) - F.col("median"))), by, "_off", {"mad": 0.5})
     return middle.join(spread, by)
 
 
@@ -52,12 +76,48 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 def top_trimmed_mean(df: DataFrame, by: list[str], value: str, removed: float) -> DataFrame:
-    """The mean without the largest share `removed` of the values of each group."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.withColumn("_r", F.percent_rank().over(w))
-    return ranked.where(F.col("_r") <= 1 - removed).groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    """The mean of each group's values up to the quantile 1 - removed."""
+    limit = quantiles(df, by, value, {"_limit": 1 - removed})
+    return df.join(limit, by).where(F.col(value) <= F.col("_limit")).groupBy(*by).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
 def unique_values(df: DataFrame, value: str, index: str) -> DataFrame:
     """Each value that isn't null, with its first index and its number of rows."""
     return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(index).alias("first_index"), F.count("*").alias("n"))
+
+
+def values_with_indexes(df: DataFrame, value: str, index: str, most: int) -> DataFrame:
+    """A5: each value with its number of rows and its `most` smallest indexes: the list is a report's, the rows stay in df."""
+    place = Window.partitionBy(value).orderBy(index)
+    few = df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(place))
+    lists = few.where(F.col("_n") <= most).groupBy(value).agg(F.sort_array(F.collect_list(index)).alias("indexes"))
+    return distinct_counts(df, value).join(lists, value)
+
+
+def null_indexes(df: DataFrame, column: str, index: str) -> DataFrame:
+    """The indexes of rows without a value."""
+    return df.where(F.col(column).isNull()).select(index)
+
+
+def weighted_deviation(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
+    """Weighted mean and deviation from sums alone, which add up over parts."""
+    v, w = F.col(value), F.col(weight)
+    sums = df.groupBy(*by).agg(F.sum(w).alias("_w"), F.sum(w * v).alias("_wv"), F.sum(w * v * v).alias("_wvv"))
+    mean = F.col("_wv") / F.col("_w")
+    return sums.select(*by, mean.alias("mean"), F.sqrt(F.greatest(F.col("_wvv") / F.col("_w") - mean * mean, F.lit(0.0))).alias("stddev"))
+
+
+def extent(contents: list[DataFrame], t: str, x: str, y: str) -> DataFrame:
+    """First and last time and the box of all contents; one without a column counts by what it has."""
+    one = [df.select(*((F.col(c) if c in df.columns else F.lit(None)).alias(c) for c in (t, x, y))) for df in contents]
+    return reduce(DataFrame.unionByName, one).agg(*(f(c).alias(f"{n}_{c}") for c in (t, x, y) for n, f in (("min", F.min), ("max", F.max))))
+
+
+def target_details(df: DataFrame, key: str, t: str, identities: dict[str, str], x: str, y: str, height: str, primary: Column) -> DataFrame:
+    """For each target updates, duration, sets of identities, box, heights and whether it has primary reports only.
+
+    identities: name -> column; their sets are sorted lists of what isn't null.
+    """
+    sets = [F.sort_array(F.collect_set(F.col(c).cast("string"))).alias(n) for n, c in identities.items()]
+    box = [f(c).alias(f"{n}_{c}") for c in (x, y, height) for n, f in (("min", F.min), ("max", F.max))]
+    return df.groupBy(key).agg(F.count("*").alias("n_updates"), (F.max(t) - F.min(t)).alias("duration"), *sets, *box, (F.min(F.coalesce(primary, F.lit(False)).cast("int")) == 1).alias("primary_only"))

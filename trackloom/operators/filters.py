@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Width of the time slices in which windows meet rows: four hours in microseconds.
+SLICE = 4 * 3_600_000_000
 OPERATORS = {
     "=": lambda c, v: c == v, "<>": lambda c, v: c != v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v,
     "LIKE": lambda c, v: c.like(v), "IN": lambda c, v: c.isin(list(v)), "NOT IN": lambda c, v: ~c.isin(list(v)), "IS": lambda c, v: c.eqNullSafe(v), "IS NOT": lambda c, v: ~c.eqNullSafe(v),
@@ -102,5 +104,94 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
 
 def without_windows_of(df: DataFrame, windows: DataFrame, key: str, at: str) -> DataFrame:
     """leaves out rows inside closed windows (key, begin, end) of their own target."""
-    w = windows.select(F.col(key).alias("_k"), "begin", "end")
-    return df.join(w, (df[key] == F.col("_k")) & df[at].between(F.col("begin"), F.col("end")), "left_anti")
+    # windows meet rows by time slice, so that a target with very many of either stays spread
+    slot = lambda c: F.floor(F.col(c) / SLICE)
+    w = windows.select(F.col(key).alias("_k"), "begin", "end", F.explode(F.sequence(slot("begin"), slot("end"))).alias("_s"))
+    inside = F.col(at).between(F.col("begin"), F.col("end"))
+    return df.withColumn("_slot", slot(at)).join(w, (F.col(key) == F.col("_k")) & (F.col("_slot") == F.col("_s")) & inside, "left_anti").drop("_slot")
+
+
+def without_requirements(results: DataFrame, excluded: DataFrame, key: str, requirement: str) -> DataFrame:
+    """results of requirements that aren't excluded for their target."""
+    return results.join(excluded.select(key, requirement).distinct(), [key, requirement], "left_anti")
+
+
+def chain(conditions: list[tuple[str, Column]]) -> Column:
+    """conditions joined from left to right, each by its own AND or OR; the first one's is ignored."""
+    out = None
+    for how, condition in conditions:
+        out = condition if out is None else out | condition if how.upper() == "OR" else out & condition
+    return F.lit(True) if out is None else out
+
+
+def of_target(df: DataFrame, column: str, values: Iterable, null: bool = False) -> Column:
+    """as values_or_null; a content without the column passes only if nulls are wanted."""
+    return values_or_null(column, values, null) if column in df.columns else F.lit(null)
+
+
+def heights(df: DataFrame, columns: list[str], low: float, high: float, null: bool = False) -> Column:
+    """every height column that the content has is in the range, or null where that is wanted."""
+    return all_of(between(c, low, high, null) for c in columns if c in df.columns)
+
+
+def import_filter(df: DataFrame, tod: tuple[str, float, float] | None = None, box: tuple | None = None, height: tuple[str, float, float] | None = None) -> DataFrame:
+    """time of day, (lat, lon, south, north, west, east) and height ranges; rows without a value pass."""
+    terms = [between(*tod, null=True)] if tod else []
+    if box:
+        lat, lon, south, north, west, east = box
+        terms += [between(lat, south, north, null=True), between(lon, west, east, null=True)]
+    return df.where(all_of([*terms, *([between(*height, null=True)] if height else [])]))
+
+
+def selection_flag(df: DataFrame, selected: DataFrame, row: str) -> DataFrame:
+    """a flag for the rows whose number is among the selected ones."""
+    marks = selected.select(F.col(row).alias("_sel")).distinct()
+    return df.join(marks, F.col(row) == F.col("_sel"), "left").withColumn("selected", F.col("_sel").isNotNull()).drop("_sel")
+
+
+def enabled(df: DataFrame, known: DataFrame, types: Iterable[str], keys: list[str]) -> DataFrame:
+    """rows whose source is of a wanted type and whose source and line are wanted: known(keys..., type, wanted)."""
+    return sources(df, known.where(F.col("type").isin(list(types)) & F.col("wanted")), keys)
+
+
+def on_ground(ground: str, source: str, ground_only: Iterable) -> Column:
+    """reports of ground-only sources are on ground whatever they say."""
+    return F.when(F.col(source).isin(list(ground_only)), True).otherwise(F.col(ground))
+
+
+def evaluation_load(contents: dict[str, DataFrame], ref: str, tst: str, t: str, window: tuple, key: str, targets: Iterable | None = None, quality: dict[str, Column] | None = None) -> dict[str, DataFrame]:
+    """the two contents of an evaluation within the time window, of the wanted targets, with each one's quality condition."""
+    out = {}
+    for name in {ref, tst}:
+        df = contents[name].where(between(t, *window))
+        if targets is not None:
+            df = df.where(of_target(df, key, targets))
+        out[name] = df.where((quality or {}).get(name, F.lit(True)))
+    return out
+
+
+def target_reasons(
+    codes: str, least_updates: int, least_duration: int, primary: str, mode_s: str, mode_c_max: str, duration: str, updates: str,
+    code_lists: tuple[Iterable[int], bool] | None = None, least_height: float | None = None, detected: str | None = None, address: str | None = None, addresses: tuple[Iterable[int], bool] | None = None,
+) -> Column:
+    """why a target isn't used, by the first rule that holds, on its summary; null if it is used.
+
+    In order: short, primary only, Mode A/C only, its codes on (or off) a list, no or too low a height,
+    its address on (or off) a list, not detected. A list is (values, True to leave out those on it).
+    """
+
+    def on_list(column: Column, wanted: tuple[Iterable[int], bool], several: bool) -> Column:
+        values = list(wanted[0])
+        on = F.coalesce(F.arrays_overlap(column, F.array(*map(F.lit, values))) if several else column.isin(values), F.lit(False))
+        return on if wanted[1] else ~on
+
+    rules = [("short", (F.col(updates) < least_updates) | (F.col(duration) < least_duration)), ("primary only", F.col(primary)), ("Mode A/C only", ~F.col(mode_s))]
+    if code_lists is not None:
+        rules.append(("Mode A code", on_list(F.col(codes), code_lists, True)))
+    if least_height is not None:
+        rules += [("no Mode C", F.col(mode_c_max).isNull()), ("Mode C too low", F.col(mode_c_max) < least_height)]
+    if addresses is not None and address is not None:
+        rules.append(("address", on_list(F.col(address), addresses, False)))
+    if detected is not None:
+        rules.append(("not detected", ~F.col(detected)))
+    return first_reason(rules)

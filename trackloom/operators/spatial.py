@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.functions.scalar import haversine
+from trackloom.functions.scalar import FOOT, haversine, polar_to_position
 from trackloom.operators.filters import all_of, any_of
 
 
@@ -59,3 +59,21 @@ def layer_flags(df: DataFrame, layers: dict[str, list[Sector]], x: str, y: str,
 def covered(circles: list[tuple[float, float, float]], lat: Column, lon: Column) -> Column:
     """Within the range in metres of a sensor; without sensors everything is covered."""
     return any_of(haversine(F.lit(a), F.lit(b), lat, lon) <= r for a, b, r in circles) if circles else F.lit(True)
+
+
+def above_minimum_height(layers: list[tuple[Sector, float]], x: Column, y: Column, height: Column) -> Column:
+    """Not below the least height of any airspace sector in which the position lies; unknown heights pass."""
+    below = any_of(in_polygon(s, x, y) & (height < least) for s, least in layers)
+    return ~F.coalesce(below, F.lit(False))
+
+
+def fill_positions(plots: DataFrame, radars: DataFrame, source: str, slant: str, azimuth: str, height_ft: str) -> DataFrame:
+    """Lat and lon of plots that lack them from range, azimuth and height, by their radar: radars(source, lat, lon, altitude).
+
+    A plot whose radar is unknown, or without range or azimuth, stays without a position.
+    """
+    r = radars.select(F.col(source).alias("_src"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("altitude").alias("_alt"))
+    rows = plots.join(r, F.col(source) == F.col("_src"), "left")
+    lat, lon = polar_to_position(F.col("_lat"), F.col("_lon"), F.col(slant), F.col(azimuth), F.col(height_ft) * FOOT, F.col("_alt"))
+    missing = F.col("lat").isNull() | F.col("lon").isNull()
+    return rows.withColumn("_a", lat).withColumn("_o", lon).withColumns({"lat": F.when(missing, F.col("_a")).otherwise(F.col("lat")), "lon": F.when(missing, F.col("_o")).otherwise(F.col("lon"))}).select(*plots.columns)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators.spatial import Sector, in_polygon
+
 
 def histogram(df: DataFrame, value: str, n: int = 20, by: list[str] | None = None, bounds: tuple[float, float] | None = None) -> DataFrame:
     """V1, V2, V4, V5: rows (by..., bin, n): n equal bins, the last one closed; -1 for values without a bin, null for nulls.
@@ -59,11 +62,11 @@ def grid_shape(low: float, high: float, cell: float) -> tuple[float, float, int]
     return low, low + n * cell, n
 
 
-def line_cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str, box: tuple[float, float, float, float], cells: tuple[int, int]) -> DataFrame:
-    """V9: the cells that a line touches, sampled at half a cell."""
+def line_cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str, box: tuple[float, float, float, float], cells: tuple[int, int], sampling: int = 2) -> DataFrame:
+    """V9: the cells of points along a line, `sampling` to a cell: a corner that a line cuts between two points is missed."""
     x0, xe, y0, ye = box
     w, h = (xe - x0) / cells[0], (ye - y0) / cells[1]
-    steps = F.greatest(F.ceil(F.abs(F.col(x2) - F.col(x1)) / w), F.ceil(F.abs(F.col(y2) - F.col(y1)) / h), F.lit(1)) * 2
+    steps = F.greatest(F.ceil(F.abs(F.col(x2) - F.col(x1)) / w), F.ceil(F.abs(F.col(y2) - F.col(y1)) / h), F.lit(1)) * sampling
     rows = df.withColumn("_n", steps.cast("int")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.col("_n")
     return rows.select(*df.columns, cell_index(at(x1, x2), x0, xe, cells[0]).alias("cx"), cell_index(at(y1, y2), y0, ye, cells[1]).alias("cy")).where("cx is not null and cy is not null").distinct()
@@ -80,8 +83,72 @@ def report_page(df: DataFrame, order: list[Column], rows: int) -> DataFrame:
     return df.orderBy(*order).limit(rows)
 
 
-def surroundings(df: DataFrame, marks: DataFrame, t: str, height: str, around_t: int, around_h: float) -> DataFrame:
-    """Rows near any marked row in time and height, heights unknown included."""
-    m = marks.agg(F.min(t).alias("t0"), F.max(t).alias("t1"), F.min(height).alias("h0"), F.max(height).alias("h1")).first()
-    near = F.col(height).between(m.h0 - around_h, m.h1 + around_h) | F.col(height).isNull()
-    return df.where(F.col(t).between(m.t0 - around_t, m.t1 + around_t) & near)
+def surroundings(df: DataFrame, marks: DataFrame, t: str, height: str, around_t: int, around_h: float, box: tuple[str, str] | None = None, identities: tuple[str, ...] = ()) -> DataFrame:
+    """Rows near the marked rows, all of them together: in time and height, unknown heights included.
+
+    With box, the two columns of the position: within the marks' box widened by a tenth, at most 0.1, on
+    each side. With identities: each of these columns is one of the marks' values or null.
+    """
+    sides = [(c, f"{n}_{c}", f) for c in (box or ()) for n, f in (("min", F.min), ("max", F.max))]
+    sets = [F.collect_set(c).alias(f"set_{c}") for c in identities]
+    m = marks.agg(F.min(t).alias("t0"), F.max(t).alias("t1"), F.min(height).alias("h0"), F.max(height).alias("h1"), *(f(c).alias(n) for c, n, f in sides), *sets).first()
+    if m.t0 is None:
+        return df.limit(0)
+    near = F.col(t).between(m.t0 - around_t, m.t1 + around_t)
+    if m.h0 is not None:
+        near &= F.col(height).between(m.h0 - around_h, m.h1 + around_h) | F.col(height).isNull()
+    for c in box or ():
+        if m[f"min_{c}"] is not None:
+            wider = min(0.1, (m[f"max_{c}"] - m[f"min_{c}"]) * 0.1)
+            near &= F.col(c).between(m[f"min_{c}"] - wider, m[f"max_{c}"] + wider)
+    for c in identities:
+        near &= F.col(c).isin(m[f"set_{c}"]) | F.col(c).isNull()
+    return df.where(near)
+
+
+def choose_histogram(df: DataFrame, value: str, n: int = 20, by: list[str] | None = None) -> DataFrame:
+    """V1: bins of a range for measures and times, else, for text and for whole numbers with fewer values than bins, one bin a value.
+
+    -> (by..., bin as text, n): the number of the bin, or the value.
+    """
+    kind = df.schema[value].dataType.simpleString()
+    measure = kind in ("float", "double") or kind.startswith(("decimal", "timestamp"))
+    few = kind == "string" or kind == "boolean" or not measure and df.select(value).distinct().limit(n).count() < n
+    if few:
+        return category_histogram(df, value, by).select(*(by or []), F.col(value).cast("string").alias("bin"), "n")
+    if measure:
+        return histogram(df, value, n, by).withColumn("bin", F.col("bin").cast("string"))
+    low, high = df.agg(F.min(value), F.max(value)).first()
+    bins, step = integer_bins(low, high, n)
+    place = F.least(F.floor((F.col(value) - low) / step), F.lit(bins - 1)).cast("string")
+    return df.groupBy(*(by or []), place.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def feature_histograms(details: DataFrame, features: dict[str, str], by: list[str], n: int = 20) -> DataFrame:
+    """Histograms of the details of requirements: (feature, by..., bin, n)."""
+    parts = [histogram(details, c, n, by).withColumn("feature", F.lit(name)) for name, c in features.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def feature_grids(details: DataFrame, features: dict[str, str], x: str, y: str, box: tuple[float, float, float, float], cells: tuple[int, int] = (512, 512)) -> DataFrame:
+    """Grids of the details of requirements over their positions: (feature, cx, cy, statistics)."""
+    parts = [grid(details, x, y, c, box, cells).withColumn("feature", F.lit(name)) for name, c in features.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dropped_of_grid(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """V7: rows inside and outside the box of a grid."""
+    inside = F.coalesce(F.col(x).between(box[0], box[1]) & F.col(y).between(box[2], box[3]), F.lit(False))
+    return df.agg(F.count_if(inside).alias("n_inside"), F.count_if(~inside).alias("n_dropped"))
+
+
+def scatter(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """The points of series: by..., x, y of rows that have both."""
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+
+
+def polygon_cells(sector: Sector, box: tuple[float, float, float, float], cells: tuple[int, int], spark: SparkSession) -> DataFrame:
+    """V9: the cells of a grid whose middle lies in a polygon."""
+    w, h = (box[1] - box[0]) / cells[0], (box[3] - box[2]) / cells[1]
+    every = spark.range(cells[0] * cells[1]).select((F.col("id") % cells[0]).alias("cx"), F.floor(F.col("id") / cells[0]).alias("cy"))
+    return every.where(in_polygon(sector, box[0] + (F.col("cx") + 0.5) * w, box[2] + (F.col("cy") + 0.5) * h))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from trackloom.plans import geometry, loading, requirements, streams, targets, timelines, tracks
+from trackloom.plans import extras, geometry, loading, requirements, streams, targets, timelines, tracks
 
-_MODULES = (loading, timelines, requirements, targets, geometry)
+_MODULES = (loading, timelines, requirements, targets, geometry, extras)
 
 
 def queries() -> dict:

@@ -32,7 +32,7 @@ def filter_in_or_null(spark, sf):
 
 
 def filter_like_any(spark, sf):
-    return table(spark, sf, "part").where(P.contains_any(["p_name", "p_type"], ["BRASS", "1"])).select("p_partkey", "p_name")
+    return table(spark, sf, "part").where(P.contains_any(["p_name", "p_type"], ["widget", "SMA"])).select("p_partkey", "p_name")
 
 
 def filter_excluded_windows(spark, sf):
@@ -66,7 +66,7 @@ def null_count_any(spark, sf):
 
 
 def min_max_all_columns(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = table(spark, sf, "orders")
     return A.min_max_columns(o, o.columns)
 
 
@@ -144,14 +144,14 @@ def derived_columns(spark, sf):
 SQL = {
     "scan_filter_select": SCAN,
     "filter_in_or_null": f"WITH {REPORTS}, {_NULLS} SELECT id, code FROM n WHERE code IN (8, 9, 63) OR code IS NULL",
-    "filter_like_any": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%BRASS%' OR p_name LIKE '%1%' OR p_type LIKE '%BRASS%' OR p_type LIKE '%1%'",
+    "filter_like_any": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%widget%' OR p_name LIKE '%SMA%' OR p_type LIKE '%widget%' OR p_type LIKE '%SMA%'",
     "filter_excluded_windows": "SELECT event_id AS id, user_id AS utn, event_type AS source FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-26' AND NOT (ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-07' OR ts BETWEEN TIMESTAMP '2024-01-11' AND TIMESTAMP '2024-01-12')",
     "filter_quality_versions": "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS sum_qty FROM lineitem WHERE (l_returnflag = 'A' AND l_quantity >= 40) OR (l_returnflag IN ('N', 'R') AND l_quantity <= 5) GROUP BY l_returnflag",
     "filter_tuple_in": f"WITH {REPORTS} SELECT id, utn, source FROM reports WHERE (utn, source) IN (SELECT (utn, source) FROM reports GROUP BY utn, source HAVING count(*) >= 12)",
     "filter_hypot": "SELECT l_orderkey, l_discount, l_tax FROM lineitem WHERE sqrt(l_discount * l_discount + l_tax * l_tax) <= 0.05",
     "json_member": f"WITH {REPORTS} SELECT id, '[' || code || ',' || (id % 5) || ']' AS receivers FROM reports WHERE code IN (3, 42) OR id % 5 IN (3, 42)",
     "null_count_any": f"WITH {REPORTS}, {_NULLS} SELECT count(*) FILTER (WHERE code IS NULL OR value IS NULL) AS n_null, count(*) AS n_rows FROM n",
-    "min_max_all_columns": " UNION ALL ".join(f"SELECT '{c}' AS name, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),
+    "min_max_all_columns": " UNION ALL ".join(f"SELECT '{c}' AS name, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")),
     "group_min_max": "SELECT l_suppkey, l_returnflag, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity, min(l_discount) AS min_l_discount, max(l_discount) AS max_l_discount FROM lineitem GROUP BY ALL",
     "target_summary": f"WITH {REPORTS} SELECT utn, count(*) AS n_updates, min(t) AS first, max(t) AS last, count(DISTINCT source) AS n_sources, string_agg(DISTINCT lpad(code::VARCHAR, 4, '0'), ',' ORDER BY lpad(code::VARCHAR, 4, '0')) AS codes, min(value) AS min_height, max(value) AS max_height FROM reports GROUP BY utn",
     "source_counts": f"WITH {REPORTS} SELECT source, id % 4 AS line, count(*) AS n, count(*) FILTER (WHERE code < 10) AS n_low FROM reports GROUP BY ALL",

@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from trackloom.operators import filters as P
 from trackloom.operators.tracking import RESET, motion
 
 
@@ -35,16 +36,37 @@ def track_sessions(stream: DataFrame, ts: str, by: list[str], gap: str, late: st
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *by).agg(F.count("*").alias("n"))
 
 
-def keep_in_store(stream: DataFrame, path: str, ts: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str, by: str = "hour") -> StreamingQuery:
-    """Every micro-batch is transformed and appended, partitioned by time, so that retention drops whole partitions."""
+def keep_in_store(stream: DataFrame, path: str, ts: str, transform: Callable[[DataFrame], DataFrame], checkpoint: str, by: str = "hour", keep: str | None = None) -> StreamingQuery:
+    """Every micro-batch is transformed and stored by time (part) and batch; what is older than `keep` goes.
 
-    def write(batch: DataFrame, _: int) -> None:
-        rows = transform(batch).withColumn("part", F.date_trunc(by, F.col(ts).cast("timestamp")).cast("string"))
-        rows.write.mode("append").partitionBy("part").parquet(path)
+    A batch owns its folders batch=<id>/part=<time>: one that is run again after a restart overwrites what
+    it wrote before, so that nothing is doubled. With keep, an interval such as "60 minutes", each batch
+    deletes the parts that end before the newest time seen less keep, whole folders at a time.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = transform(batch).withColumn("part", F.date_format(F.date_trunc(by, F.col(ts).cast("timestamp")), "yyyy-MM-dd HH'h'mm"))
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
+        if keep is not None:
+            newest = rows.agg(F.date_format(F.date_trunc(by, F.max(F.col(ts).cast("timestamp")) - F.expr(f"interval {keep}")), "yyyy-MM-dd HH'h'mm")).first()[0]
+            _drop_before(batch.sparkSession, path, newest)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _drop_before(spark: SparkSession, path: str, newest: str | None) -> None:
+    """Delete the folders of parts before newest through the store's own file system."""
+    if newest is None:
+        return
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch=*/part=*"))
+    for status in found or []:
+        if jvm.java.net.URLDecoder.decode(status.getPath().getName(), "UTF-8")[len("part=") :] < newest:
+            files.delete(status.getPath(), True)
+
+
 _STATE = "t double, x double, vx double, y double, vy double, p array<double>"
 
 
@@ -85,3 +107,22 @@ def online_tracks(stream: DataFrame, key: str, sigma: float = 30.0, noise: float
 
     kind = stream.schema[key].dataType.simpleString()
     return stream.groupBy(key).applyInPandasWithState(update, f"key {kind}, t double, x double, y double, vx double, vy double", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def live_filters(df: DataFrame, modes: str | None = None, addresses: str | None = None, identifications: list[str] | None = None, heights: tuple[float, float] | None = None, primary: bool = False) -> DataFrame:
+    """The filters that run live, the same columns on a stream as on a table."""
+    if modes is not None:
+        df = df.where(P.codes("mode_a", modes, 8))
+    if addresses is not None:
+        df = df.where(P.codes("acad", addresses, 16))
+    if identifications is not None:
+        df = df.where(P.contains_any(["acid"], identifications))
+    if heights is not None:
+        df = df.where(P.between("mode_c", *heights, null=True))
+    return df.where(P.all_of(F.col(c).isNull() for c in ("mode_a", "acad", "acid"))) if primary else df
+
+
+def read_store(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """The reports of a store, from a time on by whole partitions; repeats of a restarted batch don't occur."""
+    df = spark.read.parquet(path)
+    return df if since is None else df.where(F.col("part") >= since)
