@@ -1,6 +1,7 @@
 import datetime
 import gzip
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
@@ -44,3 +45,35 @@ def test_sectors_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p")).where("day = '1970-01-01'").count() == 2
     schema = S.content_schema({"lat": "double", "code": "long"}, {"lat": "deg"})
     assert schema["lat"].metadata == {"unit": "deg"} and schema["code"].dataType.simpleString() == "bigint"
+
+
+def test_concatenated_objects_and_archives(spark, tmp_path):
+    text = '{"a": {"b": 1}, "s": "}{"} {"a": {"b": 2}}\n,{"a": {}}broken{{"a": {"b": "x", "c": [1, 2]}, "d": 7}'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.json").write_text(text)
+    (tmp_path / "in/y.json.gz").write_bytes(gzip.compress(b'{"a": {"b": 10}}{"a": {"b": 11}}'))
+    with zipfile.ZipFile(tmp_path / "in/z.zip", "w") as z:
+        z.writestr("1.json", '{"a": {"b": 20}}')
+        z.writestr("2.json", '[{"a": {"b": 21}}, {"a": {"b": 22}}]')
+    raw = S.read_objects(spark, str(tmp_path / "in"))
+    fields = [S.Field("b", "a.b", "long", mandatory=True), S.Field("all", "a.b", "long"), S.Field("all", "d", "long")]
+    assert sorted(r.b for r in S.map_objects(raw, fields).collect()) == [1, 2, 10, 11, 20, 21, 22]
+    assert sorted(map(tuple, S.map_objects(raw, [S.Field("c", "a.c", "array<int>", mandatory=True), *fields[1:]]).collect())) == [([1, 2], [7])]
+
+
+def test_view_points_reports_and_csv(spark, tmp_path):
+    (tmp_path / "v.json").write_text(json.dumps({"view_points": [{"id": 1, "name": "n", "type": "t", "filters": {"UTN": [3]}}, {"name": "without id"}]}))
+    (one,) = S.read_view_points(spark, str(tmp_path / "v.json")).collect()
+    assert (one.id, one.name, one.type, one.status) == (1, "n", "t", None) and json.loads(one.spec)["filters"] == {"UTN": [3]}
+    df = spark.createDataFrame([(1, 8, True), (2, 63, False)], "t long, code long, selected boolean")
+    S.write_report({"a": df, "b": df.where("t = 1")}, str(tmp_path / "r"), 10)
+    assert {(r.section, r.n) for r in spark.read.json(str(tmp_path / "r")).groupBy("section").agg(F.count("*").alias("n")).collect()} == {("a", 2), ("b", 1)}
+    S.write_csv(df, str(tmp_path / "s"), {"code": "octal"}, "selected")
+    rows = S.read_csv_mapped(spark, str(tmp_path / "s"), [S.Field("mode_a", "code", "long", base=8), S.Field("t", "t", "long")]).collect()
+    assert [tuple(r) for r in rows] == [(8, 1)]
+
+
+def test_geojson_sectors():
+    shape = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": "a", "layer_name": "l", "low": 5}, "geometry": {"type": "Polygon", "coordinates": [[[13, 47], [14, 47], [14, 48], [13, 47]], [[13.5, 47.1], [13.6, 47.1], [13.6, 47.2], [13.5, 47.1]]]}}]}
+    layers = S.read_sectors(json.dumps(shape))
+    assert [(s.corners[0], s.low, s.exclusion) for s in layers["l"]] == [((47.0, 13.0), 5, False), ((47.1, 13.5), 5, True)]

@@ -9,9 +9,9 @@ def _stream(spark, tmp_path, rows, schema):
     return spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
 
 
-def _run(out, name):
-    # a processing-time timeout asks for empty batches without end
-    out.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+def _run(out, name, empty="false"):
+    # a processing-time timeout asks for empty batches without end; windows are only closed by one
+    out.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", empty)
     q = out.writeStream.format("memory").queryName(name).outputMode("append").start()
     q.processAllAvailable()
     q.stop()
@@ -31,3 +31,30 @@ def test_online_tracks(spark, tmp_path):
     got = _run(live.online_tracks(s, "k"), "t_tracks").toPandas()
     one = got[got.key == 1].sort_values("t")
     assert list(one.t) == [0, 2, 4, 6, 8] and abs(one.vx.iloc[-1] - 100) < 10 and len(got) == 6 and isinstance(got, pd.DataFrame)
+
+
+def test_store_is_written_once_and_forgets(spark, tmp_path):
+    """A batch that runs again overwrites what it wrote; parts older than the retention go."""
+    rows = [(i, f"2024-01-01 {h:02d}:10:00") for i, h in enumerate((1, 2, 3, 5, 6))]
+    s = _stream(spark, tmp_path, rows, "id long, at string").withColumn("ts", F.to_timestamp("at"))
+    store, state = str(tmp_path / "store"), tmp_path / "state"
+    live.keep_in_store(s, store, "ts", lambda df: df, str(state), "hour", "90 minutes").awaitTermination()
+    assert sorted(r.id for r in live.read_store(spark, store).collect()) == [3, 4]
+    (state / "commits" / "0").unlink()  # as if the driver was lost after the write and before the commit
+    for crc in (state / "commits").glob(".0*"):
+        crc.unlink()
+    live.keep_in_store(s, store, "ts", lambda df: df, str(state), "hour", "90 minutes").awaitTermination()
+    assert sorted(r.id for r in live.read_store(spark, store).collect()) == [3, 4]
+    assert [r.id for r in live.read_store(spark, store, "2024-01-01 06").collect()] == [4]
+
+
+def test_rates_sessions_and_filters_on_a_stream(spark, tmp_path):
+    rows = [(1, "a", f"2024-01-01 00:00:{i:02d}", 8 * i) for i in range(0, 60, 10)] + [(2, "a", "2024-01-01 00:20:00", 8)]
+    s = _stream(spark, tmp_path, rows, "id long, src string, at string, mode_a long").withColumn("ts", F.to_timestamp("at"))
+    plain = lambda df: df.where("window.start < '2024-01-01 00:10:00'")
+    got = _run(live.rates(s, "ts", ["src"], "30 seconds", "1 second"), "t_rates", "true")
+    assert sorted(r.n for r in plain(got).collect()) == [3, 3]
+    got = _run(live.live_filters(s, modes="0,10").select("id", "mode_a"), "t_filters")
+    assert sorted(r.mode_a for r in got.collect()) == [0, 8]
+    got = _run(live.track_sessions(s, "ts", ["src"], "5 minutes", "1 second"), "t_sessions", "true")
+    assert [r.n for r in got.collect()] == [6]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -9,17 +10,31 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors see; a local one would lose what other machines write."""
+    """The folder named in spark.checkpoint.dir, which the driver and all executors see.
+
+    Where it is unset, as in tests, a local session takes a temporary folder; on a cluster that would lose
+    what other machines write, so it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return named
+    return f"file://{tempfile.gettempdir()}/trackloom-shared"
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(found)
+    return path
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
+    path = scratch(spark, "staged")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -65,3 +65,24 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     """Columns with nulls only go."""
     filled = df.agg(*(F.count(c).alias(c) for c in df.columns)).first()
     return df.select(*(c for c in df.columns if filled[c]))
+
+
+def update_cell(df: DataFrame, key: str, value, column: str, new) -> DataFrame:
+    """One column of the rows of a key takes a value."""
+    return df.withColumn(column, F.when(F.col(key) == value, F.lit(new)).otherwise(F.col(column)).cast(df.schema[column].dataType))
+
+
+def delete_sources(df: DataFrame, source: str, values: list, line: tuple[str, int] | None = None) -> DataFrame:
+    """Reports of sources, of one of their lines if given, go."""
+    gone = F.col(source).isin(values)
+    return delete(df, gone if line is None else gone & (F.col(line[0]) == line[1]))
+
+
+def compacted(df: DataFrame, by: list[str], files: int) -> DataFrame:
+    """Rows dealt to so many files, in order of the columns by which they are read, ready to be written elsewhere."""
+    return df.repartitionByRange(files, *by).sortWithinPartitions(*by)
+
+
+def scaled(df: DataFrame, factors: dict[str, float]) -> DataFrame:
+    """Columns multiplied by factors."""
+    return df.withColumns({c: F.col(c) * f for c, f in factors.items()})

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from trackloom.operators.staging import shared_dir
+from trackloom.operators.staging import scratch
 from trackloom.plans.common import FLIGHTS, flights
 from trackloom.streaming.live import accepted, keep_in_store, live_filters, read_store
 
@@ -20,7 +18,7 @@ def _events(spark, sf):
 def live_store(spark, sf):
     """Micro-batches cleaned of repeats and future reports into an hourly store, read back by source."""
     now = F.lit("2024-01-20").cast("timestamp_ntz")
-    home = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    home = scratch(spark, "live")
     rows = accepted(_events(spark, sf), "ts", now, "3 minutes", "60 days")
     keep_in_store(rows, f"{home}/store", "ts", lambda df: df.dropDuplicates(["event_id"]), f"{home}/state").awaitTermination()
     return read_store(spark, f"{home}/store").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
@@ -28,7 +26,7 @@ def live_store(spark, sf):
 
 def retained_store(spark, sf):
     """A store that keeps three days: what is left after the stream, by day."""
-    home = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    home = scratch(spark, "live")
     keep_in_store(_events(spark, sf), f"{home}/store", "ts", lambda df: df, f"{home}/state", "day", "3 days").awaitTermination()
     return read_store(spark, f"{home}/store").groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
 

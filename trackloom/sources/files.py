@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import json
+import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +43,13 @@ def read_json(spark: SparkSession, path: str, fields: list[Field], container: st
         raw = raw.select(F.explode(items).alias("o"))
     if where is not None:
         raw = raw.where(F.get_json_object("o", f"$.{where[0]}") == where[1])
-    rows = raw.select(*(_value(f).alias(f.name) for f in fields))
-    needed = [f.name for f in fields if f.mandatory]
-    return rows.dropna(subset=needed) if needed else rows
+    return map_objects(raw, fields)
 
 
 def _value(f: Field) -> Column:
     text = F.get_json_object("o", f"$.{f.path}")
+    if f.kind.startswith("array"):
+        return F.from_json(text, f.kind)
     if f.base is not None:
         return F.conv(text, f.base, 10).try_cast(f.kind)
     value = text.try_cast(f.kind)
@@ -79,16 +84,34 @@ def read_nmea(spark: SparkSession, path: str, day: str, offset: float = 0.0) ->
 
 
 def read_sectors(text: str) -> dict[str, list[Sector]]:
-    """Layers of sectors from their JSON text: a list of name, layer_name, points, low, high, exclusion."""
+    """Layers of sectors from their JSON text: a list of name, layer_name, points, low, high, exclusion, or GeoJSON.
+
+    Of GeoJSON features, polygons count with their outer ring; holes are exclusions of their layer.
+    """
     layers: dict[str, list[Sector]] = {}
-    for s in json.loads(text):
+    found = json.loads(text)
+    if isinstance(found, dict):
+        found = [s for feature in found.get("features", []) for s in _rings(feature)]
+    for s in found:
         corners = tuple((float(x), float(y)) for x, y in s["points"])
         layers.setdefault(s.get("layer_name", s["name"]), []).append(Sector(s["name"], corners, s.get("low"), s.get("high"), bool(s.get("exclusion"))))
     return layers
 
 
-def write_csv(df: DataFrame, path: str, shown: dict[str, str] | None = None) -> None:
-    """A header, nulls as empty fields, and columns in the form named in shown: octal, hex, time or fl."""
+def _rings(feature: dict) -> Iterator[dict]:
+    shape, own = feature.get("geometry") or {}, feature.get("properties") or {}
+    many = {"Polygon": [shape.get("coordinates")], "MultiPolygon": shape.get("coordinates")}.get(shape.get("type"), [])
+    name = str(own.get("name", feature.get("id", "sector")))
+    for polygon in many:
+        for i, ring in enumerate(polygon):
+            # positions are (longitude, latitude), and the last repeats the first
+            points = [(p[1], p[0]) for p in ring[: -1 if ring[0] == ring[-1] else None]]
+            yield {"name": name, "layer_name": own.get("layer_name", name), "points": points, "low": own.get("low"), "high": own.get("high"), "exclusion": i > 0}
+
+
+def write_csv(df: DataFrame, path: str, shown: dict[str, str] | None = None, selected: str | None = None) -> None:
+    """A header, nulls as empty fields, and columns in the form named in shown: octal, hex, time or fl; of selected rows only if asked."""
+    df = df if selected is None else df.where(F.col(selected))
     forms = {"octal": S.octal_text, "hex": S.hex_text, "time": S.time_text, "fl": S.flight_level}
     out = df.select(*(forms[shown[c]](F.col(c)).alias(c) if shown and c in shown else F.col(c) for c in df.columns))
     out.write.option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
@@ -113,3 +136,75 @@ def content_schema(variables: dict[str, str], units: dict[str, str] | None = Non
     """1.4: a declared schema whose fields keep their unit."""
     fields = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in variables.items()))
     return T.StructType([T.StructField(f.name, f.dataType, True, {"unit": (units or {}).get(f.name, "")}) for f in fields])
+
+
+def _objects(data: bytes) -> Iterator[str]:
+    """The JSON objects of a file, one after another, whatever stands between them; gzip and zip archives are opened."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    if data[:4] == b"PK\x03\x04":
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            for name in sorted(archive.namelist()):
+                yield from _objects(archive.read(name))
+        return
+    text, decoder, at = data.decode("utf-8", "replace"), json.JSONDecoder(), 0
+    while (at := text.find("{", at)) >= 0:
+        try:
+            _, end = decoder.raw_decode(text, at)
+        except json.JSONDecodeError:
+            at += 1
+            continue
+        yield text[at:end]
+        at = end
+
+
+def read_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Column o with each object of files that hold JSON objects one after another, plain, gzipped or in zip archives.
+
+    A file is read whole by one task, so it must be below 2 GB; files with an object a line are read by
+    read_json without that limit. What isn't JSON between objects is skipped.
+    """
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            for data in batch.column("content"):
+                held: list[str] = []
+                for text in _objects(data.as_py()):
+                    held.append(text)
+                    if len(held) >= 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(held)], names=["o"])
+                        held = []
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], names=["o"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "o string")
+
+
+def map_objects(raw: DataFrame, fields: list[Field]) -> DataFrame:
+    """The objects of column o mapped to columns; rows without a mandatory value are left out.
+
+    Fields of one name are appended: their column is the array of those of their values that are there.
+    """
+    names = list(dict.fromkeys(f.name for f in fields))
+    of = {n: [_value(f) for f in fields if f.name == n] for n in names}
+    rows = raw.select(*((v[0] if len(v) == 1 else F.array_compact(F.array(*v))).alias(n) for n, v in of.items()))
+    needed = [f.name for f in fields if f.mandatory]
+    return rows.dropna(subset=needed) if needed else rows
+
+
+def read_csv_mapped(spark: SparkSession, path: str, fields: list[Field]) -> DataFrame:
+    """CSV files with a header, their columns mapped as objects' members are: path is a column's name."""
+    raw = spark.read.option("header", True).csv(path)
+    return map_objects(raw.select(F.to_json(F.struct(*raw.columns)).alias("o")), fields)
+
+
+def read_view_points(spark: SparkSession, path: str, container: str = "view_points") -> DataFrame:
+    """Id, name, type, status and spec, the whole object, of the view points of JSON files; those without an id are left out."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json(F.get_json_object("value", f"$.{container}"), "array<string>")).alias("spec"))
+    part = lambda name: F.get_json_object("spec", f"$.{name}")
+    return raw.select(part("id").try_cast("long").alias("id"), part("name").alias("name"), part("type").alias("type"), part("status").alias("status"), "spec").where("id is not null")
+
+
+def write_report(sections: dict[str, DataFrame], path: str, most: int | None = None) -> None:
+    """A report's tables as JSON rows, a folder for each section, cut to a number of rows if asked."""
+    for name, df in sections.items():
+        (df if most is None else df.limit(most)).write.mode("overwrite").json(f"{path}/section={name}")
