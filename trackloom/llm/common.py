@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackloom.operators.staging import scratch, shared_dir, stage  # noqa: F401  what the operators here write between steps
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -22,20 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or f"file://{tempfile.gettempdir()}/trackloom-shared"
-
-
-def stage(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() for small tables between iterations."""
     sc = df.sparkSession.sparkContext

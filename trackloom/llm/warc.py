@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trackloom.llm.common import batches, shared_dir, stage
+from trackloom.llm.common import batches, scratch, stage
 
 #: Payloads of fewer bytes are never deduplicated.
 LEAST_BYTES = 100
@@ -165,7 +164,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
     revisit names, null otherwise. For revisits, size and digest are those of that response's payload.
     """
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_warc(pages, path)
     rows = transactions(read_warc(spark, path))
     rows = rows.select("capture_id", F.col("metadata")[0]["fields"]["pageid"].cast("long").alias("page_id"), "response.type", "response.refers_to", "response.payload_bytes", "response.payload_digest")
