@@ -1,7 +1,8 @@
 import random
 import re
 
-from trackloom.llm.licenses import TEMPLATES, align, longest_increasing, scan_licenses
+from trackloom.llm.common import Words
+from trackloom.llm.licenses import LEAST_COVERAGE, SLACK, TEMPLATES, align, full_texts, longest_increasing, normal, scan_licenses
 
 LINES = {"CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.", "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.", "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.", "MIT-line": "Released under the MIT License."}
 
@@ -49,3 +50,51 @@ def test_edited_templates_and_odd_rows(spark):
     assert want <= set(full) and full.count((12, "MIT")) == 2 and (None, "MIT") in full
     assert not {d for d, _ in full} & {10, 11, 13}
     assert scan_licenses(docs.limit(0)).collect() == []
+
+
+def test_align_by_its_definition():
+    """Pairs are equal and increase in both; no gap between pairs holds an item that occurs once on either side of it."""
+    r = random.Random(9)
+    for _ in range(400):
+        a, b = ([r.randrange(r.choice([3, 8, 40])) for _ in range(r.randrange(25))] for _ in range(2))
+        pairs = align(a, b)
+        assert all(a[x] == b[y] for x, y in pairs)
+        for (x, y), (p, q) in zip([(-1, -1), *pairs], [*pairs, (len(a), len(b))], strict=True):
+            assert x < p and y < q
+            one, two = a[x + 1 : p], b[y + 1 : q]
+            assert not [i for i in one if one.count(i) == 1 and two.count(i) == 1]
+
+
+def test_places_against_every_start(spark):
+    """The same documents and templates as aligning each template with every stretch of a text."""
+    r = random.Random(11)
+    templates = {n: " ".join(TEMPLATES[n].split()[:40]) for n in ("MIT", "ISC", "Zlib", "MPL-2.0-header", "CC0-1.0-notice")}
+    rows = []
+    for i in range(40):
+        name = r.choice(list(templates))
+        words = templates[name].split()
+        for _ in range(r.randrange(14)):
+            words[r.randrange(len(words))] = r.choice(["changed", "the", "of", "software"])
+        noise = [[r.choice(["alpha", "the", "of", "software", "and", "any"]) for _ in range(r.randrange(30))] for _ in range(2)]
+        rows.append((i, " ".join(noise[0] + words[: r.choice([25, 34, 40])] + noise[1])))
+    hashes = lambda t: Words([normal(t)]).hash.tolist()
+    want = set()
+    for i, text in rows:
+        words = hashes(text)
+        for name, template in templates.items():
+            own = hashes(template)
+            if any(len(align(words[low : low + int(len(own) * SLACK)], own)) >= LEAST_COVERAGE * len(own) for low in range(len(words))):
+                want.add((i, name))
+    got = {(x.doc_id, x.license) for x in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert want and got <= want and len(want - got) <= 0.05 * len(want)
+
+
+def test_whole_texts_from_a_folder(spark, tmp_path):
+    r = random.Random(12)
+    words = [r.choice("aa bb cc dd ee ff gg hh".split()) + str(r.randrange(300)) for _ in range(4000)]
+    (tmp_path / "LONG").write_text(" ".join(words))
+    for _ in range(300):
+        words[r.randrange(len(words))] = "edited"
+    docs = spark.createDataFrame([(1, "x " * 500 + " ".join(words) + " y" * 500), (2, "aa1 bb2")], "doc_id long, text string")
+    (got,) = scan_licenses(docs, full_texts(spark, str(tmp_path))).collect()
+    assert (got.doc_id, got.license) == (1, "LONG") and got.coverage > 0.9

@@ -1,8 +1,9 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from trackloom.llm.warc import page_captures, read_warc, transactions, write_warc
+from trackloom.llm.warc import _RECORDS, page_captures, read_warc, transactions, write_warc
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -37,3 +38,19 @@ def test_archives_of_others(spark, tmp_path):
         (tmp_path / "v" / name).write_bytes(b"no archive" if name[0] in "_." else archive)
     assert read_warc(spark, str(tmp_path / "v")).count() == 9
     assert read_warc(spark, str(tmp_path / "v"), "*.warc").count() == 3
+
+
+def test_transactions_with_odd_ids(spark):
+    """Requests and metadata without their capture, doubled or without any id: each comes out once, none is lost."""
+    empty = {"refers_to": None, "target_uri": None, "stated_digest": None, "http_status": None, "fields": {}, "payload_bytes": 0, "payload_digest": "", "payload": b""}
+    rows = [("c1", "response", None), ("r1", "request", "c1"), ("r1", "request", "c1"), ("m1", "metadata", "c1"), ("r2", "request", "gone"), ("m3", "metadata", None), ("c4", "revisit", "x"), ("w", "warcinfo", None)]
+    records = spark.createDataFrame([{"record_id": i, "type": t, "concurrent_to": c} | empty for i, t, c in rows], _RECORDS)
+    got = {r.capture_id: (r.response is not None, len(r.requests or ()), len(r.metadata or ())) for r in transactions(records).collect()}
+    assert got == {"c1": (True, 2, 1), "gone": (False, 1, 0), "m3": (False, 0, 1), "c4": (True, 0, 0)}
+    assert transactions(records.limit(0)).collect() == []
+
+
+def test_broken_archive(spark, tmp_path):
+    (tmp_path / "x.warc").write_bytes(b"no archive at all")
+    with pytest.raises(Exception, match="not the start of a WARC record"):
+        read_warc(spark, str(tmp_path)).collect()

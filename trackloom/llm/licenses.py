@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import Words, batches, slices
@@ -185,6 +185,14 @@ def _scan(templates: dict[str, str]):
     return run
 
 
+def full_texts(spark: SparkSession, path: str, most: int = 500) -> dict[str, str]:
+    """Templates from the files of a folder, by file name: whole license texts, few and of bounded size; more than `most` are refused."""
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates under {path}")
+    return {r.name: r.value for r in rows}
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, license, first_word, end_word, n_aligned, coverage, n_words.
 
@@ -193,8 +201,12 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
     Templates are public license texts and notices by default, few and of bounded size.
 
     Null, empty and very short texts match nothing. Null doc_ids and repeated rows are reported each.
-    A license that stands in a text several times is found each time. Very long texts are searched
-    whole. Extra columns are ignored. An empty table gives an empty result.
+    A license that stands in a text several times is found each time; of overlapping finds of one template
+    the one with the most words aligned counts, of equal ones the shortest, then the first. Very long texts
+    are searched whole. Extra columns are ignored. An empty table gives an empty result.
+
+    The default templates are the texts and notices in TEMPLATES; the long licenses come by their notices.
+    full_texts reads more, such as whole licenses, from a folder.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     return rows.mapInArrow(_scan(TEMPLATES if templates is None else templates), "doc_id long, license string, first_word long, end_word long, n_aligned long, coverage double, n_words long")

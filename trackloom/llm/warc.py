@@ -162,6 +162,11 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
     -> page_id, payload_bytes, payload_digest, record_type, refers_to: the page_id of the response that a
     revisit names, null otherwise. For revisits, size and digest are those of that response's payload.
+
+    One row for each row of pages: null html is an empty payload, a null page_id comes back as null,
+    repeated rows are captures of their own, of which with equal payloads of LEAST_BYTES or more one is
+    the response. Very long pages are written and read whole, up to 2 GB. Extra columns are ignored. An
+    empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = scratch(spark, "warc")
