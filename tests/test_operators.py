@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from trackloom.functions import scalar as S
 from trackloom.operators import aggregates as A
 from trackloom.operators import association as C
 from trackloom.operators import evaluation as E
@@ -13,8 +14,8 @@ from trackloom.operators import spatial as G
 from trackloom.operators import tables as TB
 from trackloom.operators import timeline as L
 from trackloom.operators import views as V
-from trackloom.operators.tracking import motion, smooth
-from trackloom.plans.saved import load
+from trackloom.operators.tracking import motion, reference_tracks, smooth
+from trackloom.plans.saved import get_targets, load
 
 
 @pytest.fixture
@@ -159,3 +160,71 @@ def test_dubious_angles(spark):
 def test_unique_values(spark):
     df = spark.createDataFrame([(4, "a"), (2, "b"), (1, "a"), (3, None)], "i long, v string")
     assert sorted(map(tuple, A.unique_values(df, "v", "i").collect())) == [("a", 1, 2), ("b", 2, 1)]
+
+
+def scalar_filter(t, x, sigma, noise):
+    """One axis of the constant-velocity filter and smoother, written with plain numbers."""
+    s, p = np.array([x[0], 0.0]), np.array([[sigma**2, 0.0], [0.0, 1e4]])
+    states, covs, ahead, steps = [s], [p], [(s, p)], [np.eye(2)]
+    for i in range(1, len(t)):
+        dt = t[i] - t[i - 1]
+        f = np.array([[1.0, dt], [0.0, 1.0]])
+        s, p = f @ s, f @ p @ f.T + noise**2 * np.array([[dt**3 / 3, dt**2 / 2], [dt**2 / 2, dt]])
+        ahead.append((s, p)), steps.append(f)
+        k = p[:, 0] / (p[0, 0] + sigma**2)
+        s, p = s + k * (x[i] - s[0]), p - np.outer(k, p[0])
+        states.append(s), covs.append(p)
+    for i in range(len(t) - 2, -1, -1):
+        c = covs[i] @ steps[i + 1].T @ np.linalg.inv(ahead[i + 1][1])
+        states[i] = states[i] + c @ (states[i + 1] - ahead[i + 1][0])
+        covs[i] = covs[i] + c @ (covs[i + 1] - ahead[i + 1][1]) @ c.T
+    return np.array(states), np.array(covs)
+
+
+def test_tracks_against_a_scalar_filter(spark):
+    r = np.random.default_rng(3)
+    t = np.cumsum(r.uniform(0.5, 4, 40))
+    x, y = 80 * t + r.normal(0, 20, 40), -30 * t + r.normal(0, 20, 40)
+    frame = spark.createDataFrame([(1, float(a), float(b), float(c)) for a, b, c in zip(t, x, y, strict=True)], "k long, s double, x double, y double").repartition(5)
+    got = reference_tracks(frame, "k", "s", "x", "y", 20.0, 2.0).orderBy("t").toPandas()
+    (sx, px), (sy, py) = scalar_filter(t, x, 20.0, 2.0), scalar_filter(t, y, 20.0, 2.0)
+    assert np.allclose(got[["x", "vx", "y", "vy"]], np.column_stack([sx, sy]), atol=1e-6) and np.allclose(got.stddev, np.sqrt(px[:, 0, 0] + py[:, 0, 0]), atol=1e-6)
+    at = np.arange(np.ceil(t[0] / 2), np.floor(t[-1] / 2) + 1) * 2
+    grid = reference_tracks(frame, "k", "s", "x", "y", 20.0, 2.0, step=2.0).orderBy("t").toPandas()
+    i = np.searchsorted(t, at, side="right") - 1
+    w = (at - t[i]) / (t[i + 1] - t[i])
+    want = (1 - w) * (sx[i, 0] + sx[i, 1] * (at - t[i])) + w * (sx[i + 1, 0] - sx[i + 1, 1] * (t[i + 1] - at))
+    assert np.allclose(grid.t, at) and np.allclose(grid.x, want, atol=1e-6)
+
+
+def test_table_functions(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, 3.0), (3, "c", None)], "k long, v string, x double").withColumn("none", F.lit(None).cast("int"))
+    assert [r.v for r in TB.set_null(df, "v").collect()] == [None] * 3 and TB.set_null(df, "v").schema == df.schema
+    assert [r.v for r in TB.update_cell(df, "k", 2, "v", "new").orderBy("k").collect()] == ["a", "new", "c"]
+    assert TB.drop_empty_columns(df).columns == ["k", "v", "x"] and [r.k for r in TB.cut_prefix(df, "k", 2).orderBy("k").collect()] == [2, 3]
+    assert [r.k for r in TB.delete_sources(df, "v", ["a", "c"], ("k", 1)).orderBy("k").collect()] == [2, 3]
+    assert [r.x for r in TB.scaled(df, {"x": 2.0}).orderBy("k").collect()] == [4.0, 6.0, None]
+    assert TB.compacted(df, ["k"], 2).rdd.getNumPartitions() <= 2 and TB.compacted(df, ["k"], 2).count() == 3
+    assert sorted((r.k, r.rec_num) for r in TB.numbered(df, [F.col("k").desc()], 5).collect()) == [(1, 3 * 256 + 5), (2, 2 * 256 + 5), (3, 256 + 5)]
+    seen = spark.createDataFrame([(1, 5, "old"), (1, 9, "new"), (2, 1, "one")], "k long, t long, v string")
+    assert sorted((r.k, r.v) for r in C.latest(seen, "k", "t").collect()) == [(1, "new"), (2, "one")]
+    assert sorted(map(tuple, get_targets(seen, "k", "t").collect())) == [(1, 2, 5, 9), (2, 1, 1, 1)]
+    one = spark.range(1).select(S.time_seconds(F.lit("01:02:03.500")).alias("s"), S.hex_value(F.lit("fF")).alias("h"), S.trailing_int(F.lit("line 12 ")).alias("i")).first()
+    assert tuple(one) == (3723.5, 255, 12) and V.grid_shape(0.0, 10.0, 3.0) == (0.0, 12.0, 4)
+
+
+def test_quantiles_against_numpy(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(k), float(v)) for k, v in zip(r.integers(0, 3, 500), np.round(r.normal(0, 5, 500), 1), strict=True)] + [(0, float("nan")), (1, None)]
+    got = {x.k: x for x in A.quantiles(spark.createDataFrame(rows, "k long, v double"), ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.99}).collect()}
+    for k in range(3):
+        own = [v for q, v in rows if q == k and v is not None and v == v]
+        assert np.allclose([got[k].a, got[k].b, got[k].c], np.quantile(own, [0.1, 0.5, 0.99]))
+
+
+def test_slices_write_each_report_once(spark):
+    df = spark.range(0, 1000, 7).withColumnRenamed("id", "t")
+    rows = C.in_slices(df, "t", 100, 30).collect()
+    assert sum(r.kept for r in rows) == df.count() and all(r.slice * 70 <= r.t < r.slice * 70 + 100 for r in rows)
+    bounds = C.slice_bounds(0, 995, 100, 30)
+    assert [b[2] for b in bounds[:-1]] == [b[0] for b in bounds[1:]] and bounds[0][0] == 0 and bounds[-1][2] == 996

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.operators.timeline import gap_sessions
+from trackloom.operators.timeline import WIDTH, gap_sessions, previous
 
 #: A longer time without a report starts the filter anew, in seconds.
 RESET = 11.0
@@ -62,10 +62,47 @@ def reference_tracks(reports: DataFrame, key: str, seconds: str, x: str, y: str,
         out = pd.DataFrame({"t": t, "x": s[:, 0], "y": s[:, 2], "vx": s[:, 1], "vy": s[:, 3], "stddev": np.sqrt(np.maximum(p[:, 0, 0] + p[:, 2, 2], 0))})
         if step is not None and len(t) > 1:
             at = np.arange(np.ceil(t[0] / step), np.floor(t[-1] / step) + 1) * step
-            out = pd.DataFrame({"t": at} | {c: np.interp(at, t, out[c]) for c in out.columns if c != "t"})
+            plain = {c: np.interp(at, t, out[c]) for c in ("vx", "vy", "stddev")}
+            out = pd.DataFrame({"t": at, "x": blend(at, t, s[:, 0], s[:, 1]), "y": blend(at, t, s[:, 2], s[:, 3])} | plain)
         out.insert(0, "session", pdf.session.iloc[0])
         out.insert(0, "key", pdf.key.iloc[0])
         return out
 
     kind = pieces.schema["key"].dataType.simpleString()
     return pieces.groupBy("key", "session").applyInPandas(run, f"key {kind}, session long, t double, x double, y double, vx double, vy double, stddev double")
+
+
+def blend(at: np.ndarray, t: np.ndarray, x: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Positions at other times: the state before carried forward and the one after carried back, each by its nearness."""
+    i = np.clip(np.searchsorted(t, at, side="right") - 1, 0, len(t) - 2)
+    share = (at - t[i]) / (t[i + 1] - t[i])
+    return (1 - share) * (x[i] + v[i] * (at - t[i])) + share * (x[i + 1] - v[i + 1] * (t[i + 1] - at))
+
+
+def spline_points(df: DataFrame, key: list[str], t: str, columns: list[str], step: int, most_gap: int, width: int = WIDTH) -> DataFrame:
+    """Positions every `step` between the reports of a key, where they are at most most_gap apart: key..., at, columns.
+
+    Cubic between two reports, through both, with the slopes that the reports around them give; at an end
+    of a track the slope is that of the line. The reports' own places on the grid are among the points.
+    """
+    rows = previous(df.select(*key, t, *columns), key, t, [t, *columns], width).withColumnRenamed("prev", "before").withColumn("_neg", -F.col(t))
+    after = previous(rows.withColumn("_far", F.lit(None).cast("long")), key, "_neg", [t, *columns], width).drop("_far").withColumnRenamed("prev", "after")
+    rows = previous(after.withColumn("_next", F.col("after")), key, "_neg", [t, "_next"], width).withColumn("beyond", F.col("prev._next")).drop("prev", "_next", "_neg")
+    pairs = rows.where(F.col("after").isNotNull() & (F.col(f"after.{t}") - F.col(t) <= most_gap) & (F.col(f"after.{t}") > F.col(t)))
+    first = F.ceil(F.col(t) / step)
+    # a point at the second report belongs to the next pair, or to this one if it is the last
+    last = F.ceil(F.col(f"after.{t}") / step) - 1
+    last = F.when(F.col("beyond").isNull() | (F.col(f"beyond.{t}") - F.col(f"after.{t}") > most_gap), F.floor(F.col(f"after.{t}") / step)).otherwise(last)
+    pairs = pairs.where(last >= first).withColumn("_i", F.explode(F.sequence(first, last))).withColumn("at", F.col("_i") * step)
+    gap = (F.col(f"after.{t}") - F.col(t)).cast("double")
+    s = (F.col("at") - F.col(t)) / gap
+
+    def at(c: str) -> Column:
+        line = (F.col(f"after.{c}") - F.col(c)) / gap
+        around = lambda one, two: (F.col(f"{two}.{c}" if two else c) - F.col(f"{one}.{c}" if one else c)) / (F.col(f"{two}.{t}" if two else t) - F.col(f"{one}.{t}" if one else t))
+        near = lambda side, a, b: F.abs(F.col(a) - F.col(b)) <= most_gap if side else F.lit(True)
+        m0 = F.when(F.col("before").isNotNull() & near(1, t, f"before.{t}"), around("before", "after")).otherwise(line) * gap
+        m1 = F.when(F.col("beyond").isNotNull() & near(1, f"beyond.{t}", f"after.{t}"), around("", "beyond")).otherwise(line) * gap
+        return (2 * s * s * s - 3 * s * s + 1) * F.col(c) + (s * s * s - 2 * s * s + s) * m0 + (3 * s * s - 2 * s * s * s) * F.col(f"after.{c}") + (s * s * s - s * s) * m1
+
+    return pairs.select(*key, "at", *(at(c).alias(f"_{c}") for c in columns)).toDF(*key, "at", *columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.functions.scalar import local_offset
 from trackloom.operators import evaluation as E
 from trackloom.operators import timeline as L
+from trackloom.operators.tracking import spline_points as spline
 from trackloom.plans.common import FLIGHTS, HOUR, INTERVAL, REACH, flights
 
 SITE = (47.2, 13.1)
@@ -224,6 +225,22 @@ def positions_between(spark, sf):
     return L.positions_between(f.select("id", "utn", "t"), spans, "utn", "t").select("id", "begin")
 
 
+def spline_points(spark, sf):
+    """Every two hours between reports at most two days apart."""
+    out = spline(flights(spark, sf).where("lat is not null"), ["utn"], "t", ["lat", "lon"], 2 * HOUR, 48 * HOUR)
+    return out.select("utn", "at", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+def _cubic(c: str) -> str:
+    line = f"(x1.{c} - x0.{c}) / x0.gap"
+    m0 = f"CASE WHEN x0.before THEN (x1.{c} - x0.b_{c}) / (x1.t - x0.bt) ELSE {line} END * gap"
+    m1 = f"CASE WHEN x0.beyond THEN (x0.f_{c} - x0.{c}) / (x0.ft - x0.t) ELSE {line} END * gap"
+    return f"(2*s*s*s - 3*s*s + 1) * x0.{c} + (s*s*s - 2*s*s + s) * ({m0}) + (3*s*s - 2*s*s*s) * x1.{c} + (s*s*s - s*s) * ({m1})".replace("x1.t", "x0.nt").replace(f"x1.{c}", f"x0.n_{c}")
+
+
+_SPLINE = f"""WITH {FLIGHTS}, r AS (SELECT utn, t, lat, lon, lag(t) OVER w AS bt, lag(lat) OVER w AS b_lat, lag(lon) OVER w AS b_lon, lead(t) OVER w AS nt, lead(lat) OVER w AS n_lat, lead(lon) OVER w AS n_lon, lead(t, 2) OVER w AS ft, lead(lat, 2) OVER w AS f_lat, lead(lon, 2) OVER w AS f_lon FROM flights WHERE lat IS NOT NULL WINDOW w AS (PARTITION BY utn ORDER BY t)),
+p AS (SELECT *, CAST(nt - t AS DOUBLE) AS gap, coalesce(t - bt <= {48 * HOUR}, false) AS before, coalesce(ft - nt <= {48 * HOUR}, false) AS beyond FROM r WHERE nt - t <= {48 * HOUR}),
+g AS (SELECT *, unnest(range((t + {2 * HOUR - 1}) // {2 * HOUR}, CASE WHEN beyond THEN (nt + {2 * HOUR - 1}) // {2 * HOUR} ELSE nt // {2 * HOUR} + 1 END)) AS i FROM p), x0 AS (SELECT *, i * {2 * HOUR} AS "at", (i * {2 * HOUR} - t) / gap AS s FROM g)"""
 _TRACKS = f"""WITH {FLIGHTS}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY utn, track ORDER BY t) <= {24 * HOUR} THEN 0 ELSE 1 END AS new FROM flights),
 h AS (SELECT *, CAST(sum(new) OVER (PARTITION BY utn, track ORDER BY t) AS BIGINT) AS session FROM g),
 d AS (SELECT *, (t - lag(t) OVER w) / {float(HOUR)}::DOUBLE AS dt, speed - lag(speed) OVER w AS ds, angle - lag(angle) OVER w + 180 AS da FROM h WINDOW w AS (PARTITION BY utn, track, session ORDER BY t)),
@@ -233,6 +250,7 @@ r AS (SELECT utn, track, session, n_updates, du, n_dubious, n_speed, n_angle, n_
 _A = _sql_aligned()
 _VALID = lambda column, tolerance=0: f"({_status(column, tolerance)}) IN ('same', 'no_ref_val', 'no_ref_pos')"
 SQL = {
+    "spline_points": f"{_SPLINE} SELECT utn, \"at\", round({_cubic('lat')}, 7) AS lat, round({_cubic('lon')}, 7) AS lon FROM x0",
     "identification_correct": f"""{_A}, {_IDENTITIES} SELECT utn, count(*) FILTER (WHERE NOT none_known AND fine > 0) AS n_any, count(*) FILTER (WHERE NOT none_known AND fine = 0) AS n_none, count(*) FILTER (WHERE NOT none_known AND fine = 3) AS n_all, count(*) FILTER (WHERE none_known) AS n_no_ref_val
 FROM (SELECT utn, s_mode_a = 'no_ref_val' AND s_acad = 'no_ref_val' AND s_acid = 'no_ref_val' AS none_known, (s_mode_a IN ('same', 'no_ref_val'))::INT + (s_acad IN ('same', 'no_ref_val'))::INT + (s_acid IN ('same', 'no_ref_val'))::INT AS fine FROM s WHERE pos) GROUP BY utn""",
     "identification_false": f"""{_A}, {_IDENTITIES} SELECT utn, count(*) FILTER (WHERE bad > 0) AS n_any, count(*) FILTER (WHERE bad > 0 AND good = 0) AS n_all, count(*) FILTER (WHERE bad = 0 AND good = 0) AS n_unknown

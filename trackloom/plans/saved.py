@@ -12,15 +12,14 @@ def load(contents: dict[str, DataFrame], spec: dict) -> dict[str, DataFrame]:
     """The contents a spec wants, filtered, cut to its columns.
 
     spec: {"contents": [...], "columns": {content: [...]}, "filters": [{"column", "operator", "value",
-    "absolute"}], "windows": {"column", "excluded": [[a, b]]}, "where": SQL, "most": rows of a table view}.
+    "absolute", "chain": "AND" or "OR"}], "windows": {"column", "excluded": [[a, b]]}, "where": SQL, "most": rows of a table view}.
     A filter applies to the contents that have its column.
     """
     out = {}
     for name in spec.get("contents", sorted(contents)):
         df = contents[name]
-        for f in spec.get("filters", []):
-            if f["column"] in df.columns:
-                df = df.where(P.compare(f["column"], f["operator"], f["value"], f.get("absolute", False)))
+        own = [f for f in spec.get("filters", []) if f["column"] in df.columns]
+        df = df.where(P.chain([(f.get("chain", "AND"), P.compare(f["column"], f["operator"], f["value"], f.get("absolute", False))) for f in own]))
         windows = spec.get("windows")
         if windows and windows["column"] in df.columns:
             df = df.where(P.outside_windows(windows["column"], windows["excluded"]))
