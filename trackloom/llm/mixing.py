@@ -12,7 +12,7 @@ WEIGHTS = (5, 2, 1)
 #: Share of all words that the mix has, and the most copies of a source.
 SHARE, MOST = 1.5, 2
 #: Size classes in each doubling, and rows that a slice of a class has on average at most.
-CLASSES, ROWS = 4, 50_000
+CLASSES, ROWS = 4, 8_000
 
 
 def sums_before(df: DataFrame, order: list[Column], **values: Column) -> DataFrame:
