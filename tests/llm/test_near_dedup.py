@@ -67,3 +67,10 @@ def test_odd_rows(spark):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rows_that_share_a_doc_id(spark):
+    """Each row links by its own text, whatever other text has its doc_id."""
+    base = [" ".join(f"{c}{i}" for i in range(100)) for c in "abc"]
+    rows = [(1, base[0]), (1, base[1]), (2, base[0] + " x"), (3, base[1] + " y"), (3, base[2]), (4, base[2] + " z"), (5, "alone here with other words")]
+    assert {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)

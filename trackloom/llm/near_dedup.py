@@ -27,7 +27,7 @@ BATCH = 32
 MISS = 1e-6
 #: Members, and bytes of text, of a bucket that one task holds.
 BLOCK, BLOCK_BYTES = 512, 32 << 20
-_SIGN = "doc_id long, n_shingles long, class binary, bands array<long>, signature binary, size long"
+_SIGN = "doc_id long, hash long, n_shingles long, class binary, bands array<long>, signature binary, size long"
 _LINK = "a long, b long"
 
 
@@ -76,11 +76,11 @@ def minhashes(items: np.ndarray, families: tuple[np.ndarray, np.ndarray]) -> np.
 def _sign(rows_of_band: int):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         families, bands = _families(HASHES), HASHES // rows_of_band
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("size", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary()), ("size", pa.int64())])
 
         def rows() -> Iterator[dict]:
             for row, items in _sets(stream):
-                out = {"doc_id": row["doc_id"], "n_shingles": len(items), "size": len(row["text"] or "")}
+                out = {"doc_id": row["doc_id"], "hash": row["hash"], "n_shingles": len(items), "size": len(row["text"] or "")}
                 if len(items):
                     least = minhashes(items, families)
                     banded = least[: bands * rows_of_band].reshape(bands, rows_of_band)
@@ -205,9 +205,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     shingles (A-Z lower-cased). component_id is the smallest doc_id reachable by links, itself included.
 
     Null and empty texts and texts without words: n_shingles 0, linked with nothing. A null doc_id: a
-    null component_id and kept false; such a row links nothing. Rows with one doc_id count as one
-    document for components, and the least of their texts is compared; each row keeps its own n_shingles. Columns other than doc_id and text are
-    ignored. An empty table gives an empty result. Very long texts are cut into sets piece by piece.
+    null component_id and kept false; such a row links nothing. Rows that share a doc_id are compared each
+    by its own text. Columns other than doc_id and text are ignored. An empty table gives an empty result. Very long texts are cut into sets piece by piece.
 
     Equal sets are one class first. A class has 256 MinHashes in bands (at 85 %: 32 of 8, which find a
     pair at the threshold with chance 1 - 4e-5). A bucket is compared in blocks of bounded size, batch by batch
@@ -216,19 +215,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     The bands go in two rounds: buckets of the second round whose members are connected already are
     done, which spares most of the texts that copies would send through every band.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
     signed = stage(docs.mapInArrow(_sign(band_rows(percent)), _SIGN))
     rows = signed.select("doc_id", "n_shingles", "class")
-    reps = stage(signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("node")))
-    members = signed.join(reps, "class").where("doc_id = node").select("node", "size", F.posexplode("bands").alias("band", "bucket"))
+    reps = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("of"))
+    reps = stage(reps.select("class", F.col("of.doc_id").alias("first"), F.col("of.hash").alias("first_hash"), F.monotonically_increasing_id().alias("node")))
+    members = signed.join(reps, "class").where("doc_id = first and hash = first_hash").select("node", "size", F.posexplode("bands").alias("band", "bucket"))
     members = stage(members)
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     sizes = sizes.select("bucket", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long").alias("blocks"))
     found = stage(members.select("node", "band", "bucket").join(sizes.hint("merge"), "bucket").distinct())
     # what grows with the documents is shuffled at every size, never broadcast
-    some = found.select(F.col("node").alias("doc_id")).distinct().hint("merge")
-    texts = docs.where("doc_id is not null").join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_pack, "node long, text binary")
-    marks = signed.select("doc_id", "class", "signature").join(some, "doc_id", "left_semi").join(reps, "class").where("doc_id = node").select("node", "signature").distinct()
+    some = found.select("node").distinct().join(reps.hint("merge"), "node").select("node", F.col("first").alias("doc_id"), F.col("first_hash").alias("hash")).hint("merge")
+    of = ["doc_id", "hash"]
+    texts = docs.where("doc_id is not null").join(some, of).groupBy(*of, "node").agg(F.min("text").alias("text")).mapInArrow(_pack, "node long, text binary")
+    marks = signed.select(*of, "signature").join(some, of).groupBy(*of, "node").agg(F.min("signature").alias("signature")).select("node", "signature")
     texts = stage(texts.join(marks, "node"))
     links = labels = None
     for low, high in ((0, FIRST_BANDS), (FIRST_BANDS, HASHES)):
@@ -248,7 +249,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         if not hot.isEmpty():
             links = links.unionByName(stage(_crossing(hot, texts, labels, percent)))
             labels = components(links)
-    merged = reps.join(labels, "node", "left").select("class", F.coalesce("component", "node").alias("of_class"))
+    merged = reps.join(labels, "node", "left").select("class", "first", F.coalesce("component", "node").alias("component"))
+    least = merged.groupBy("component").agg(F.min("first").alias("of_class"))
+    merged = merged.join(least, "component").select("class", "of_class")
     out = rows.join(merged, "class", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("of_class", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -257,7 +260,7 @@ def _pack(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in slices(stream):
         packed = [squeeze.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["node", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "text"])
 
 
 def _crossing(hot: DataFrame, texts: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
