@@ -199,7 +199,8 @@ def masked_identities(spark, sf):
 
 
 def position_accuracy(spark, sf):
-    return flights(spark, sf).select("id", F.round(S.accuracy_sigma(F.col("code") % 4, F.col("code") % 14), 6).alias("sigma"))
+    sigma = S.accuracy_sigma(F.col("code") % 4, F.col("code") % 11, F.col("code") % 14)
+    return flights(spark, sf).select("id", F.round(sigma, 6).alias("sigma"), S.velocity_sigma(F.col("code") % 6).alias("sigma_v"))
 
 
 def vectors(spark, sf):
@@ -224,7 +225,7 @@ def _within(a: float, b: float, metres: float) -> str:
 
 _R8 = "6371008.8::DOUBLE"
 _BIN = lambda c, n, by="": f"CASE WHEN {c} IS NULL THEN NULL ELSE least(floor(({c} - lo) / ((hi - lo) / {n})), {n} - 1)::BIGINT END"
-_SIGMA = "CASE WHEN code % 4 IN (1, 2) THEN CASE code % 14 " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in S.SIGMA_NACP.items()) + " END END"
+_CASES = lambda of, table: f"CASE {of} " + " ".join(f"WHEN {k} THEN {v}::DOUBLE" for k, v in table.items()) + " END"
 SQL = {
     "filter_primary_only": f"{_W} SELECT id FROM flights WHERE mode_a IS NULL AND acid IS NULL AND (code % 9 = 0 OR code % 8 IN (1, 3, 6, 7))",
     "filter_addresses": f"{_W} SELECT id, acad FROM flights WHERE acad IN (1009, 2018, 3027) OR acad IS NULL",
@@ -266,6 +267,6 @@ AND (mode_a IS NULL OR mode_a IN (SELECT mode_a FROM k WHERE mode_a IS NOT NULL)
     "text_functions": """SELECT p_partkey, NOT (p_size % 3 = 0) AS number, p_size::BIGINT AS leading, p_partkey % 7 AS trailing, printf('%.2f', p_size / 37.0::DOUBLE * 100) || ' %' AS share, 'radar' || p_size AS host, CASE WHEN p_size % 2 = 0 THEN 5010 END AS port,
 (p_size % 4 > 2 OR (p_size % 4 = 2 AND p_size > 9)) AS newer, round(round(p_retailprice / 25e-2) * 25e-2, 2) AS rounded FROM part""",
     "masked_identities": "SELECT 4096::BIGINT AS n, 0::BIGINT AS low, 4095::BIGINT AS high, true AS keyed, true AS moved",
-    "position_accuracy": f"{_W} SELECT id, round({_SIGMA}, 6) AS sigma FROM flights",
+    "position_accuracy": f"{_W}, b AS (SELECT id, code, CASE WHEN code % 4 = 0 THEN {_CASES('code % 11', S.NUCP)} WHEN code % 4 IN (1, 2) THEN {_CASES('code % 14', S.NACP)} END AS bound FROM flights) SELECT id, round(CASE WHEN bound < 9 THEN bound / 2 ELSE bound / 25e-1 END, 6) AS sigma, {_CASES('code % 6', S.NACV)} AS sigma_v FROM b",
     "vectors": f"{_W} SELECT id, round(speed * sin(radians(angle)), 6) AS east, round(speed * cos(radians(angle)), 6) AS north, coalesce(mode_a, acad, id) AS first_known FROM flights",
 }
