@@ -228,3 +228,18 @@ def test_slices_write_each_report_once(spark):
     assert sum(r.kept for r in rows) == df.count() and all(r.slice * 70 <= r.t < r.slice * 70 + 100 for r in rows)
     bounds = C.slice_bounds(0, 995, 100, 30)
     assert [b[2] for b in bounds[:-1]] == [b[0] for b in bounds[1:]] and bounds[0][0] == 0 and bounds[-1][2] == 996
+
+
+def test_transponders_within_reach(spark):
+    found = spark.createDataFrame([(1, 0.0, 0.0, 7), (2, 9.0, 0.0, 7), (3, 9.0, 9.0, None)], "id long, x double, y double, transponder long")
+    known = spark.createDataFrame([(7, 0.0, 1.0)], "number long, x double, y double")
+    assert {r.id: r.transponder for r in C.transponders_near(found, known, "x", "y", 5.0).collect()} == {1: 7, 2: None, 3: None}
+
+
+def test_merging_twice(spark):
+    """Best pairs first; what they leave is scored anew."""
+    pairs = spark.createDataFrame([(1, 2, 5.0), (2, 3, 9.0), (3, 4, 5.0), (5, 6, 5.0), (5, 7, 5.0)], "one long, two long, score double")
+    merges = C.best_merges(pairs)
+    assert sorted(map(tuple, merges.collect())) == [(3, 2), (6, 5)]
+    reports = spark.createDataFrame([(i,) for i in range(1, 8)], "target long")
+    assert sorted(r.target for r in C.merged(reports, merges).collect()) == [1, 2, 2, 4, 5, 5, 7]
