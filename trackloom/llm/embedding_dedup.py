@@ -59,8 +59,8 @@ class Tree:
         rng = np.random.default_rng(seed)
         self.seed, self.apart, self.part = seed, apart, part
         directions, self.middle, self.margin, self.down, self.leaf = [], [], [], [], []
+        # of each leaf, its further splits
         further, splits = [], []
-        #: Leaves by number: the number of further splits and their middles and margins.
         todo = [(-1, 0, sample)]
         while todo:
             parent, side, own = todo.pop()
