@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.operators.staging import stage
 from trackloom.operators.timeline import running
 
 
@@ -50,7 +51,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
     the places asked for are minima, so that no task holds a group's values.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    counts = stage(rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")))
     low, high = counts.agg(F.min("_v"), F.max("_v")).first()
     width = ((high or 0.0) - (low or 0.0)) / 1024 or 1.0
     counts = running(counts, by, "_v", "_n", "_upto", width)
@@ -65,7 +66,7 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
 def robust(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median, quartile distance and median absolute deviation."""
     middle = quantiles(df, by, value, {"median": 0.5, "_q1": 0.25, "_q3": 0.75})
-    middle = middle.select(*by, "median", (F.col("_q3") - F.col("_q1")).alias("iqr"))
+    middle = stage(middle.select(*by, "median", (F.col("_q3") - F.col("_q1")).alias("iqr")))
     spread = quantiles(df.join(middle, by).withColumn("_off", F.abs(F.col(value) - F.col("median"))), by, "_off", {"mad": 0.5})
     return middle.join(spread, by)
 

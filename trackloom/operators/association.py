@@ -70,11 +70,14 @@ def distance_class(d_nm: Column) -> Column:
     return F.when(d_nm > 5, "not ok").when(d_nm > 2, "dubious").when(d_nm < 1, "good").otherwise("acceptable")
 
 
-def merge_candidates(spans: DataFrame, key: str, by: str, least: float, width: int = WIDTH) -> DataFrame:
+def merge_candidates(spans: DataFrame, key: str, by: str, least: float, width: int | None = None) -> DataFrame:
     """Pairs of targets that share an attribute and overlap in time by at least the share `least`.
 
-    Spans meet by time slice, in the first slice of both only, so that no pair comes twice.
+    Spans meet by time slice, in the first slice of both only, so that no pair comes twice. Slices are as
+    wide as the spans are long on average, if no width is given, so that a span is in two or so.
     """
+    if width is None:
+        width = max(1, int(spans.agg(F.avg(F.col("end") - F.col("begin"))).first()[0] or 1))
     cut = _over_slices(spans.select(key, by, "begin", "end"), "begin", "end", width)
     a, b = cut.alias("a"), cut.alias("b")
     share = overlap_share(F.col("a.begin"), F.col("a.end"), F.col("b.begin"), F.col("b.end"))

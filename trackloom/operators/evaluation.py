@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.functions.scalar import local_offset, min_angle_diff
+from trackloom.operators.staging import stage
 from trackloom.operators.timeline import WIDTH, _over_slices, gap_sessions, mark_periods, previous
 
 
@@ -26,6 +27,7 @@ def missed_updates(times: DataFrame, periods: DataFrame, key: str, t: str, inter
     A gap counts if it is longer than the interval beyond the tolerance, and floor((gap - tolerance) /
     interval) updates are missed in it.
     """
+    periods = stage(periods)  # few rows, which are asked three times
     hit = mark_periods(times.select(key, t), periods, key, t, width).where("period is not null")
     points = hit.select(key, F.col("period.begin").alias("period_begin"), F.col(t).alias("at"))
     edges = periods.select(key, "period_begin", F.explode(F.array("period_begin", "period_end")).alias("at"))

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Width of the time slices in which windows meet rows: four hours in microseconds.
-SLICE = 4 * 3_600_000_000
+#: Width of the time slices in which windows meet rows: eight days in microseconds.
+SLICE = 192 * 3_600_000_000
 OPERATORS = {
     "=": lambda c, v: c == v, "<>": lambda c, v: c != v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, ">=": lambda c, v: c >= v,
     "LIKE": lambda c, v: c.like(v), "IN": lambda c, v: c.isin(list(v)), "NOT IN": lambda c, v: ~c.isin(list(v)), "IS": lambda c, v: c.eqNullSafe(v), "IS NOT": lambda c, v: ~c.eqNullSafe(v),

@@ -19,7 +19,9 @@ def _slices(df: DataFrame, t: str, width: int, before: int, after: int) -> DataF
 
 
 def _sliced(df: DataFrame, key: list[str], t: str, width: int, tie: list[str]):
-    return df.withColumn("_s", F.floor(F.col(t) / width)), Window.partitionBy(*key, "_s").orderBy(t, *tie)
+    """With the slice of each row; one that a step before left there is kept, so that rows stay where they are."""
+    rows = df if "_s" in df.columns else df.withColumn("_s", F.floor(F.col(t) / width))
+    return rows, Window.partitionBy(*key, "_s").orderBy(t, *tie)
 
 
 def _with_edges(rows: DataFrame, key: list[str], t: str, tie: list[str], edge: Column, carry) -> DataFrame:
@@ -33,14 +35,17 @@ def _with_edges(rows: DataFrame, key: list[str], t: str, tie: list[str], edge: C
     return rows.join(edges, on, "left").drop("_es", *(f"_k{i}" for i in range(len(key))))
 
 
-def previous(df: DataFrame, key: list[str], t: str, columns: list[str], width: int, tie: list[str] | None = None) -> DataFrame:
-    """Adds prev, a struct of the columns of the row before in the order of t and tie; null for the first of a key."""
+def previous(df: DataFrame, key: list[str], t: str, columns: list[str], width: int, tie: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """Adds prev, a struct of the columns of the row before in the order of t and tie; null for the first of a key.
+
+    With keep, the slice stays as column _s for a next step along the same key, t and width.
+    """
     tie = tie or []
     rows, w = _sliced(df, key, t, width, tie)
     own = F.struct(*columns)
     rows = rows.withColumn("prev", F.lag(own).over(w))
     rows = _with_edges(rows, key, t, tie, F.max_by(own, F.struct(t, *tie)), lambda e, before: F.lag(e).over(before))
-    return rows.withColumn("prev", F.coalesce("prev", "_carry")).drop("_carry", "_s")
+    return rows.withColumn("prev", F.coalesce("prev", "_carry")).drop("_carry", *([] if keep else ["_s"]))
 
 
 def running(df: DataFrame, key: list[str], t: str, value: str, name: str, width: int, tie: list[str] | None = None) -> DataFrame:
@@ -61,8 +66,8 @@ def carried(df: DataFrame, key: list[str], t: str, value: str, width: int, tie:
     return rows.withColumn(value, F.coalesce("_last", "_carry")).drop("_last", "_carry", "_s")
 
 
-#: Width of a slice in units of t where none is given: four hours in microseconds.
-WIDTH = 4 * 3_600_000_000
+#: Width of a slice in units of t where none is given: eight days in microseconds, 700,000 rows of a report a second.
+WIDTH = 192 * 3_600_000_000
 
 
 def asof_neighbours(tst: DataFrame, ref: DataFrame, key: str, t: str, carry: list[str], reach: int, width: int | None = None) -> DataFrame:
@@ -162,7 +167,7 @@ def fill_nearest(df: DataFrame, key: str, t: str, column: str, within: int) -> D
 def gap_sessions(df: DataFrame, key: str, t: str, gap: int, width: int | None = None) -> DataFrame:
     """Adds session, counted from 1 for each key: a new one starts after a gap longer than `gap`."""
     width = width or max(8 * gap, 1)
-    rows = previous(df, [key], t, [t], width)
+    rows = previous(df, [key], t, [t], width, keep=True)
     rows = rows.withColumn("_new", F.when(F.col(f"prev.{t}").isNull() | (F.col(t) - F.col(f"prev.{t}") > gap), 1).otherwise(0))
     return running(rows, [key], t, "_new", "session", width).withColumn("session", F.col("session").cast("long")).select(*df.columns, "session")
 
@@ -175,7 +180,7 @@ def periods(df: DataFrame, key: str, t: str, inside: Column, gap: int, least: in
     """
     width = width or max(8 * gap, 1)
     rows = df.withColumn("_ok", F.coalesce(inside, F.lit(False))).withColumn("_out", ~F.col("_ok"))
-    rows = previous(rows, [key], t, [t, "_ok"], width, ["_out"])
+    rows = previous(rows, [key], t, [t, "_ok"], width, ["_out"], keep=True)
     starts = F.col("_ok") & (~F.coalesce(F.col("prev._ok"), F.lit(False)) | (F.col(t) - F.col(f"prev.{t}") > gap))
     rows = running(rows.withColumn("_start", F.coalesce(starts, F.lit(True)).cast("int")), [key], t, "_start", "_p", width, ["_out"]).where("_ok")
     out = rows.groupBy(key, "_p").agg(F.min(t).alias("period_begin"), F.max(t).alias("period_end"))
@@ -212,7 +217,7 @@ def seconds_grid(df: DataFrame, key: str, second: str, value: str, confidence: s
 
 def day_rollover(df: DataFrame, source: str, order: str, tod: str, near: float = 300.0, width: int = WIDTH) -> DataFrame:
     """Time of day to seconds since the first day: a fall from just before midnight to just after is a new day."""
-    rows = previous(df, [source], order, [tod], width)
+    rows = previous(df, [source], order, [tod], width, keep=True)
     before = F.col(f"prev.{tod}")
     step = F.when((before > 86400 - near) & (F.col(tod) < near), 1).when((before < near) & (F.col(tod) > 86400 - near), -1).otherwise(0)
     rows = running(rows.withColumn("_step", step), [source], order, "_step", "day", width).withColumn("day", F.col("day").cast("long"))
