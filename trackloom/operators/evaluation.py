@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions.scalar import local_offset, min_angle_diff
 from trackloom.operators.staging import stage
-from trackloom.operators.timeline import WIDTH, _over_slices, gap_sessions, mark_periods, previous
+from trackloom.operators.timeline import WIDTH, _over_slices, gap_sessions, mark_periods, previous, previous_and_running
 
 
 def ratio(passed: Column, total: Column) -> Column:
@@ -28,10 +28,11 @@ def missed_updates(times: DataFrame, periods: DataFrame, key: str, t: str, inter
     interval) updates are missed in it.
     """
     periods = stage(periods)  # few rows, which are asked three times
-    hit = mark_periods(times.select(key, t), periods, key, t, width).where("period is not null")
-    points = hit.select(key, F.col("period.begin").alias("period_begin"), F.col(t).alias("at"))
-    edges = periods.select(key, "period_begin", F.explode(F.array("period_begin", "period_end")).alias("at"))
-    gaps = previous(points.unionByName(edges), [key, "period_begin"], "at", ["at"], width).withColumn("gap", F.col("at") - F.col("prev.at"))
+    # a period is open from its begin to its end, which come before and after the reports of their time
+    point = lambda df, c, kind, step: df.select(key, F.col(c).alias("at"), F.lit(kind).alias("kind"), F.lit(step).alias("step"))
+    points = point(times, t, 1, 0).unionByName(point(periods, "period_begin", 0, 1)).unionByName(point(periods, "period_end", 2, -1))
+    rows = previous_and_running(points, [key], "at", ["at"], "step", "open", width, ["kind"])
+    gaps = rows.where("kind = 2 or kind = 1 and open > 0").withColumn("gap", F.col("at") - F.col("prev.at"))
     counted = (F.col("gap") - tolerance > interval) & (F.col("gap") >= (least_gap or 0)) & (F.lit(True) if most_gap is None else F.col("gap") <= most_gap)
     missed = gaps.groupBy(key).agg(F.sum(F.when(counted, F.floor((F.col("gap") - tolerance) / interval)).otherwise(0)).cast("long").alias("missed"))
     uis = periods.groupBy(key).agg(F.sum(F.floor((F.col("period_end") - F.col("period_begin")) / interval)).cast("long").alias("sum_uis"))
@@ -165,7 +166,7 @@ def linear_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def extra_data(times: DataFrame, periods: DataFrame, key: str, t: str, ignored: DataFrame | None = None) -> DataFrame:
     """For each key the reports in no reference period and their share; targets in `ignored` are left out."""
     rows = times if ignored is None else times.join(ignored.select(key), key, "left_anti")
-    rows = mark_periods(rows, periods, key, t)
+    rows = mark_periods(rows, stage(periods), key, t)
     out = rows.groupBy(key).agg(F.count_if(F.col("period").isNull()).alias("n_extra"), F.count_if(F.col("period").isNotNull()).alias("n_ok"))
     return out.withColumn("p_extra", ratio(F.col("n_extra"), F.col("n_extra") + F.col("n_ok")))
 

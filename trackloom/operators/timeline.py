@@ -56,6 +56,16 @@ def running(df: DataFrame, key: list[str], t: str, value: str, name: str, width:
     return rows.withColumn(name, F.coalesce("_in", F.lit(0)) + F.coalesce("_carry", F.lit(0))).drop("_in", "_carry", "_s")
 
 
+def previous_and_running(df: DataFrame, key: list[str], t: str, columns: list[str], value: str, name: str, width: int, tie: list[str]) -> DataFrame:
+    """What previous and running add, in one pass: prev and the sum of value up to this row."""
+    rows, w = _sliced(df, key, t, width, tie)
+    own = F.struct(*columns)
+    rows = rows.withColumn("prev", F.lag(own).over(w)).withColumn("_in", F.sum(value).over(w))
+    edge = F.struct(F.max_by(own, F.struct(t, *tie)).alias("last"), F.sum(value).alias("sum"))
+    rows = _with_edges(rows, key, t, tie, edge, lambda e, before: F.struct(F.lag(e["last"]).over(before).alias("last"), F.sum(e["sum"]).over(before.rowsBetween(Window.unboundedPreceding, -1)).alias("sum")))
+    return rows.withColumn("prev", F.coalesce("prev", "_carry.last")).withColumn(name, F.coalesce("_in", F.lit(0)) + F.coalesce("_carry.sum", F.lit(0))).drop("_in", "_carry", "_s")
+
+
 def carried(df: DataFrame, key: list[str], t: str, value: str, width: int, tie: list[str] | None = None) -> DataFrame:
     """Replaces value by the last one that isn't null, up to this row."""
     tie = tie or []
