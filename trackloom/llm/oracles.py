@@ -86,5 +86,62 @@ FROM q
 """
 
 
+_KEPT = """
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+"""
+
+
+def _assign(n: int) -> str:
+    """Each part's nearest of the entries b{n}, ties to the lower index: a distance times 64 and the index are one number."""
+    return f"""
+d{n} AS (
+  SELECT x.vec_id, x.p, b.j, sum((x.c - b.c) * (x.c - b.c))::BIGINT AS d
+  FROM x JOIN b{n} b ON b.p = x.p AND b.i = x.i GROUP BY ALL
+),
+a{n} AS (SELECT vec_id, p, min(d * 64 + j) % 64 AS j, min(d * 64 + j) // 64 AS d FROM d{n} GROUP BY ALL)"""
+
+
+def _update(n: int) -> str:
+    return f"""
+m{n} AS (SELECT a.p, a.j, x.i, sum(x.c)::BIGINT AS s, count(*) AS n FROM a{n} a JOIN x ON x.vec_id = a.vec_id AND x.p = a.p GROUP BY ALL),
+b{n + 1} AS (
+  SELECT b.p, b.j, b.i, CASE WHEN m.n IS NULL THEN b.c ELSE (m.s - (m.s % m.n + m.n) % m.n) // m.n END AS c
+  FROM b{n} b LEFT JOIN m{n} m ON m.p = b.p AND m.j = b.j AND m.i = b.i
+)"""
+
+
+OP12 = f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e, len(embedding) // 16 AS w {_KEPT}),
+x AS (SELECT vec_id, k // w AS p, k % w AS i, e[k + 1] AS c FROM v, unnest(range(0, len(e))) AS t(k)),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM v),
+b0 AS (SELECT x.p, s.j, x.i, x.c FROM x JOIN s ON s.vec_id = x.vec_id AND s.j < 64),
+{_assign(0)},
+{_update(0)},
+{_assign(1)},
+{_update(1)},
+{_assign(2)},
+e AS (SELECT vec_id, string_agg(printf('%02x', j), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id)
+SELECT e.vec_id, e.code, e.error, sum(e.error) OVER (PARTITION BY v.label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, j, i)) FROM b2) AS codebooks_sha256
+FROM e JOIN v ON v.vec_id = e.vec_id
+"""
+
+OP13 = f"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e {_KEPT} AND label IS NOT NULL
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id
+),
+p AS (SELECT anchor_id, vec_id AS positive_id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1, "op3_substring_dedup": OP3, "op4_minhash_near_dedup": OP4, "op10_warc_transactions": OP10}
+    return {"op1_embedding_near_dedup": OP1, "op3_substring_dedup": OP3, "op4_minhash_near_dedup": OP4, "op10_warc_transactions": OP10, "op12_vector_codes": OP12, "op13_hard_negatives": OP13}

@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trackloom.llm.common import table
 from trackloom.llm.decontaminate import find_leaks
 from trackloom.llm.embedding_dedup import near_vectors
+from trackloom.llm.hard_negatives import hard_negatives
 from trackloom.llm.language import predict_languages
 from trackloom.llm.licenses import scan_licenses
 from trackloom.llm.mixing import systematic_copies
 from trackloom.llm.near_dedup import near_duplicates
 from trackloom.llm.pii import personal_data
 from trackloom.llm.quality import quality_scores
+from trackloom.llm.secret_scan import scan_secrets
 from trackloom.llm.substring_dedup import remove_repeats
+from trackloom.llm.vector_codes import encode_vectors
 from trackloom.llm.warc import page_captures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,5 +65,19 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_captures(table(spark, sf_dir, "pages"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
