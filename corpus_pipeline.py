@@ -17,8 +17,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, as doc_ids may be null or shared: by file and place in it, so that every scan agrees."""
-    return docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    """docs with a number for each row, as doc_ids may be null or shared; written with the row, so that every later scan agrees, however it is split."""
+    return stage(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
