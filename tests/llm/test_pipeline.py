@@ -54,3 +54,15 @@ def test_rows_with_null_and_shared_ids(spark, sf_dir):
     assert left == sorted([(0, "a0"), (7, item[:2]), (7, "b0"), (8, "lo"), (9, "c0"), (0, "d0")])
     assert cp.personal_data(spark, docs, sf_dir).count() == len(rows)
     assert all(r.source_target and r.copy in (1, 2) for r in cp.mix(spark, docs, sf_dir).collect())
+
+
+def test_numbers_stay_however_scans_are_split(spark, sf_dir):
+    docs = cp.keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    seen, name = [], "spark.sql.files.minPartitionNum"
+    try:
+        for n in (2, 12, 31):
+            spark.conf.set(name, n)
+            seen.append({(r.row, r.doc_id) for r in docs.select("row", "doc_id").collect()})
+    finally:
+        spark.conf.unset(name)
+    assert seen[0] == seen[1] == seen[2] and len({r for r, _ in seen[0]}) == docs.count()
