@@ -24,8 +24,8 @@ def ratio(passed: Column, total: Column) -> Column:
 def missed_updates(times: DataFrame, periods: DataFrame, key: str, t: str, interval: int, tolerance: int = 0, least_gap: int | None = None, most_gap: int | None = None, width: int = WIDTH) -> DataFrame:
     """For each key sum_uis, missed and pd from the gaps between reports, period begins and period ends.
 
-    A gap counts if it is longer than the interval beyond the tolerance, and floor((gap - tolerance) /
-    interval) updates are missed in it.
+    The tolerance is taken off each gap first. What is left counts if it is longer than the interval and
+    neither below least_gap nor above most_gap; floor(what is left / interval) updates are missed in it.
     """
     periods = stage(periods)  # few rows, which are asked three times
     # a period is open from its begin to its end, which come before and after the reports of their time
@@ -33,16 +33,17 @@ def missed_updates(times: DataFrame, periods: DataFrame, key: str, t: str, inter
     points = point(times, t, 1, 0).unionByName(point(periods, "period_begin", 0, 1)).unionByName(point(periods, "period_end", 2, -1))
     rows = previous_and_running(points, [key], "at", ["at"], "step", "open", width, ["kind"])
     gaps = rows.where("kind = 2 or kind = 1 and open > 0").withColumn("gap", F.col("at") - F.col("prev.at"))
-    counted = (F.col("gap") - tolerance > interval) & (F.col("gap") >= (least_gap or 0)) & (F.lit(True) if most_gap is None else F.col("gap") <= most_gap)
-    missed = gaps.groupBy(key).agg(F.sum(F.when(counted, F.floor((F.col("gap") - tolerance) / interval)).otherwise(0)).cast("long").alias("missed"))
+    left = F.col("gap") - tolerance
+    counted = (left > interval) & (F.lit(True) if least_gap is None else left >= least_gap) & (F.lit(True) if most_gap is None else left <= most_gap)
+    missed = gaps.groupBy(key).agg(F.sum(F.when(counted, F.floor(left / interval)).otherwise(0)).cast("long").alias("missed"))
     uis = periods.groupBy(key).agg(F.sum(F.floor((F.col("period_end") - F.col("period_begin")) / interval)).cast("long").alias("sum_uis"))
     return uis.join(missed, key).withColumn("pd", detection_probability(F.col("missed"), F.col("sum_uis")))
 
 
-def missed_intervals(times: DataFrame, periods: DataFrame, key: str, t: str, valid: Column, interval: int, least_period: int = 0, tolerance: int = 0) -> DataFrame:
+def missed_intervals(times: DataFrame, periods: DataFrame, key: str, t: str, valid: Column, interval: int, least_period: int = 0, tolerance: int = 0, least_gap: int | None = None, most_gap: int | None = None) -> DataFrame:
     """As R1 on the valid updates of the periods that are long enough; invalid updates are skipped."""
     long = periods.where(F.col("period_end") - F.col("period_begin") >= least_period)
-    return missed_updates(times.where(F.coalesce(valid, F.lit(False))), long, key, t, interval, tolerance)
+    return missed_updates(times.where(F.coalesce(valid, F.lit(False))), long, key, t, interval, tolerance, least_gap, most_gap)
 
 
 def detection_probability(missed: Column, sum_uis: Column) -> Column:
@@ -94,12 +95,15 @@ def identification_correct(statuses: list[str], all_needed: bool = False) -> Col
 
 
 def identification_false(statuses: list[str], all_needed: bool = True) -> Column:
-    """Unknown without any comparable column; false where all (or any) comparable ones are different."""
-    known = [F.col(s).isin("same", "different") for s in statuses]
-    different = [F.col(s) == "different" for s in statuses]
-    any_known, any_different = reduce(or_, known), reduce(or_, different)
-    no_same = ~reduce(or_, [F.col(s) == "same" for s in statuses])
-    return F.when(~any_known, "unknown").when(any_different & no_same if all_needed else any_different, "false").otherwise("not_false")
+    """False where all (or any) of the columns in use are different, else not_false.
+
+    A column without a test or a reference value isn't different, so that with all needed it makes the
+    report right. With no column in use no report is false.
+    """
+    different = [F.coalesce(F.col(s) == "different", F.lit(False)) for s in statuses]
+    if not different:
+        return F.lit("not_false")
+    return F.when(reduce(and_ if all_needed else or_, different), "false").otherwise("not_false")
 
 
 def roll_up(counts: DataFrame, by: list[str], counters: list[str]) -> DataFrame:

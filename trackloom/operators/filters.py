@@ -172,26 +172,33 @@ def evaluation_load(contents: dict[str, DataFrame], ref: str, tst: str, t: str,
 
 def target_reasons(
     codes: str, least_updates: int, least_duration: int, primary: str, mode_s: str, mode_c_max: str, duration: str, updates: str,
-    code_lists: tuple[Iterable[int], bool] | None = None, least_height: float | None = None, detected: str | None = None, address: str | None = None, addresses: tuple[Iterable[int], bool] | None = None,
+    code_lists: tuple[Iterable[int | tuple[int, int]], bool] | None = None, least_height: float | None = None, detected: str | None = None, address: str | None = None, addresses: tuple[Iterable[int], bool] | None = None,
 ) -> Column:
     """why a target isn't used, by the first rule that holds, on its summary; null if it is used.
 
     In order: short, primary only, Mode A/C only, its codes on (or off) a list, no or too low a height,
-    its address on (or off) a list, not detected. A list is (values, True to leave out those on it).
+    its addresses on (or off) a list, not detected. codes and address name arrays of what a target has: it
+    is on a list with any of them. A list is (values, True to leave out those on it); values of codes may
+    be pairs, both ends of a range included.
     """
 
-    def on_list(column: Column, wanted: tuple[Iterable[int], bool], several: bool) -> Column:
-        values = list(wanted[0])
-        on = F.coalesce(F.arrays_overlap(column, F.array(*map(F.lit, values))) if several else column.isin(values), F.lit(False))
+    def within(low: int, high: int):
+        return lambda c: c.between(low, high)
+
+    def on_list(column: str, wanted: tuple[Iterable, bool]) -> Column:
+        single = [v for v in wanted[0] if not isinstance(v, tuple)]
+        terms = [F.arrays_overlap(F.col(column), F.array(*map(F.lit, single)))] if single else []
+        terms += [F.exists(column, within(*r)) for r in wanted[0] if isinstance(r, tuple)]
+        on = any_of(F.coalesce(t, F.lit(False)) for t in terms)
         return on if wanted[1] else ~on
 
     rules = [("short", (F.col(updates) < least_updates) | (F.col(duration) < least_duration)), ("primary only", F.col(primary)), ("Mode A/C only", ~F.col(mode_s))]
     if code_lists is not None:
-        rules.append(("Mode A code", on_list(F.col(codes), code_lists, True)))
+        rules.append(("Mode A code", on_list(codes, code_lists)))
     if least_height is not None:
         rules += [("no Mode C", F.col(mode_c_max).isNull()), ("Mode C too low", F.col(mode_c_max) < least_height)]
     if addresses is not None and address is not None:
-        rules.append(("address", on_list(F.col(address), addresses, False)))
+        rules.append(("address", on_list(address, addresses)))
     if detected is not None:
         rules.append(("not detected", ~F.col(detected)))
     return first_reason(rules)

@@ -72,11 +72,11 @@ def evaluation_load(spark, sf):
 
 def _summaries(spark, sf):
     f = flights(spark, sf)
-    return f.groupBy("utn").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("duration"), (F.count("acad") == 0).alias("primary"), (F.count_if(F.col("acad").isNotNull() & (F.col("code") > 3)) > 0).alias("mode_s"), F.collect_set("mode_a").alias("codes"), F.max("mode_c").alias("top"), F.min("acad").alias("address"), (F.count_if(F.col("source") == "view") > 0).alias("seen"))
+    return f.groupBy("utn").agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("duration"), (F.count("acad") == 0).alias("primary"), (F.count_if(F.col("acad").isNotNull() & (F.col("code") > 3)) > 0).alias("mode_s"), F.collect_set("mode_a").alias("codes"), F.max("mode_c").alias("top"), F.collect_set("acad").alias("addresses"), (F.count_if(F.col("source") == "view") > 0).alias("seen"))
 
 
 def target_use(spark, sf):
-    reason = P.target_reasons("codes", 3, 300 * HOUR, "primary", "mode_s", "top", "duration", "n", ([74, 111], True), 45000.0, "seen", "address", ([1009 * i for i in range(7)], True))
+    reason = P.target_reasons("codes", 3, 300 * HOUR, "primary", "mode_s", "top", "duration", "n", ([74, (100, 140)], True), 45000.0, "seen", "addresses", ([1009 * i for i in range(7)], True))
     return _summaries(spark, sf).select("utn", reason.alias("reason"))
 
 
@@ -168,10 +168,6 @@ def grid_drops(spark, sf):
     return V.dropped_of_grid(flights(spark, sf), "lat", "lon", (47.2, 47.8, 13.1, 13.4))
 
 
-def polygon_cells(spark, sf):
-    return V.polygon_cells(FIELD, (47.0, 48.2, 13.0, 13.5), (37, 29), spark)
-
-
 def scatter_series(spark, sf):
     return V.scatter(flights(spark, sf), ["source"], "speed", "mode_c")
 
@@ -193,9 +189,11 @@ def text_functions(spark, sf):
 
 
 def masked_identities(spark, sf):
-    """One to one: as many masked codes as codes, all in range, the same each time."""
-    codes = spark.range(4096).select("id", S.pseudonym(F.col("id"), "key", 12).alias("masked"), S.pseudonym(F.col("id"), "other", 12).alias("other"))
-    return codes.agg(F.count_distinct("masked").alias("n"), F.min("masked").alias("low"), F.max("masked").alias("high"), (F.count_if(F.col("masked") != F.col("other")) > 4000).alias("keyed"), (F.count_if(F.col("masked") != F.col("id")) > 4000).alias("moved"))
+    """The codes of reports and their masks: one to one, all in range, the same each time, others with another key."""
+    codes = flights(spark, sf).where("mode_a is not null").select("mode_a", S.pseudonym(F.col("mode_a"), "key", 12).alias("masked"), S.pseudonym(F.col("mode_a"), "other", 12).alias("other"))
+    both = codes.groupBy("mode_a").agg(F.count_distinct("masked").alias("n"), F.min("masked").alias("masked"), F.min("other").alias("other"), F.count("*").alias("reports"))
+    moved = lambda a, b: F.count_if(F.col(a) != F.col(b)) * 2 > F.count("*")
+    return both.agg(F.count("*").alias("n_codes"), F.count_distinct("masked").alias("n_masked"), F.max("n").alias("masks_a_code"), F.sum("reports").alias("n"), (F.count_if(F.col("masked").between(0, 4095)) == F.count("*")).alias("in_range"), moved("masked", "other").alias("keyed"), moved("masked", "mode_a").alias("moved"))
 
 
 def position_accuracy(spark, sf):
@@ -237,8 +235,8 @@ SQL = {
     "enabled_lines": f"{_W} SELECT source, line, count(*) AS n FROM flights WHERE (source = 'click' AND line = 0) OR source = 'view' GROUP BY ALL",
     "ground_only_sources": f"{_W} SELECT id, CASE WHEN source = 'signup' THEN true ELSE ground END AS on_ground FROM flights",
     "evaluation_load": f"{_W} SELECT id, source FROM flights WHERE t BETWEEN {DAY0 + 100 * HOUR} AND {DAY0 + 500 * HOUR} AND utn < 40 AND (source = 'click' OR (source = 'view' AND speed < 500))",
-    "target_use": f"""{_W}, s AS (SELECT utn, count(*) AS n, max(t) - min(t) AS duration, count(acad) = 0 AS only_primary, count(*) FILTER (WHERE acad IS NOT NULL AND code > 3) > 0 AS mode_s, count(*) FILTER (WHERE mode_a IN (74, 111)) > 0 AS listed, max(mode_c) AS top, min(acad) AS address, count(*) FILTER (WHERE source = 'view') > 0 AS seen FROM flights GROUP BY utn)
-SELECT utn, CASE WHEN n < 3 OR duration < {300 * HOUR} THEN 'short' WHEN only_primary THEN 'primary only' WHEN NOT mode_s THEN 'Mode A/C only' WHEN listed THEN 'Mode A code' WHEN top IS NULL THEN 'no Mode C' WHEN top < 45000 THEN 'Mode C too low' WHEN address IN (0, 1009, 2018, 3027, 4036, 5045, 6054) THEN 'address' WHEN NOT seen THEN 'not detected' END AS reason FROM s""",
+    "target_use": f"""{_W}, s AS (SELECT utn, count(*) AS n, max(t) - min(t) AS duration, count(acad) = 0 AS only_primary, count(*) FILTER (WHERE acad IS NOT NULL AND code > 3) > 0 AS mode_s, count(*) FILTER (WHERE mode_a = 74 OR mode_a BETWEEN 100 AND 140) > 0 AS listed, max(mode_c) AS top, count(*) FILTER (WHERE acad IN (0, 1009, 2018, 3027, 4036, 5045, 6054)) > 0 AS by_address, count(*) FILTER (WHERE source = 'view') > 0 AS seen FROM flights GROUP BY utn)
+SELECT utn, CASE WHEN n < 3 OR duration < {300 * HOUR} THEN 'short' WHEN only_primary THEN 'primary only' WHEN NOT mode_s THEN 'Mode A/C only' WHEN listed THEN 'Mode A code' WHEN top IS NULL THEN 'no Mode C' WHEN top < 45000 THEN 'Mode C too low' WHEN by_address THEN 'address' WHEN NOT seen THEN 'not detected' END AS reason FROM s""",
     "excluded_requirements": f"{_W} SELECT DISTINCT utn, source AS requirement FROM flights WHERE NOT (utn % 3 = 0 AND source = 'click') AND NOT (utn % 5 = 0 AND source = 'view')",
     "values_with_indexes": f"{_W}, r AS (SELECT mode_a, id, row_number() OVER (PARTITION BY mode_a ORDER BY id) AS k FROM flights WHERE mode_a IS NOT NULL) SELECT mode_a, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (WHERE k <= 3) AS indexes FROM r GROUP BY mode_a",
     "null_indexes": f"{_W} SELECT id FROM flights WHERE acid IS NULL",
@@ -259,14 +257,13 @@ UNION ALL SELECT least((code - c0) // step, bins - 1)::VARCHAR, count(*), 'code'
     "feature_histograms": f"{_W}, f AS (SELECT track, speed, mode_c - 20000 AS climb FROM flights), b AS (SELECT min(speed) AS lo, max(speed) AS hi FROM f), c AS (SELECT min(climb) AS lo, max(climb) AS hi FROM f) SELECT 'speed' AS feature, track, {_BIN('speed', 10)} AS bin, count(*) AS n FROM f, b GROUP BY ALL UNION ALL SELECT 'climb', track, {_BIN('climb', 10)}, count(*) FROM f, c GROUP BY ALL",
     "feature_grids": f"{_W}, k AS (SELECT CASE WHEN lat BETWEEN 47 AND 48 THEN least(floor((lat - 47) * 8), 7)::BIGINT END AS cx, CASE WHEN lon BETWEEN 13 AND 135e-1 THEN least(floor((lon - 13) * 16), 7)::BIGINT END AS cy, speed, mode_c FROM flights), v AS (SELECT 'speed' AS feature, cx, cy, speed AS v FROM k UNION ALL SELECT 'height', cx, cy, mode_c FROM k) SELECT feature, cx, cy, count(v) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 5) AS mean, round(stddev_pop(v), 4) AS stddev FROM v WHERE cx IS NOT NULL AND cy IS NOT NULL GROUP BY feature, cx, cy",
     "grid_drops": f"{_W}, i AS (SELECT coalesce(lat BETWEEN 47.2::DOUBLE AND 47.8::DOUBLE AND lon BETWEEN 13.1::DOUBLE AND 13.4::DOUBLE, false) AS ok FROM flights) SELECT count(*) FILTER (WHERE ok) AS n_inside, count(*) FILTER (WHERE NOT ok) AS n_dropped FROM i",
-    "polygon_cells": f"WITH c AS (SELECT i % 37 AS cx, i // 37 AS cy FROM range(37 * 29) r(i)), p AS (SELECT cx, cy, 47.0::DOUBLE + (cx + 5e-1) * ((48.2::DOUBLE - 47.0::DOUBLE) / 37) AS x, 13.0::DOUBLE + (cy + 5e-1) * ((13.5::DOUBLE - 13.0::DOUBLE) / 29) AS y FROM c) SELECT cx, cy FROM p WHERE {_inside('x', 'y')}",
     "scatter_series": f"{_W} SELECT source, speed AS x, mode_c AS y FROM flights WHERE mode_c IS NOT NULL",
     "surrounding_data": f"""{_W}, m AS (SELECT min(t) AS t0, max(t) AS t1, min(mode_c) AS h0, max(mode_c) AS h1, min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1 FROM flights WHERE utn = 3), k AS (SELECT * FROM flights WHERE utn = 3)
 SELECT id, utn FROM flights, m WHERE t BETWEEN t0 - 60000000 AND t1 + 60000000 AND (mode_c IS NULL OR mode_c BETWEEN h0 - 300 AND h1 + 300) AND lat BETWEEN a0 - least(1e-1, (a1 - a0) * 1e-1) AND a1 + least(1e-1, (a1 - a0) * 1e-1) AND lon BETWEEN o0 - least(1e-1, (o1 - o0) * 1e-1) AND o1 + least(1e-1, (o1 - o0) * 1e-1)
 AND (mode_a IS NULL OR mode_a IN (SELECT mode_a FROM k WHERE mode_a IS NOT NULL)) AND (acad IS NULL OR acad IN (SELECT acad FROM k WHERE acad IS NOT NULL))""",
     "text_functions": """SELECT p_partkey, NOT (p_size % 3 = 0) AS number, p_size::BIGINT AS leading, p_partkey % 7 AS trailing, printf('%.2f', p_size / 37.0::DOUBLE * 100) || ' %' AS share, 'radar' || p_size AS host, CASE WHEN p_size % 2 = 0 THEN 5010 END AS port,
 (p_size % 4 > 2 OR (p_size % 4 = 2 AND p_size > 9)) AS newer, round(round(p_retailprice / 25e-2) * 25e-2, 2) AS rounded FROM part""",
-    "masked_identities": "SELECT 4096::BIGINT AS n, 0::BIGINT AS low, 4095::BIGINT AS high, true AS keyed, true AS moved",
+    "masked_identities": f"{_W} SELECT count(DISTINCT mode_a) AS n_codes, count(DISTINCT mode_a) AS n_masked, 1::BIGINT AS masks_a_code, count(*) AS n, true AS in_range, true AS keyed, true AS moved FROM flights WHERE mode_a IS NOT NULL",
     "position_accuracy": f"{_W}, b AS (SELECT id, code, CASE WHEN code % 4 = 0 THEN {_CASES('code % 11', S.NUCP)} WHEN code % 4 IN (1, 2) THEN {_CASES('code % 14', S.NACP)} END AS bound FROM flights) SELECT id, round(CASE WHEN bound < 9 THEN bound / 2 ELSE bound / 25e-1 END, 6) AS sigma, {_CASES('code % 6', S.NACV)} AS sigma_v FROM b",
     "vectors": f"{_W} SELECT id, round(speed * sin(radians(angle)), 6) AS east, round(speed * cos(radians(angle)), 6) AS north, coalesce(mode_a, acad, id) AS first_known FROM flights",
 }

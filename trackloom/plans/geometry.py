@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import scalar as S
 from trackloom.operators import association as C
 from trackloom.operators import filters as P
+from trackloom.operators import raster as X
 from trackloom.operators import spatial as G
 from trackloom.operators import views as V
 from trackloom.plans.common import HOUR, REPORTS, reports, table
@@ -103,7 +104,24 @@ def scatter_bounds(spark, sf):
 
 def line_cells(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), (F.col("c_custkey") % 10).cast("double").alias("x2"), (F.col("c_nationkey") % 10).cast("double").alias("y2"))
-    return V.line_cells(c, "x1", "y1", "x2", "y2", (0.0, 10.0, 0.0, 10.0), (10, 10)).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    return X.line_cells(c, "x1", "y1", "x2", "y2", (0.0, 10.0, 0.0, 10.0), (10, 10)).groupBy("cx", "cy").agg(F.count("*").alias("n"))
+
+
+def _fields(spark, sf):
+    """A quadrilateral with whole corners for each supplier, on a grid of 24 times 24."""
+    at = lambda dx, dy: F.struct((F.col("s_suppkey") % 13 + dx).cast("double").alias("x"), (F.col("s_nationkey") % 11 + dy).cast("double").alias("y"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("sector"), F.array(at(0, 0), at(7, 2), at(4, 9), at(1, 5)).alias("corners"), F.when(F.col("s_suppkey") % 3 == 0, 20.0).alias("low"), F.when(F.col("s_suppkey") % 4 == 0, 70.0).alias("high"))
+
+
+def polygon_cells(spark, sf):
+    return X.polygon_cells(_fields(spark, sf), "sector", "corners", (0.0, 24.0, 0.0, 24.0), (24, 24)).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.min("sector").alias("first"))
+
+
+def sectors_of_reports(spark, sf):
+    """Thousands of sectors from a table; places of reports are odd quarters, so that none is on an edge's end."""
+    x, y = (F.col("utn") * 37 % 96 + 0.5) / 4, (F.col("code") * 29 % 96 + 0.5) / 4
+    points = reports(spark, sf).select("id", x.alias("x"), y.alias("y"), F.when(F.col("code") % 6 != 0, F.col("value")).alias("height"))
+    return X.sectors_of(points, X.sector_index(_fields(spark, sf)), "x", "y", "height").groupBy("id").agg(F.count("*").alias("n"), F.min("sector").alias("first"))
 
 
 def top_n_rows(spark, sf):
@@ -124,6 +142,10 @@ def _inside(sector: G.Sector) -> str:
     return "(" + " + ".join(f"CASE WHEN ({d(y1)} > y) <> ({d(y2)} > y) AND x < {d(x2 - x1)} * (y - {d(y1)}) / {d(y2 - y1)} + {d(x1)} THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in edges if y1 != y2) + ") % 2 = 1"
 
 
+_FIELDS = "WITH f AS (SELECT s_suppkey AS sector, s_suppkey % 13 AS x0, s_nationkey % 11 AS y0, CASE WHEN s_suppkey % 3 = 0 THEN 20 END AS low, CASE WHEN s_suppkey % 4 = 0 THEN 70 END AS high FROM supplier)"
+_CORNERS = [(0, 0), (7, 2), (4, 9), (1, 5)]
+# whole numbers and halves: the side of each edge is exact without a division
+_IN_FIELD = "(" + " + ".join(f"((y0 + {b} > py) <> (y0 + {d} > py) AND (px - x0 - {a}) * ({d - b}) {'<' if d > b else '>'} ({c - a}) * (py - y0 - {b}))::INT" for (a, b), (c, d) in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True)) + ") % 2 = 1"
 SQL = {
     "sector_containment": f"WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y, CASE WHEN l_discount > 0.01::DOUBLE THEN l_discount END AS h FROM lineitem), f AS (SELECT x, {_inside(ZONE)} AND NOT ({_inside(HOLE)}) AS main, {_inside(UPPER)} AND coalesce(h >= 0.03::DOUBLE, true) AND coalesce(h <= 0.07::DOUBLE, true) AS upper FROM p) SELECT main, upper, count(*) AS n, sum(x) AS sum_qty FROM f GROUP BY main, upper",
     "great_circle": "WITH p AS (SELECT c_custkey, radians(c_custkey % 60) AS b, radians(c_nationkey * 2.0::DOUBLE) AS l, radians(48.1::DOUBLE) AS a, radians(16.6::DOUBLE) AS k FROM customer), d AS (SELECT c_custkey, 2 * 6371008.8::DOUBLE * asin(least(1, sqrt(power(sin((b - a) / 2), 2) + cos(a) * cos(b) * power(sin((l - k) / 2), 2)))) AS d FROM p) SELECT c_custkey, round(d / 1000, 3) AS km, CASE WHEN d / 1852 / 1000 > 5 THEN 'not ok' WHEN d / 1852 / 1000 > 2 THEN 'dubious' WHEN d / 1852 / 1000 < 1 THEN 'good' ELSE 'acceptable' END AS distance_class FROM d",
@@ -141,7 +163,10 @@ SQL = {
     "histogram_category": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL",
     "grid2d_stats": "SELECT CAST(least(floor((l_quantity - 1) * (16 / 49.0::DOUBLE)), 15) AS BIGINT) AS cx, CAST(least(floor((l_extendedprice - 1000) * (16 / 99000.0::DOUBLE)), 15) AS BIGINT) AS cy, count(*) AS n, CAST(0 AS BIGINT) AS n_nan, min(l_discount) AS min, max(l_discount) AS max, round(avg(l_discount), 8) AS mean, round(var_pop(l_discount), 8) AS variance, round(stddev_pop(l_discount), 8) AS stddev FROM lineitem WHERE l_quantity BETWEEN 1 AND 50 AND l_extendedprice BETWEEN 1000 AND 100000 GROUP BY ALL",
     "scatter_bounds": "SELECT l_shipdate::DATE AS l_shipdate, count(*) AS n, min(l_quantity) AS min_x, max(l_quantity) AS max_x, min(l_tax) AS min_y, max(l_tax) AS max_y FROM lineitem GROUP BY ALL",
-    "line_cells": "WITH c AS (SELECT c_custkey, (c_custkey % 10)::DOUBLE AS x2, (c_nationkey % 10)::DOUBLE AS y2 FROM customer), s AS (SELECT *, CAST(greatest(x2, y2, 1) AS INT) * 2 AS n FROM c), i AS (SELECT DISTINCT c_custkey, floor(x2 * i / n)::BIGINT AS cx, floor(y2 * i / n)::BIGINT AS cy FROM s, unnest(range(0, n + 1)) AS t(i)) SELECT least(cx, 9) AS cx, least(cy, 9) AS cy, count(*) AS n FROM i GROUP BY ALL",
+    "polygon_cells": f"{_FIELDS}, p AS (SELECT f.*, cx, cy, cx + 5e-1 AS px, cy + 5e-1 AS py FROM range(24) a(cx), range(24) b(cy), f) SELECT cx, cy, count(*) AS n, min(sector) AS first FROM p WHERE {_IN_FIELD} GROUP BY cx, cy",
+    "sectors_of_reports": f"{_FIELDS}, {REPORTS}, q AS (SELECT id, (utn * 37 % 96 + 5e-1) / 4 AS px, (code * 29 % 96 + 5e-1) / 4 AS py, CASE WHEN code % 6 <> 0 THEN value END AS height FROM reports) SELECT id, count(*) AS n, min(sector) AS first FROM q JOIN f ON px BETWEEN x0 AND x0 + 7 AND coalesce(height >= low, true) AND coalesce(height <= high, true) WHERE {_IN_FIELD} GROUP BY id",
+    "line_cells": """WITH c AS (SELECT c_custkey, c_custkey % 10 AS x, c_nationkey % 10 AS y FROM customer), d AS (SELECT *, 2 * greatest(x, 1) * greatest(y, 1) AS d FROM c),
+p AS (SELECT DISTINCT c_custkey, least(x * m // d, 9) AS cx, least(y * m // d, 9) AS cy FROM d, unnest(range(0, d + 1)) AS t(m)) SELECT cx, cy, count(*) AS n FROM p GROUP BY cx, cy""",
     "top_n_rows": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",
     "surroundings": f"{_W}, m AS (SELECT t, CASE WHEN code <> 5 THEN value END AS h FROM reports WHERE id = 500) SELECT r.id FROM reports r, m WHERE r.t BETWEEN m.t - {24 * HOUR} AND m.t + {24 * HOUR} AND (r.code = 5 OR r.value BETWEEN m.h - 50 AND m.h + 50)",
 }

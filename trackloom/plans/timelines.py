@@ -76,6 +76,13 @@ def outside_periods(spark, sf):
     return L.outside_periods(_periods(spark, sf), spans, "utn")
 
 
+def detection_with_limits(spark, sf):
+    """A tolerance, and limits of the gaps that count, which are asked of what the tolerance leaves."""
+    clicks = reports(spark, sf).where("source = 'click'").select("utn", "t")
+    out = E.missed_updates(clicks, _periods(spark, sf), "utn", "t", INTERVAL, 2 * HOUR, 8 * HOUR, 30 * HOUR)
+    return out.withColumn("pd", F.round("pd", 9))
+
+
 def _detection(spark, sf):
     clicks = reports(spark, sf).where("source = 'click'").select("utn", "t")
     return E.missed_updates(clicks, _periods(spark, sf), "utn", "t", INTERVAL)
@@ -213,6 +220,7 @@ SELECT id, round(coalesce(value, CASE WHEN ht > lt THEN lv + (hv - lv) * ((t - l
 g AS (SELECT s.utn, coalesce(lag(period_end) OVER (PARTITION BY s.utn ORDER BY period_begin), first) AS gap_begin, coalesce(period_begin, last) AS gap_end FROM spans s LEFT JOIN periods p ON p.utn = s.utn
   UNION ALL SELECT s.utn, max(period_end), any_value(last) FROM spans s JOIN periods p ON p.utn = s.utn GROUP BY s.utn)
 SELECT * FROM g WHERE gap_end > gap_begin""",
+    "detection_with_limits": f"{_W}, {_DETECTION}, l AS (SELECT utn, gap - {2 * HOUR} AS gap FROM gaps), m AS (SELECT utn, CAST(coalesce(sum(gap // {INTERVAL}) FILTER (WHERE gap > {INTERVAL} AND gap BETWEEN {8 * HOUR} AND {30 * HOUR}), 0) AS BIGINT) AS missed FROM l GROUP BY utn) SELECT utn, sum_uis, m.missed, round(CASE WHEN sum_uis > 0 THEN 1 - m.missed / sum_uis END, 9) AS pd FROM uis JOIN m USING (utn)",
     "detection_probability": f"{_W}, {_DETECTION} SELECT utn, sum_uis, missed, round(pd, 9) AS pd FROM detection",
     "detection_rollup": f"{_W}, {_DETECTION} SELECT count(*) AS n_targets, CAST(sum(sum_uis) AS BIGINT) AS sum_uis, CAST(sum(missed) AS BIGINT) AS missed, round(1 - sum(missed) / sum(sum_uis), 9) AS pd FROM detection",
     "seconds_grid": f"{_W}, g AS (SELECT utn, t // {HOUR} AS hour, code, code % 3 AS sure, unnest(range(t // {HOUR} - 2, t // {HOUR} + 3)) AS slot FROM reports) SELECT utn, slot, min_by(code, (-sure, abs(slot - hour), code)) AS code FROM g GROUP BY utn, slot",
