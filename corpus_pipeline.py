@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +12,24 @@ from trackloom.llm.mixing import systematic_copies
 from trackloom.llm.near_dedup import near_duplicates
 from trackloom.llm.pii import redact
 from trackloom.llm.quality import accept
+from trackloom.operators.staging import row_numbers
 
 #: Rows of documents; stages keep these columns in this order.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a number for each row, as doc_ids may be null or shared; written with the row, so that every later scan agrees, however it is split."""
-    return stage(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    """docs with a number for each row, as doc_ids may be null or shared, on which every scan agrees, however it is split.
+
+    Rows of Parquet files are numbered by their file's number, from a small written table, and their place in
+    the file, which Spark tells whatever part of the file a task reads. Other rows are written with a number.
+    """
+    try:
+        rows = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return stage(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    files = row_numbers(rows.select("_file").distinct(), [F.col("_file")], "_number")
+    return rows.join(files, "_file").select(*COLUMNS, (F.shiftleft("_number", 40) + F.col("_place")).alias("row"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
