@@ -1,3 +1,5 @@
+import os
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -58,3 +60,44 @@ def test_rates_sessions_and_filters_on_a_stream(spark, tmp_path):
     assert sorted(r.mode_a for r in got.collect()) == [0, 8]
     got = _run(live.track_sessions(s, "ts", ["src"], "5 minutes", "1 second"), "t_sessions", "true")
     assert [r.n for r in got.collect()] == [6]
+
+
+def test_late_and_timeless_reports_leave_the_store(spark, tmp_path):
+    store, batches = str(tmp_path / "store"), [[(1, "10:10"), (2, "11:10")], [(3, "03:10"), (4, None)], [(5, "15:10")], [(6, "14:50"), (7, "09:00")]]
+    left = []
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, "id long, at string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        s = spark.readStream.schema("id long, at string").parquet(str(tmp_path / "in")).withColumn("ts", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "at")))
+        live.keep_in_store(s, store, "ts", lambda df: df, str(tmp_path / "state"), "hour", "60 minutes").awaitTermination()
+        left.append(sorted(r.id for r in live.read_store(spark, store).collect()))
+        assert n < 4
+    assert left == [[1, 2], [1, 2], [5], [5, 6]]
+
+
+def test_a_slow_consumer_skips_whole_batches(spark, tmp_path):
+    """Files arrive every 30 s; writing one takes 50 s, skipping none: it falls behind, skips, and is in time again."""
+    for i in range(12):
+        spark.createDataFrame([(i, 30.0 * i), (100 + i, 30.0 * i - 5)], "id long, t double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for f in (tmp_path / "in").glob("*.parquet"):
+            if f.stat().st_mtime > 1e9:  # the new one: files are read in the order of their times
+                os.utime(f, (i + 1, i + 1))
+    clock, wrote = [0.0], []
+
+    def write(batch, number):
+        wrote.extend(r.id for r in batch.collect())
+        clock[0] += 50
+
+    def now():
+        newest = 30.0 * len(seen)
+        seen.append(1)
+        clock[0] = max(clock[0], newest)
+        return clock[0]
+
+    seen: list[int] = []
+    s = spark.readStream.schema("id long, t double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
+    log = str(tmp_path / "log")
+    s.writeStream.foreachBatch(live.admitted(write, "ts", 60.0, now, log)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    rows = sorted(spark.read.parquet(log).collect(), key=lambda r: r.batch)
+    assert len(rows) == 12 and {r.skipped for r in rows} == {True, False}
+    assert all(r.skipped == (r.latency > 60) for r in rows) and len(wrote) == sum(r.n for r in rows if not r.skipped)
+    assert not rows[-1].skipped or not rows[-2].skipped

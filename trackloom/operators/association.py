@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trackloom.operators.filters import sources
 from trackloom.operators.staging import row_numbers, stage
-from trackloom.operators.timeline import WIDTH, _over_slices, gap_sessions, overlap_share, previous
+from trackloom.operators.timeline import WIDTH, _over_slices, asof_neighbours, gap_sessions, overlap_share, previous, running
 
 #: Identifications that identify nothing; fixed values.
 PLACEHOLDERS = ["00000000", "????????", "        "]
@@ -16,17 +16,53 @@ PLACEHOLDERS = ["00000000", "????????", "        "]
 def best_hash_match(users: DataFrame, given: DataFrame, hashes: str, key: str, t: str, past: int, future: int, old: int) -> DataFrame:
     """Each user row lists hashes; the given row with the hash nearest in time, -past to +future, is its match.
 
-    Adds match, dt and dubious (the best is `old` or older); rows without a match keep nulls.
+    Adds match, dt and dubious (the best is `old` or older); rows without a match keep nulls. Rows meet by
+    hash and time bucket, so that a frequent hash is many small keys.
     """
-    each = users.withColumn("_h", F.explode(F.split(hashes, ";"))).withColumnRenamed(t, "_ut")
-    g = given.select(F.col(key).alias("_gh"), F.col(t).alias("_gt"), F.col("id").alias("_gid"))
+    wide = max(past + future, 1)
+    bucket = lambda c: F.floor(c / wide)
+    each = users.withColumn("_h", F.explode(F.split(hashes, ";"))).withColumnRenamed(t, "_ut").withColumn("_b", bucket(F.col("_ut")))
+    g = given.select(F.col(key).alias("_gh"), F.col(t).alias("_gt"), F.col("id").alias("_gid"), F.explode(F.sequence(bucket(F.col(t) - future), bucket(F.col(t) + past))).alias("_gb"))
     dt = F.col("_gt") - F.col("_ut")
-    found = each.join(g, (F.col("_h") == F.col("_gh")) & dt.between(-past, future))
+    found = each.join(g, (F.col("_h") == F.col("_gh")) & (F.col("_b") == F.col("_gb")) & dt.between(-past, future))
     best = found.groupBy("id").agg(F.min(F.struct(F.abs(dt).alias("d"), F.col("_gid").alias("match"), dt.alias("dt"))).alias("b"))
     out = users.join(best, "id", "left").withColumn("match", F.col("b.match")).withColumn("dt", F.col("b.dt"))
     return out.withColumn("dubious", F.col("b.d") >= old).drop("b")
 
 
+def hash_associations(users: DataFrame, given: DataFrame, hashes: str, key: str, t: str, past: int, future: int, old: int, close_past: int, close_future: int, ends: int) -> DataFrame:
+    """For each hash that a user row lists: id, hash, match, dt, n_candidates, outcome.
+
+    The match is the given row of that hash nearest in time, -past to +future, the smaller id of two. It
+    is "dubious distant" if it is `old` or older, "dubious collision" if it and another one lie within
+    close_past and close_future, else "found". Without one the hash is "missing", or "missing at an end" within
+    `ends` of the first or last user row.
+
+    Nothing is paired: the nearest come from an as-of alignment, the numbers in a window from a running
+    count at its two ends, both along time slices of a hash.
+    """
+    each = users.select("id", F.col(t).alias("t"), F.explode(F.array_distinct(F.split(hashes, ";"))).alias("hash")).where("hash <> ''")
+    g = given.where(F.col(key).isNotNull()).select(F.col(key).alias("hash"), F.col(t).alias("t"), F.col("id").alias("match"))
+    near = asof_neighbours(each, g, "hash", "t", ["match"], max(past, future))
+    side = lambda name, most: F.when(F.abs(F.col(f"{name}.t") - F.col("t")) <= most, F.struct(F.abs(F.col(f"{name}.t") - F.col("t")).alias("d"), F.col(f"{name}.match").alias("match"), (F.col(f"{name}.t") - F.col("t")).alias("dt")))
+    best = near.select("id", "hash", "t", F.array_min(F.array_compact(F.array(side("lo", past), side("hi", future)))).alias("b"))
+    # window ends before and after the given rows of their time
+    ends_of = {"low": (-past, 0), "high": (future, 2), "close_low": (-close_past, 0), "close_high": (close_future, 2)}
+    points = F.array(*(F.struct((F.col("t") + step).alias("at"), F.lit(kind).alias("kind"), F.lit(name).alias("name")) for name, (step, kind) in ends_of.items()))
+    probes = each.select("id", "hash", F.explode(points).alias("p")).select("id", "hash", "p.*", F.lit(0).alias("one"))
+    every = probes.unionByName(g.select("hash", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(1).alias("one")), allowMissingColumns=True)
+    counted = running(every, ["hash"], "at", "one", "n", max(8 * (past + future), 1), ["kind"]).where("name is not null")
+    counts = counted.groupBy("id", "hash").agg(*(F.max(F.when(F.col("name") == k, F.col("n"))).alias(k) for k in ends_of))
+    out = best.join(counts, ["id", "hash"])
+    span = users.agg(F.min(t).alias("_first"), F.max(t).alias("_last"))  # one row
+    out = out.join(F.broadcast(span))
+    dt = F.col("b.dt")
+    in_close = dt.between(-close_past, close_future) & (F.col("close_high") - F.col("close_low") > 1)
+    at_end = (F.col("t") - F.col("_first") <= ends) | (F.col("_last") - F.col("t") <= ends)
+    outcome = F.when(F.col("b").isNull(), F.when(at_end, "missing at an end").otherwise("missing")).when(dt <= -old, "dubious distant").when(in_close, "dubious collision").otherwise("found")
+    return out.select("id", "hash", F.col("b.match").alias("match"), dt.alias("dt"), (F.col("high") - F.col("low")).cast("long").alias("n_candidates"), outcome.alias("outcome"))
+
+
 def modes_agree(a: Column, b: Column, c: Column, d: Column, feet: float = 300.0) -> tuple[Column, Column]:
     """K7: same, different or unknown for two Mode A codes, and for two Mode C heights at most `feet` apart."""
     mode_a = F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "same").otherwise("different")

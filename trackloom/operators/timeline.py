@@ -234,6 +234,28 @@ def day_rollover(df: DataFrame, source: str, order: str, tod: str, near: float =
     return rows.withColumn("seconds", F.col("day") * 86400.0 + F.col(tod)).drop("_step", "prev")
 
 
+def day_rollover_reset(df: DataFrame, source: str, order: str, tod: str, near: float = 300.0, far: float = 600.0, width: int = WIDTH) -> DataFrame:
+    """X10 with the reset rule: adds day and seconds since the first day, both null for a null or impossible time of day.
+
+    The day goes up at the first time within `near` after midnight that follows one within `near` before
+    it; both are forgotten, so that the next midnight can count, at a time at least `far` from midnight. A
+    time just before midnight belongs to the day before, once a day has gone up. What is remembered of a
+    stretch between two resets is the last known of a few flags, so that it is carried over slices.
+    """
+    day = 86400.0
+    rows = df.withColumn("_tod", F.when(F.col(tod).between(0, day), F.col(tod)))
+    early, late = F.col("_tod") <= near, F.col("_tod") >= day - near
+    reset = (F.col("_tod") >= far) & (F.col("_tod") <= day - far)
+    rows = carried(rows.withColumn("_late", F.when(reset, 0).when(late, 1)), [source], order, "_late", width)
+    turn = early & (F.coalesce("_late", F.lit(0)) == 1)
+    rows = rows.withColumn("_turn", turn).withColumn("_done", F.when(reset, 0).when(turn, 1))
+    rows = previous(carried(rows, [source], order, "_done", width), [source], order, ["_done"], width)
+    rows = rows.withColumn("_step", (F.col("_turn") & (F.coalesce("prev._done", F.lit(0)) == 0)).cast("int"))
+    rows = running(rows.withColumn("_step", F.coalesce("_step", F.lit(0))), [source], order, "_step", "_days", width)
+    own = F.col("_days") - (late & (F.col("_days") > 0)).cast("int")
+    return rows.withColumn("day", F.when(F.col("_tod").isNotNull(), own).cast("long")).withColumn("seconds", F.col("day") * day + F.col("_tod")).select(*df.columns, "day", "seconds")
+
+
 def override_tod(df: DataFrame, tod: str, offset: float, low: float = 0.0, high: float = 86400.0) -> DataFrame:
     """X11: times of day in [low, high] moved by an offset, kept within the day."""
     return df.withColumn(tod, F.when(F.col(tod).between(low, high), F.pmod(F.col(tod) + offset, F.lit(86400.0))).otherwise(F.col(tod)))

@@ -35,6 +35,21 @@ def radar_positions(spark, sf):
     return c.select("c_custkey", F.round(lat, 7).alias("lat"), F.round(lon, 7).alias("lon"))
 
 
+_HASH = (20 * HOUR, 2 * HOUR, 10 * HOUR, 6 * HOUR, HOUR, 12 * HOUR)
+
+
+def hash_associations(spark, sf):
+    """Purchases list two hashes; views have one each, of a third as many values as users, so that hashes collide."""
+    r = reports(spark, sf)
+    users = r.where("source = 'purchase'").select("id", "t", F.concat_ws(";", F.col("utn") % 50, (F.col("utn") + 1) % 50, F.when(F.col("code") % 9 == 0, "none")).alias("hashes"))
+    given = r.where("source = 'view'").select("id", "t", (F.col("utn") % 50).cast("string").alias("hash"))
+    return C.hash_associations(users, given, "hashes", "hash", "t", *_HASH)
+
+
+def hash_outcomes(spark, sf):
+    return hash_associations(spark, sf).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("n_candidates").alias("n_candidates"))
+
+
 def hash_best_match(spark, sf):
     r = reports(spark, sf)
     users = r.where("source = 'purchase'").select("id", "t", F.concat_ws(";", "utn", F.col("utn") + 1).alias("hashes"))
@@ -146,6 +161,13 @@ _FIELDS = "WITH f AS (SELECT s_suppkey AS sector, s_suppkey % 13 AS x0, s_nation
 _CORNERS = [(0, 0), (7, 2), (4, 9), (1, 5)]
 # whole numbers and halves: the side of each edge is exact without a division
 _IN_FIELD = "(" + " + ".join(f"((y0 + {b} > py) <> (y0 + {d} > py) AND (px - x0 - {a}) * ({d - b}) {'<' if d > b else '>'} ({c - a}) * (py - y0 - {b}))::INT" for (a, b), (c, d) in zip(_CORNERS, _CORNERS[1:] + _CORNERS[:1], strict=True)) + ") % 2 = 1"
+_PAST, _FUTURE, _OLD, _CLOSE_PAST, _CLOSE_FUTURE, _ENDS = _HASH
+_HASHES = f"""WITH {REPORTS}, u AS (SELECT id, t, unnest(list_distinct(string_split(concat_ws(';', utn % 50, (utn + 1) % 50, CASE WHEN code % 9 = 0 THEN 'none' END), ';'))) AS hash FROM reports WHERE source = 'purchase'),
+g AS (SELECT id, t, (utn % 50)::VARCHAR AS hash FROM reports WHERE source = 'view'), span AS (SELECT min(t) AS first, max(t) AS last FROM u),
+p AS (SELECT u.id, u.hash, g.id AS match, g.t - u.t AS dt FROM u JOIN g ON g.hash = u.hash AND g.t - u.t BETWEEN {-_PAST} AND {_FUTURE}),
+b AS (SELECT id, hash, arg_min(match, (abs(dt), match)) AS match, arg_min(dt, (abs(dt), match)) AS dt, count(*) AS n, count(*) FILTER (WHERE dt BETWEEN {-_CLOSE_PAST} AND {_CLOSE_FUTURE}) AS n_close FROM p GROUP BY id, hash),
+hashed AS (SELECT u.id, u.hash, b.match, b.dt, coalesce(b.n, 0) AS n_candidates, CASE WHEN b.n IS NULL THEN CASE WHEN u.t - first <= {_ENDS} OR last - u.t <= {_ENDS} THEN 'missing at an end' ELSE 'missing' END WHEN b.dt <= {-_OLD} THEN 'dubious distant'
+  WHEN b.dt BETWEEN {-_CLOSE_PAST} AND {_CLOSE_FUTURE} AND n_close > 1 THEN 'dubious collision' ELSE 'found' END AS outcome FROM u CROSS JOIN span LEFT JOIN b ON b.id = u.id AND b.hash = u.hash)"""
 SQL = {
     "sector_containment": f"WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y, CASE WHEN l_discount > 0.01::DOUBLE THEN l_discount END AS h FROM lineitem), f AS (SELECT x, {_inside(ZONE)} AND NOT ({_inside(HOLE)}) AS main, {_inside(UPPER)} AND coalesce(h >= 0.03::DOUBLE, true) AND coalesce(h <= 0.07::DOUBLE, true) AS upper FROM p) SELECT main, upper, count(*) AS n, sum(x) AS sum_qty FROM f GROUP BY main, upper",
     "great_circle": "WITH p AS (SELECT c_custkey, radians(c_custkey % 60) AS b, radians(c_nationkey * 2.0::DOUBLE) AS l, radians(48.1::DOUBLE) AS a, radians(16.6::DOUBLE) AS k FROM customer), d AS (SELECT c_custkey, 2 * 6371008.8::DOUBLE * asin(least(1, sqrt(power(sin((b - a) / 2), 2) + cos(a) * cos(b) * power(sin((l - k) / 2), 2)))) AS d FROM p) SELECT c_custkey, round(d / 1000, 3) AS km, CASE WHEN d / 1852 / 1000 > 5 THEN 'not ok' WHEN d / 1852 / 1000 > 2 THEN 'dubious' WHEN d / 1852 / 1000 < 1 THEN 'good' ELSE 'acceptable' END AS distance_class FROM d",
@@ -165,6 +187,8 @@ SQL = {
     "scatter_bounds": "SELECT l_shipdate::DATE AS l_shipdate, count(*) AS n, min(l_quantity) AS min_x, max(l_quantity) AS max_x, min(l_tax) AS min_y, max(l_tax) AS max_y FROM lineitem GROUP BY ALL",
     "polygon_cells": f"{_FIELDS}, p AS (SELECT f.*, cx, cy, cx + 5e-1 AS px, cy + 5e-1 AS py FROM range(24) a(cx), range(24) b(cy), f) SELECT cx, cy, count(*) AS n, min(sector) AS first FROM p WHERE {_IN_FIELD} GROUP BY cx, cy",
     "sectors_of_reports": f"{_FIELDS}, {REPORTS}, q AS (SELECT id, (utn * 37 % 96 + 5e-1) / 4 AS px, (code * 29 % 96 + 5e-1) / 4 AS py, CASE WHEN code % 6 <> 0 THEN value END AS height FROM reports) SELECT id, count(*) AS n, min(sector) AS first FROM q JOIN f ON px BETWEEN x0 AND x0 + 7 AND coalesce(height >= low, true) AND coalesce(height <= high, true) WHERE {_IN_FIELD} GROUP BY id",
+    "hash_associations": f"{_HASHES} SELECT * FROM hashed",
+    "hash_outcomes": f"{_HASHES} SELECT outcome, count(*) AS n, sum(n_candidates)::BIGINT AS n_candidates FROM hashed GROUP BY outcome",
     "line_cells": """WITH c AS (SELECT c_custkey, c_custkey % 10 AS x, c_nationkey % 10 AS y FROM customer), d AS (SELECT *, 2 * greatest(x, 1) * greatest(y, 1) AS d FROM c),
 p AS (SELECT DISTINCT c_custkey, least(x * m // d, 9) AS cx, least(y * m // d, 9) AS cy FROM d, unnest(range(0, d + 1)) AS t(m)) SELECT cx, cy, count(*) AS n FROM p GROUP BY cx, cy""",
     "top_n_rows": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100",

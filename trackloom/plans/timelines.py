@@ -113,6 +113,11 @@ def seconds_grid(spark, sf):
     return L.seconds_grid(r, "utn", "hour", "code", "sure", 2)
 
 
+def tod_rollover_reset(spark, sf):
+    r = reports(spark, sf).withColumn("tod", F.when(F.col("code") % 17 != 0, ((F.floor(F.col("t") / 1_000_000) * 7) % 86400).cast("double")))
+    return L.day_rollover_reset(r, "source", "t", "tod", 9000.0, 20000.0).select("id", "day", "seconds")
+
+
 def tod_rollover(spark, sf):
     r = reports(spark, sf).withColumn("tod", F.pmod(F.floor(F.col("t") / 1_000_000) * 7, F.lit(86400)).cast("double"))
     return L.day_rollover(r, "source", "t", "tod", 20000.0).select("id", "day", "seconds")
@@ -224,6 +229,12 @@ SELECT * FROM g WHERE gap_end > gap_begin""",
     "detection_probability": f"{_W}, {_DETECTION} SELECT utn, sum_uis, missed, round(pd, 9) AS pd FROM detection",
     "detection_rollup": f"{_W}, {_DETECTION} SELECT count(*) AS n_targets, CAST(sum(sum_uis) AS BIGINT) AS sum_uis, CAST(sum(missed) AS BIGINT) AS missed, round(1 - sum(missed) / sum(sum_uis), 9) AS pd FROM detection",
     "seconds_grid": f"{_W}, g AS (SELECT utn, t // {HOUR} AS hour, code, code % 3 AS sure, unnest(range(t // {HOUR} - 2, t // {HOUR} + 3)) AS slot FROM reports) SELECT utn, slot, min_by(code, (-sure, abs(slot - hour), code)) AS code FROM g GROUP BY utn, slot",
+    "tod_rollover_reset": f"""{_W}, d AS (SELECT id, source, t, CASE WHEN code % 17 <> 0 THEN CAST((t // 1000000 * 7) % 86400 AS DOUBLE) END AS tod FROM reports),
+s AS (SELECT *, count(*) FILTER (WHERE tod BETWEEN 20000 AND 66400) OVER (PARTITION BY source ORDER BY t) AS stretch FROM d),
+l AS (SELECT source, stretch, min(t) AS late FROM s WHERE tod >= 77400 GROUP BY ALL),
+j AS (SELECT s.source, s.stretch, min(s.t) AS turn FROM s JOIN l USING (source, stretch) WHERE s.tod <= 9000 AND s.t > l.late GROUP BY ALL),
+n AS (SELECT s.id, s.tod, count(j.turn) OVER (PARTITION BY s.source ORDER BY s.t) AS days FROM s LEFT JOIN j ON j.source = s.source AND j.turn = s.t)
+SELECT id, CASE WHEN tod IS NOT NULL THEN days - (tod >= 77400 AND days > 0)::INT END AS day, CASE WHEN tod IS NOT NULL THEN (days - (tod >= 77400 AND days > 0)::INT) * 86400e0 + tod END AS seconds FROM n""",
     "tod_rollover": f"{_W}, d AS (SELECT id, source, t, CAST((t // 1000000 * 7) % 86400 AS DOUBLE) AS tod FROM reports), s AS (SELECT *, lag(tod) OVER (PARTITION BY source ORDER BY t) AS b FROM d), r AS (SELECT id, tod, CAST(sum(CASE WHEN b > 66400 AND tod < 20000 THEN 1 WHEN b < 20000 AND tod > 66400 THEN -1 ELSE 0 END) OVER (PARTITION BY source ORDER BY t) AS BIGINT) AS day FROM s) SELECT id, day, day * 86400.0::DOUBLE + tod AS seconds FROM r",
     "interval_overlap": f"{_W}, {_PERIODS}, p AS (SELECT utn, min(period_begin) AS a, min(period_end) AS b, max(period_begin) AS c, max(period_end) AS d FROM periods GROUP BY utn), o AS (SELECT utn, least(d, c) - greatest(a, b) AS common, least(d - a, c - b) AS shorter FROM p) SELECT utn, round(CASE WHEN common > 0 AND shorter > 0 THEN common / shorter ELSE 0.0::DOUBLE END, 9) AS share FROM o",
     "correct_rate": f"{_W}, {_COUNTS} SELECT *, round(CASE WHEN n_same + n_different > 0 THEN n_same / (n_same + n_different) END, 9) AS p_correct FROM counts",

@@ -41,30 +41,63 @@ def keep_in_store(stream: DataFrame, path: str, ts: str, transform: Callable[[Da
 
     A batch owns its folders batch=<id>/part=<time>: one that is run again after a restart overwrites what
     it wrote before, so that nothing is doubled. With keep, an interval such as "60 minutes", each batch
-    deletes the parts that end before the newest time seen less keep, whole folders at a time.
+    deletes the parts that end before the newest time less keep, whole folders at a time: the newest of
+    this batch or the begin of the newest part in the store, so that a late batch neither keeps nor
+    restores what is too old. Reports without a time can't grow old; they aren't stored.
     """
+    name = "yyyy-MM-dd HH'h'mm"
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = transform(batch).withColumn("part", F.date_format(F.date_trunc(by, F.col(ts).cast("timestamp")), "yyyy-MM-dd HH'h'mm"))
+        time = F.col(ts).cast("timestamp")
+        rows = transform(batch).where(time.isNotNull()).withColumn("part", F.date_format(F.date_trunc(by, time), name))
         rows.write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
         if keep is not None:
-            newest = rows.agg(F.date_format(F.date_trunc(by, F.max(F.col(ts).cast("timestamp")) - F.expr(f"interval {keep}")), "yyyy-MM-dd HH'h'mm")).first()[0]
-            _drop_before(batch.sparkSession, path, newest)
+            parts = _parts(batch.sparkSession, path)
+            last = F.to_timestamp(F.lit(max(parts, default=None)), name)
+            newest = rows.agg(F.date_format(F.date_trunc(by, F.greatest(F.max(time), F.first(last)) - F.expr(f"interval {keep}")), name)).first()[0]
+            _drop_before(batch.sparkSession, path, newest or (max(parts) if parts else None))
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _drop_before(spark: SparkSession, path: str, newest: str | None) -> None:
-    """Delete the folders of parts before newest through the store's own file system."""
-    if newest is None:
-        return
+def _folders(spark: SparkSession, path: str):
+    """(file system, folder, name of the part) of the parts of a store, by its own file system."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch=*/part=*"))
-    for status in found or []:
-        if jvm.java.net.URLDecoder.decode(status.getPath().getName(), "UTF-8")[len("part=") :] < newest:
-            files.delete(status.getPath(), True)
+    for status in files.globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch=*/part=*")) or []:
+        yield files, status.getPath(), jvm.java.net.URLDecoder.decode(status.getPath().getName(), "UTF-8")[len("part=") :]
+
+
+def _parts(spark: SparkSession, path: str) -> list[str]:
+    return [part for _, _, part in _folders(spark, path)]
+
+
+def _drop_before(spark: SparkSession, path: str, newest: str | None) -> None:
+    """Delete the folders of parts before newest."""
+    for files, folder, part in _folders(spark, path):
+        if newest is not None and part < newest:
+            files.delete(folder, True)
+
+
+def admitted(write: Callable[[DataFrame, int], None], ts: str, most: float, now: Callable[[], float], log: str) -> Callable[[DataFrame, int], None]:
+    """A writer of micro-batches that skips whole ones when it lags behind, and says what it skipped.
+
+    A batch whose newest report is more than `most` seconds old, by the clock `now` in epoch seconds when
+    its turn comes, isn't written: what waits behind it gets its time. log gets a row for each batch:
+    batch, n, latency, skipped; a batch that is run again after a restart replaces its row.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        seen = batch.agg(F.count("*").alias("n"), F.max(F.unix_micros(F.col(ts).cast("timestamp"))).alias("newest")).first()
+        latency = None if seen.newest is None else now() - seen.newest / 1e6
+        skipped = latency is not None and latency > most
+        if not skipped:
+            write(batch, number)
+        row = [(number, seen.n, latency, skipped)]
+        batch.sparkSession.createDataFrame(row, "batch long, n long, latency double, skipped boolean").coalesce(1).write.mode("overwrite").parquet(f"{log}/part={number}")
+
+    return run
 
 
 _STATE = "t double, x double, vx double, y double, vy double, p array<double>"
