@@ -66,20 +66,38 @@ def _print(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(of)), pa.array(print_.view(np.int64)), pa.array(segment.view(np.int64)), pa.array((begin << 32) + count)], names=["key", "print", "segment", "at"])
 
 
-def _windows(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each wanted segment the 64-bit hashes of its windows; with the print, which equal windows share, these are names of 128 bits."""
-    schema = pa.schema([("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("windows", pa.list_(pa.int64()))])
-    unpack = zstandard.ZstdDecompressor()
+_FOUND = pa.schema(
+    [("print", pa.int64()), ("segment", pa.int64()), ("copies", pa.int64()), ("windows", pa.list_(pa.int64()))]
+    + [("region_key", pa.int64()), ("region", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("text", pa.binary())]
+)
+
+
+def _examine(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wanted segments of a document, one of each: where they start in a region, and the regions' texts.
+
+    A region is a run of words without a gap between wanted segments, so that words that several share
+    travel once. Where a print has different segments, also the 64-bit hashes of a segment's windows; with
+    the print, which equal windows share, these are names of 128 bits.
+    """
+    unpack, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
+    nothing = dict.fromkeys(_FOUND.names)
 
     def rows() -> Iterator[dict]:
         for row in records(stream, 32):
             words = Words([unpack.decompress(row["text"])])
-            hashes = words.grams(words.hash, WINDOW)[0].view(np.int64)
-            for w in row["wanted"]:
+            hashes = words.grams(words.hash, WINDOW)[0].view(np.int64) if any(w["many"] for w in row["wanted"]) else None
+            number, first, end = -1, 0, 0
+            for w in sorted(row["wanted"], key=lambda w: w["at"]):
                 begin, n = w["at"] >> 32, w["at"] & 0xFFFFFFFF
-                yield {"print": w["print"], "segment": w["segment"], "copies": w["copies"], "windows": hashes[begin : begin + n]}
+                if number < 0 or begin > end:
+                    if number >= 0:
+                        yield nothing | {"region_key": row["key"], "region": number, "text": squeeze.compress(words.data[words.start[first] : words.end[end - 1]])}
+                    number, first = number + 1, begin
+                end = max(end, begin + n + WINDOW - 1) if begin > first else begin + n + WINDOW - 1
+                yield nothing | {"print": w["print"], "segment": w["segment"], "copies": w["copies"], "windows": hashes[begin : begin + n] if w["many"] else None, "region_key": row["key"], "region": number, "start": begin - first, "n": n}
+            yield nothing | {"region_key": row["key"], "region": number, "text": squeeze.compress(words.data[words.start[first] : words.end[end - 1]])}
 
-    yield from batches(rows(), schema)
+    yield from batches(rows(), _FOUND, 500)
 
 
 class Codes:
@@ -130,17 +148,18 @@ def _shards(passages: list[str]) -> Iterator[list[str]]:
 
 
 def _strip(keep_text: bool):
-    """A bucket's documents streamed through the automata of all different passages confirmed in it."""
+    """A bucket's documents streamed through the automata of the passages whose segments occur in it."""
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema(fields + [("kept", pa.string())] * keep_text)
 
-    def run(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
+    def run(docs: pa.Table, regions: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
         words = [unpack.decompress(t).split() if t else [] for t in docs["text"].to_pylist()]
-        code = Codes()
-        texts = [code(w) for w in words] if confirmed.num_rows else [""] * len(words)
-        of = dict(zip(docs["key"].to_pylist(), texts, strict=True))
-        passages = {of[k][2 * low : 2 * high] for k, low, high in zip(*(confirmed[c].to_pylist() for c in ("key", "low", "high")), strict=True)}
+        code, passages = Codes(), set()
+        for text, cuts in zip(regions["region_text"].to_pylist(), regions["cuts"].to_pylist(), strict=True):
+            coded = code(unpack.decompress(text).split())
+            passages.update(coded[2 * c["low"] : 2 * c["high"]] for c in cuts)
+        texts = [code(w) for w in words] if passages else [""] * len(words)
         out = []
         for doc_id, own, covered in zip(docs["doc_id"].to_pylist(), words, locate(texts, passages), strict=True):
             kept = b" ".join(own if not covered.any() else [own[i] for i in np.flatnonzero(~covered)])
@@ -165,9 +184,11 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     Equal windows share a print, the smallest of their GRAM-word hashes, and consecutive windows of one
     print are a segment. A segment seen twice is confirmed as a whole; where different segments share a
     print, their windows are counted by names of 128 bits, summed before the shuffle, and what lies between
-    the first and the last recurring window is confirmed. Each bucket of documents compiles the different
-    passages confirmed in it into automata and streams all its documents through them; what they find goes.
-    A frequent print, known from a sample, recurs anyway, so that its rows needn't meet in one task.
+    the first and the last recurring window is confirmed. A confirmed passage is one row by the name of its
+    segment, with its text from one document; where else it occurs isn't kept. It goes to each bucket of
+    documents that has a segment of this name; the bucket's passages are compiled into automata in shards,
+    all its documents stream through them, and what these find goes. A frequent print, known from a
+    sample, recurs anyway, so that its rows needn't meet in one task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("key"))
     texts = stage(pack_text(rows, "doc_id", "key"))
@@ -179,19 +200,26 @@ def remove_repeats(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     hits = prints(texts).withColumn("salt", F.when(heavy, F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).otherwise(0))
     hits = hits.withColumn("copies", F.count("*").over(of_segment)).withColumn("n", F.row_number().over(of_segment.orderBy("key", "at")))
     hits = hits.withColumn("c", F.count("*").over(of_print)).where((F.col("c") > 1) | heavy)
-    hits = stage(hits.select("key", "print", "segment", "at", "copies", (F.col("n") == 1).alias("first"), ((F.col("c") > F.col("copies")) | heavy).alias("many")))
-    chosen = hits.where("many and first").groupBy("print", "segment").agg(F.min(F.struct("key", "at")).alias("of"), F.sum("copies").alias("copies"))
-    wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "of.at")).alias("wanted"))
-    hashed = stage(texts.join(wanted.hint("merge"), "key").select("text", "wanted").mapInArrow(_windows, "print long, segment long, copies long, windows array<long>"))
-    windows = hashed.select("print", "segment", "copies", F.posexplode("windows").alias("at", "window"))
+    bucket = F.pmod(F.xxhash64("key"), F.lit(1 + (size.bytes or 0) // BUCKET_BYTES)).alias("bucket")
+    # of the rows of a segment the first tells where its text is to be had, the others only in which bucket it occurs
+    one = F.when(F.col("n") == 1, F.struct("key", "at")).alias("of")
+    hits = stage(hits.select(bucket, "print", "segment", "copies", one, ((F.col("c") > F.col("copies")) | heavy).alias("many")))
+    chosen = hits.where("of is not null").groupBy("print", "segment").agg(F.min("of").alias("of"), F.sum("copies").alias("copies"), F.max("many").alias("many"))
+    chosen = chosen.where("many or copies > 1")
+    wanted = chosen.groupBy("of.key").agg(F.collect_list(F.struct("print", "segment", "copies", "many", "of.at")).alias("wanted"))
+    examined = texts.join(wanted.hint("merge"), "key").select("key", "text", "wanted").mapInArrow(_examine, "print long, segment long, copies long, windows array<long>, region_key long, region long, start long, n long, text binary")
+    examined = stage(examined)
+    segments, name = examined.where("text is null"), ["print", "segment"]
+    windows = segments.where("windows is not null").select(*name, "copies", F.posexplode("windows").alias("at", "window"))
     again = windows.groupBy("print", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("print", "window")
     # a segment's windows share a run of words, so that what they cover has no gap
-    part = windows.where("copies = 1").join(again.hint("merge"), ["print", "window"]).groupBy("print", "segment").agg(F.min("at").alias("low"), F.max("at").alias("high"))
-    whole = hashed.where("copies > 1").select("print", "segment", F.lit(0).alias("low"), (F.size("windows") - 1).alias("high"))
-    bucket = F.pmod(F.xxhash64("key"), F.lit(1 + (size.bytes or 0) // BUCKET_BYTES)).alias("bucket")
-    begin, n = F.shiftright("at", 32), F.col("at").bitwiseAND(0xFFFFFFFF)
-    confirmed = hits.where("copies > 1").select("key", begin.alias("begin"), F.lit(0).alias("low"), (n - 1).alias("high"))
-    confirmed = confirmed.unionByName(hits.where("copies = 1").select("key", "print", "segment", begin.alias("begin")).join(whole.unionByName(part).hint("merge"), ["print", "segment"]).select("key", "begin", "low", "high"))
-    confirmed = confirmed.select(bucket, "key", (F.col("begin") + F.col("low")).alias("low"), (F.col("begin") + F.col("high") + WINDOW).alias("high"))
-    out = texts.select("doc_id", "key", "text", bucket).groupBy("bucket").cogroup(confirmed.groupBy("bucket"))
+    part = windows.where("copies = 1").join(again.hint("merge"), ["print", "window"]).groupBy(*name).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    confirmed = segments.where("copies > 1").select(*name, "region_key", "region", "start", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
+    confirmed = confirmed.unionByName(segments.where("copies = 1").select(*name, "region_key", "region", "start").join(part.hint("merge"), name))
+    cut = F.struct((F.col("start") + F.col("first")).alias("low"), (F.col("start") + F.col("last") + WINDOW).alias("high"))
+    here = hits.select("bucket", *name).distinct().join(confirmed.select(*name, "region_key", "region", cut.alias("cut")).hint("merge"), name)
+    here = here.groupBy("bucket", "region_key", "region").agg(F.collect_set("cut").alias("cuts"))
+    regions = examined.where("text is not null").select("region_key", "region", F.col("text").alias("region_text"))
+    passages = here.join(regions.hint("merge"), ["region_key", "region"]).select("bucket", "region_text", "cuts")
+    out = texts.select("doc_id", "key", "text", bucket).groupBy("bucket").cogroup(passages.groupBy("bucket"))
     return out.applyInArrow(_strip(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text)
