@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from trackloom.llm import language
 from trackloom.llm.language import mixtures, predict_languages, trigrams
@@ -51,8 +52,29 @@ def test_mixtures_against_a_grid(spark):
             assert abs(dict(found)[want[0]] - best[want][1]) < 0.01
 
 
-def test_rare_values_of_lang_are_not_learned(spark, monkeypatch):
-    monkeypatch.setattr(language, "RAREST", 20)
-    rows = [(i, "the and with that this thing" if i % 2 else "der und nicht ein mit", "en" if i % 2 else "de") for i in range(100)] + [(200 + i, "the and with that", f"junk{i}") for i in range(5)]
-    got = predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
-    assert {r.lang_pred for r in got} == {"en", "de"}
+def test_a_rare_language_is_learned(spark, sf_dir):
+    """Ten documents among thousands are enough to be told from the rest."""
+    r = np.random.default_rng(1)
+    syllables = ["qua", "xil", "zho", "wum", "yrk"]
+    rare = lambda: " ".join("".join(r.choice(syllables, 3)) for _ in range(40))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "text", "lang").collect()
+    rows = [(x.doc_id + 100_000 * n, x.text, x.lang) for n in range(10) for x in docs] + [(5_000_000 + i, rare(), "rare") for i in range(14)]
+    got = {x.doc_id: x for x in predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[5_000_000 + i].lang_pred == "rare" for i in range(14)) and any(got[5_000_000 + i].held_out for i in range(14))
+    assert sum(x.lang_pred == "rare" for i, x in got.items() if i < 5_000_000) == 0
+
+
+def test_many_languages_share_the_model(spark, monkeypatch):
+    """More languages than the model has room for at full size: buckets are folded, none is left out; too many are an error."""
+    monkeypatch.setattr(language, "CELLS", 100 * 4096)
+    monkeypatch.setattr(language, "HELD", 3)
+    words = lambda k: " ".join("".join(w) for w in np.random.default_rng(k).choice(list("abcdefghijklmnopqrstuvwxyz"), (60, 4)))
+    rows = [(k * 3 + n, words(k), f"l{k:02}") for k in range(90) for n in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, model = language.train(df)
+    assert len(langs) == 90 and model.shape == (4096, 90)
+    found = mixtures([words(k) for k in range(0, 90, 9)], model.astype(np.float32))
+    assert [langs[m[0][0]] for m in found] == [f"l{k:02}" for k in range(0, 90, 9)]
+    monkeypatch.setattr(language, "LEAST_BUCKETS", 4096 * 2)
+    with pytest.raises(ValueError, match="different values"):
+        language.train(df)

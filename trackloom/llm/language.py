@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm.common import mix, slices
 from trackloom.llm.quality import held_out
 
-#: Letter trigrams are hashed into so many buckets, which bounds the model to BUCKETS rows a language.
+#: Letter trigrams are hashed into so many buckets.
 BUCKETS = 1 << 16
+#: Every value of lang is learned. The model has at most so many cells, 256 MB on the driver and 128 MB sent to tasks:
+#: with more than 512 languages buckets are folded into fewer, LEAST_BUCKETS at the least.
+CELLS, LEAST_BUCKETS = 1 << 25, 256
 SMOOTH = 0.05
-#: A value of lang is learned if at least one in so many learning documents has it, so that junk values can't swell the model.
-RAREST = 2000
+#: Tasks pass on their counts when they hold so many languages.
+HELD = 128
 #: Expectation-maximisation ends when no share changes by this much, at the latest after STEPS steps; a share below GONE is dropped.
 SETTLED, STEPS, GONE = 1e-3, 100, 1e-4
 #: A further language must raise twice the log-likelihood by PENALTY * ln(number of trigrams), as trigrams overlap.
@@ -27,6 +30,8 @@ PENALTY = 4.0
 LEAST_SHARE = 0.03
 #: Texts are cut into trigrams in pieces of so many characters; longer ones are reduced to bucket counts.
 PIECE = 1 << 18
+#: Texts looked at together, and the languages up to which they are.
+TOGETHER, MANY = 24, 64
 
 
 @cache
@@ -64,32 +69,49 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
     return some, counts[some]
 
 
-def _count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
-    for batch in slices(stream):
-        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-            at, times = trigrams(text)
-            counts[lang] += np.bincount(at, weights=times, minlength=BUCKETS).astype(np.int64)
-    for lang, found in counts.items():
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(found[some])], names=["lang", "bucket", "n"])
+def _count(buckets: int):
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, np.ndarray] = {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for lang, found in counts.items():
+                some = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some), pa.array(found[some])], names=["lang", "bucket", "n"])
+            counts.clear()
+
+        for batch in slices(stream):
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                at, times = trigrams(text)
+                own = counts.setdefault(lang, np.zeros(buckets, np.int64))
+                own += np.bincount(at % buckets, weights=times, minlength=buckets).astype(np.int64)
+            if len(counts) > HELD:
+                yield from passed_on()
+        yield from passed_on()
+
+    return run
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and P(trigram | language) from docs(text, lang): rows with a null lang or text are left out.
 
-    So are values of lang that fewer than one in RAREST of the other rows have: at most RAREST languages
-    are learned, whatever the column holds. Each task returns counts by bucket, which Spark adds up; the
-    driver gets at most BUCKETS rows a language.
+    However rare, a value of lang that has a text is a language. The model is bounded by CELLS, not by
+    the languages: its buckets are a power of two with buckets * languages <= CELLS. More than CELLS /
+    LEAST_BUCKETS different values, 131,072, are no languages: an error. Each task returns counts by
+    bucket, which Spark adds up; the driver gets at most CELLS rows.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    least = rows.count() / RAREST
-    langs = sorted(r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect())
-    counts = rows.where(F.col("lang").isin(langs)).mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    model = np.zeros((BUCKETS, len(langs)))
-    place = {x: i for i, x in enumerate(langs)}
-    model[counts["bucket"].to_numpy(), [place[x] for x in counts["lang"].to_pylist()]] = counts["n"].to_numpy()
-    return langs, (model + SMOOTH) / (model.sum(axis=0) + SMOOTH * BUCKETS)
+    most = CELLS // LEAST_BUCKETS
+    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(most + 1).collect())
+    if len(langs) > most:
+        raise ValueError(f"lang has more than {most} different values")
+    buckets = min(BUCKETS, 1 << ((CELLS // max(1, len(langs))).bit_length() - 1))
+    counts = rows.mapInArrow(_count(buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    model = np.zeros((buckets, len(langs)))
+    place = pa.array(langs, pa.string())
+    model[counts["bucket"].to_numpy(), pc.index_in(counts["lang"].combine_chunks(), value_set=place).to_numpy(zero_copy_only=False)] = counts["n"].to_numpy()
+    model += SMOOTH
+    model /= model.sum(axis=0)
+    return langs, model
 
 
 def _maximise(p: np.ndarray, times: np.ndarray, enough: float | None = None) -> tuple[np.ndarray, float]:
@@ -136,13 +158,22 @@ def _languages(at: np.ndarray, times: np.ndarray, model: np.ndarray, alone: np.n
     return list(zip(chosen, shares.tolist(), strict=True))
 
 
+def _folded(at: np.ndarray, times: np.ndarray | None, model: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Buckets of the model's size; with many languages each bucket once, as each takes a row of the model."""
+    at = at % model.shape[0]
+    if model.shape[1] <= MANY:
+        return at, times
+    some, place = np.unique(at, return_inverse=True)
+    return some, np.bincount(place, weights=times, minlength=len(some))
+
+
 def mixtures(texts: list[str | None], model: np.ndarray) -> list[list[tuple[int, float]]]:
     """For each text its languages with their shares, largest first; none without letters.
 
     A text for which one language alone is within the price of the best mixture, by the bound of
     _maximise at that language's share of 1, is settled without any step.
     """
-    found = [trigrams(t) for t in texts]
+    found = [_folded(*trigrams(t), model) for t in texts]
     some = [i for i, (at, _) in enumerate(found) if len(at)]
     out: list[list[tuple[int, float]]] = [[] for _ in texts]
     if not some or not model.shape[1]:
@@ -172,7 +203,7 @@ def mixtures(texts: list[str | None], model: np.ndarray) -> list[list[tuple[int,
 def _infer(model, keep: list[str]):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, p = model.value
-        for batch in slices(stream, 24):
+        for batch in slices(stream, TOGETHER if p.shape[1] <= MANY else 1):
             found = mixtures(batch.column("text").to_pylist(), p)
             arrays = [
                 pa.array([langs[m[0][0]] if m else "und" for m in found], pa.string()),
@@ -193,8 +224,8 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
 def predict_languages(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, lang, ...) -> doc_id, held_out, lang_pred, score, languages; a row for each row of docs.
 
-    The model learns from rows with a lang that aren't held out, from values of lang that at least one in
-    RAREST of these has; a prediction sees the text alone.
+    The model learns from rows with a lang that aren't held out, every value of it; a prediction sees the
+    text alone.
     A text is a mixture of languages that draw its letter trigrams: expectation-maximisation gives each
     language's share, and the set of languages grows while a further one pays its penalty.
     lang_pred is the language with the largest share, score that share.
