@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from trackloom.llm.pii import base_spans, joined, luhn, personal_data
+from trackloom.llm.pii import base_spans, joined, luhn, personal_data, redact
 
 SCHEMA = "doc_id long, text string"
 
@@ -89,3 +89,12 @@ def test_bootstrapping_precision_and_recall(spark):
     found = {(d.doc_id, f.start, f.end) for d in got.where("n_phone = 0").collect() for f in d.found}
     assert base == 200
     assert len(found & planted) >= 0.95 * len(planted) and len(found - planted) <= 0.02 * len(found)
+
+
+def test_redact_with_clashing_names(spark):
+    schema = "doc_id long, text string, found string, spans int, text_hash string, _0 int, hash int, of int"
+    rows = [(1, "write to a.b@c.org now", "f", 1, "h", 2, 3, 4), (None, None, "g", None, None, None, None, None), (1, "write to a.b@c.org now", "k", 1, "h", 2, 3, 4)]
+    got = redact(spark.createDataFrame(rows, schema))
+    assert got.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "write to <EMAIL> now", "f", 1, "h", 2, 3, 4), rows[1], (1, "write to <EMAIL> now", "k", 1, "h", 2, 3, 4)], key=str)
+    assert redact(spark.createDataFrame([], schema)).collect() == []

@@ -1,7 +1,7 @@
 import numpy as np
 
 from trackloom.llm import quality
-from trackloom.llm.quality import Ftrl, features, logistic, quality_scores
+from trackloom.llm.quality import Ftrl, accept, features, logistic, quality_scores
 
 
 def test_held_out(spark):
@@ -70,3 +70,10 @@ def test_packing():
         at, count = np.sort(r.choice(quality.BUCKETS, n, replace=False)), r.integers(1, 1 << 20, n)
         got = quality.unpack(quality.pack(at, count))
         assert (got[0] == at).all() and (got[1] == count).all()
+
+
+def test_accept_with_a_column_like_the_score(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text", "doc_id * 2 AS quality_score", "1 AS _0")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    got = accept(docs, labels)
+    assert got.columns == docs.columns and all(r.quality_score == 2 * r.doc_id for r in got.collect()) and 0 < got.count() < docs.count()

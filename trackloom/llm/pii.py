@@ -213,11 +213,11 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found", "text_hash")
 
 
-def _redact(columns: list[str]):
+def _redact(columns: list[str], spans_in: str):
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column(spans_in).to_pylist(), strict=True):
                 parts, done = [], 0
                 for span in spans or ():
                     if span["end"] > done:
@@ -236,10 +236,14 @@ def _redact(columns: list[str]):
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span of personal_data replaced by its kind in angle brackets; n_chars, if there, follows.
 
-    Overlapping spans are replaced together, by the kind of the first. Rows keep their columns; a null
-    text stays null.
+    Overlapping spans are replaced together, by the kind of the first. Rows keep their columns, whatever
+    these are called; a null text stays null, null doc_ids and repeated rows are redacted like others, very
+    long texts whole. An empty table gives an empty result.
     """
-    found = personal_data(docs).where("spans <> ''").select(F.col("doc_id").alias("of"), F.col("text_hash").alias("hash"), "found").dropDuplicates(["of", "hash"])
-    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("hash")), "left")
+    # names that docs doesn't have
+    own = [f"_{i}" for i in range(len(docs.columns) + 3) if f"_{i}" not in docs.columns][:3]
+    of, hash_, spans = own
+    found = personal_data(docs.select("doc_id", "text")).where("spans <> ''").select(F.col("doc_id").alias(of), F.col("text_hash").alias(hash_), F.col("found").alias(spans)).dropDuplicates([of, hash_])
+    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(hash_)), "left")
     types = ", ".join(f"`{f.name}` {'bigint' if f.name == 'n_chars' else f.dataType.simpleString()}" for f in docs.schema)
-    return rows.select(*docs.columns, "found").mapInArrow(_redact(docs.columns), types)
+    return rows.select(*docs.columns, spans).mapInArrow(_redact(docs.columns, spans), types)

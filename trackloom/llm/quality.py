@@ -184,6 +184,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> D
 
 
 def accept(docs: DataFrame, labels: DataFrame, cutoff: float = 0.3) -> DataFrame:
-    """The rows of docs, all columns, that score cutoff or more; learning as in quality_scores."""
+    """The rows of docs, all columns, that score cutoff or more; learning as in quality_scores.
+
+    Each row is judged by its own text, also those with a null doc_id and repeated ones; null and empty
+    texts get the score of the bias, very long ones are scored whole. A column of docs may be called like
+    the score. An empty table gives an empty result.
+    """
     weights = train(docs, labels.select("doc_id", F.col("quality").alias("label")).where(~held_out()))
-    return score(docs, weights, *docs.columns).where(F.col("quality_score") >= cutoff).drop("quality_score")
+    clash = "quality_score" in docs.columns
+    free = next(f"_{i}" for i in range(len(docs.columns) + 1) if f"_{i}" not in docs.columns)
+    rows = docs.withColumnRenamed("quality_score", free) if clash else docs
+    kept = score(rows, weights, *rows.columns).where(F.col("quality_score") >= cutoff).drop("quality_score")
+    return kept.withColumnRenamed(free, "quality_score") if clash else kept

@@ -145,7 +145,9 @@ def transactions(records: DataFrame) -> DataFrame:
 
     A response or revisit is joined with the requests and metadata records whose WARC-Concurrent-To is
     its id. Requests and metadata of a capture that isn't there come as a row with a null response;
-    those that name no capture come under their own id.
+    those that name no capture come under their own id. Repeated captures are rows of their own, each with
+    all requests and metadata of their id; the order within a list isn't defined. Extra columns are
+    ignored. No records give no rows.
     """
     response = F.struct("type", "target_uri", "refers_to", "http_status", "stated_digest", "payload_bytes", "payload_digest", "payload")
     captures = records.where(F.col("type").isin("response", "revisit")).select(F.col("record_id").alias("capture_id"), response.alias("response"))
