@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackloom.operators.staging import stage
-from trackloom.operators.timeline import running
 
 
 def min_max_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -47,18 +46,24 @@ def target_summary(df: DataFrame, key: str, t: str, source: str, code: str, heig
 def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Interpolated quantiles of each group: by..., one column for each share.
 
-    Different values are counted first, the counts run along slices of the value's range, and the values at
-    the places asked for are minima, so that no task holds a group's values.
+    Different values are counted first and sorted by range into partitions of about as many; a value's
+    place is its place in its partition plus the counts of the partitions before, and the values at the
+    places asked for are minima. Partitions follow ranks, not the range of the values, so that neither a
+    large group nor an outlier leaves one task with the rest.
     """
     rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = stage(rows.groupBy(*by, "_v").agg(F.count("*").alias("_n")))
-    low, high = counts.agg(F.min("_v"), F.max("_v")).first()
-    width = ((high or 0.0) - (low or 0.0)) / 1024 or 1.0
-    counts = running(counts, by, "_v", "_n", "_upto", width)
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    counts = rows.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
+    counts = stage(counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    # one row for each group and partition that it is in
+    parts = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*by, "_part", before.alias("_before"), F.sum("_m").over(group).alias("_all"))
     at = {n: (F.col("_all") - 1) * s for n, s in shares.items()}
+    placed = counts.join(parts, [*by, "_part"])
+    placed = placed.withColumn("_upto", F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v")))
     bounds = [F.min(F.when(F.col("_upto") > f(p), F.col("_v"))).alias(f"_{side}_{n}") for n, p in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
-    out = counts.join(totals, by).groupBy(*by).agg(F.max("_all").alias("_all"), *bounds)
+    out = placed.groupBy(*by).agg(F.max("_all").alias("_all"), *bounds)
     share = lambda n: at[n] - F.floor(at[n])
     return out.select(*by, *((F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * share(n)).alias(n) for n in shares))
 

@@ -280,9 +280,12 @@ def unassociated(reports: DataFrame, associations: DataFrame, by: list[str]) ->
     return reports.join(known, "id", "left").groupBy(*by).agg(F.count_if(F.col("_k").isNotNull()).alias("n_assoc"), F.count_if(F.col("_k").isNull()).alias("n_unassoc"))
 
 
-def category(address: Column, vehicles: list[int], top_height: Column, emitter: Column) -> Column:
-    """K17."""
-    return F.when(address.isin(vehicles), "vehicle").when(emitter.between(1, 5) | (top_height >= 1000), "aircraft").otherwise("unknown")
+def category(address: Column, vehicles: list[int], top_height: Column, emitter: Column, identification: Column | None = None, vehicle_names: list[str] | None = None) -> Column:
+    """A vehicle by its address or identification, an aircraft by its emitter category or a height of 1000 feet."""
+    vehicle = address.isin(vehicles)
+    if identification is not None and vehicle_names:
+        vehicle = F.coalesce(vehicle, F.lit(False)) | F.coalesce(identification.isin(vehicle_names), F.lit(False))
+    return F.when(vehicle, "vehicle").when(emitter.between(1, 5) | (top_height >= 1000), "aircraft").otherwise("unknown")
 
 
 def latest(df: DataFrame, key: str, t: str) -> DataFrame:

@@ -122,6 +122,19 @@ def interest(df: DataFrame, factor: str, levels: tuple[float, float] = (0.1, 0.0
     return df.withColumn("interest", F.when(F.col(factor) >= levels[0], 2).when(F.col(factor) >= levels[1], 1).otherwise(0))
 
 
+def interest_contributions(counts: DataFrame, key: str, by: list[str], failed: str, total: str) -> tuple[DataFrame, DataFrame]:
+    """What each target adds to the failures of each requirement, and of all its requirements together.
+
+    counts has a row for each target and requirement (by). A target's factor is its failed updates by the
+    total of all targets, so that the factors of a requirement add up to its joined failure rate; levels
+    are 0.05 and 0.01. The second table sums a target's factors over its requirements; levels are 0.1 and
+    0.05.
+    """
+    sums = counts.groupBy(*by).agg(F.sum(total).alias("_all"))
+    each = counts.join(sums, by).withColumn("factor", F.coalesce(ratio(F.col(failed), F.col("_all")), F.lit(0.0))).select(key, *by, "factor")
+    return interest(each, "factor", (0.05, 0.01)), interest(each.groupBy(key).agg(F.sum("factor").alias("factor")), "factor")
+
+
 def holds_for_every_target(failed: Column) -> list[Column]:
     """U4: passes without failed targets; the value shown is their number."""
     return [F.count_if(failed).alias("n_failed"), (F.count_if(failed) == 0).alias("passed")]
@@ -167,8 +180,12 @@ def linear_fit(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), *fit)
 
 
-def extra_data(times: DataFrame, periods: DataFrame, key: str, t: str, ignored: DataFrame | None = None) -> DataFrame:
-    """For each key the reports in no reference period and their share; targets in `ignored` are left out."""
+def extra_data(times: DataFrame, periods: DataFrame, key: str, t: str, ignored: DataFrame | None = None, inside: Column | None = None) -> DataFrame:
+    """For each key the reports in no reference period and their share; targets in `ignored` are left out.
+
+    With inside, a condition on the report's own position, only reports in the sector count.
+    """
+    times = times if inside is None else times.where(F.coalesce(inside, F.lit(False)))
     rows = times if ignored is None else times.join(ignored.select(key), key, "left_anti")
     rows = mark_periods(rows, stage(periods), key, t)
     out = rows.groupBy(key).agg(F.count_if(F.col("period").isNull()).alias("n_extra"), F.count_if(F.col("period").isNotNull()).alias("n_ok"))

@@ -202,13 +202,19 @@ def update_intervals(found: DataFrame, key: str, interval: int) -> DataFrame:
     return found.groupBy(key).agg(F.sum(F.floor((F.col("period_end") - F.col("period_begin")) / interval)).cast("long").alias("sum_uis"), F.count("*").alias("n_periods"))
 
 
-def outside_periods(found: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """What the periods leave of each key's span (key, first, last): key, gap_begin, gap_end."""
-    w = Window.partitionBy(key).orderBy("period_begin")
-    rows = spans.join(found, key, "left")
-    before = rows.select(key, F.coalesce(F.lag("period_end").over(w), "first").alias("gap_begin"), F.coalesce("period_begin", "last").alias("gap_end"))
-    after = spans.join(found.groupBy(key).agg(F.max("period_end").alias("gap_begin")), key).select(key, "gap_begin", F.col("last").alias("gap_end"))
-    return before.unionByName(after).where("gap_end > gap_begin")
+def outside_periods(found: DataFrame, spans: DataFrame, key: str, width: int = WIDTH) -> DataFrame:
+    """What the periods leave of each key's span (key, first, last): key, gap_begin, gap_end.
+
+    A gap lies between a period and the one before it, which `previous` finds slice by slice; those at the
+    ends of a span come from the first and the last period of a key.
+    """
+    rows = previous(found.select(key, "period_begin", "period_end"), [key], "period_begin", ["period_end"], width)
+    between = rows.where("prev is not null").select(key, F.col("prev.period_end").alias("gap_begin"), F.col("period_begin").alias("gap_end"))
+    ends = spans.join(found.groupBy(key).agg(F.min("period_begin").alias("_b"), F.max("period_end").alias("_e")), key, "left")
+    head = F.struct(F.col("first").alias("gap_begin"), F.coalesce("_b", "last").alias("gap_end"))
+    tail = F.struct(F.col("_e").alias("gap_begin"), F.col("last").alias("gap_end"))
+    outer = ends.select(key, F.explode(F.array(head, tail)).alias("g")).select(key, "g.*")
+    return between.unionByName(outer).where("gap_end > gap_begin")
 
 
 def overlap_share(begin1: Column, end1: Column, begin2: Column, end2: Column) -> Column:

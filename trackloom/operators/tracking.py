@@ -171,7 +171,11 @@ def reference_tracks(reports: DataFrame, key: str, seconds: str, x: str, y: str,
     columns = {"key": F.col(key), "session": F.col("session"), "t": F.col(seconds).cast("double"), "x": F.col(x).cast("double"), "y": F.col(y).cast("double"), "sigma": F.col("_sigma").cast("double")}
     rows = gap_sessions(micro, key, "_us", int(RESET * 1_000_000)).select("_us", *(c.alias(n) for n, c in columns.items())).dropna()
     rows = previous(rows, ["key", "session"], "_us", ["t"], int(width * 1_000_000), ["x", "y"])
-    rows = stage(rows.select("key", "session", "t", "x", "y", "sigma", F.col("prev.t").alias("before"), F.floor(F.col("_us") / int(width * 1_000_000)).alias("slice")))
+    rows = rows.select("key", "session", "t", "x", "y", "sigma", F.col("prev.t").alias("before"), F.floor(F.col("_us") / int(width * 1_000_000)).alias("slice"))
+    lives = rows.groupBy("key", "session").agg((F.min("slice") == F.max("slice")).alias("whole"))
+    rows = stage(rows.join(lives, ["key", "session"]))
+    # a track in one slice needs nothing from others
+    alone, rows = rows.where("whole"), rows.where("not whole")
     kind = rows.schema["key"].dataType.simpleString()
     head = f"key {kind}, session long, slice long"
 
@@ -212,15 +216,13 @@ def reference_tracks(reports: DataFrame, key: str, seconds: str, x: str, y: str,
     ended = backs.groupBy("key", "session").applyInPandas(ends, f"{head}, end array<double>")
     around = stage(begun.join(ended, _KEYS))
 
-    def run(_, pdf: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, state: tuple | None = None, end: tuple | None = None, following: float = np.nan) -> pd.DataFrame:
         pdf, s = _stretch(pdf, noise)
-        side = sides.iloc[0]
-        end = _matrices(side.end)
-        m, p = s.smoothed(*s.filtered(_matrices(side.state)), float(side.following), end)
+        m, p = s.smoothed(*s.filtered(state), following, end)
         t = s.t
         if step is not None:
             if end is not None:
-                t, m, p = np.append(t, side.following), np.concatenate([m, end[0][None]]), np.concatenate([p, end[1][None]])
+                t, m, p = np.append(t, following), np.concatenate([m, end[0][None]]), np.concatenate([p, end[1][None]])
             low = np.ceil(t[0] / step)
             # a point at the first report of a slice belongs to it
             high = np.floor(t[-1] / step) if end is None else np.ceil(t[-1] / step) - 1
@@ -235,7 +237,12 @@ def reference_tracks(reports: DataFrame, key: str, seconds: str, x: str, y: str,
         out.insert(0, "key", pdf.key.iloc[0])
         return out
 
-    return grouped(rows).cogroup(grouped(around)).applyInPandas(run, f"key {kind}, session long, t double, x double, y double, vx double, vy double, stddev double")
+    def between(_, pdf: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
+        side = sides.iloc[0]
+        return run(pdf, _matrices(side.state), _matrices(side.end), float(side.following))
+
+    schema = f"key {kind}, session long, t double, x double, y double, vx double, vy double, stddev double"
+    return grouped(alone).applyInPandas(lambda pdf: run(pdf), schema).unionByName(grouped(rows).cogroup(grouped(around)).applyInPandas(between, schema))
 
 
 def estimated_accuracies(reports: DataFrame, key: str, seconds: str, x: str, y: str, source: str, start: float = 30.0, noise: float = 3.0, rounds: int = 6, width: float = SLICE) -> DataFrame:

@@ -75,11 +75,10 @@ def surroundings(df: DataFrame, marks: DataFrame, t: str, height: str, around_t:
     """Rows near the marked rows, all of them together: in time and height, unknown heights included.
 
     With box, the two columns of the position: within the marks' box widened by a tenth, at most 0.1, on
-    each side. With identities: each of these columns is one of the marks' values or null.
+    each side. With identities: each of these columns is one of the marks' values, by a semi-join, or null.
     """
     sides = [(c, f"{n}_{c}", f) for c in (box or ()) for n, f in (("min", F.min), ("max", F.max))]
-    sets = [F.collect_set(c).alias(f"set_{c}") for c in identities]
-    m = marks.agg(F.min(t).alias("t0"), F.max(t).alias("t1"), F.min(height).alias("h0"), F.max(height).alias("h1"), *(f(c).alias(n) for c, n, f in sides), *sets).first()
+    m = marks.agg(F.min(t).alias("t0"), F.max(t).alias("t1"), F.min(height).alias("h0"), F.max(height).alias("h1"), *(f(c).alias(n) for c, n, f in sides)).first()
     if m.t0 is None:
         return df.limit(0)
     near = F.col(t).between(m.t0 - around_t, m.t1 + around_t)
@@ -89,9 +88,29 @@ def surroundings(df: DataFrame, marks: DataFrame, t: str, height: str, around_t:
         if m[f"min_{c}"] is not None:
             wider = min(0.1, (m[f"max_{c}"] - m[f"min_{c}"]) * 0.1)
             near &= F.col(c).between(m[f"min_{c}"] - wider, m[f"max_{c}"] + wider)
+    out = df.where(near)
     for c in identities:
-        near &= F.col(c).isin(m[f"set_{c}"]) | F.col(c).isNull()
-    return df.where(near)
+        values = marks.where(F.col(c).isNotNull()).select(F.col(c).alias("_of")).distinct()
+        out = out.where(F.col(c).isNull()).unionByName(out.join(values, F.col(c) == F.col("_of"), "left_semi"))
+    return out
+
+
+def surroundings_of_each(df: DataFrame, marks: DataFrame, target: str, key: str, t: str, height: str, around_t: int, around_h: float, box: tuple[str, str], width: int) -> DataFrame:
+    """V15 over several targets: the rows near any of them, each within its own times, heights and box: the columns of df, key, once each.
+
+    Each target's region is one row; rows meet regions by time slice, so that neither many targets nor a
+    long one goes through the driver.
+    """
+    sides = [f(c).alias(f"_{n}_{c}") for c in box for n, f in (("min", F.min), ("max", F.max))]
+    regions = marks.groupBy(F.col(target).alias("_of")).agg((F.min(t) - around_t).alias("_t0"), (F.max(t) + around_t).alias("_t1"), (F.min(height) - around_h).alias("_h0"), (F.max(height) + around_h).alias("_h1"), *sides)
+    regions = regions.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_t0") / width), F.floor(F.col("_t1") / width))))
+    met = df.withColumn("_slot", F.floor(F.col(t) / width)).join(regions, F.col("_slot") == F.col("_slice"))
+    near = F.col(t).between(F.col("_t0"), F.col("_t1")) & (F.col("_h0").isNull() | F.col(height).isNull() | F.col(height).between(F.col("_h0"), F.col("_h1")))
+    for c in box:
+        low, high = F.col(f"_min_{c}"), F.col(f"_max_{c}")
+        wider = F.least(F.lit(0.1), (high - low) * 0.1)
+        near &= low.isNull() | F.coalesce(F.col(c).between(low - wider, high + wider), F.lit(False))
+    return met.where(near).groupBy(key).agg(F.count("*").alias("n_targets"))
 
 
 def choose_histogram(df: DataFrame, value: str, n: int = 20, by: list[str] | None = None) -> DataFrame:
