@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from test_reconstruction import SCHEMA, frame, traffic
 from trackloom.operators.association import hash_associations
 from trackloom.operators.reconstruction import Limits, Names
@@ -9,6 +10,15 @@ from trackloom.streaming.slices import Slices
 LIMITS = Limits(track_gap=50, window=15, good=1.0, dubious=2.0, not_ok=5.0)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Many small steps: more tasks would only take longer."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_a_stream_gives_what_the_table_gives(spark, tmp_path):
     """Any split into batches, with a stop in between, and each report is written once."""
     rows = [r for r in traffic(5, 160, 4) if r["t"] < 200]
