@@ -83,6 +83,17 @@ def test_copies_against_a_plain_prefix_sum(spark, sf_dir, monkeypatch, rows_of_s
     assert len(got) == len(want) == n and len(differ) <= 2  # a sum that rounds to just beside an integer
 
 
+def test_equal_rows_are_ordered_as_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS", 7)
+    rows = [(None, "", "a")] * 300 + [(5, "same words here", "a")] * 200 + [(i, "one two " * (i % 5), "a" if i % 3 else None) for i in range(90)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = systematic_copies(docs).collect()
+    for taken, want in check(rows, got).values():
+        assert abs(taken - want) <= 0.05 * want + 10
+    assert sorted((r.doc_id or -1, r.size) for r in got) == sorted((d or -1, len(t.split())) for d, t, _ in rows)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, systematic_copies(docs.repartition(3)).collect()), key=str)
+
+
 def test_many_sources(spark):
     rows = [(f"host{i * 7919 % 5000}", i % 13) for i in range(5000)] + [(None, 4)]
     got = {r.source: r.target for r in source_targets(spark.createDataFrame(rows, "source string, size long").repartition(7)).collect()}

@@ -71,7 +71,8 @@ def systematic_copies(docs: DataFrame, seed: int = 0, text: Column | None = None
 
     The order is made of groups (source, size class, slice of a hash), with so many slices that a group
     has ROWS rows on average at most, whatever the table's size; each row's place is its place in its
-    group plus the sum over the groups before, which come pre-aggregated.
+    group plus the sum over the groups before, which come pre-aggregated. Rows equal in doc_id, text,
+    source and keep are counted before they are ordered, and come out again in blocks of ROWS.
     """
     own = F.col("text") if text is None else text
     rows = docs.select("doc_id", "source", *keep, n_words(own).alias("size"), F.xxhash64("doc_id", own, F.lit(seed)).alias("h"))
@@ -87,8 +88,12 @@ def systematic_copies(docs: DataFrame, seed: int = 0, text: Column | None = None
     groups = groups.withColumn("start", F.coalesce(F.sum("n").over(within), F.lit(0)))
     groups = groups.join(classes.withColumnRenamed("start", "more"), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
     groups = groups.select(F.col("source").alias("s"), F.col("class").alias("c"), F.col("slice").alias("l"), (F.col("start") + F.col("more")).alias("start"))
-    place = Window.partitionBy("source", "class", "slice").orderBy("h", "doc_id", "size", *keep)
-    placed = rows.withColumn("place", F.row_number().over(place) - 1)
+    # rows that are equal in all columns are one row with a count, so that no task sorts a large group of copies
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source", "class", "slice").orderBy("h", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
+    placed = equal.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(ROWS).cast("long"))))
+    placed = placed.withColumn("nth", F.explode(F.sequence("block", F.least(F.col("block") + ROWS, "n") - 1))).withColumn("place", F.col("first") + F.col("nth"))
     placed = placed.join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")) & (F.col("slice") == F.col("l")))
     placed = placed.join(per, F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
