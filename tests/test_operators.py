@@ -230,10 +230,29 @@ def test_slices_write_each_report_once(spark):
     assert [b[2] for b in bounds[:-1]] == [b[0] for b in bounds[1:]] and bounds[0][0] == 0 and bounds[-1][2] == 996
 
 
-def test_transponders_within_reach(spark):
-    found = spark.createDataFrame([(1, 0.0, 0.0, 7), (2, 9.0, 0.0, 7), (3, 9.0, 9.0, None)], "id long, x double, y double, transponder long")
-    known = spark.createDataFrame([(7, 0.0, 1.0)], "number long, x double, y double")
-    assert {r.id: r.transponder for r in C.transponders_near(found, known, "x", "y", 5.0).collect()} == {1: 7, 2: None, 3: None}
+def test_transponders_that_fail_leave_the_next(spark):
+    known = spark.createDataFrame(
+        [(1, 7, None, 10.0, 0.0, 5.0), (2, 7, None, 10.0, 1.0, None), (3, None, 9, None, None, 3.0), (4, None, None, 89.95, 170.0, 8.0), (5, None, None, 0.0, 179.99, 9.0)],
+        "number long, a long, b long, lat double, lon double, h double",
+    )
+    rows = [(1, 7, None, 10.001, 1.0), (2, 7, None, 10.0, 0.001), (3, 7, None, 30.0, 0.0), (4, 7, 9, 30.0, 0.0), (5, 0o7777, None, 30.0, 0.0), (6, 1, 1, 89.95, -100.0), (7, None, None, 0.0, -179.99), (8, None, 9, None, None), (9, None, None, 0.05, 179.99)]
+    reports = spark.createDataFrame(rows, "id long, code long, address long, lat double, lon double")
+    got = C.fixed_transponders(reports, known, "id", {"a": "code", "b": "address"}, "lat", "lon", 15_000.0, "code", "h").collect()
+    want = {1: (2, True, 0.0), 2: (1, True, 5.0), 3: (None, False, None), 4: (3, True, 3.0), 5: (None, True, 0.0), 6: (4, True, 8.0), 7: (5, True, 9.0), 8: (3, True, 3.0), 9: (5, True, 9.0)}
+    assert {r.id: (r.transponder, r.is_transponder, r.transponder_height) for r in got} == want
+    nothing = known.limit(0)
+    assert not any(r.transponder for r in C.fixed_transponders(reports, nothing, "id", {"a": "code"}, "lat", "lon", 10.0, "code").collect())
+    every = spark.createDataFrame([(6, None, None, None, None, None)], known.schema)
+    assert {r.transponder for r in C.fixed_transponders(reports, every, "id", {"a": "code"}, "lat", "lon", 10.0, "code").collect()} == {6}
+
+
+def test_positions_of_a_reference_that_stands(spark):
+    ref = spark.createDataFrame([(1, 0, 10.0, 20.0, 100.0, 5.0), (1, 10, 10.0, 20.0, 200.0, 7.0), (1, 20, 11.0, 20.0, None, 9.0)], "k long, t long, lat double, lon double, h double, v double")
+    tst = spark.createDataFrame([(1, 5), (1, 10), (1, 15), (1, 25)], "k long, t long")
+    got = L.interpolated_position(L.asof_neighbours(tst, ref, "k", "t", ["lat", "lon", "h", "v"], 10), "t", "lat", "lon", "h", "v")
+    found = {r.t: r.ref and tuple(r.ref) for r in got.collect()}
+    assert found[5] == (10.0, 20.0, 100.0, None) and found[10] == (10.0, 20.0, 200.0, 7.0) and found[25] is None
+    assert np.allclose(found[15], (10.5, 20.0, 200.0, 8.0))
 
 
 def test_merging_twice(spark):

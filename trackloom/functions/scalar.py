@@ -105,6 +105,11 @@ def local_offset(lat0: Column, lon0: Column, lat: Column, lon: Column) -> tuple[
     return F.radians(lon - lon0) * F.cos(F.radians(lat0)) * EARTH_RADIUS, F.radians(lat - lat0) * EARTH_RADIUS
 
 
+def position_at_offset(lat0: Column, lon0: Column, east: Column, north: Column) -> tuple[Column, Column]:
+    """The position at an offset in metres in the tangent plane at the first one: the inverse of local_offset."""
+    return lat0 + F.degrees(north / EARTH_RADIUS), lon0 + F.degrees(east / (EARTH_RADIUS * F.cos(F.radians(lat0))))
+
+
 def polar_to_position(lat0: Column, lon0: Column, slant_m: Column, azimuth_deg: Column, altitude_m: Column, site_m: Column) -> tuple[Column, Column]:
     """Radar plot to latitude and longitude: slant range corrected by the height over the site."""
     height = F.coalesce(altitude_m, site_m) - site_m

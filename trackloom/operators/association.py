@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.scalar import EARTH_RADIUS, haversine
 from trackloom.operators.filters import sources
 from trackloom.operators.staging import row_numbers, stage
 from trackloom.operators.timeline import WIDTH, _over_slices, asof_neighbours, gap_sessions, overlap_share, previous, running
@@ -253,12 +258,49 @@ def outliers(df: DataFrame, key: list[str], t: str, x: str, y: str, second: floa
     return rows.withColumn("is_outlier", fast("speed_before") & fast("_after")).drop("_after")
 
 
-def transponders_near(found: DataFrame, transponders: DataFrame, x: str, y: str, most: float) -> DataFrame:
-    """A found transponder counts only within `most` of its own place; transponders(number, x, y) are few."""
-    p = transponders.select(F.col("number").alias("_n"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    rows = found.join(p, F.col("transponder") == F.col("_n"), "left")
-    near = F.hypot(F.col(x) - F.col("_x"), F.col(y) - F.col("_y")) <= most
-    return rows.withColumn("transponder", F.when(F.coalesce(near, F.col("_x").isNull()), F.col("transponder"))).drop("_n", "_x", "_y")
+def fixed_transponders(
+    reports: DataFrame, transponders: DataFrame, row: str, attributes: dict[str, str], lat: str, lon: str, most: float, code: str, height: str | None = None,
+) -> DataFrame:
+    """Adds transponder, its height and is_transponder: the first one, by number, that fits all that it states.
+
+    attributes: column of transponders -> column of reports. Each attribute that a transponder has must be
+    the report's, and its position, if it has one, at most `most` metres away; one that fails leaves the
+    next to be tried. A report without a fitting one but with code 7777 is a transponder of height 0, as
+    is one whose transponder has no height. row names a report.
+
+    A transponder is met by an equi-join: by the attributes that it has - the reports offer a key for each
+    such set in use - and without any by cells of its surroundings. The table is a site's configuration;
+    its side is broadcast only if Spark finds it small enough.
+    """
+    names = list(attributes)
+    at, up = (F.col("lat"), F.col("lon")), F.lit(None).cast("double") if height is None else F.col(height)
+    has = reduce(lambda a, b: a + b, (F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(names)), F.lit(0))
+    known = transponders.select(F.col("number").alias("_n"), *names, *at, up.alias("_up")).withColumn("_has", has).withColumn("_placed", at[0].isNotNull() & at[1].isNotNull())
+    # as many sets as attributes have subsets
+    sets = sorted(r["_has"] for r in known.select("_has").distinct().collect())
+    step = most / (math.pi * EARTH_RADIUS / 180)
+    columns = max(int(360 / step), 1)
+    sine, narrow = math.sin(min(most / EARTH_RADIUS, math.pi / 2)), F.cos(F.radians(at[0]))
+    reach = F.when(narrow > sine, F.degrees(F.asin(sine / narrow)) + 1e-9).otherwise(180.0)
+    across = lambda x: F.floor((x + 360) * columns / 360).cast("long")
+    cell = lambda x, y: F.concat_ws(":", F.floor(x / step).cast("long"), F.pmod(y, F.lit(columns)))
+    rows = F.sequence(F.floor((at[0] - step) / step).cast("long"), F.floor((at[0] + step) / step).cast("long"))
+    wide = F.sequence(across(at[1] - reach), across(at[1] + reach))
+    around = F.array_distinct(F.flatten(F.transform(rows, lambda a: F.transform(wide, lambda b: F.concat_ws(":", a, F.pmod(b, F.lit(columns)))))))
+    text = lambda c: F.col(c).cast("string")
+    spell = lambda n, of: F.array(F.lit(str(n)), *(text(of(c)) for i, c in enumerate(names) if n >> i & 1))
+    stated = reduce(lambda out, n: out.when(F.col("_has") == n, F.array(spell(n, str))), (n for n in sets if n), F.when(F.lit(False), F.array(F.array(F.lit("")))))
+    nowhere = F.when(F.col("_placed"), F.transform(around, lambda c: F.array(F.lit("0"), c))).otherwise(F.array(F.array(F.lit("0"), F.lit("any"))))
+    known = known.withColumn("_key", F.explode(F.when(F.col("_has") > 0, stated).otherwise(nowhere))).withColumn("_key", F.to_json("_key")).select("_key", "_n", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "_up", "_placed")
+    offered = [F.when(reduce(and_, (F.col(attributes[c]).isNotNull() for i, c in enumerate(names) if n >> i & 1)), F.to_json(spell(n, attributes.get))) for n in sets if n]
+    if 0 in sets:
+        offered += [F.to_json(F.array(F.lit("0"), cell(F.col(lat), across(F.col(lon))))), F.to_json(F.array(F.lit("0"), F.lit("any")))]
+    met = reports.select(row, F.col(lat).alias("_y"), F.col(lon).alias("_x"), F.explode(F.filter(F.array(F.lit(None).cast("string"), *offered), lambda k: k.isNotNull())).alias("_key")).join(known, "_key")
+    met = met.where(~F.col("_placed") | F.coalesce(haversine(F.col("_y"), F.col("_x"), F.col("_lat"), F.col("_lon")) <= most, F.lit(False)))
+    first = met.groupBy(row).agg(F.min(F.struct("_n", "_up")).alias("_first"))
+    out = reports.join(first, row, "left").withColumn("transponder", F.col("_first._n"))
+    one = F.col("transponder").isNotNull() | F.coalesce(F.col(code) == 0o7777, F.lit(False))
+    return out.withColumn("is_transponder", one).withColumn("transponder_height", F.when(one, F.coalesce("_first._up", F.lit(0.0)))).drop("_first")
 
 
 def first_transponder(reports: DataFrame, transponders: DataFrame, code: str, address: str) -> DataFrame:

@@ -6,6 +6,7 @@ is the same formula over the sums, not a mean of ratios (U1).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
@@ -213,23 +214,43 @@ def extra_track_rate(reports: DataFrame, extra: DataFrame, key: str, row: str) -
     return out.withColumn("p_extra", ratio(F.col("n_extra"), F.col("n_extra") + F.col("n_ok")))
 
 
+@dataclass(frozen=True)
+class Speed:
+    """The largest speed of an update in metres a second, by its own value or from two positions."""
+
+    own: str
+    lat: str
+    lon: str
+    most: float
+
+
 def dubious(
     df: DataFrame, key: list[str], t: str, limits: dict[str, float], second: float, least_updates: int, least_duration: float, most_share: float,
     angles: tuple[str, ...] = (), primary: Column | None = None, largest: dict[str, float] | None = None, width: int = WIDTH,
+    speed: Speed | None = None, compared: tuple[float, float] | None = None,
 ) -> DataFrame:
     """Rates of change between consecutive updates against limits, for each target or track.
 
     limits: column -> largest change in a second; those of `angles` are degrees, whose change is the smaller
-    way round. largest: column -> largest value. A target is dubious if it has primary reports only, too
-    few updates, too short a life, or too large a share of its updates breaks a limit, in this order.
+    way round. largest: column -> largest value. compared: only updates at least and at most so many
+    seconds after the one before are held against limits. speed: an update whose own speed isn't above the
+    limit, or that has none, is judged by the speed from the position before (decision Q19: the first one
+    counts as such). A target is dubious if it has primary reports only, too few updates, too short a life,
+    or too large a share of its updates breaks a limit, in this order.
     """
-    rows = previous(df, key, t, [t, *limits], width)
+    carry = dict.fromkeys([t, *limits, *((speed.lat, speed.lon) if speed else ())])
+    rows = previous(df, key, t, list(carry), width)
     dt = (F.col(t) - F.col(f"prev.{t}")) / second
+    near = F.lit(True) if compared is None else dt.between(*compared)
     bad = {}
     for column, limit in limits.items():
         last = F.col(f"prev.{column}")
         change = min_angle_diff(last, F.col(column)) if column in angles else F.col(column) - last
-        bad[column] = F.coalesce((dt > 0) & (F.abs(change) / dt > limit), F.lit(False))
+        bad[column] = F.coalesce((dt > 0) & near & (F.abs(change) / dt > limit), F.lit(False))
+    if speed:
+        way = F.hypot(*local_offset(F.col(f"prev.{speed.lat}"), F.col(f"prev.{speed.lon}"), F.col(speed.lat), F.col(speed.lon)))
+        bad["speed_own"] = F.coalesce(F.col(speed.own) > speed.most, F.lit(False))
+        bad["speed_positions"] = ~bad["speed_own"] & F.coalesce((dt > 0) & (way / dt > speed.most), F.lit(False))
     for column, limit in (largest or {}).items():
         bad[f"large_{column}"] = F.coalesce(F.abs(column) > limit, F.lit(False))
     only = F.lit(False) if primary is None else F.coalesce(primary, F.lit(False))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackloom.functions.scalar import local_offset, position_at_offset
+
 
 def _slices(df: DataFrame, t: str, width: int, before: int, after: int) -> DataFrame:
     """A copy of each row for every slice from that of t - before to that of t + after."""
@@ -153,6 +155,27 @@ def interpolate_angle(column: str, t: str) -> Column:
     return F.when(F.col("matched"), F.when(F.col("exact"), F.col(f"lo.{column}")).otherwise(F.pmod(F.col(f"lo.{column}") + turn * share, F.lit(360.0))))
 
 
+def interpolated_position(df: DataFrame, t: str, lat: str, lon: str, height: str, speed: str | None = None) -> DataFrame:
+    """Adds ref, a struct of lat, lon, height and, if asked for, speed, to rows with lo and hi (`asof_neighbours`).
+
+    The way from lo to hi is gone evenly in the tangent plane at lo. A height that only one side has holds
+    for both. If both sides are at the same position, lo is taken as it is, and it has no speed; on an
+    exact hit the report hit is, with its speed. Null without a position on either side.
+    """
+    part = lambda side, c: F.col(f"{side}.{c}")
+    share = F.when(F.col("exact"), 0.0).otherwise((F.col(t) - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t")))
+    same = (part("lo", lat) == part("hi", lat)) & (part("lo", lon) == part("hi", lon))
+    moved = position_at_offset(part("lo", lat), part("lo", lon), *(x * share for x in local_offset(*(part(side, c) for side in ("lo", "hi") for c in (lat, lon)))))
+    at = [F.when(same, part("lo", c)).otherwise(m).alias(c) for c, m in zip((lat, lon), moved, strict=True)]
+    up = F.coalesce(part("lo", height) + (part("hi", height) - part("lo", height)) * share, part("lo", height), part("hi", height))
+    out = [*at, F.when(same, part("lo", height)).otherwise(up).alias(height)]
+    if speed:
+        both = part("lo", speed) + (part("hi", speed) - part("lo", speed)) * share
+        out.append(F.when(F.col("exact"), part("lo", speed)).when(~same, both).alias(speed))
+    there = F.col("matched") & same.isNotNull()
+    return df.withColumn("ref", F.when(there, F.struct(*out)))
+
+
 def compare_status(value: str, reference: str, tolerance: float = 0.0, found: Column | None = None) -> Column:
     """The outcomes of a value against the lower, then the upper neighbour.
 
@@ -165,9 +188,13 @@ def compare_status(value: str, reference: str, tolerance: float = 0.0, found: Co
     return status if found is None else F.when(~found, "no_ref_pos").otherwise(status)
 
 
-def fill_nearest(df: DataFrame, key: str, t: str, column: str, within: int) -> DataFrame:
-    """Nulls from known values less than `within` before and after: linear, or the one that is there."""
-    known = df.where(F.col(column).isNotNull()).select(key, t, F.col(column).alias("_v"))
+def fill_nearest(df: DataFrame, key: str, t: str, column: str, within: int, trusted: str | None = None) -> DataFrame:
+    """Nulls from known values less than `within` before and after: linear, or the one that is there.
+
+    A trusted value of a report, where it has one, goes before its own for filling others and itself.
+    """
+    known = F.col(column) if trusted is None else F.coalesce(trusted, column)
+    known = df.select(key, t, known.alias("_v")).where("_v is not null")
     near = asof_neighbours(df, known, key, t, ["_v"], within - 1)
     share = (F.col(t) - F.col("lo.t")) / F.when(F.col("hi.t") > F.col("lo.t"), F.col("hi.t") - F.col("lo.t")).otherwise(1)
     linear = F.col("lo._v") + (F.col("hi._v") - F.col("lo._v")) * share
