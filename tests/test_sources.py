@@ -5,6 +5,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from trackloom.operators import raster as X
 from trackloom.sources import files as S
 
 
@@ -77,3 +78,31 @@ def test_geojson_sectors():
     shape = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"name": "a", "layer_name": "l", "low": 5}, "geometry": {"type": "Polygon", "coordinates": [[[13, 47], [14, 47], [14, 48], [13, 47]], [[13.5, 47.1], [13.6, 47.1], [13.6, 47.2], [13.5, 47.1]]]}}]}
     layers = S.read_sectors(json.dumps(shape))
     assert [(s.corners[0], s.low, s.exclusion) for s in layers["l"]] == [((47.0, 13.0), 5, False), ((47.1, 13.5), 5, True)]
+
+
+GML = """<?xml version="1.0" encoding="utf-8"?>
+<ogr:FeatureCollection xmlns:ogr="http://ogr.maptools.org/" xmlns:gml="http://www.opengis.net/gml/3.2">
+  <ogr:featureMember><ogr:area gml:id="a.0"><ogr:name>north</ogr:name><ogr:layer_name>fir</ogr:layer_name><ogr:low>10.5</ogr:low>
+    <ogr:geometryProperty><gml:MultiSurface srsName="urn:ogc:def:crs:EPSG::4326"><gml:surfaceMember><gml:Polygon>
+      <gml:exterior><gml:LinearRing><gml:posList>47 13 48 13 48 14 47 14 47 13</gml:posList></gml:LinearRing></gml:exterior>
+      <gml:interior><gml:LinearRing><gml:posList srsDimension="3">47.4 13.4 0 47.6 13.4 0 47.6 13.6 0 47.4 13.4 0</gml:posList></gml:LinearRing></gml:interior>
+    </gml:Polygon></gml:surfaceMember></gml:MultiSurface></ogr:geometryProperty></ogr:area></ogr:featureMember>
+  <ogr:featureMember><ogr:area fid="a.1"><ogr:geometryProperty><gml:Polygon srsName="EPSG:4326"><gml:outerBoundaryIs><gml:LinearRing>
+    <gml:coordinates>13,45 14,45 14,46 13,45</gml:coordinates></gml:LinearRing></gml:outerBoundaryIs></gml:Polygon></ogr:geometryProperty></ogr:area></ogr:featureMember>
+  <ogr:featureMember><ogr:area fid="a.2"><ogr:geometryProperty><gml:Point><gml:pos>1 2</gml:pos></gml:Point></ogr:geometryProperty></ogr:area></ogr:featureMember>
+</ogr:FeatureCollection>"""
+
+
+def test_sector_files_as_a_table(spark, tmp_path):
+    """GML of both generations and JSON give rows that the index of sectors takes."""
+    (tmp_path / "a.gml").write_text(GML)
+    (tmp_path / "b.json").write_text('[{"name": "box", "layer_name": "l", "points": [[0, 0], [2, 0], [2, 2], [0, 2]], "low": 5}]')
+    table = S.read_sector_files(spark, str(tmp_path / "*"))
+    got = {(r.sector, r.exclusion): (r.layer, [tuple(p) for p in r.corners], r.low) for r in table.collect()}
+    assert got[("north", False)] == ("fir", [(47, 13), (48, 13), (48, 14), (47, 14)], 10.5)
+    assert got[("north", True)] == ("fir", [(47.4, 13.4), (47.6, 13.4), (47.6, 13.6)], 10.5)
+    assert got[("a.1", False)] == ("a.1", [(45, 13), (45, 14), (46, 14)], None) and got[("box", False)][2] == 5 and len(got) == 4
+    points = spark.createDataFrame([(1, 47.5, 13.5), (2, 45.2, 13.5), (3, 1.0, 1.0), (4, 80.0, 0.0)], "id long, x double, y double")
+    found = {(r.id, r.sector) for r in X.sectors_of(points, X.sector_index(table.where("not exclusion")), "x", "y").collect()}
+    assert found == {(1, "north"), (2, "a.1"), (3, "box")}
+    assert [s.exclusion for s in S.read_sectors(GML)["fir"]] == [False, True]

@@ -68,7 +68,7 @@ def altitude_fill_trusted(spark, sf):
 
 def reference_positions(spark, sf):
     """W1 on positions of a coarse grid, so that many references stand still."""
-    f = flights(spark, sf).withColumns({c: F.floor(F.col(c) * 5) / 5.0 for c in ("lat", "lon")})
+    f = flights(spark, sf).withColumns({c: F.floor(F.col(c) * 10) / 10.0 for c in ("lat", "lon")})
     a = L.asof_neighbours(f.where("source in ('click', 'purchase')").select("id", "utn", "t"), f.where("source = 'view'"), "utn", "t", ["lat", "lon", "mode_c", "speed"], REACH)
     ref = L.interpolated_position(a, "t", "lat", "lon", "mode_c", "speed").where("ref is not null").select("id", "ref.*")
     return ref.select("id", F.round("lat", 8).alias("lat"), F.round("lon", 8).alias("lon"), F.round("mode_c", 4).alias("mode_c"), F.round("speed", 5).alias("speed"))
@@ -76,8 +76,8 @@ def reference_positions(spark, sf):
 
 def dubious_by_speed(spark, sf):
     """Times in hours, speeds in metres an hour; a third of the reports has its own speed."""
-    f = flights(spark, sf).withColumn("own", F.when(F.col("code") % 3 == 0, F.col("speed") * 20))
-    rules = {"limits": {"mode_c": 9000.0}, "second": float(HOUR), "least_updates": 30, "least_duration": 240.0, "most_share": 0.45, "compared": (0.5, 40.0)}
+    f = flights(spark, sf).withColumn("own", F.when(F.col("code") % 3 == 0, F.col("speed") * 60))
+    rules = {"limits": {"mode_c": 9000.0}, "second": float(HOUR), "least_updates": 30, "least_duration": 240.0, "most_share": 0.2, "compared": (0.5, 40.0)}
     return E.dubious(f, ["utn"], "t", speed=E.Speed("own", "lat", "lon", 9000.0), **rules).withColumn("duration", F.round("duration", 6))
 
 
@@ -126,17 +126,17 @@ _FLIGHTS_ALONE = "flights AS" + FLIGHTS.partition(", flights AS")[2]
 _SIDES = lambda columns: ", ".join(f"CASE WHEN ok THEN {s}.{c} END AS {s}_{c}" for s in ("lo", "hi") for c in columns)
 _NEAR = f"SELECT x.*, coalesce(x.t - lo.t <= {REACH} AND hi.t - x.t <= {REACH}, false) AS ok, {{}} FROM x ASOF LEFT JOIN y lo ON x.utn = lo.utn AND x.t >= lo.t ASOF LEFT JOIN y hi ON x.utn = hi.utn AND x.t <= hi.t"
 _BESIDE = lambda columns: f"x AS (SELECT * FROM g WHERE source IN ('click', 'purchase')), y AS (SELECT * FROM g WHERE source = 'view'), n AS ({_NEAR.format(_SIDES(['t', *columns]))})"
-_BY_SPEED = f"""WITH {FLIGHTS}, d AS (SELECT utn, t, CASE WHEN code % 3 = 0 THEN speed * 20 END AS own, (t - lag(t) OVER w) / {float(HOUR)}::DOUBLE AS dt, abs(mode_c - lag(mode_c) OVER w) AS dm, radians(lon - lag(lon) OVER w) * cos(radians(lag(lat) OVER w)) * 6371008.8::DOUBLE AS east, radians(lat - lag(lat) OVER w) * 6371008.8::DOUBLE AS north FROM flights WINDOW w AS (PARTITION BY utn ORDER BY t)),
+_BY_SPEED = f"""WITH {FLIGHTS}, d AS (SELECT utn, t, CASE WHEN code % 3 = 0 THEN speed * 60 END AS own, (t - lag(t) OVER w) / {float(HOUR)}::DOUBLE AS dt, abs(mode_c - lag(mode_c) OVER w) AS dm, radians(lon - lag(lon) OVER w) * cos(radians(lag(lat) OVER w)) * 6371008.8::DOUBLE AS east, radians(lat - lag(lat) OVER w) * 6371008.8::DOUBLE AS north FROM flights WINDOW w AS (PARTITION BY utn ORDER BY t)),
 b AS (SELECT utn, t, coalesce(dt > 0 AND dt BETWEEN 5e-1 AND 40 AND dm / dt > 9000, false) AS bm, coalesce(own > 9000, false) AS bo, NOT coalesce(own > 9000, false) AND coalesce(dt > 0 AND sqrt(east * east + north * north) / dt > 9000, false) AS bp FROM d),
 a AS (SELECT utn, count(*) AS n_updates, (max(t) - min(t)) / {float(HOUR)}::DOUBLE AS du, count(*) FILTER (WHERE bm OR bo OR bp) AS n_dubious, count(*) FILTER (WHERE bm) AS n_mode_c, count(*) FILTER (WHERE bo) AS n_speed_own, count(*) FILTER (WHERE bp) AS n_speed_positions FROM b GROUP BY utn),
-r AS (SELECT utn, n_updates, round(du, 6) AS duration, n_dubious, n_mode_c, n_speed_own, n_speed_positions, CASE WHEN n_updates < 30 THEN 'few updates' WHEN du < 240 THEN 'short' WHEN n_dubious > 45e-2 * n_updates THEN 'changes' END AS reason FROM a), s AS (SELECT *, reason IS NOT NULL AS is_dubious FROM r)"""
+r AS (SELECT utn, n_updates, round(du, 6) AS duration, n_dubious, n_mode_c, n_speed_own, n_speed_positions, CASE WHEN n_updates < 30 THEN 'few updates' WHEN du < 240 THEN 'short' WHEN n_dubious > 2e-1 * n_updates THEN 'changes' END AS reason FROM a), s AS (SELECT *, reason IS NOT NULL AS is_dubious FROM r)"""
 _MODE_STATUS = lambda m: f"CASE WHEN lo_{m} IS NULL AND hi_{m} IS NULL THEN 'no_ref_val' WHEN {m} IS NULL THEN 'no_tst' WHEN {m} = lo_{m} OR {m} = hi_{m} THEN 'same' ELSE 'different' END"
 SQL = {
     "altitude_fill_trusted": f"""WITH {FLIGHTS}, n AS (SELECT id, utn, t, CASE WHEN code % 3 <> 0 THEN mode_c END AS value, CASE WHEN code % 4 = 1 THEN mode_c + 7 END AS measured FROM flights), k AS (SELECT utn, t, coalesce(measured, value) AS value FROM n WHERE coalesce(measured, value) IS NOT NULL),
 j AS (SELECT n.id, n.t, n.value, CASE WHEN n.t - lo.t < {REACH} THEN lo.t END AS lt, CASE WHEN n.t - lo.t < {REACH} THEN lo.value END AS lv, CASE WHEN hi.t - n.t < {REACH} THEN hi.t END AS ht, CASE WHEN hi.t - n.t < {REACH} THEN hi.value END AS hv
   FROM n ASOF LEFT JOIN k lo ON n.utn = lo.utn AND n.t >= lo.t ASOF LEFT JOIN k hi ON n.utn = hi.utn AND n.t <= hi.t)
 SELECT id, round(CASE WHEN value IS NOT NULL THEN value WHEN lt = t THEN lv WHEN lt IS NOT NULL AND ht IS NOT NULL THEN lv + (hv - lv) * ((t - lt) / (ht - lt)) ELSE coalesce(lv, hv) END, 5) AS mode_c FROM j""",
-    "reference_positions": f"""WITH {FLIGHTS}, g AS (SELECT id, utn, t, source, floor(lat * 5) / 5e0 AS lat, floor(lon * 5) / 5e0 AS lon, mode_c, speed FROM flights), {_BESIDE(["lat", "lon", "mode_c", "speed"])},
+    "reference_positions": f"""WITH {FLIGHTS}, g AS (SELECT id, utn, t, source, floor(lat * 10) / 10e0 AS lat, floor(lon * 10) / 10e0 AS lon, mode_c, speed FROM flights), {_BESIDE(["lat", "lon", "mode_c", "speed"])},
 m AS (SELECT *, lo_t = t AS exact, CASE WHEN lo_t = t THEN 0e0 ELSE (t - lo_t) / (hi_t - lo_t) END AS share, lo_lat = hi_lat AND lo_lon = hi_lon AS still FROM n WHERE ok AND lo_lat IS NOT NULL AND lo_lon IS NOT NULL AND hi_lat IS NOT NULL AND hi_lon IS NOT NULL)
 SELECT id, round(CASE WHEN still THEN lo_lat ELSE lo_lat + degrees(radians(hi_lat - lo_lat) * share) END, 8) AS lat, round(CASE WHEN still THEN lo_lon ELSE lo_lon + degrees(radians(hi_lon - lo_lon) * share) END, 8) AS lon,
 round(CASE WHEN still THEN lo_mode_c ELSE coalesce(lo_mode_c + (hi_mode_c - lo_mode_c) * share, lo_mode_c, hi_mode_c) END, 4) AS mode_c, round(CASE WHEN exact THEN lo_speed WHEN NOT still THEN lo_speed + (hi_speed - lo_speed) * share END, 5) AS speed FROM m""",

@@ -8,6 +8,7 @@ import json
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,20 +85,80 @@ def read_nmea(spark: SparkSession, path: str, day: str, offset: float = 0.0) ->
 
 
 def read_sectors(text: str) -> dict[str, list[Sector]]:
-    """Layers of sectors from their JSON text: a list of name, layer_name, points, low, high, exclusion, or GeoJSON.
-
-    Of GeoJSON features, polygons count with their outer ring; holes are exclusions of their layer.
-    """
+    """Layers of sectors from a text: a JSON list of name, layer_name, points, low, high, exclusion, or GeoJSON, or GML."""
     layers: dict[str, list[Sector]] = {}
-    found = json.loads(text)
-    if isinstance(found, dict):
-        found = [s for feature in found.get("features", []) for s in _rings(feature)]
-    for s in found:
+    for s in _sectors(text):
         corners = tuple((float(x), float(y)) for x, y in s["points"])
         layers.setdefault(s.get("layer_name", s["name"]), []).append(Sector(s["name"], corners, s.get("low"), s.get("high"), bool(s.get("exclusion"))))
     return layers
 
 
+def read_sector_files(spark: SparkSession, path: str) -> DataFrame:
+    """The sectors of all files that a path or pattern names, as a table: layer, sector, corners (x, y), low, high, exclusion.
+
+    Each file is parsed by a task, so that thousands of sectors don't pass through the driver; corners are
+    as `raster.sector_index` takes them, x for latitude. Kinds of files as in `read_sectors`.
+    """
+    schema = "layer string, sector string, corners array<struct<x: double, y: double>>, low double, high double, exclusion boolean"
+
+    def parse(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+        to = pa.schema([("layer", pa.string()), ("sector", pa.string()), ("corners", pa.list_(point)), ("low", pa.float64()), ("high", pa.float64()), ("exclusion", pa.bool_())])
+        for batch in stream:
+            for text in batch.column(0).to_pylist():
+                rows = [
+                    {"layer": s.get("layer_name", s["name"]), "sector": s["name"], "corners": [{"x": float(x), "y": float(y)} for x, y in s["points"]], "low": s.get("low"), "high": s.get("high"), "exclusion": bool(s.get("exclusion"))}
+                    for s in _sectors(text)
+                ]
+                yield pa.RecordBatch.from_pylist(rows, to)
+
+    return spark.read.text(path, wholetext=True).mapInArrow(parse, schema)
+
+
+def _sectors(text: str) -> list[dict]:
+    """Of GeoJSON and GML features, polygons count with their outer ring; holes are exclusions of their layer."""
+    if text.lstrip().startswith("<"):
+        return [s for feature in _features(ElementTree.fromstring(text.strip())) for s in _rings(feature)]
+    found = json.loads(text)
+    return [s for feature in found.get("features", []) for s in _rings(feature)] if isinstance(found, dict) else found
+
+
+def _local(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _features(root: ElementTree.Element) -> Iterator[dict]:
+    """The features of a GML collection in the form of GeoJSON's: its members' children, with simple elements as properties."""
+    for member in root:
+        if _local(member) not in ("featureMember", "featureMembers", "member", "members"):
+            continue
+        for feature in member:
+            own = {_local(e): e.text.strip() for e in feature if e.text and e.text.strip() and len(e) == 0}
+            limits = {k: float(own[k]) for k in ("low", "high") if k in own}
+            ids = [v for k, v in feature.attrib.items() if k.rpartition("}")[2] in ("id", "fid")]
+            polygons = [[_ring(r, _crs(feature, p)) for r in p.iter() if _local(r) == "LinearRing"] for p in feature.iter() if _local(p) in ("Polygon", "PolygonPatch")]
+            yield {"id": (ids or ["sector"])[0], "properties": own | limits, "geometry": {"type": "MultiPolygon", "coordinates": [[r for r in p if r] for p in polygons]}}
+
+
+def _crs(feature: ElementTree.Element, polygon: ElementTree.Element) -> str:
+    """The reference system that a polygon states, else the one around it."""
+    around = [e.get("srsName") for e in feature.iter() if e.get("srsName") and (e is polygon or any(x is polygon for x in e.iter()) or any(x is e for x in polygon.iter()))]
+    return around[-1] if around else ""
+
+
+def _ring(ring: ElementTree.Element, crs: str) -> list[tuple[float, float]]:
+    """(longitude, latitude) of a ring in the notations posList, pos and coordinates; systems named by URN or URL put the latitude first."""
+    points: list[list[float]] = []
+    for e in ring.iter():
+        if _local(e) in ("posList", "pos"):
+            n = int(e.get("srsDimension") or ring.get("srsDimension") or (len(e.text.split()) if _local(e) == "pos" else 2))
+            numbers = [float(x) for x in e.text.split()]
+            points += [numbers[i : i + n] for i in range(0, len(numbers), n)]
+        elif _local(e) == "coordinates":
+            points += [[float(x) for x in p.split(",")] for p in e.text.split()]
+    return [(p[1], p[0]) if crs.startswith(("urn:", "http")) else (p[0], p[1]) for p in points]
+
+
 def _rings(feature: dict) -> Iterator[dict]:
     shape, own = feature.get("geometry") or {}, feature.get("properties") or {}
     many = {"Polygon": [shape.get("coordinates")], "MultiPolygon": shape.get("coordinates")}.get(shape.get("type"), [])
