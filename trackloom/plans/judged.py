@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackloom.functions import scalar as S
+from trackloom.functions import text as X
 from trackloom.operators import association as C
 from trackloom.operators import evaluation as E
 from trackloom.operators import spatial as G
@@ -108,6 +110,24 @@ def fixed_transponders(spark, sf):
     return r.select("id", "transponder", "is_transponder", "transponder_height")
 
 
+def text_forms(spark, sf):
+    """reports' values as text and back in parts."""
+    f = flights(spark, sf)
+    area, own = X.split_source_id(S.source_id(F.col("utn") % 255, F.col("code")))
+    counter, content = X.split_record_number(S.record_number(F.col("id"), F.col("code")))
+    return f.select(
+        "id", X.date_text(F.col("t")).alias("day"), X.day_time_text(F.col("t")).alias("time"), X.padded(F.col("code"), 4).alias("code_text"), X.fixed_text(F.col("code"), 2).alias("fixed"),
+        X.nearest_power_of_10(F.col("speed") * F.col("code")).alias("power"), area.alias("area"), own.alias("own"), counter.alias("counter"), content.alias("content"), X.latex_text(F.concat_ws("_", "source", "acid")).alias("latex"),
+    )
+
+
+def bearings_between(spark, sf):
+    """Bearings a quarter of the way between two."""
+    f = flights(spark, sf).where("lat is not null and lon is not null")
+    got = X.interpolated_bearing(F.col("lon") - 13, F.col("lat") - 47.5, F.col("angle") - 180, F.col("speed") - 280, F.lit(0.25))
+    return f.select("id", F.round(got, 6).alias("bearing"))
+
+
 def source_accuracies(spark, sf):
     f = flights(spark, sf).select("utn", (F.col("t") / 1e6 / 10000).alias("s"), (F.col("lat") * 1000).alias("x"), (F.col("lon") * 1000).alias("y"), "source")
     return K.estimated_accuracies(f, "utn", "s", "x", "y", "source", rounds=2).select("source", F.round("sigma", 6).alias("sigma"), "n")
@@ -123,6 +143,7 @@ c AS (SELECT utn, requirement, count(*) FILTER (WHERE status = 'different') AS f
 f AS (SELECT utn, requirement, coalesce(failed / nullif(sum(total) OVER (PARTITION BY requirement), 0), 0) AS factor FROM c)"""
 # reports are defined by what comes before
 _FLIGHTS_ALONE = "flights AS" + FLIGHTS.partition(", flights AS")[2]
+_REBASED = lambda a, base: f"(({a}) - ({base}) + 180 - 360 * floor((({a}) - ({base}) + 180) / 360) - 180)"
 _SIDES = lambda columns: ", ".join(f"CASE WHEN ok THEN {s}.{c} END AS {s}_{c}" for s in ("lo", "hi") for c in columns)
 _NEAR = f"SELECT x.*, coalesce(x.t - lo.t <= {REACH} AND hi.t - x.t <= {REACH}, false) AS ok, {{}} FROM x ASOF LEFT JOIN y lo ON x.utn = lo.utn AND x.t >= lo.t ASOF LEFT JOIN y hi ON x.utn = hi.utn AND x.t <= hi.t"
 _BESIDE = lambda columns: f"x AS (SELECT * FROM g WHERE source IN ('click', 'purchase')), y AS (SELECT * FROM g WHERE source = 'view'), n AS ({_NEAR.format(_SIDES(['t', *columns]))})"
@@ -132,6 +153,11 @@ a AS (SELECT utn, count(*) AS n_updates, (max(t) - min(t)) / {float(HOUR)}::DOUB
 r AS (SELECT utn, n_updates, round(du, 6) AS duration, n_dubious, n_mode_c, n_speed_own, n_speed_positions, CASE WHEN n_updates < 30 THEN 'few updates' WHEN du < 240 THEN 'short' WHEN n_dubious > 2e-1 * n_updates THEN 'changes' END AS reason FROM a), s AS (SELECT *, reason IS NOT NULL AS is_dubious FROM r)"""
 _MODE_STATUS = lambda m: f"CASE WHEN lo_{m} IS NULL AND hi_{m} IS NULL THEN 'no_ref_val' WHEN {m} IS NULL THEN 'no_tst' WHEN {m} = lo_{m} OR {m} = hi_{m} THEN 'same' ELSE 'different' END"
 SQL = {
+    "text_forms": f"""WITH {FLIGHTS} SELECT id, strftime(make_timestamp(t), '%Y-%m-%d') AS day, strftime(make_timestamp(t), '%H:%M:%S.%g') AS time, lpad(CAST(code AS VARCHAR), 4, '0') AS code_text, printf('%.2f', CAST(code AS DOUBLE)) AS fixed,
+CASE WHEN speed * code = 0 THEN 0e0 ELSE sign(speed * code) * pow(10, round(log10(abs(speed * code)))) END AS power, (utn % 255 * 255 + code) // 255 AS area, (utn % 255 * 255 + code) % 255 AS own, id AS counter, code AS content, replace(concat_ws('_', source, acid), '_', '\\_') AS latex FROM flights""",
+    "bearings_between": f"""WITH {FLIGHTS}, b AS (SELECT id, lon - 13 AS e, lat - 475e-1 AS n, angle - 180 AS a, speed - 280 AS z, degrees(atan2(lon - 13, lat - 475e-1)) AS way FROM flights WHERE lat IS NOT NULL AND lon IS NOT NULL),
+c AS (SELECT *, {_REBASED("a", "way")} AS x, {_REBASED("z", "way")} AS y FROM b)
+SELECT id, round(CASE WHEN sqrt(e * e + n * n) < 1e-6 THEN a WHEN (x >= 0) <> (y >= 0) THEN {_REBASED("x + (y - x) * 25e-2", "-way")} ELSE {_REBASED(f"a + {_REBASED('z', 'a')} * 25e-2", "0")} END, 6) AS bearing FROM c""",
     "altitude_fill_trusted": f"""WITH {FLIGHTS}, n AS (SELECT id, utn, t, CASE WHEN code % 3 <> 0 THEN mode_c END AS value, CASE WHEN code % 4 = 1 THEN mode_c + 7 END AS measured FROM flights), k AS (SELECT utn, t, coalesce(measured, value) AS value FROM n WHERE coalesce(measured, value) IS NOT NULL),
 j AS (SELECT n.id, n.t, n.value, CASE WHEN n.t - lo.t < {REACH} THEN lo.t END AS lt, CASE WHEN n.t - lo.t < {REACH} THEN lo.value END AS lv, CASE WHEN hi.t - n.t < {REACH} THEN hi.t END AS ht, CASE WHEN hi.t - n.t < {REACH} THEN hi.value END AS hv
   FROM n ASOF LEFT JOIN k lo ON n.utn = lo.utn AND n.t >= lo.t ASOF LEFT JOIN k hi ON n.utn = hi.utn AND n.t <= hi.t)
