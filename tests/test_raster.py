@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackloom.operators import evaluation as E
 from trackloom.operators import filters as P
 from trackloom.operators.raster import line_cells, polygon_cells, sector_index, sectors_of
+from trackloom.plans import requirements as R
 
 
 def touched(x1, y1, x2, y2, n):
@@ -86,3 +87,22 @@ def test_identification_false_and_target_lists(spark):
     reasons = lambda codes, addresses: [x.r for x in targets.orderBy("utn").select(P.target_reasons("codes", 3, 10, "p", "m", "top", "d", "n", codes, 1.0, "seen", "addresses", addresses).alias("r")).collect()]
     assert reasons(([5, (60, 67)], True), ([2], True)) == ["Mode A code", "Mode A code", None, None]
     assert reasons(([(0, 70)], False), ([2], False)) == ["address", None, "Mode A code", "Mode A code"]
+
+
+def test_identification_false_judges_every_matched_report(spark):
+    """Against a loop by report: every one is false or correct, and those with nothing to compare are counted beside."""
+    sf = "/root/testdata/sf0.01"
+    want = {}
+    for x in R._statuses(spark, sf).where("matched").collect():
+        seen = [x.s_mode_a, x.s_acad, x.s_acid]
+        n = want.setdefault(x.utn, [0, 0, 0, 0])
+        n[0] += "different" in seen
+        n[1] += seen == ["different"] * 3
+        n[2] += seen != ["different"] * 3
+        n[3] += not {"same", "different"} & set(seen)
+    got = {x.utn: [x.n_any, x.n_all, x.n_correct, x.n_unknown] for x in R.identification_false(spark, sf).collect()}
+    assert got == want and all(sum(n[i] for n in want.values()) for i in range(4))
+    rows = [(None, "no_tst"), ("no_ref_val", "no_tst"), ("same", None), ("no_tst", "different")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert [x.r for x in df.select(E.any_comparable(["a", "b"]).alias("r")).collect()] == [False, False, True, True]
+    assert not df.select(E.any_comparable([]).alias("r")).first().r

@@ -107,6 +107,11 @@ def identification_false(statuses: list[str], all_needed: bool = True) -> Column
     return F.when(reduce(and_ if all_needed else or_, different), "false").otherwise("not_false")
 
 
+def any_comparable(statuses: list[str]) -> Column:
+    """Whether any of the columns in use has a test and a reference value; without one, R4 still counts the report as correct."""
+    return reduce(or_, [F.coalesce(F.col(s).isin("same", "different"), F.lit(False)) for s in statuses], F.lit(False))
+
+
 def roll_up(counts: DataFrame, by: list[str], counters: list[str]) -> DataFrame:
     """Sums of counters over targets; by may hold split columns."""
     sums = [F.sum(c).alias(c) for c in counters]

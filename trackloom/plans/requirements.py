@@ -49,9 +49,10 @@ def identification_correct(spark, sf):
 
 
 def identification_false(spark, sf):
+    """n_all and n_correct add up to the matched reports; n_unknown tells how many of n_correct had nothing to compare."""
     s = _statuses(spark, sf).where("matched")
     some, every = (E.identification_false(_THREE, need) for need in (False, True))
-    return s.groupBy("utn").agg(F.count_if(some == "false").alias("n_any"), F.count_if(every == "false").alias("n_all"), F.count_if(every == "not_false").alias("n_correct"))
+    return s.groupBy("utn").agg(F.count_if(some == "false").alias("n_any"), F.count_if(every == "false").alias("n_all"), F.count_if(every == "not_false").alias("n_correct"), F.count_if(~E.any_comparable(_THREE)).alias("n_unknown"))
 
 
 def _periods(spark, sf):
@@ -253,8 +254,8 @@ SQL = {
     "spline_points": f"{_SPLINE} SELECT utn, \"at\", round({_cubic('lat')}, 7) AS lat, round({_cubic('lon')}, 7) AS lon FROM x0",
     "identification_correct": f"""{_A}, {_IDENTITIES} SELECT utn, count(*) FILTER (WHERE NOT none_known AND fine > 0) AS n_any, count(*) FILTER (WHERE NOT none_known AND fine = 0) AS n_none, count(*) FILTER (WHERE NOT none_known AND fine = 3) AS n_all, count(*) FILTER (WHERE none_known) AS n_no_ref_val
 FROM (SELECT utn, s_mode_a = 'no_ref_val' AND s_acad = 'no_ref_val' AND s_acid = 'no_ref_val' AS none_known, (s_mode_a IN ('same', 'no_ref_val'))::INT + (s_acad IN ('same', 'no_ref_val'))::INT + (s_acid IN ('same', 'no_ref_val'))::INT AS fine FROM s WHERE pos) GROUP BY utn""",
-    "identification_false": f"""{_A}, {_IDENTITIES} SELECT utn, count(*) FILTER (WHERE bad > 0) AS n_any, count(*) FILTER (WHERE bad = 3) AS n_all, count(*) FILTER (WHERE bad < 3) AS n_correct
-FROM (SELECT utn, {" + ".join(f"({s} = 'different')::INT" for s in _THREE)} AS bad FROM s WHERE pos) GROUP BY utn""",
+    "identification_false": f"""{_A}, {_IDENTITIES} SELECT utn, count(*) FILTER (WHERE bad > 0) AS n_any, count(*) FILTER (WHERE bad = 3) AS n_all, count(*) FILTER (WHERE bad < 3) AS n_correct, count(*) FILTER (WHERE bad = 0 AND good = 0) AS n_unknown
+FROM (SELECT utn, {" + ".join(f"({s} = 'same')::INT" for s in _THREE)} AS good, {" + ".join(f"({s} = 'different')::INT" for s in _THREE)} AS bad FROM s WHERE pos) GROUP BY utn""",
     "identification_periods": _intervals_sql(_VALID("acad")),
     "mode_c_periods": _intervals_sql(_VALID("mode_c", 3000)),
     "interval_detection": _intervals_sql("lat IS NOT NULL"),
