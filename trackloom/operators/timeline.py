@@ -151,7 +151,9 @@ def interpolate(column: str, t: str) -> Column:
 def interpolate_angle(column: str, t: str) -> Column:
     """Along the smaller turn from lo to hi, in degrees (decision Q11)."""
     share = (F.col(t) - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t"))
-    turn = F.pmod(F.col(f"hi.{column}") - F.col(f"lo.{column}") + 180.0, F.lit(360.0)) - 180.0
+    half = F.col(f"hi.{column}") - F.col(f"lo.{column}") + 180.0
+    # not pmod: it takes what is a rounding error below zero to 0 instead of 360, which is the turn to the other side
+    turn = half - 360.0 * F.floor(half / 360.0) - 180.0
     return F.when(F.col("matched"), F.when(F.col("exact"), F.col(f"lo.{column}")).otherwise(F.pmod(F.col(f"lo.{column}") + turn * share, F.lit(360.0))))
 
 
