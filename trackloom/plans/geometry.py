@@ -136,7 +136,7 @@ def sectors_of_reports(spark, sf):
     """Thousands of sectors from a table; places of reports are odd quarters, so that none is on an edge's end."""
     x, y = (F.col("utn") * 37 % 96 + 0.5) / 4, (F.col("code") * 29 % 96 + 0.5) / 4
     points = reports(spark, sf).select("id", x.alias("x"), y.alias("y"), F.when(F.col("code") % 6 != 0, F.col("value")).alias("height"))
-    return X.sectors_of(points, X.sector_index(_fields(spark, sf)), "x", "y", "height").groupBy("id").agg(F.count("*").alias("n"), F.min("sector").alias("first"))
+    return X.sector_counts(points, _fields(spark, sf), "id", "x", "y", "height")
 
 
 def top_n_rows(spark, sf):
