@@ -8,6 +8,7 @@ starts from the state that those before it come to, and ends in that which those
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,10 +65,13 @@ def before_each(j: tuple, i: tuple) -> tuple:
     return g1 @ g2, g1 @ m2 + m1, g1 @ p2 @ _t(g1) + p1
 
 
-def scanned(elements: tuple, combine) -> tuple:
-    """All prefixes, by doubling: the work of each step is a few products of all matrices at once."""
+def scanned(elements: tuple, combine, most: int | None = None) -> tuple:
+    """All prefixes, by doubling: the work of each step is a few products of all matrices at once.
+
+    With most, prefixes of so many elements only.
+    """
     out, step = tuple(x.copy() for x in elements), 1
-    while step < len(out[0]):
+    while step < min(len(out[0]), most or len(out[0])):
         new = combine(tuple(x[:-step] for x in out), tuple(x[step:] for x in out))
         for x, y in zip(out, new, strict=True):
             x[step:] = y
@@ -75,6 +79,46 @@ def scanned(elements: tuple, combine) -> tuple:
     return out
 
 
+def _elements(dt: np.ndarray, begins: np.ndarray, z: np.ndarray, r: np.ndarray, noise: float) -> tuple:
+    """The filter's element of each report, dt after the one before; at the first report of a track nothing before counts."""
+    f, q = _motions(np.where(np.isnan(dt), 0.0, dt), noise)
+    gain = q[:, :, :1] / (q[:, :1, :1] + r[:, None, None])
+    keep = np.eye(2) - gain @ np.array([[[1.0, 0.0]]])
+    at = z[:, None, :]
+    weigh = _t(f)[:, :, :1] / (q[:, :1, :1] + r[:, None, None])
+    out = [keep @ f, gain @ at, keep @ q, weigh @ at, weigh @ f[:, :1, :]]
+    for i in (0, 3, 4):
+        out[i][begins] = 0.0
+    out[1][begins] = np.stack([z[begins], np.zeros_like(z[begins])], axis=1)
+    out[2][begins] = 0.0
+    out[2][begins, 0, 0], out[2][begins, 1, 1] = r[begins], FIRST
+    return tuple(out)
+
+
+def _backward(dt: np.ndarray, m: np.ndarray, p: np.ndarray, noise: float) -> tuple:
+    """The smoother's elements, dt before the report that follows; one that none follows (NaN) is as it was filtered."""
+    last = np.isnan(dt)
+    f, q = _motions(np.where(last, 1.0, dt), noise)
+    ahead = f @ p @ _t(f) + q
+    gain = np.where(last[:, None, None], 0.0, p @ _t(f) @ _inverse(ahead))
+    return gain, m - gain @ f @ m, p - gain @ ahead @ _t(gain)
+
+
+def smooth_each(t: np.ndarray, z: np.ndarray, r: np.ndarray, begins: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed means and covariances of whole tracks that follow each other, at once; begins marks the first report of each.
+
+    A first report passes on nothing of what is before it, and a last one takes nothing of what is after it,
+    so that one scan serves all, as far as the longest track is.
+    """
+    dt = np.where(begins, np.nan, np.diff(t, prepend=t[:1]))
+    longest = int(np.diff(np.flatnonzero(np.append(begins, True))).max())
+    found = scanned(_elements(dt, begins, z, r, noise), after_each, longest)
+    m, p = found[1], found[2]
+    own = tuple(x[::-1] for x in _backward(np.append(dt[1:], np.nan), m, p, noise))
+    found = scanned(own, before_each, longest)
+    return found[1][::-1], found[2][::-1]
+
+
 def _one(*parts: np.ndarray) -> tuple:
     return tuple(p.reshape(1, 2, 2) for p in parts)
 
@@ -95,19 +139,9 @@ class Stretch:
 
     def elements(self) -> tuple:
         dt = np.diff(np.concatenate([[self.before], self.t]))
-        start = np.isnan(self.before)
-        f, q = _motions(np.where(np.isnan(dt), 0.0, dt), self.noise)
-        gain = q[:, :, :1] / (q[:, :1, :1] + self.r[:, None, None])
-        keep = np.eye(2) - gain @ np.array([[[1.0, 0.0]]])
-        z = self.z[:, None, :]
-        weigh = _t(f)[:, :, :1] / (q[:, :1, :1] + self.r[:, None, None])
-        out = [keep @ f, gain @ z, keep @ q, weigh @ z, weigh @ f[:, :1, :]]
-        if start:
-            # nothing before counts: the first report is where the track begins
-            nil = np.zeros((2, 2))
-            for x, y in zip(out, (nil, np.array([self.z[0], [0.0, 0.0]]), np.diag([self.r[0], FIRST]), nil, nil), strict=True):
-                x[0] = y
-        return tuple(out)
+        begins = np.zeros(len(dt), bool)
+        begins[0] = np.isnan(self.before)
+        return _elements(dt, begins, self.z, self.r, self.noise)
 
     def filtered(self, state: tuple | None) -> tuple[np.ndarray, np.ndarray]:
         own = self.elements()
@@ -120,12 +154,7 @@ class Stretch:
 
     def backward(self, m: np.ndarray, p: np.ndarray, following: float) -> tuple:
         """The smoother's elements; a report that none follows is as it was filtered."""
-        dt = np.diff(np.concatenate([self.t, [following]]))
-        last = np.isnan(dt)
-        f, q = _motions(np.where(last, 1.0, dt), self.noise)
-        ahead = f @ p @ _t(f) + q
-        gain = np.where(last[:, None, None], 0.0, p @ _t(f) @ _inverse(ahead))
-        return gain, m - gain @ f @ m, p - gain @ ahead @ _t(gain)
+        return _backward(np.diff(np.concatenate([self.t, [following]])), m, p, self.noise)
 
     def smoothed(self, m: np.ndarray, p: np.ndarray, following: float, end: tuple | None) -> tuple[np.ndarray, np.ndarray]:
         own = tuple(x[::-1] for x in self.backward(m, p, following))
@@ -159,6 +188,33 @@ def _row(pdf: pd.DataFrame, **more) -> pd.DataFrame:
     return pd.DataFrame({**{k: pdf[k].iloc[:1].to_numpy() for k in _KEYS}, **{k: [v] for k, v in more.items()}})
 
 
+def _tracks(parts: Iterator[pd.DataFrame], noise: float) -> Iterator[pd.DataFrame]:
+    """Smoothed states of whole tracks, sorted by key, session and time: those that end within a part at once, the last one with the next part."""
+    waiting = []
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        begins = np.append(True, _turns(pdf))
+        m, p = smooth_each(pdf.t.to_numpy(), pdf[["x", "y"]].to_numpy(), pdf.sigma.to_numpy() ** 2, begins, noise)
+        return pdf[["key", "session", "t"]].assign(x=m[:, 0, 0], y=m[:, 0, 1], vx=m[:, 1, 0], vy=m[:, 1, 1], stddev=np.sqrt(np.maximum(2 * p[:, 0, 0], 0)))
+
+    for pdf in parts:
+        waiting.append(pdf)
+        pdf = pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else pdf
+        turns = np.flatnonzero(_turns(pdf)) + 1
+        if len(turns):
+            yield states(pdf.iloc[: turns[-1]])
+            waiting = [pdf.iloc[turns[-1] :]]
+        else:
+            waiting = [pdf]
+    if waiting and len(waiting[0]):
+        yield states(waiting[0])
+
+
+def _turns(pdf: pd.DataFrame) -> np.ndarray:
+    """Where the row after is of another track."""
+    return (pdf.key.to_numpy()[1:] != pdf.key.to_numpy()[:-1]) | (pdf.session.to_numpy()[1:] != pdf.session.to_numpy()[:-1])
+
+
 def reference_tracks(reports: DataFrame, key: str, seconds: str, x: str, y: str, sigma: float | str = 30.0, noise: float = 3.0, step: float | None = None, width: float = SLICE) -> DataFrame:
     """key, session, t, x, y, vx, vy, stddev of the smoothed tracks, at the reports or every `step` seconds.
 
@@ -242,6 +298,9 @@ def reference_tracks(reports: DataFrame, key: str, seconds: str, x: str, y: str,
         return run(pdf, _matrices(side.state), _matrices(side.end), float(side.following))
 
     schema = f"key {kind}, session long, t double, x double, y double, vx double, vy double, stddev double"
+    if step is None:
+        ordered = alone.repartition("key", "session").sortWithinPartitions("key", "session", "t", "x", "y").select("key", "session", "t", "x", "y", "sigma")
+        return ordered.mapInPandas(lambda parts: _tracks(parts, noise), schema).unionByName(grouped(rows).cogroup(grouped(around)).applyInPandas(between, schema))
     return grouped(alone).applyInPandas(lambda pdf: run(pdf), schema).unionByName(grouped(rows).cogroup(grouped(around)).applyInPandas(between, schema))
 
 
