@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators.near import regions_of
+
 
 def histogram(df: DataFrame, value: str, n: int = 20, by: list[str] | None = None, bounds: tuple[float, float] | None = None) -> DataFrame:
     """V1, V2, V4, V5: rows (by..., bin, n): n equal bins, the last one closed; -1 for values without a bin, null for nulls.
@@ -99,18 +101,15 @@ def surroundings_of_each(df: DataFrame, marks: DataFrame, target: str, key: str,
     """V15 over several targets: the rows near any of them, each within its own times, heights and box: the columns of df, key, once each.
 
     Each target's region is one row; rows meet regions by time slice, so that neither many targets nor a
-    long one goes through the driver.
+    long one goes through the driver. In a slice, rows near to each other meet the regions together.
     """
     sides = [f(c).alias(f"_{n}_{c}") for c in box for n, f in (("min", F.min), ("max", F.max))]
-    regions = marks.groupBy(F.col(target).alias("_of")).agg((F.min(t) - around_t).alias("_t0"), (F.max(t) + around_t).alias("_t1"), (F.min(height) - around_h).alias("_h0"), (F.max(height) + around_h).alias("_h1"), *sides)
-    regions = regions.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("_t0") / width), F.floor(F.col("_t1") / width))))
-    met = df.withColumn("_slot", F.floor(F.col(t) / width)).join(regions, F.col("_slot") == F.col("_slice"))
-    near = F.col(t).between(F.col("_t0"), F.col("_t1")) & (F.col("_h0").isNull() | F.col(height).isNull() | F.col(height).between(F.col("_h0"), F.col("_h1")))
+    regions = marks.groupBy(F.col(target).alias("_of")).agg((F.min(t) - around_t).alias(f"low_{t}"), (F.max(t) + around_t).alias(f"high_{t}"), (F.min(height) - around_h).alias(f"low_{height}"), (F.max(height) + around_h).alias(f"high_{height}"), *sides)
     for c in box:
         low, high = F.col(f"_min_{c}"), F.col(f"_max_{c}")
         wider = F.least(F.lit(0.1), (high - low) * 0.1)
-        near &= low.isNull() | F.coalesce(F.col(c).between(low - wider, high + wider), F.lit(False))
-    return met.where(near).groupBy(key).agg(F.count("*").alias("n_targets"))
+        regions = regions.withColumns({f"low_{c}": low - wider, f"high_{c}": high + wider})
+    return regions_of(df.where(F.col(t).isNotNull()), regions, key, [t, height, *box], height, width)
 
 
 def choose_histogram(df: DataFrame, value: str, n: int = 20, by: list[str] | None = None) -> DataFrame:
